@@ -60,7 +60,7 @@ class ChunkIds(dict):
         parts: dict[str, tuple[str, str]] = {}
         for c in missing:
             m = TAIL.match(c)
-            if m and "_" not in c and len(c) <= self.longest and max(m[1]) < "ɐ" and m[1].isalpha():
+            if m and "_" not in c and len(c) <= self.longest and max(m[1]) < "ɐ" and m[1].lower().isalpha():
                 parts[c] = (m[1].lower(), m[2])
         new = list({x for x, _ in parts.values() if x not in self.cores})
         for k in range(0, len(new), 4096):

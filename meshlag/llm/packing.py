@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from meshlag.llm.util import small_batches, whole_text
 
 END_ID = 1
+END_BYTES = np.array([END_ID], "<u4").tobytes()
 #: Cost of ending a window inside a document after a sentence, and inside a sentence, in tokens of padding.
 SENTENCE_PENALTY, INNER_PENALTY = 16, 64
 #: Inside longer sentences a cut is offered every so many ids.
@@ -24,8 +24,8 @@ STRIDE = 256
 #: Ids that are packed together; a block's last window is the only one that the next block can't fill.
 BLOCK_IDS = 1 << 20
 
-SENTENCE = re.compile(r"(?<=[.!?])[ \n]+|\n+")
-TAIL = re.compile(r"^(\w+)([^\w\s'’]*)$")
+#: Closing marks that may follow a word in a chunk; the apostrophe starts word patterns of its own.
+MARKS = ".,!?;:%$&*#|)"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,15 +37,18 @@ class ChunkIds(dict):
     cores are lower-cased, as the tokenizer does, and encoded many at a time.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, tokenizer_file: str, most: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.cores: dict[str, bytes] = {}
         self.most, self.longest = most, longest
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -54,39 +57,51 @@ class ChunkIds(dict):
         """Makes the ids of all `chunks` known."""
         if len(self) > self.most:
             self.clear()
+            self[""] = b""
         if len(self.cores) > self.most:
             self.cores.clear()
-        missing = [c for c in chunks if c not in self]
-        parts: dict[str, tuple[str, str]] = {}
-        for c in missing:
-            m = TAIL.match(c)
-            if m and "_" not in c and len(c) <= self.longest and max(m[1]) < "ɐ" and m[1].lower().isalpha():
-                parts[c] = (m[1].lower(), m[2])
-        new = list({x for x, _ in parts.values() if x not in self.cores})
+        whole: list[str] = []
+        split: list[str] = []
+        lower: list[str] = []
+        for c in [c for c in chunks if c not in self]:
+            core = c.rstrip(MARKS)
+            if core.isalpha() and len(c) <= self.longest and (core.isascii() or (max(core) < "ɐ" and core.lower().isalpha())):
+                split.append(c)
+                lower.append(core.lower())
+            else:
+                whole.append(c)
+        new = [x for x in set(lower) if x not in self.cores]
         for k in range(0, len(new), 4096):
             group = new[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.bar[0]).tolist() if len(self.bar) == 1 else []
+            raw = self.tokenizer.encode_batch_fast([" | ".join(group)], add_special_tokens=False)[0].ids
+            ids = np.array(raw, "<u4")
+            ends = np.flatnonzero(ids == self.bar[0]) if len(self.bar) == 1 else np.zeros(0, int)
             if len(ends) != len(group) - 1:
                 self.cores.update((x, self.encode(x)) for x in group)
             else:
-                self.cores.update((x, ids[a:b].tobytes()) for x, a, b in zip(group, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True))
-        for c in missing:
-            if c in parts:
-                core, tail = parts[c]
-                if tail and tail not in self.cores:
-                    self.cores[tail] = self.encode(tail)
-                self[c] = self.cores[core] + (self.cores[tail] if tail else b"")
+                body = ids.tobytes()
+                stops = (4 * np.append(ends, len(ids))).tolist()
+                starts = [0, *(4 * (ends + 1)).tolist()]
+                self.cores.update(zip(group, [body[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
+        cores = self.cores
+        for c, core in zip(split, lower, strict=True):
+            if len(c) == len(core):
+                self[c] = cores[core]
             else:
-                self[c] = self.encode(c)
+                tail = c[len(core) :]
+                if tail not in cores:
+                    cores[tail] = self.encode(tail)
+                self[c] = cores[core] + cores[tail]
+        for c in whole:
+            self[c] = self.encode(c)
 
 
 _chunk_ids: dict[str, ChunkIds] = {}
 
 
-def sentences_of(text: str) -> list[list[str]]:
-    """Chunks of each sentence; together they are the chunks of the text."""
-    return [[c for c in s.split(" ") if c] for s in SENTENCE.split(text)]
+def chunks_of(text: str) -> list[str]:
+    """Blank-delimited chunks; white space of other kinds stays inside a chunk and is dropped by the tokenizer."""
+    return text.replace("\n", " ").split(" ")
 
 
 def choose_cuts(positions: list[int], penalties: list[int], width: int) -> list[int]:
@@ -135,25 +150,24 @@ class Block:
         self.costs: list[int] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, sentences: list[bytes]) -> None:
-        at = self.size
-        for s in sentences:
-            n = len(s) // 4
-            for inner in range(at + STRIDE, at + n, STRIDE):
-                self.cuts.append(inner)
-                self.costs.append(INNER_PENALTY)
-            at += n
-            if n:
-                self.cuts.append(at)
-                self.costs.append(SENTENCE_PENALTY)
-        at += 1
-        if self.cuts and self.cuts[-1] == at - 1:  # the end id never starts a window of its own
-            self.cuts.pop()
-            self.costs.pop()
-        self.cuts.append(at)
+    def add(self, doc_id: int | None, body: bytes, closes: np.ndarray) -> None:
+        """A document's ids; cuts are offered after ids that close a sentence, and every STRIDE ids where none is near."""
+        ids = np.frombuffer(body, "<u4")
+        ends = np.flatnonzero(closes[ids]) + 1
+        ends = ends[ends < len(ids)]  # the end id never starts a window of its own
+        edges = np.concatenate([[0], ends, [len(ids)]])
+        gaps = np.diff(edges)
+        inner = [np.arange(edges[k] + STRIDE, edges[k + 1], STRIDE) for k in np.flatnonzero(gaps > STRIDE)]
+        extra = np.concatenate(inner) if inner else np.zeros(0, np.int64)
+        cuts = np.concatenate([ends, extra])
+        costs = np.concatenate([np.full(len(ends), SENTENCE_PENALTY), np.full(len(extra), INNER_PENALTY)])
+        order = np.argsort(cuts, kind="stable")
+        self.cuts += (cuts[order] + self.size).tolist()
+        self.costs += costs[order].tolist()
+        self.size += len(ids) + 1
+        self.cuts.append(self.size)
         self.costs.append(0)
-        self.docs.append((doc_id, b"".join(sentences) + np.array([END_ID], "<u4").tobytes()))
-        self.size = at
+        self.docs.append((doc_id, body + END_BYTES))
 
     def pieces(self, first_sequence: int) -> tuple[pa.RecordBatch, int]:
         ends = choose_cuts(self.cuts, self.costs, self.width)
@@ -192,10 +206,10 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, width: int = 2048, id_c
         ids = _chunk_ids[tokenizer_file]
         sequence, block = TaskContext.get().partitionId() << 32, Block(width)
         for batch in batches:
-            split = [sentences_of(x) for x in batch.column(1).to_pylist()]
-            ids.learn({c for x in split for s in x for c in s})
-            for doc_id, sentences in zip(batch.column(0).to_pylist(), split, strict=True):
-                block.add(doc_id, [b"".join(map(ids.__getitem__, s)) for s in sentences])
+            split = [chunks_of(x) for x in batch.column(1).to_pylist()]
+            ids.learn(set().union(*split))
+            for doc_id, chunks in zip(batch.column(0).to_pylist(), split, strict=True):
+                block.add(doc_id, b"".join(map(ids.__getitem__, chunks)), ids.closes)
                 if block.size >= BLOCK_IDS:
                     out, sequence = block.pieces(sequence)
                     yield out

@@ -1,14 +1,14 @@
-"""Registered queries of the station-mesh engine and their SQL twins."""
+"""All registered queries of the station-mesh engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from meshlag.plans import daily_series, decay, events, geometry, inference, pairs, resampling, spectra  # noqa: F401
+from meshlag.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["decay_fit_by_center"](spark, sf_dir)

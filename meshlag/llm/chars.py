@@ -65,6 +65,14 @@ def letters() -> np.ndarray:
     return _maps["letters"]
 
 
+def words_only() -> np.ndarray:
+    """Letters and digits lower-cased, all else one blank."""
+    if "words" not in _maps:
+        _maps["words"] = _table(lambda c: ord(c.lower()[0]) if c.isalnum() else 32)
+        _maps["words"][0] = 0
+    return _maps["words"]
+
+
 #: Classes of characters whose shares describe a text.
 CLASSES = ("other", "lower", "upper", "digit", "blank", "break", "stop", "comma", "bang", "bar", "mark", "quote", "dash", "symbol")
 

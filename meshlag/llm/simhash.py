@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlag.llm.chars import Batch, words_only
 from meshlag.llm.graph import connected_components
 from meshlag.llm.util import cut, small_batches, whole_text
 
@@ -53,7 +54,7 @@ def _signed(x: int) -> int:
 
 
 def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links that connect every two fingerprints within the radius, from distinct (fp, rep).
+    """(a, b): links that connect every two fingerprints of a view within the radius, from distinct (view, fp, rep).
 
     A fingerprint goes into one bucket of each mask's table. Within a bucket of two or more, pairs are not
     formed: every member sends itself and its flips of one hidden bit, and two members meet at a common flip
@@ -62,15 +63,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     """
     masks = covering_masks()
     keyed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("k")
-    placed = prints.select("fp", "rep", keyed).select("fp", "rep", "k.t", "k.key")
-    shared = cut(placed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key"))
+    placed = prints.select("view", "fp", "rep", keyed).select("view", "fp", "rep", "k.t", "k.key")
+    shared = cut(placed.groupBy("view", "t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("view", "t", "key"))
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
     met = (
         cut(placed)
-        .join(shared, ["t", "key"], "left_semi")
-        .select("fp", "rep", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
-        .select(F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), "rep")
-        .groupBy("hub")
+        .join(shared, ["view", "t", "key"], "left_semi")
+        .select("view", "fp", "rep", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
+        .select("view", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), "rep")
+        .groupBy("view", "hub")
         .agg(F.collect_set("rep").alias("reps"))
         .where(F.size("reps") > 1)
     )
@@ -95,15 +96,105 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     # one pass over the texts; from here on rows are 16 bytes
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(whole_text(text)).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    groups = connected_components(near_links(nodes.where("rep is not null")))
+    groups = connected_components(near_links(nodes.where("rep is not null").withColumn("view", F.lit(0))))
     owners = cut(nodes.join(groups, nodes.rep == groups.node, "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
     return prints.join(owners, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+VIEWS = 8
+SHINGLE, SIMILAR = 5, 0.8
+
+
+def word_views(texts: list[str], views: int = VIEWS) -> np.ndarray:
+    """`views` independent signed fingerprints of each text's distinct words, letters and digits in lower case.
+
+    A changed word alters one feature here but five 5-word shingles, so copies with some edits stay within
+    two bits in at least one view. A text without words gets fingerprints of its own bytes.
+    """
+    batch = Batch(texts, words_only())
+    starts, _, hashes = batch.spans((batch.codes != 32) & (batch.codes != 0))
+    owner = batch.owner[starts]
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    owner, hashes = owner[new], hashes[new]
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = np.zeros((len(texts), views), np.int64)
+    for v in range(views):
+        h = (hashes + np.uint64(v + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        for i in range(len(texts)):
+            a, b = first[i], first[i + 1]
+            if a == b:
+                out[i, v] = _signed(xxhash.xxh64_intdigest(texts[i].encode(), v))
+                continue
+            ones = np.zeros(64, np.int64)
+            for k in range(a, b, 65_536):
+                ones += np.unpackbits(h[k : min(b, k + 65_536)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i, v] = np.packbits(ones * 2 > b - a, bitorder="little").view(np.int64)[0]
+    return out
+
+
+def shingle_set(text: str) -> set[tuple[str, ...]]:
+    """Five-word shingles of the same words; a shorter text is one shingle."""
+    table = words_only()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    mapped = table[np.minimum(codes, len(table) - 1)]
+    w = np.where(mapped == 0, 32, mapped).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+    w = [x for x in w if x]
+    return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id): groups of copies with edits. Links are proposed by SimHash and confirmed on 5-word shingles.
+
+    Equal texts are folded into one node first. Candidates are those within two bits in one of VIEWS word
+    fingerprints, found by the covering tables; a link is kept if the Jaccard similarity of the shingles is
+    0.8 or more. Both ends' texts are brought to the candidate links only. Rows that share an id share a
+    group by the smallest id of their texts. Null texts count as empty.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<long>")
+    def views(texts: pa.Array) -> pa.Array:
+        return pa.array(list(word_views(texts.to_pylist())), pa.list_(pa.int64()))
+
+    @F.arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            a, b = shingle_set(x), shingle_set(y)
+            out.append(len(a & b) >= SIMILAR * len(a | b))
+        return pa.array(out, pa.bool_())
+
+    body = whole_text(text)
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), views(body).alias("v")))
+    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).where("rep is not null"))
+    seen = nodes.select("rep", F.posexplode("v").alias("view", "fp"))
+    folded = cut(seen.groupBy("view", "fp").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    twins = seen.join(folded.where("rep <> last").select("view", "fp", F.col("rep").alias("a")), ["view", "fp"]).where("rep <> a").select("a", F.col("rep").alias("b"))
+    proposed = cut(near_links(folded.drop("last")).unionByName(twins).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), body.alias("t"))
+    ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    needed = cut(needed)
+    pairs = proposed.join(needed.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    groups = connected_components(pairs.where(alike("x", "y")).select("a", "b"))
+    owners = cut(nodes.join(groups, nodes.rep == groups.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id")))
+    return rows.select("id", "h1", "h2").join(owners, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group, that with the smallest id; all columns as they were."""
-    from pyspark.sql import Window
+    """One row of each group of `similar_groups`, that with the smallest id; all columns as they were.
 
-    kept = cut(group_near_duplicates(docs, id_col, text).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct())
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_n = 1").drop("_n")
+    Rows without an id are one group for each text. Rows that repeat a kept id are dropped to one.
+    """
+    groups = similar_groups(docs, id_col, text)
+    kept = cut(groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
+    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_n = 1").drop("_n")
+    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text])
+    return once.unionByName(nameless)

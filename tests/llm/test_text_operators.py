@@ -145,16 +145,40 @@ def test_links_are_complete(spark):
         prints.append(p)
     prints = list(dict.fromkeys(prints))
     signed = [(p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(prints)]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp long, rep long"))
+    links = simhash.near_links(spark.createDataFrame(signed, "fp long, rep long").withColumn("view", F.lit(0)))
     label = {r["node"]: r["label"] for r in graph.connected_components(links).collect()}
     assert [label.get(k, k) for k in range(len(prints))] == brute_components(prints, range(len(prints)))
 
 
 def test_keep_first(spark):
-    docs = documents(spark, ["same words in here", "same words in here", "other text", "same words in here"], [4, 2, 9, 2])
+    docs = documents(spark, ["same words in here", "same words in here", "other text", "same words in here", None, "lone", "lone"], [4, 2, 9, 2, 11, None, None])
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 2), (False, 9), (False, 11), (True, None)]
+
+
+def test_similar_groups(spark):
+    def edited(t, k, seed):
+        w, r = t.split(), random.Random(seed)
+        for _ in range(k):
+            w[r.randrange(len(w))] = "changed" + str(r.randrange(99))
+        return " ".join(w)
+
+    vocabulary = [a + b + c for a in WORDS for b in WORDS for c in ("", "s")]
+    free = lambda seed, n: " ".join(random.Random(seed).choices(vocabulary, k=n))
+    base = [free(k, 300) for k in range(6)]
+    texts = [*base, *[edited(b, 1, k) for k, b in enumerate(base)], *[edited(b, 2, 50 + k) for k, b in enumerate(base)], base[0].upper(), base[0].replace(" ", ", "), base[1], edited(base[2], 120, 9), "", None, "...", "!", "a b", "a b"]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    sets = [simhash.shingle_set(t or "") for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if got[a] == got[b] and a < 20 and b < 20:
+                assert alike or a % 6 == b % 6 or 18 in (a, b) or 19 in (a, b)
+    assert all(got[k] == got[k + 6] == got[k + 12] == k for k in range(6))
+    assert got[18] == got[19] == 0 and got[20] == 1 and got[21] == 21
+    assert got[22] == got[23] == 22 and got[26] == got[27] == 26 and got[24] != got[25]
+    assert simhash.similar_groups(documents(spark, [])).count() == 0
 
 
 # 4

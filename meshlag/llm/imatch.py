@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from meshlag.llm.util import cut, whole_text
 
-#: Byte s of a term's hash draws subset s; level l keeps the terms whose lowest 2*l bits there are zero (1 in 4**l).
-SUBSETS, LEVELS = 8, 4
+#: Byte s of a term's two hash words draws subset s; level l keeps the terms whose lowest 2*l bits there are zero (1 in 4**l).
+SUBSETS, LEVELS = 16, 4
 #: A component is void when its subset keeps no term, or so many that any small edit would change it.
 MOST_TERMS = 4
 VOID = "-"
@@ -37,13 +37,13 @@ def lexicon(docs: DataFrame, text: Column, rarest: float, commonest: float) -> D
 def components(terms: Column, rest: Column) -> Column:
     """Hashes of the sorted terms: of all of them (of `rest` if there are none), then of each subset."""
     hashed = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x))), 16, "0")
-    drawn = lambda bits: lambda t: t.bitwiseAND(F.lit(bits)) == 0
+    drawn = lambda bits, second: lambda t: (F.xxhash64(t) if second else t).bitwiseAND(F.lit(bits)) == 0
     out = [F.when(F.size(terms) == 0, hashed(rest)).otherwise(hashed(terms))]
     for s in range(SUBSETS):
         for level in range(1, LEVELS + 1):
-            bits = ((1 << 2 * level) - 1) << (8 * s)
+            bits = ((1 << 2 * level) - 1) << (8 * (s % 8))
             bits -= (bits >> 63) << 64
-            kept = F.filter(terms, drawn(bits))
+            kept = F.filter(terms, drawn(bits, s >= 8))
             out.append(F.when(F.size(kept).between(1, MOST_TERMS), F.substring(hashed(kept), 1, 8)).otherwise(VOID))
     return F.array(*out)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,59 +66,75 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["gram", "n"])
 
 
-def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, grams: np.ndarray, rounds: int = 300) -> Model:
-    """Logistic regression on presence scaled by r = log of the ratio of a feature's shares in both classes."""
-    ones, zeros = int(y.sum()), int((1 - y).sum())
-    in_one = np.bincount(feature[y[owner] == 1], minlength=len(grams))
-    in_zero = np.bincount(feature[y[owner] == 0], minlength=len(grams))
+def select(grams: np.ndarray, in_zero: np.ndarray, in_one: np.ndarray, zeros: int, ones: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, ratios): the n-grams whose shares differ most between the classes, with r = log of the ratio of the shares."""
     ratio = np.log(((in_one + 1) / (ones + 2)) / ((in_zero + 1) / (zeros + 2)))
-    signal = np.abs(in_one / max(ones, 1) - in_zero / max(zeros, 1)) / np.sqrt((in_one + in_zero + 1) / len(y))
+    signal = np.abs(in_one / max(ones, 1) - in_zero / max(zeros, 1)) / np.sqrt((in_one + in_zero + 1) / (zeros + ones))
     keep = np.sort(np.argsort(-signal, kind="stable")[:FEATURES])
-    place = np.full(len(grams), -1)
-    place[keep] = np.arange(len(keep))
-    used = place[feature] >= 0
-    owner, feature, ratio = owner[used], place[feature[used]], ratio[keep]
+    return grams[keep], ratio[keep]
+
+
+def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, grams: np.ndarray, ratio: np.ndarray, rounds: int = 300) -> Model:
+    """Logistic regression on presence scaled by the log-count ratios."""
     value = ratio[feature]
-    w, bias = np.zeros(len(keep)), float(np.log((ones + 1) / (zeros + 1)))
-    m, v = np.zeros(len(keep)), np.zeros(len(keep))
+    w, bias = np.zeros(len(grams)), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
+    m, v = np.zeros(len(grams)), np.zeros(len(grams))
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[feature], minlength=len(y)) + bias, -30, 30)))
         error = (p - y) / len(y)
-        g = np.bincount(feature, value * error[owner], minlength=len(keep)) + 1e-4 * w
+        g = np.bincount(feature, value * error[owner], minlength=len(grams)) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= 0.5 * error.sum()
-    return Model(grams[keep], w * ratio, bias)
+    return Model(grams, w * ratio, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled documents outside the held-out fold, whole texts.
 
-    Counting and matching run on the executors; the driver gets the candidate n-grams of those documents
-    (in LEAST_DOCS toxic ones at least) and one list of candidates a document, both bounded by `rows`.
-    Without both classes the model is the labelled share (0.5 without labels) for every text.
+    Counting and matching run on the executors. The driver gets the candidate n-grams of those documents (in
+    LEAST_DOCS toxic ones at least) with their counts, then the chosen FEATURES that each document holds; all
+    is bounded by `rows`. Without both classes the model is the labelled share (0.5 without labels) for every text.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     sample = cut(labelled_sample(docs, labels, "toxic", rows).repartition(24))
+    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ones, zeros = size.get(1, 0), size.get(0, 0)
+    if not ones or not zeros:
+        share = float(np.clip(ones / (ones + zeros), 0.01, 0.99)) if ones + zeros else 0.5
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     found = sample.where("y = 1").select("text").mapInArrow(_document_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    grams = np.sort(np.array(found.select("gram").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(Model(grams, np.zeros(len(grams)), 0.0))
+    grams = np.sort(np.asarray(found.select("gram").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
+    candidates = spark.sparkContext.broadcast(Model(grams, np.zeros(0), 0.0))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, len(candidates.value.grams)), np.int64)
+        for batch in batches:
+            owner, feature = candidates.value.find(batch.column(0).to_pylist())
+            y = batch.column(1).to_numpy()
+            for k in (0, 1):
+                n[k] += np.bincount(feature[y[owner] == k], minlength=n.shape[1])
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["f", "n0", "n1"])
+
+    got = sample.mapInArrow(counts, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    n = np.zeros((2, len(grams)), np.int64)
+    for k, name in enumerate(("n0", "n1")):
+        n[k, got.column("f").to_numpy()] = got.column(name).to_numpy()
+    grams, ratio = select(grams, n[0], n[1], zeros, ones)
+    chosen = spark.sparkContext.broadcast(Model(grams, np.zeros(0), 0.0))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, feature = shared.value.find(batch.column(0).to_pylist())
+            owner, feature = chosen.value.find(batch.column(0).to_pylist())
             offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))], ["y", "f"])
 
-    got = sample.mapInArrow(lists, "y int, f array<int>").toArrow()
-    y = got.column("y").to_numpy().astype(np.int64)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    column = got.column("f").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    owner = np.repeat(np.arange(len(y)), np.diff(column.offsets.to_numpy()))
-    return fit(y, owner, column.flatten().to_numpy().astype(np.int64), grams)
+    held = sample.mapInArrow(lists, "y int, f array<int>").toArrow()
+    y = held.column("y").to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(held.column("f")).to_numpy())
+    return fit(y, owner, pc.list_flatten(held.column("f")).to_numpy(), grams, ratio)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:

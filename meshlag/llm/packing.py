@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +27,26 @@ BLOCK_IDS = 1 << 20
 
 #: Closing marks that may follow a word in a chunk; the apostrophe starts word patterns of its own.
 MARKS = ".,!?;:%$&*#|)"
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+PLAIN = LETTERS.replace("+", "{1,64}") + r"[.,!?;:%$&*#|)]*$"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkIds(dict):
-    """Blank-delimited chunk -> its ids as little-endian uint32 bytes.
+class WordIds:
+    """Ids of words and of other chunks as little-endian uint32 bytes, learned as they occur.
 
     The tokenizer drops white space before it forms words, so the ids of a text are those of its chunks. A
-    chunk of letters and digits with closing marks is split there, where the word pattern also splits; plain
-    cores are lower-cased, as the tokenizer does, and encoded many at a time.
+    chunk of plain letters with closing marks is split there, where the word pattern also splits, and its
+    letters are lower-cased, as the tokenizer does: only lower-case words are kept, and encoded many at a time.
     """
 
     def __init__(self, tokenizer_file: str, most: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cores: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
         self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -53,55 +56,65 @@ class ChunkIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Makes the ids of all `chunks` known."""
-        if len(self) > self.most:
-            self.clear()
-            self[""] = b""
-        if len(self.cores) > self.most:
-            self.cores.clear()
-        whole: list[str] = []
-        split: list[str] = []
-        lower: list[str] = []
-        for c in [c for c in chunks if c not in self]:
-            core = c.rstrip(MARKS)
-            if core.isalpha() and len(c) <= self.longest and (core.isascii() or (max(core) < "ɐ" and core.lower().isalpha())):
-                split.append(c)
-                lower.append(core.lower())
-            else:
-                whole.append(c)
-        new = [x for x in set(lower) if x not in self.cores]
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters."""
+        known = self.words
+        if len(known) > self.most:
+            known.clear()
+        new = [x for x in words if x not in known]
         for k in range(0, len(new), 4096):
             group = new[k : k + 4096]
-            raw = self.tokenizer.encode_batch_fast([" | ".join(group)], add_special_tokens=False)[0].ids
-            ids = np.array(raw, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.bar[0]) if len(self.bar) == 1 else np.zeros(0, int)
             if len(ends) != len(group) - 1:
-                self.cores.update((x, self.encode(x)) for x in group)
-            else:
-                body = ids.tobytes()
-                stops = (4 * np.append(ends, len(ids))).tolist()
-                starts = [0, *(4 * (ends + 1)).tolist()]
-                self.cores.update(zip(group, [body[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
-        cores = self.cores
-        for c, core in zip(split, lower, strict=True):
-            if len(c) == len(core):
-                self[c] = cores[core]
+                known.update((x, self.encode(x)) for x in group)
             else:
-                tail = c[len(core) :]
-                if tail not in cores:
-                    cores[tail] = self.encode(tail)
-                self[c] = cores[core] + cores[tail]
-        for c in whole:
-            self[c] = self.encode(c)
-
-
-_chunk_ids: dict[str, ChunkIds] = {}
-
-
-def chunks_of(text: str) -> list[str]:
-    """Blank-delimited chunks; white space of other kinds stays inside a chunk and is dropped by the tokenizer."""
-    return text.replace("\n", " ").split(" ")
+                body, stops, starts = ids.tobytes(), (4 * np.append(ends, len(ids))).tolist(), [0, *(4 * (ends + 1)).tolist()]
+                known.update(zip(group, [body[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
+        return [known[x] for x in words]
+
+    def of_others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks; long ones are not kept."""
+        if len(self.others) > self.most // 4:
+            self.others = {"": b""}
+        out = []
+        for c in chunks:
+            ids = self.others.get(c)
+            if ids is None:
+                ids = self.encode(c)
+                if len(c) <= self.longest:
+                    self.others[c] = ids
+            out.append(ids)
+        return out
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, start of each text and the end). Distinct words of a batch are looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        names = chunks.dictionary
+        plain = pc.match_substring_regex(names, PLAIN).to_numpy(zero_copy_only=False)
+        at_plain, at_other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        chosen = names.filter(pa.array(plain))
+        words = pc.utf8_lower(pc.utf8_rtrim(chosen, MARKS)).dictionary_encode()
+        tails = pc.replace_substring_regex(chosen, LETTERS, "").dictionary_encode()
+        others = names.filter(pa.array(~plain)).to_pylist()
+        parts = [*self.of_words(words.dictionary.to_pylist()), *self.of_others(tails.dictionary.to_pylist()), *self.of_others(others), b""]
+        n_words, n_tails = len(words.dictionary), len(tails.dictionary)
+        # a chunk is two parts: a word and its marks, or another chunk and nothing
+        pair = np.empty((len(names), 2), np.int64)
+        pair[at_plain, 0], pair[at_plain, 1] = words.indices.to_numpy(), n_words + tails.indices.to_numpy()
+        pair[at_other, 0], pair[at_other, 1] = n_words + n_tails + np.arange(len(others)), len(parts) - 1
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        picks = pair[chunks.indices.to_numpy()].ravel()
+        lengths = sizes[picks]
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(begins[picks] - stops[:-1], lengths) + np.arange(stops[-1])]
+        return ids, stops[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())]
+
+
+_word_ids: dict[str, WordIds] = {}
 
 
 def choose_cuts(positions: list[int], penalties: list[int], width: int) -> list[int]:
@@ -150,10 +163,8 @@ class Block:
         self.costs: list[int] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, body: bytes, closes: np.ndarray) -> None:
-        """A document's ids; cuts are offered after ids that close a sentence, and every STRIDE ids where none is near."""
-        ids = np.frombuffer(body, "<u4")
-        ends = np.flatnonzero(closes[ids]) + 1
+    def add(self, doc_id: int | None, ids: np.ndarray, ends: np.ndarray) -> None:
+        """A document's ids, with cuts offered at `ends` (after ids that close a sentence) and every STRIDE ids where none is near."""
         ends = ends[ends < len(ids)]  # the end id never starts a window of its own
         edges = np.concatenate([[0], ends, [len(ids)]])
         gaps = np.diff(edges)
@@ -167,7 +178,7 @@ class Block:
         self.size += len(ids) + 1
         self.cuts.append(self.size)
         self.costs.append(0)
-        self.docs.append((doc_id, body + END_BYTES))
+        self.docs.append((doc_id, ids.tobytes() + END_BYTES))
 
     def pieces(self, first_sequence: int) -> tuple[pa.RecordBatch, int]:
         ends = choose_cuts(self.cuts, self.costs, self.width)
@@ -201,15 +212,17 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, width: int = 2048, id_c
     small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _chunk_ids:
-            _chunk_ids[tokenizer_file] = ChunkIds(tokenizer_file)
-        ids = _chunk_ids[tokenizer_file]
+        if tokenizer_file not in _word_ids:
+            _word_ids[tokenizer_file] = WordIds(tokenizer_file)
+        ids = _word_ids[tokenizer_file]
         sequence, block = TaskContext.get().partitionId() << 32, Block(width)
         for batch in batches:
-            split = [chunks_of(x) for x in batch.column(1).to_pylist()]
-            ids.learn(set().union(*split))
-            for doc_id, chunks in zip(batch.column(0).to_pylist(), split, strict=True):
-                block.add(doc_id, b"".join(map(ids.__getitem__, chunks)), ids.closes)
+            tokens, edges = ids.of_texts(batch.column(1))
+            closing = np.flatnonzero(ids.closes[tokens]) + 1
+            cut_at = np.searchsorted(closing, edges, "right")
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                a, b = edges[k], edges[k + 1]
+                block.add(doc_id, tokens[a:b], closing[cut_at[k] : cut_at[k + 1]] - a)
                 if block.size >= BLOCK_IDS:
                     out, sequence = block.pieces(sequence)
                     yield out

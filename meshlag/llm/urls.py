@@ -36,8 +36,15 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
+#: (application, file) pairs that Spark serves already: it takes a name once.
+_served: set[tuple[str, str]] = set()
+
+
 def publish(spark: SparkSession, rules: dict[str, str]) -> list[str]:
-    """Writes the digest files and hands them to every executor; returns their names.
+    """Makes the digest files and hands them to every executor; returns their names.
+
+    The driver writes a file next to itself and Spark's own file server brings it to each executor, so no
+    folder has to be shared.
 
     A file holds n, then the sorted uint64 digests, the offsets of the stored rules, their verdicts (1 block)
     and the rules themselves. Its name is the digest of its content, so equal lists are sent once.
@@ -50,11 +57,13 @@ def publish(spark: SparkSession, rules: dict[str, str]) -> list[str]:
         offsets = np.concatenate([[0], np.cumsum([len(r) for _, r, _ in part])]).astype("<u8")
         body = np.array([n], "<u8").tobytes() + np.array([d for d, _, _ in part], "<u8").tobytes() + offsets.tobytes() + bytes(v for _, _, v in part) + b"".join(r for _, r, _ in part)
         name = f"urlrules-{hashlib.sha256(body).hexdigest()[:32]}.bin"
-        path = os.path.join(tempfile.mkdtemp(prefix="urlrules-"), name)
-        with open(path, "wb") as f:
-            f.write(body)
-        spark.sparkContext.addFile(path)  # Spark serves it from the driver to each executor
         names.append(name)
+        if (key := (spark.sparkContext.applicationId, name)) not in _served:
+            path = os.path.join(tempfile.mkdtemp(prefix="urlrules-"), name)
+            with open(path, "wb") as f:
+                f.write(body)
+            spark.sparkContext.addFile(path)
+            _served.add(key)
     return names
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlag.functions.cut import cut
 from meshlag.operators.steps import Steps, apply, nest
 
 GRID, REFINE, HALF = 60, 3, 12
@@ -85,16 +86,20 @@ def _points(bins: DataFrame, keys: list[str], model: Model) -> DataFrame:
     return best.select(*keys, "best.*")
 
 
-def fit_decay(bins: DataFrame, keys: list[str], model: str | Model = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n", errors: bool = False) -> DataFrame:
+def fit_decay(bins: DataFrame, keys: list[str], model: str | Model = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n", errors: bool = False, together: bool = True) -> DataFrame:
     """One row for each group of `keys`: theta, amplitude, offset_c, wrss, r2, aic, bic, n_bins, at_bound.
 
-    Weights are `w` (sigma = 1/sqrt(w)). Groups of under four bins are left out. The grid is refined around
+    `together` moves each group to one task once, which suits bins (a few dozen rows a group); without it
+    the sums are combined across tasks, which suits fits on single rows. Weights are `w` (sigma = 1/sqrt(w)). Groups of under four bins are left out. The grid is refined around
     each group's best point three times, to about two parts in 10**5 of theta.
     """
     if taken := {"r", "y", "w", "g", "theta", "centre", *SUMS} & set(keys):
         raise ValueError(f"these names are used inside the fit: {sorted(taken)}")
     model = MODELS[model] if isinstance(model, str) else model
     base = bins.select(*keys, F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w")).where("r IS NOT NULL AND y IS NOT NULL AND w > 0")
+    base = cut(base)  # the rounds below read it again, not the facts behind it
+    if together and keys:
+        base = base.repartition(*keys)  # all sums of a group are then taken where it lies
     log_step = f"(ln({model.high / model.low!r}) / {GRID})"
     grid = F.expr(f"transform(sequence(0, {GRID}), k -> {model.low!r} * exp(k * {log_step}))")
     best = _points(base.withColumn("theta", F.explode(grid)), keys, model)

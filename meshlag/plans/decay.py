@@ -142,7 +142,7 @@ def equal_weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on single rows instead of bins: the sums distribute, so no sample is needed."""
     p = binned(spark, sf_dir).withColumn("one", F.lit(1))
-    return fit.fit_decay(p, ["center"], r="dist_km", y="coherence", w="one")
+    return fit.fit_decay(p, ["center"], r="dist_km", y="coherence", w="one", together=False)
 
 
 @query()

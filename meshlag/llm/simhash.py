@@ -101,41 +101,52 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     return prints.join(owners, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-VIEWS = 8
 SHINGLE, SIMILAR = 5, 0.8
+#: A pair of similarity J shares no band with probability (1 - J ** BAND_ROWS) ** BANDS: 7e-6 at J = 0.8, whatever the edit.
+BANDS, BAND_ROWS = 30, 5
+#: Passes in which each bucket tests its rows against one drawn hub, before all open pairs are tested.
+HUB_ROUNDS = 2
 
 
-def word_views(texts: list[str], views: int = VIEWS) -> np.ndarray:
-    """`views` independent signed fingerprints of each text's distinct words, letters and digits in lower case.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    A changed word alters one feature here but five 5-word shingles, so copies with some edits stay within
-    two bits in at least one view. A text without words gets fingerprints of its own bytes.
+
+def band_keys(texts: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """`bands` signed MinHash keys of each text, of `rows` minima over its five-word shingles each.
+
+    The shingles are those of `shingle_set`. A text without words gets keys of its own bytes.
     """
     batch = Batch(texts, words_only())
-    starts, _, hashes = batch.spans((batch.codes != 32) & (batch.codes != 0))
+    starts, _, words = batch.spans((batch.codes != 32) & (batch.codes != 0))
     owner = batch.owner[starts]
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    owner, hashes = owner[new], hashes[new]
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out = np.zeros((len(texts), views), np.int64)
-    for v in range(views):
-        h = (hashes + np.uint64(v + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        for i in range(len(texts)):
-            a, b = first[i], first[i + 1]
-            if a == b:
-                out[i, v] = _signed(xxhash.xxh64_intdigest(texts[i].encode(), v))
-                continue
-            ones = np.zeros(64, np.int64)
-            for k in range(a, b, 65_536):
-                ones += np.unpackbits(h[k : min(b, k + 65_536)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i, v] = np.packbits(ones * 2 > b - a, bitorder="little").view(np.int64)[0]
-    return out
+    words = _mixed(words + np.uint64(1))
+    n, count = len(words), np.bincount(owner, minlength=len(texts))
+    end = np.cumsum(count)
+    place = np.arange(n) - (end - count)[owner]
+    hashes = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):  # past the end of a shorter text nothing is added
+        inside = np.flatnonzero(place[: n - k] + k < count[owner[: n - k]]) if n > k else np.zeros(0, np.int64)
+        hashes[inside] = _mixed(hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + words[inside + k])
+    whole = place <= np.maximum(count[owner] - SHINGLE, 0)
+    hashes, owner = hashes[whole], owner[whole]
+    wordy = np.flatnonzero(count)
+    first = np.searchsorted(owner, wordy)
+    r = np.random.default_rng(SEED)
+    factors = r.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+    addends = r.integers(0, 1 << 63, (bands, rows), np.uint64)
+    out = np.zeros((len(texts), bands), np.uint64)
+    for b in range(bands):
+        key = np.zeros(len(wordy), np.uint64)
+        for f, a in zip(factors[b], addends[b], strict=True):
+            if len(wordy):
+                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * f + a, first))
+        out[wordy, b] = key
+    for i in np.flatnonzero(count == 0):
+        out[i] = [xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), b) for b in range(bands)]
+    return out.view(np.int64)
 
 
 def shingle_set(text: str) -> set[tuple[str, ...]]:
@@ -148,42 +159,80 @@ def shingle_set(text: str) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
+def open_pairs(placed: DataFrame, labels: DataFrame, draw: int | None) -> DataFrame:
+    """(a, b), a < b: distinct pairs of rows (bucket, node, size) in one bucket that no label (node, label) joins yet.
+
+    With a `draw`, each bucket pairs its rows with one hub, another for each draw. Without one, these are all
+    such pairs: rows outside a bucket's commonest label meet every row of the bucket, so a group that is
+    already joined makes no pairs within itself. Sizes that rule the similarity out are left away.
+    """
+    rows = placed.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    if draw is None:
+        main = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+        rows = cut(rows.join(main.select("bucket", "main"), "bucket"))
+        left = rows.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
+        met = left.join(rows, "bucket").where("label = main OR x < node")
+    else:
+        hub = F.min_by(F.struct("node", "label", "size"), F.xxhash64("node", F.lit(draw))).alias("hub")
+        hubs = rows.groupBy("bucket").agg(hub, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        left = cut(hubs.select("bucket", F.col("hub.node").alias("x"), F.col("hub.label").alias("lx"), F.col("hub.size").alias("sx")))
+        met = left.join(cut(rows), "bucket")
+    met = met.where(F.col("label") != F.col("lx")).where(F.least("sx", "size") >= F.greatest("sx", "size") * SIMILAR)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id): groups of copies with edits. Links are proposed by SimHash and confirmed on 5-word shingles.
+    """(id, component_id): components of the texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Equal texts are folded into one node first. Candidates are those within two bits in one of VIEWS word
-    fingerprints, found by the covering tables; a link is kept if the Jaccard similarity of the shingles is
-    0.8 or more. Both ends' texts are brought to the candidate links only. Rows that share an id share a
-    group by the smallest id of their texts. Null texts count as empty.
+    Equal texts are folded into one node first. Texts that share one of BANDS MinHash bands are candidates.
+    Meeting is no link: every candidate pair is either tested on its shingles or already in one component.
+    Components are first drawn together by HUB_ROUNDS passes against one hub a bucket; then all pairs of a
+    bucket that lie in different components are tested. Both ends' texts are brought to the tested pairs
+    only. Rows that share an id share a group by the smallest id of their texts. Null texts count as empty.
     """
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<long>")
-    def views(texts: pa.Array) -> pa.Array:
-        return pa.array(list(word_views(texts.to_pylist())), pa.list_(pa.int64()))
+    def keys(texts: pa.Array) -> pa.Array:
+        return pa.array(list(band_keys(texts.to_pylist())), pa.list_(pa.int64()))
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
+        out, last, a = [], None, set()
         for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            a, b = shingle_set(x), shingle_set(y)
-            out.append(len(a & b) >= SIMILAR * len(a | b))
+            if x != last:
+                last, a = x, shingle_set(x)
+            b = shingle_set(y)
+            both = len(a & b)
+            out.append(both >= SIMILAR * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
+    @F.arrow_udf("int")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([len(shingle_set(x)) for x in texts.to_pylist()], pa.int32())
+
     body = whole_text(text)
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), views(body).alias("v")))
-    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).where("rep is not null"))
-    seen = nodes.select("rep", F.posexplode("v").alias("view", "fp"))
-    folded = cut(seen.groupBy("view", "fp").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
-    twins = seen.join(folded.where("rep <> last").select("view", "fp", F.col("rep").alias("a")), ["view", "fp"]).where("rep <> a").select("a", F.col("rep").alias("b"))
-    proposed = cut(near_links(folded.drop("last")).unionByName(twins).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), body.alias("t"))
-    ends = cut(proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    needed = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    needed = cut(needed)
-    pairs = proposed.join(needed.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-    groups = connected_components(pairs.where(alike("x", "y")).select("a", "b"))
-    owners = cut(nodes.join(groups, nodes.rep == groups.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), keys(body).alias("v")))
+    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).where("rep is not null").withColumn("node", F.monotonically_increasing_id()))
+    placed = nodes.select("node", F.posexplode("v").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    placed = cut(placed)
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    placed = cut(placed.join(shared, "bucket", "left_semi"))
+    met = cut(placed.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"))
+    bodies = docs.select(F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), body.alias("t"))
+    texts = cut(bodies.join(met, ["h1", "h2"]).groupBy("node").agg(F.min("t").alias("t")).withColumn("size", shingles("t")))
+    placed = cut(placed.join(texts.select("node", "size"), "node"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("t").alias("x")), texts.select(F.col("node").alias("b"), F.col("t").alias("y"))
+    links, labels = None, docs.sparkSession.createDataFrame([], "node long, label long")
+    for draw in [*range(HUB_ROUNDS), None]:
+        pairs = cut(open_pairs(placed, labels, draw))
+        found = cut(pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b"))
+        if not found.isEmpty():
+            links = found if links is None else cut(links.unionByName(found).coalesce(found.rdd.getNumPartitions()))
+            labels = connected_components(links)
+    joined = cut(nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    names = cut(joined.groupBy("label").agg(F.min("rep").alias("component_id")))
+    owners = cut(joined.join(names, "label").select("h1", "h2", "component_id"))
     return rows.select("id", "h1", "h2").join(owners, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "component_id")
 
 

@@ -181,6 +181,48 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(documents(spark, [])).count() == 0
 
 
+def edits_of(words, r):
+    """The text of `words` after each kind of edit, at several strengths."""
+    n = len(words)
+    other = lambda k: [f"new{r.randrange(10**6)}" for _ in range(k)]
+    for share in (0.02, 0.05, 0.1, 0.15, 0.19, 0.25):
+        k = max(1, int(n * share))
+        scattered = list(words)
+        for i in r.sample(range(n), max(1, k // 5)):
+            scattered[i] = other(1)[0]
+        yield "cut", words[: n - k]
+        yield "appended", words + other(k)
+        yield "scattered", scattered
+        yield "short", [*other(1), *words[1 : max(12, k)]]
+        yield "short", words[: max(12, k)]
+
+
+def test_similar_groups_brute(spark):
+    """Hubs unlike both ends of a link, and copies cut, extended, scattered and short: components as by all pairs."""
+    r = random.Random(11)
+    vocabulary = [a + b + c for a in WORDS for b in WORDS for c in ("", "s")]
+    texts = []
+    for _ in range(8):  # a and b hold the same words in other orders; c is b with two sentences swapped
+        sentences = [" ".join(r.choices(vocabulary, k=20)) for _ in range(40)]
+        b = r.sample(sentences, 40)
+        c = [*b[:7], b[8], b[7], *b[9:]]
+        texts += [" ".join(x) for x in (sentences, b, c)]
+    for n in (40, 200, 600):
+        for _ in range(4):
+            words = r.choices(vocabulary, k=n)
+            texts += [" ".join(words), *[" ".join(w) for _, w in edits_of(words, r)]]
+    sets = [simhash.shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == label
+    assert all(label[k + 2] == k + 1 != label[k] for k in range(0, 24, 3))
+
+
 # 4
 def test_packing(spark):
     from tokenizers import Tokenizer

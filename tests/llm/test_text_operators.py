@@ -223,6 +223,23 @@ def test_similar_groups_brute(spark):
     assert all(label[k + 2] == k + 1 != label[k] for k in range(0, 24, 3))
 
 
+def test_band_recall():
+    """Every kind of edit is proposed alike: only the similarity counts."""
+    r, seen = random.Random(12), {}
+    vocabulary = [a + b + c for a in WORDS for b in WORDS for c in ("", "s")]
+    for _ in range(60):
+        words = r.choices(vocabulary, k=r.randrange(40, 400))
+        for kind, w in edits_of(words, r):
+            before, after = " ".join(words if kind != "short" else words[: len(w)]), " ".join(w)
+            a, b = simhash.shingle_set(before), simhash.shingle_set(after)
+            if len(a & b) >= 0.8 * len(a | b):
+                one, two = simhash.band_keys([before, after])
+                seen.setdefault(kind, []).append((one == two).any())
+    assert all(len(x) > 60 and np.mean(x) > 0.99 for x in seen.values()) and len(seen) == 4
+    one, two = simhash.band_keys(["a b c", "A, b; c."])
+    assert (one == two).all() and simhash.band_keys([]).shape == (0, simhash.BANDS)
+
+
 # 4
 def test_packing(spark):
     from tokenizers import Tokenizer

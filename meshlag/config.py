@@ -18,6 +18,7 @@ class Config:
     monthly_folds: int = 5
     station_block: int = 10
     bootstrap: int = 100
+    surrogates: int = 100
     activity_kp: float = 4.0
     activity_ap: float = 20.0
     activity_f107: float = 200.0

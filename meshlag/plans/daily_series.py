@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshlag.config import DEFAULT
 from meshlag.operators import series
 from meshlag.operators.stats import p_of_r
 from meshlag.plans.fixtures import DAILY_SQL, EXTERNAL_SQL, PAIR_DAY_SQL, daily, external_daily, pair_day
@@ -141,6 +142,7 @@ def spectral_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _scales = (10.0, 20.0, 40.0)
+LONG_SCALES = tuple(float(s) for s in range(20, 201, 20))
 
 
 @query(f"""SELECT center, scale, t, {r('re * re + im * im', 5)} AS power FROM (
@@ -152,13 +154,20 @@ def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(series.morlet_power(s, ["center"], "t", "m", list(_scales)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
 
 
+@query()
+def wavelet_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wavelet power of every centre and day at scales of 20 to 200 days; `wavelet_power` is its short part with a SQL twin."""
+    return series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES))
+
+
 @query()
 def on_off_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days whose mean wavelet power exceeds the 95th percentile of AR(1) surrogates' daily power."""
-    s = by_center(spark, sf_dir).where("t < 400")
-    power = series.morlet_power(s, ["center"], "t", "m", [20.0]).groupBy("center", "t").agg(F.avg("power").alias("power"))
-    sur = series.ar1_surrogates(s, ["center"], "t", "m", 5)
-    level = series.morlet_power(sur, ["center", "surrogate"], "t", "value", [20.0]).groupBy("center").agg(F.percentile_approx("power", 0.95, 1000).alias("threshold"))
+    """Days whose power, averaged over 20 to 200 days, exceeds the 95th percentile of AR(1) surrogates' daily power."""
+    s = by_center(spark, sf_dir)
+    daily_power = lambda df, keys, y: series.morlet_by_series(df, keys, "t", y, list(LONG_SCALES)).groupBy(*keys, "t").agg(F.avg("power").alias("power"))
+    power = daily_power(s, ["center"], "m")
+    sur = series.ar1_surrogates(s, ["center"], "t", "m", DEFAULT.surrogates)
+    level = daily_power(sur, ["center", "surrogate"], "value").groupBy("center").agg(F.percentile_approx("power", 0.95, 1000).alias("threshold"))
     return power.join(level, "center").withColumn("on", F.col("power") > F.col("threshold"))
 
 

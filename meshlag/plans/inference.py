@@ -60,6 +60,14 @@ def resolved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_codes(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name")).distinct(), s.select(F.col("s_name").alias("short_code")))
 
 
+@query()
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's and customer's name looked up among the suppliers; unknown names resolve to null."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    names = s.unionByName(read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))).distinct()
+    return resolve_codes(names, s.withColumnRenamed("name", "short_code"))
+
+
 @query(f"SELECT bool_and(kp_index BETWEEN 0 AND 9) AS kp_ok, bool_and(ap_index BETWEEN 0 AND 400) AS ap_ok, bool_and(f107_flux BETWEEN 50 AND 500) AS f107_ok, {r('corr(kp_index, f107_flux)', 4)} AS kp_f107_corr FROM {EXTERNAL_SQL} x")
 def activity_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = validate_activity(external_daily(spark, sf_dir))

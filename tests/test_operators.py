@@ -135,3 +135,26 @@ def test_lag(spark):
     b = spark.createDataFrame([(1, k + 5, float(v[k])) for k in range(200)], "k int, t int, y double")
     best = series.cross_correlation(a, b, ["k"], "t", "y", 10).orderBy(F.desc("r")).first()
     assert best["lag"] == 5 and best["r"] > 0.99
+
+
+def test_whole_wavelets(spark, sf_dir):
+    """All centres, days and scales; the series form equals the fan-out form."""
+    from meshlag.plans import daily_series as d
+
+    s = d.by_center(spark, sf_dir)
+    got = {(r["center"], r["scale"], r["t"]): r["power"] for r in d.wavelet_spectrogram(spark, sf_dir).collect()}
+    days = {(r["center"], r["t"]) for r in s.collect()}
+    assert set(got) == {(c, scale, t) for c, t in days for scale in d.LONG_SCALES} and len({c for c, _ in days}) == 3 and max(t for _, t in days) > 2000
+    want = d.series.morlet_power(s, ["center"], "t", "m", [20.0, 200.0]).collect()
+    assert all(abs(got[r["center"], r["scale"], r["t"]] - r["power"]) < 1e-9 * max(1, r["power"]) for r in want)
+    assert {(r["center"], r["t"]) for r in d.on_off_days(spark, sf_dir).collect()} == days
+
+
+def test_resolved_names(spark, sf_dir):
+    """All suppliers resolve to themselves; customers are unknown."""
+    from meshlag.plans.inference import resolved_names
+
+    got = {r["name"]: r["resolved"] for r in resolved_names(spark, sf_dir).collect()}
+    suppliers = {r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name").collect()}
+    customers = {r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name").collect()}
+    assert got == {**dict.fromkeys(customers), **{s: s for s in suppliers}}

@@ -17,7 +17,11 @@ class Config:
     segment: int = 1024
     monthly_folds: int = 5
     station_block: int = 10
-    bootstrap: int = 100
+    bootstrap: int = 1000
+    bootstrap_block: int = 10
+    pair_replicates: int = 1000
+    two_way_replicates: int = 200
+    null_iterations: int = 100
     surrogates: int = 100
     activity_kp: float = 4.0
     activity_ap: float = 20.0

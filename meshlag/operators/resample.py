@@ -72,6 +72,24 @@ def permute(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
     return a.join(b, "_k").drop("_k")
 
 
+def permute_each(df: DataFrame, key: str, value: str, iterations: int) -> DataFrame:
+    """`df` with `value` permuted over all rows, once for each `iteration`, all in one job."""
+    a = cut(shuffled_rank(df.drop(value), [key], "_k"))
+    n = a.count()
+    fan = df.select(F.col(key).alias("_key"), value).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_h", F.xxhash64("_key", "iteration"))
+    b = shuffled_rank(fan, ["iteration", "_h", "_key"], "_g").select("iteration", (F.col("_g") - (F.col("iteration") - 1) * F.lit(n)).alias("_k"), value)
+    return a.join(b, "_k").drop("_k")
+
+
+def relabel_each(pairs: DataFrame, iterations: int) -> DataFrame:
+    """(iteration, date, s, t): as `relabel_by_day`, once for each iteration."""
+    stations = cut(pairs.select("date", F.explode(F.array("i", "j")).alias("s")).distinct())
+    a = stations.withColumn("r", F.row_number().over(Window.partitionBy("date").orderBy("s")))
+    fan = stations.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    b = fan.withColumn("r", F.row_number().over(Window.partitionBy("iteration", "date").orderBy(F.xxhash64("date", "s", "iteration"), "s"))).select("iteration", "date", "r", F.col("s").alias("t"))
+    return a.join(b, ["date", "r"]).select("iteration", "date", "s", "t")
+
+
 def relabel_by_day(pairs: DataFrame, seed: int) -> DataFrame:
     """Permutes the station labels inside each day: (date, s, t) maps station s of that day to t."""
     stations = pairs.select("date", F.explode(F.array("i", "j")).alias("s")).distinct()

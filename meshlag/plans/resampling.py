@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshlag.config import DEFAULT
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, distance_bin, finalise
+from meshlag.functions.cut import cut
 from meshlag.operators import fit, resample
 from meshlag.plans.decay import bins
 from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, pair_day, station
@@ -129,7 +130,7 @@ def bin_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of the decay length over resampled runs of bins."""
     b = bins(spark, sf_dir, ["center"]).withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("bin")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("center")))
-    size = 5
+    size = DEFAULT.bootstrap_block
     starts = b.select("center", "m").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.bootstrap)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("m") / size).cast("int"))))
     starts = starts.withColumn("start", F.pmod(F.xxhash64("replicate", "draw"), F.greatest(F.col("m") - size + 1, F.lit(1))))
     picks = starts.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select("center", "replicate", (F.col("start") + F.col("off")).alias("k"))
@@ -142,7 +143,7 @@ def pair_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson(1) weights from a hash of (row, replicate), folded into the bin sums: no resampled copies."""
     u = "(pmod(xxhash64(row, replicate), 1000003) / 1000003D)"
     weight = F.expr(f"CASE WHEN {u} < 0.367879441 THEN 0 WHEN {u} < 0.735758882 THEN 1 WHEN {u} < 0.919698603 THEN 2 WHEN {u} < 0.981011843 THEN 3 WHEN {u} < 0.996340153 THEN 4 ELSE 5 END")
-    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("w", weight)
+    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.pair_replicates)))).withColumn("w", weight)
     s = b.groupBy("replicate", "bin").agg(F.sum(F.col("w") * F.col("coherence")).alias("s1"), F.sum(F.col("w") * F.col("coherence") ** 2).alias("s2"), F.sum(F.col("w") * F.col("dist_km")).alias("sd"), F.sum("w").alias("n"))
     return fit.fit_decay(finalise(s), ["replicate"])
 
@@ -151,7 +152,7 @@ def pair_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_way_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations and days drawn with replacement; a row is kept once if both ends and its day were drawn."""
     drawn = lambda *c: F.pmod(F.xxhash64(*c, "replicate"), F.lit(1000)) < 632  # noqa: E731  the share drawn at least once
-    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20)))).where(drawn("i") & drawn("j") & drawn("date"))
+    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.two_way_replicates)))).where(drawn("i") & drawn("j") & drawn("date"))
     return fit.fit_decay(finalise(accumulate(b, ["replicate"]), 10), ["replicate"])
 
 
@@ -159,13 +160,25 @@ def two_way_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def distance_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits after permuting the distances over all rows, one fit for each seed."""
-    p = pair_day(spark, sf_dir).select("row", "coherence", "dist_km")
-    out = None
-    for seed in (42, 43):
-        s = resample.permute(p, "row", "dist_km", seed).withColumn("bin", distance_bin("dist_km")).where("bin IS NOT NULL").withColumn("seed", F.lit(seed))
-        out = s if out is None else out.unionByName(s)
-    return fit.fit_decay(finalise(accumulate(out, ["seed"])), ["seed"])
+    """Fits after permuting the distances over all rows, one fit for each iteration."""
+    return fit.fit_decay(finalise(accumulate(null_rows(spark, sf_dir, "distance", DEFAULT.null_iterations), ["iteration"])), ["iteration"])
+
+
+def null_rows(spark: SparkSession, sf_dir: str, kind: str, iterations: int) -> DataFrame:
+    """(iteration, coherence, dist_km, bin): every row under each permutation of distances, phases or a day's stations."""
+    p = pair_day(spark, sf_dir)
+    if kind == "distance":
+        out = resample.permute_each(p.select("row", "coherence", "dist_km"), "row", "dist_km", iterations)
+    elif kind == "phase":
+        out = resample.permute_each(p.select("row", "dist_km", "phase"), "row", "phase", iterations).withColumn("coherence", F.cos("phase"))
+    else:
+        out, labels, s = p.select("date", "i", "j", "coherence"), cut(resample.relabel_each(p, iterations)), station(spark, sf_dir)
+        for e in "ij":
+            named = labels.select("iteration", "date", F.col("s").alias(e), F.col("t").alias(f"t_{e}"))
+            out = out.join(named, ["date", e] if e == "i" else ["iteration", "date", e])
+            out = out.join(s.select(F.col("id").alias(f"t_{e}"), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}")), f"t_{e}")
+        out = out.withColumn("dist_km", F.expr(DIST))
+    return out.withColumn("bin", distance_bin("dist_km")).where("bin IS NOT NULL")
 
 
 _permuted = f"(SELECT a.row, b.v AS phase_shuffled FROM (SELECT row, row_number() OVER (ORDER BY row) AS k FROM {PAIR_DAY_SQL} p) a JOIN (SELECT phase AS v, row_number() OVER (ORDER BY md5(row || '#42')) AS k FROM {PAIR_DAY_SQL} q) b ON a.k = b.k)"
@@ -196,13 +209,15 @@ def station_label_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def null_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty hash permutations of the phase inside the bins' rows: mean, deviation and permutation p of R2."""
-    b = binned(spark, sf_dir)
-    real = fit.fit_decay(finalise(accumulate(b.withColumn("one", F.lit(1)), ["one"])), ["one"]).select("one", F.col("r2").alias("real_r2"), F.col("theta").alias("real_theta"))
-    shuffled = b.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("coherence", F.expr("cos(2 * pi() * pmod(xxhash64(row, iteration), 1000003) / 1000003D)"))
-    nulls = fit.fit_decay(finalise(accumulate(shuffled, ["iteration"])), ["iteration"]).withColumn("one", F.lit(1)).join(real, "one")
-    return nulls.groupBy("real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+def null_summary(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT.null_iterations) -> DataFrame:
+    """Permutations of distances, phases and station labels: mean and deviation of R2 and length, and permutation p of R2."""
+    real = fit.fit_decay(finalise(accumulate(binned(spark, sf_dir).withColumn("one", F.lit(1)), ["one"])), ["one"]).select("one", F.col("r2").alias("real_r2"), F.col("theta").alias("real_theta"))
+    states = None
+    for kind in ("distance", "phase", "station"):
+        s = cut(accumulate(null_rows(spark, sf_dir, kind, iterations), ["iteration"]).withColumn("null", F.lit(kind)))
+        states = s if states is None else states.unionByName(s)
+    nulls = fit.fit_decay(finalise(states), ["null", "iteration"]).withColumn("one", F.lit(1)).join(real, "one")
+    return nulls.groupBy("null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 @query()

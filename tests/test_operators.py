@@ -158,3 +158,31 @@ def test_resolved_names(spark, sf_dir):
     suppliers = {r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name").collect()}
     customers = {r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name").collect()}
     assert got == {**dict.fromkeys(customers), **{s: s for s in suppliers}}
+
+
+def test_nulls_permute(spark, sf_dir):
+    """Each iteration holds the very phases and distances, in another order; all three nulls are summarised."""
+    from collections import Counter
+
+    from meshlag.config import DEFAULT
+    from meshlag.operators import resample
+    from meshlag.plans import resampling
+
+    skewed = spark.createDataFrame([(k, k, float(k % 7 == 0)) for k in range(300)], "row long, place long, phase double")
+    out = resample.permute_each(skewed, "row", "phase", 3).collect()
+    orders = set()
+    for it in (1, 2, 3):
+        rows = sorted((r["row"], r["place"], r["phase"]) for r in out if r["iteration"] == it)
+        assert [r[:2] for r in rows] == [(k, k) for k in range(300)]
+        assert Counter(r[2] for r in rows) == Counter(float(k % 7 == 0) for k in range(300))
+        orders.add(tuple(r[2] for r in rows))
+    assert len(orders) == 3
+    pairs = spark.createDataFrame([("d", 1, 2), ("d", 3, 4), ("e", 1, 5)], "date string, i int, j int")
+    moved = resample.relabel_each(pairs, 4).collect()
+    for it in range(1, 5):
+        for date, have in (("d", [1, 2, 3, 4]), ("e", [1, 5])):
+            now = [r for r in moved if (r["iteration"], r["date"]) == (it, date)]
+            assert sorted(r["s"] for r in now) == sorted(r["t"] for r in now) == have
+    assert (DEFAULT.bootstrap, DEFAULT.bootstrap_block, DEFAULT.null_iterations) == (1000, 10, 100)
+    got = {r["null"]: r["iterations"] for r in resampling.null_summary(spark, sf_dir, 2).collect()}
+    assert got == {"distance": 2, "phase": 2, "station": 2}

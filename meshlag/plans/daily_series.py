@@ -1,4 +1,4 @@
-"""Daily series against external series: A10, A13-A16, J7, SP16-SP26, W2-W10, C21, C23."""
+"""Daily series against external series: A10, A13-A16, J7, SP16-SP20, SP22-SP26, W2-W10, C21, C23."""
 
 from __future__ import annotations
 

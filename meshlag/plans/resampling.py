@@ -1,4 +1,4 @@
-"""Leave-out, cross-validation, jackknife, bootstrap and nulls: R1-R20, N1-N9, C19, C26, C27."""
+"""Leave-out, cross-validation, jackknife, bootstrap and nulls: R1-R20, N1-N5, N7-N9, C19, C26, C27."""
 
 from __future__ import annotations
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from meshlag.llm.util import cut, whole_text
 
-#: Byte s of a term's two hash words draws subset s; level l keeps the terms whose lowest 2*l bits there are zero (1 in 4**l).
-SUBSETS, LEVELS = 16, 4
-#: A component is void when its subset keeps no term, or so many that any small edit would change it.
-MOST_TERMS = 4
+#: Bits s*16 to s*16+15 of a term's hash words draw subset s; a level keeps the terms whose lowest so many bits there are zero.
+SUBSETS, LEVEL_BITS = 16, (1, 4, 7, 10, 13)
+#: A component is void when its subset keeps no term.
 VOID = "-"
+#: Text that a range of ids holds, and the most ranges: the driver sees one id for each.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
+#: Terms that are broadcast at most (about 200 MB); a larger lexicon is joined by a shuffle.
+BROADCAST_TERMS = 4_000_000
 #: An entry of every lexicon and every document, so that a document without a lexicon term keeps its row.
 MARK = -1
 
@@ -21,31 +28,47 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def lexicon(docs: DataFrame, text: Column, rarest: float, commonest: float) -> DataFrame:
-    """(term): hashes of the terms whose share of documents lies in [rarest, commonest].
+def hashed_words(text: Column) -> Column:
+    """Hashes of the distinct words of a text."""
+    return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
+
+
+def lexicon(docs: DataFrame, text: Column, rows: int, rarest: float, commonest: float) -> DataFrame:
+    """(term): hashes of the terms whose share of the `rows` documents lies in [rarest, commonest].
 
     This is the band of inverse document frequency from ln(1/commonest) to ln(1/rarest). Counts cover every
     document. A term in the band is in at least `rarest` of all documents, so there are at most (mean number
     of distinct terms of a document) / rarest of them however many documents there are.
     """
-    n = docs.count()
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))).alias("term"))
+    terms = docs.select(F.explode(hashed_words(text)).alias("term"))
     counted = terms.where(F.col("term") != F.xxhash64(F.lit(""))).groupBy("term").agg(F.count("*").alias("df"))
-    return counted.where((F.col("df") >= max(2.0, rarest * n)) & (F.col("df") <= max(2.0, commonest * n))).select("term")
+    return counted.where((F.col("df") >= max(2.0, rarest * rows)) & (F.col("df") <= max(2.0, commonest * rows))).select("term")
+
+
+def drawn(subset: int, bits: int) -> Callable[[Column], Column]:
+    """Whether a term belongs to a subset: the lowest `bits` bits of its 16 there are zero."""
+    mask, word = ((1 << bits) - 1) << 16 * (subset % 4), subset // 4
+    mask -= (mask >> 63) << 64
+    return lambda t: (F.xxhash64(t, F.lit(word)) if word else t).bitwiseAND(F.lit(mask)) == 0
 
 
-def components(terms: Column, rest: Column) -> Column:
-    """Hashes of the sorted terms: of all of them (of `rest` if there are none), then of each subset."""
+def with_components(df: DataFrame, terms: str, rest: str, name: str) -> DataFrame:
+    """Adds the fingerprint `name`: a hash of all sorted terms (of `rest` if there are none), then of each subset at each level.
+
+    Whatever the length of a text, some level keeps about one to eight of its terms in a subset; hashes of
+    denser levels change with any edit, those of sparser ones are void. A level filters the one before.
+    """
     hashed = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x))), 16, "0")
-    drawn = lambda bits, second: lambda t: (F.xxhash64(t) if second else t).bitwiseAND(F.lit(bits)) == 0
     out = [F.when(F.size(terms) == 0, hashed(rest)).otherwise(hashed(terms))]
-    for s in range(SUBSETS):
-        for level in range(1, LEVELS + 1):
-            bits = ((1 << 2 * level) - 1) << (8 * (s % 8))
-            bits -= (bits >> 63) << 64
-            kept = F.filter(terms, drawn(bits, s >= 8))
-            out.append(F.when(F.size(kept).between(1, MOST_TERMS), F.substring(hashed(kept), 1, 8)).otherwise(VOID))
-    return F.array(*out)
+    last = dict.fromkeys(range(SUBSETS), terms)
+    made = []
+    for level, bits in enumerate(LEVEL_BITS):
+        new = {f"_{name}{level}_{s}": F.filter(last[s], drawn(s, bits)) for s in range(SUBSETS)}
+        df = df.withColumns(new)
+        last = dict(enumerate(new))
+        made += new
+    out += [F.when(F.size(c) == 0, VOID).otherwise(F.substring(hashed(c), 1, 8)) for c in made]
+    return df.withColumn(name, F.array(*out)).drop(*made, terms)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -55,59 +78,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(same / used)
 
 
-def _bucket(col: Column, starts: list[int], lo: int, hi: int) -> Column:
-    if hi - lo <= 1:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(col < F.lit(starts[mid]), _bucket(col, starts, lo, mid)).otherwise(_bucket(col, starts, mid, hi))
-
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """(_id, _text) dealt into contiguous ranges of the id, with a copy of the following range's first rows.
 
-def with_next(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
-    """`docs` dealt into contiguous ranges of the id, with a copy of the following range's first rows.
-
-    Adds _b (range), _copy (row borrowed from the range that follows) and _rid (row number for ties). Range
-    starts are ids of the table taken as quantiles, so a lead over _b ordered by (_copy, id, _rid) finds the
-    next document of every row without a global sort: the texts are moved once.
+    Adds _b (range), _copy (row borrowed from the range that follows) and _key, the place of a row: by id,
+    nulls last, then by a hash of the text, then by row number, so that rows which share an id or have none are
+    dealt like any other. Spark ranges the keys alone; the driver gets the first key of each range. Every row
+    then finds its range by binary search, and a lead over _b ordered by (_copy, _key) finds the next document
+    without a global sort: the texts are moved once. Rows equal to a range's first one in id and text are
+    copied, since any of them may be read first. `docs` must be a stored table: it is read more than once.
     """
-    found = docs.agg(F.min(id_col).alias("least"), F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts")).first()
-    starts = sorted({x for x in [found["least"], *(found["cuts"] or [])] if x is not None}) or [0]
-    n = len(starts)
-    col = F.col(id_col)
-    own = F.when(col.isNull(), F.lit(n - 1)).otherwise(_bucket(col, starts, 0, n))
-    at_start = F.coalesce(col.isin(starts), F.lit(False))
-    places = F.when(at_start, F.array(F.struct(own.alias("_b"), F.lit(False).alias("_copy")), F.struct(F.pmod(own - 1, F.lit(n)).alias("_b"), F.lit(True).alias("_copy")))).otherwise(F.array(F.struct(own.alias("_b"), F.lit(False).alias("_copy"))))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_at", F.explode(places)).select("*", "_at._b", "_at._copy").drop("_at")
+    key = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.xxhash64("_text").alias("h"), F.monotonically_increasing_id().alias("r"))
+    keyed = docs.withColumn("_key", key)
+    light = keyed.select("_key").repartitionByRange(ranges, "_key")
+    starts = [r["k"] for r in light.groupBy(F.spark_partition_id().alias("p")).agg(F.min("_key").alias("k")).orderBy("k").collect()]
+    kind = light.schema["_key"].dataType
+    table = F.from_json(F.lit(json.dumps([s.asDict() for s in starts])), ArrayType(kind))
+    found = keyed.withColumn("_b", F.lit(0))
+    for step in (1 << k for k in reversed(range(max(len(starts) - 1, 0).bit_length()))):
+        found = found.withColumn("_b", F.when(F.col("_key") >= F.get(table, F.col("_b") + step), F.col("_b") + step).otherwise(F.col("_b")))
+    first = F.get(table, F.col("_b"))
+    at_start = F.coalesce(F.col("_key.i").eqNullSafe(first["i"]) & (F.col("_key.h") == first["h"]), F.lit(False))
+    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("c"))
+    borrowed = F.struct(F.pmod(F.col("_b") - 1, F.lit(max(len(starts), 1))).alias("b"), F.lit(True).alias("c"))
+    dealt = found.withColumn("_at", F.explode(F.when(at_start, F.array(own, borrowed)).otherwise(F.array(own))))
+    return dealt.select("_key", "_text", F.col("_at.b").alias("_b"), F.col("_at.c").alias("_copy"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rarest: float = 0.001, commonest: float = 0.05, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness.
 
     The edited text: the last floor(n/4) code points of n are replaced by the first as many (or all) of the
-    next document by ascending id, for the last the first. Rows that share an id follow each other in stored
-    order; rows with a null id come last. A null text counts as empty. A text without a term in the band is
-    fingerprinted by the whole lower-cased text. Equal texts have equal fingerprints; two empty texts too. An
-    empty table gives an empty table, and other columns of `docs` are left out.
+    next document by ascending id, for the last the first. Rows that share an id follow each other by a hash
+    of their texts; rows with a null id come last. A null text counts as empty. A text without a term in the
+    band is fingerprinted by the whole lower-cased text. Equal texts have equal fingerprints; two empty texts
+    too. An empty table gives an empty table, and other columns of `docs` are left out, whatever their names.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("_id"), whole_text(text).alias("_text"))
-    buckets = buckets or max(8, min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    terms = cut(lexicon(docs, F.col("_text"), rarest, commonest).unionByName(spark.range(1).select(F.lit(MARK).cast("long").alias("term"))))
-
-    order = Window.partitionBy("_b").orderBy("_copy", F.col("_id").asc_nulls_last(), "_rid")
-    placed = with_next(docs, "_id", buckets).repartition("_b").withColumn("_next", F.coalesce(F.lead("_text").over(order), F.lit("")))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("_text").cast("long")).alias("bytes")).first()
+    spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = buckets or min(MOST_RANGES, max(8, spread, (size["bytes"] or 0) // RANGE_BYTES))
+    terms = cut(lexicon(docs, F.col("_text"), size["rows"], rarest, commonest).unionByName(spark.range(1).select(F.lit(MARK).cast("long").alias("term"))))
+    small = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+    order = Window.partitionBy("_b").orderBy("_copy", "_key")
+    placed = with_next(docs, ranges).repartition("_b").withColumn("_next", F.coalesce(F.lead("_text").over(order), F.lit("")))
     n = F.char_length("_text").cast("long")
     edited = F.concat(F.expr("substring(_text, 1, cast(char_length(_text) - floor(char_length(_text) / 4) as int))"), F.expr("substring(_next, 1, cast(floor(char_length(_text) / 4) as int))"))
-    both = placed.withColumn("_edited", edited).select("_b", "_rid", "_copy", "_id", n.alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("_text")).alias("_rest"), F.xxhash64(F.lower("_edited")).alias("_edited_rest"), "_text", "_edited")
-    sides = both.select("_b", "_rid", "_copy", "_id", "n_chars", "edited_sha256", "_rest", "_edited_rest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("t")))).alias("_s"))
-    tokens = sides.select("_b", "_rid", "_copy", "_id", "n_chars", "edited_sha256", "_rest", "_edited_rest", F.col("_s.side").alias("_side"), F.explode(F.concat(words(F.col("_s.t")), F.array(F.lit(None).cast("string")))).alias("_w"))
-    tokens = tokens.withColumn("term", F.when(F.col("_w").isNull(), F.lit(MARK).cast("long")).otherwise(F.xxhash64("_w"))).drop("_w")
+    kept = [n.alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("_text")).alias("_rest"), F.xxhash64(F.lower("_edited")).alias("_edited_rest")]
+    both = placed.withColumn("_edited", edited).select("_b", "_key", "_copy", *kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("t")))).alias("_s"))
+    marked = F.concat(hashed_words(F.col("_s.t")), F.array(F.lit(MARK).cast("long")))
+    names = ["n_chars", "edited_sha256", "_rest", "_edited_rest"]
+    tokens = both.select("_b", "_key", "_copy", *names, F.col("_s.side").alias("_side"), F.explode(marked).alias("term"))
     mine = lambda side: F.array_sort(F.collect_set(F.when((F.col("_side") == side) & (F.col("term") != MARK), F.col("term"))))
-    first = [F.first(c).alias(c) for c in ("_id", "n_chars", "edited_sha256", "_rest", "_edited_rest")]
     # grouping starts with _b, by which rows already lie together: no second shuffle
-    grouped = tokens.join(F.broadcast(terms), "term").groupBy("_b", "_rid", "_copy").agg(*first, mine(0).alias("_terms"), mine(1).alias("_edited_terms"))
-    made = grouped.select("_b", "_rid", "_copy", "_id", "n_chars", "edited_sha256", components(F.col("_terms"), F.col("_rest")).alias("_fp"), components(F.col("_edited_terms"), F.col("_edited_rest")).alias("_efp"))
+    grouped = tokens.join(small, "term").groupBy("_b", "_key", "_copy").agg(*[F.first(c).alias(c) for c in names], mine(0).alias("_terms"), mine(1).alias("_edited_terms"))
+    made = with_components(with_components(grouped, "_terms", "_rest", "_fp"), "_edited_terms", "_edited_rest", "_efp")
     made = made.withColumn("_nfp", F.lead("_fp").over(order)).where(~F.col("_copy"))
     near_next = F.when(F.col("_nfp").isNull(), F.lit(1.0)).otherwise(likeness(F.col("_fp"), F.col("_nfp")))
-    return made.select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", F.concat_ws(".", "_fp").alias("fingerprint"), F.concat_ws(".", "_efp").alias("edited_fingerprint"), likeness(F.col("_fp"), F.col("_efp")).cast("double").alias("near_edited"), near_next.cast("double").alias("near_next"))
+    return made.select(F.col("_key.i").alias(id_col), "n_chars", "edited_sha256", F.concat_ws(".", "_fp").alias("fingerprint"), F.concat_ws(".", "_efp").alias("edited_fingerprint"), likeness(F.col("_fp"), F.col("_efp")).cast("double").alias("near_edited"), near_next.cast("double").alias("near_next"))

@@ -11,6 +11,10 @@ from meshlag.llm.util import cut, whole_text
 
 #: Positions of the ring. Loads are summed by position, so what the plan looks at never exceeds this.
 POSITIONS = 1 << 16
+#: Share of a mean shard that a position holds at most before its rows are dealt in parts.
+SPLIT = 1 / 8
+#: Rows of a position that are numbered in one task.
+PART_ROWS = 1 << 20
 
 
 def ring(spark: SparkSession, shards: int, virtual: int) -> list[tuple[int, int]]:
@@ -20,17 +24,17 @@ def ring(spark: SparkSession, shards: int, virtual: int) -> list[tuple[int, int]
     return sorted((r["at"], r["shard"]) for r in nodes.select(at.alias("at"), F.col("shard").cast("int")).collect())
 
 
-def walk(nodes: list[tuple[int, int]], loads: list[tuple[int, int]], shards: int, slack: float) -> dict[int, int]:
-    """Position -> shard. A position goes to the first virtual node clockwise whose shard has room.
+def walk(nodes: list[tuple[int, int]], loads: list[tuple[int, int, int]], shards: int, slack: float) -> dict[tuple[int, int], int]:
+    """(position, part) -> shard. A unit goes to the first virtual node clockwise whose shard has room.
 
-    Room ends at (1 + slack) times the mean load. Heavy positions choose first, so late ones are small and
-    still fit; one that fits nowhere goes to the least loaded shard. Most positions stay where plain
-    consistent hashing puts them: only what overflows moves on.
+    `loads` holds (position, part, load). Room ends at (1 + slack) times the mean load. Heavy units choose
+    first, so late ones are small and still fit; one that fits nowhere goes to the least loaded shard. Most
+    units stay where plain consistent hashing puts them: only what overflows moves on.
     """
-    room = (1 + slack) * sum(x for _, x in loads) / shards
+    room = (1 + slack) * sum(x for *_, x in loads) / shards
     starts = [p for p, _ in nodes]
     used, out = [0] * shards, {}
-    for position, load in sorted(loads, key=lambda x: (-x[1], x[0])):
+    for position, part, load in sorted(loads, key=lambda x: (-x[2], x[:2])):
         k = bisect.bisect_left(starts, position)
         tried: set[int] = set()
         for step in range(len(nodes)):
@@ -42,7 +46,7 @@ def walk(nodes: list[tuple[int, int]], loads: list[tuple[int, int]], shards: int
                 if len(tried) == shards:
                     shard = min(range(shards), key=lambda s: (used[s], s))
                     break
-        out[position] = shard
+        out[position, part] = shard
         used[shard] += load
     return out
 
@@ -50,29 +54,43 @@ def walk(nodes: list[tuple[int, int]], loads: list[tuple[int, int]], shards: int
 def assign_shards(docs: DataFrame, shards: int = 16, virtual: int = 64, slack: float = 0.002, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns id, size, text_crc32, law, shard, slot and grown_shard.
 
-    Size is the UTF-8 bytes of the text (null: none) plus 1. The law is `bytes`: no shard exceeds the mean
-    by more than `slack`, except by one position's load where nothing else is left. Slots number a shard's
-    rows from 0 without gaps: the counts of earlier positions plus the rank inside the position, so no
-    window spans a shard. Rows that share an id share a position, hence a shard; null ids too. Equal texts
-    are not kept together. An empty table gives an empty table; other columns are left out.
+    Size is the UTF-8 bytes of the text (null: none) plus 1. The law is `bytes`: no shard exceeds the mean by
+    more than `slack`, except by one unit's load where nothing else is left. Keys are digests of the text, so
+    equal texts share a position of the ring and a shard. Only a position that holds more than SPLIT of a mean
+    shard, or over PART_ROWS rows, is dealt in parts, whose overflow goes on clockwise: a group of copies with
+    a third of all rows can't fit one shard. Null and repeated ids change
+    nothing. Slots number a shard's rows from 0 without gaps: the counts of earlier units plus the rank inside
+    the unit, so no window spans a shard. `grown_shard` is null under this law. A null text counts as empty.
+    An empty table gives an empty table; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        (F.octet_length(whole_text(text)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(whole_text(text), "utf-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(POSITIONS)).cast("int").alias("position"),
+    body = whole_text(text)
+    rows = cut(
+        docs.select(
+            F.col(id_col).alias("id"),
+            (F.octet_length(body) + 1).cast("long").alias("size"),
+            F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
+            F.pmod(F.xxhash64(body), F.lit(POSITIONS)).cast("int").alias("position"),
+            F.monotonically_increasing_id().alias("row"),
+        )
     )
-    rows = cut(rows)
-    totals = rows.groupBy("position").agg(F.sum("size").alias("load"), F.count("*").alias("n")).collect()  # at most POSITIONS rows
-    place = walk(ring(spark, shards, virtual), [(r["position"], r["load"]) for r in totals], shards, slack)
-    counts, base = [0] * shards, {}
-    for r in sorted(totals, key=lambda r: r["position"]):
-        shard = place[r["position"]]
-        base[r["position"]] = counts[shard]
-        counts[shard] += r["n"]
-    plan = spark.createDataFrame([(p, s, base[p]) for p, s in place.items()], "position int, shard int, base long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("position").orderBy("id", "size", "text_crc32")))
-    return ranked.join(F.broadcast(plan), "position").select(
+    whole = rows.agg(F.sum("size").alias("load")).first()["load"] or 0
+    most = max(1.0, SPLIT * whole / shards)
+    by_position = rows.groupBy("position").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
+    parts = F.greatest(F.ceil(F.col("load") / most), F.ceil(F.col("n") / PART_ROWS)).cast("int")
+    heavy = by_position.select("position", parts.alias("parts")).where("parts > 1")  # at most POSITIONS rows
+    rows = rows.join(F.broadcast(heavy), "position", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int"))
+    rows = cut(rows.select("id", "size", "text_crc32", "position", "part", "row"))
+    # at most POSITIONS + shards / SPLIT + rows / PART_ROWS units
+    units = sorted(tuple(r) for r in rows.groupBy("position", "part").agg(F.sum("size").alias("load"), F.count("*").alias("n")).collect())
+    place = walk(ring(spark, shards, virtual), [u[:3] for u in units], shards, slack)
+    counts, plan = [0] * shards, []
+    for position, part, _, n in units:
+        shard = place[position, part]
+        plan.append((position, part, shard, counts[shard]))
+        counts[shard] += n
+    plan = spark.createDataFrame(plan, "position int, part int, shard int, base long")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("position", "part").orderBy("id", "size", "text_crc32", "row")))
+    return ranked.join(F.broadcast(plan), ["position", "part"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -102,8 +102,10 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, default:
     """Returns id, host, path, rule (the longest that fits, else null) and verdict (the rule's, else `default`).
 
     A rule fits its host and all subdomains if the path starts with the rule's path. A url without :// or a
-    null one has empty host and path, and the default verdict. Rows that share an id keep a row each; an
-    empty table gives an empty table, an empty rule list the default everywhere; other columns are left out.
+    null one has empty host and path, and the default verdict. A host is probed by as many of its last labels
+    as the longest rule has, so very long urls cost their length once. Rows that share an id keep a row each;
+    an empty table gives an empty table, an empty rule list the default everywhere; other columns are left
+    out, whatever their names.
     """
     spark = pages.sparkSession
     rules = {"".join(split_rule(r)): v for r, v in (RULES if rules is None else rules).items()}
@@ -112,6 +114,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, default:
     small_batches(spark)
     names = publish(spark, rules)
     path_lengths = sorted({len(split_rule(r)[1]) for r in rules})
+    deepest = max((split_rule(r)[0].count(".") + 1 for r in rules), default=0)
 
     @F.arrow_udf("struct<rule string, block boolean>")
     def judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -119,8 +122,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, default:
         for i, (host, path) in enumerate(zip(hosts.to_pylist(), paths.to_pylist(), strict=True)):
             if not host:
                 continue
-            labels = host.split(".")
-            for k in range(len(labels)):
+            labels = host.rsplit(".", deepest)  # no rule has more labels, so no longer suffix is made
+            for k in range(max(0, len(labels) - deepest), len(labels)):
                 suffix = ".".join(labels[k:])
                 for n in path_lengths:
                     if n <= len(path):

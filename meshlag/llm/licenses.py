@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlag.llm.util import whole_text
+from meshlag.llm.util import cut, whole_text
 
 #: Spellings that licence matching treats as equal (left becomes right).
 EQUIVALENT = [
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
-    ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisation", "capitalization"), ("catalogue", "catalog"), ("favour", "favor"), ("fulfil ", "fulfill "),
-    ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognised", "recognized"), ("sub license", "sublicense"), ("whilst", "while"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
+    ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisation", "capitalization"), ("catalogue", "catalog"), ("favour", "favor"), ("fulfil", "fulfill"),
+    ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognised", "recognized"), ("sub license", "sublicense"), ("whilst", "while"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("merchantibility", "merchantability"),
 ]
 
 #: Well-known short licence texts and notices.
@@ -36,22 +36,73 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
 }
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n\p{L}]*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: Digests of the canonical texts of longer public licences, as the distributions of free software carry them.
+DIGESTS = {
+    "Apache-2.0": "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
+#: A line with a copyright mark and a year, a sign or a name, or one that reserves all rights.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n\p{L}]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)\s*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: Title lines of the short licences at the head of a text.
+TITLE_LINE = r"\A[^\p{L}\p{N}]*(?:the )?(?:(?:mit|isc|zlib|bsd zero clause|zero-clause bsd|simplified bsd|new bsd|modified bsd|bsd [23]-clause(?: \"?(?:simplified|new|revised)\"?(?: or \"?revised\"?)?)?) licen[cs]e)(?: \((?:mit|isc|zlib|0bsd)\))?[^\p{L}\p{N}]*\n"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, letters and digits only with single blanks, one spelling of each word."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    """Lower case, no copyright lines or titles, letters and digits only with single blanks, one spelling of each word."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), TITLE_LINE, ""), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")  # two blanks: every word has its own on either side
+    out = F.concat(F.lit(" "), out, F.lit(" "))
     for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -59,26 +110,30 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license), a row for each known text. Texts that are equal once normalised keep the first name."""
-    named = spark.createDataFrame(list((texts or KNOWN).items()), "license string, body string")
-    return named.select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license), a row for each known text. Texts that are equal once normalised keep the first name.
+
+    Without `texts`, the built-in ones: KNOWN, hashed here, and DIGESTS.
+    """
+    named = spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "license string, body string").select(digest(F.col("body")).alias("digest"), "license")
+    if texts is None:
+        named = named.unionByName(spark.createDataFrame([(d, n) for n, d in DIGESTS.items()], "digest string, license string"))
+    return named.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns id, digest, license (null: the text is no known licence) and line_licenses.
 
-    The digest is of the canonical whole text and hash-joined with the known digests; that table is broadcast
-    by Spark only while it is small, else both sides are shuffled. `line_licenses` lists, sorted, the built-in
-    texts that make up a whole line of the document. A null text counts as empty; empty and blank texts share
-    the digest of the empty text, which no licence has. Rows are kept one for one, repeats too; an empty
-    table gives an empty table; other columns are left out.
+    The digest is of the canonical whole text and hash-joined with the `known` digests (digest, license); that
+    table is broadcast by Spark only while it is small, else both sides are shuffled. `line_licenses` lists,
+    sorted, the known texts that make up a whole line which speaks of a licence or permission: such lines'
+    digests are joined too, in rows of a few bytes. A null text counts as empty; empty and blank texts share
+    the digest of the empty text, which no licence has. Rows are kept one for one, repeats and rows without an
+    id too; an empty table gives an empty table; other columns are left out, whatever their names.
     """
-    spark = docs.sparkSession
-    builtin = known_digests(spark)
-    known = builtin if known is None else known
-    by_digest = {r["digest"]: r["license"] for r in builtin.collect()}  # the built-in list, fixed
-    names = F.create_map(*[F.lit(x) for kv in by_digest.items() for x in kv])
+    known = (known_digests(docs.sparkSession) if known is None else known).select("digest", "license")
     lines = F.filter(F.split(F.col("body"), "\n"), lambda x: x.rlike("(?i)licen[cs]e|permission"))
-    found = F.filter(F.transform(lines, lambda x: F.element_at(names, digest(x))), lambda x: x.isNotNull())
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("body")).select("id", digest(F.col("body")).alias("digest"), F.array_sort(F.array_distinct(found)).alias("line_licenses"))
-    return rows.join(known, "digest", "left").select(F.col("id").alias(id_col), "digest", "license", "line_licenses")
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("body"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(rows.select("id", "row", digest(F.col("body")).alias("digest"), F.array_distinct(F.transform(lines, digest)).alias("lines")))
+    found = rows.where(F.size("lines") > 0).select("row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
+    named = rows.select("id", "row", "digest").join(known, "digest", "left").join(found, "row", "left")
+    return named.select(F.col("id").alias(id_col), "digest", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))

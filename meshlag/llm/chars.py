@@ -43,15 +43,26 @@ class Batch:
             return np.zeros(0, np.uint64)
         return (self.sums[n : n + count] - self.sums[:count]) * powers(INVERSE, count) + np.uint64(n)
 
-    def spans(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the runs where `inside` holds."""
+    def spans(self, inside: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of the runs where `inside` holds; a character that is `alone` is a run of its own."""
         edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if alone is None or not alone.any():
+            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        else:
+            split = np.concatenate([alone & inside, [False]])
+            split[1:] |= split[:-1]
+            new = split & np.concatenate([inside, [False]])
+            starts = np.flatnonzero((edge == 1) | new)
+            ends = np.flatnonzero((edge == -1) | (new & (edge != 1)))
         return starts, ends, (self.sums[ends] - self.sums[starts]) * powers(INVERSE, len(self.codes) + 1)[starts]
 
 
-def _table(value) -> np.ndarray:
-    return np.array([value(chr(i)) for i in range(0x10000)], np.uint32)
+#: Code points that the tables hold; no letter or digit lies above.
+POINTS = 0x33480
+
+
+def _table(value, points: int = POINTS) -> np.ndarray:
+    return np.array([value(chr(i)) for i in range(points)], np.uint32)
 
 
 _maps: dict[str, np.ndarray] = {}
@@ -73,6 +84,19 @@ def words_only() -> np.ndarray:
     return _maps["words"]
 
 
+#: Unicode blocks of scripts that put no blanks between words (Thai and Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x33479))
+
+
+def unspaced() -> np.ndarray:
+    """Whether a code point belongs to a script without blanks between words."""
+    if "unspaced" not in _maps:
+        _maps["unspaced"] = np.zeros(POINTS, bool)
+        for a, b in UNSPACED:
+            _maps["unspaced"][a : b + 1] = True
+    return _maps["unspaced"]
+
+
 #: Classes of characters whose shares describe a text.
 CLASSES = ("other", "lower", "upper", "digit", "blank", "break", "stop", "comma", "bang", "bar", "mark", "quote", "dash", "symbol")
 
@@ -86,7 +110,7 @@ def classes() -> np.ndarray:
             name = single.get(c) or ("upper" if kind in ("Lu", "Lt") else "lower" if kind[0] in "LM" else "digit" if kind[0] == "N" else "blank" if c.isspace() else "symbol" if kind[0] in "PS" else "other")
             return CLASSES.index(name)
 
-        _maps["classes"] = _table(of)
+        _maps["classes"] = _table(of, 0x10000)
     return _maps["classes"]
 
 

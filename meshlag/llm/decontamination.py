@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlag.llm.chars import Batch, letters
-from meshlag.llm.util import small_batches, whole_text
+from meshlag.llm.chars import POINTS, Batch, unspaced, words_only
+from meshlag.llm.util import cut, small_batches, whole_text
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -25,32 +25,41 @@ STEPS = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased, as `letters` maps them."""
-    table = letters()
+    """Runs of letters and digits, lower-cased, as `words_only` maps them; of unspaced scripts each character."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    mapped = table[np.minimum(codes, len(table) - 1)]
-    return np.where(mapped == 0, 32, mapped).astype("<u4").tobytes().decode("utf-32-le").split()
+    at = np.minimum(codes, POINTS - 1)
+    mapped = words_only()[at]
+    mapped = np.where(mapped == 0, 32, mapped).astype("<u4")
+    alone = unspaced()[at]
+    if alone.any():
+        mapped = np.insert(np.insert(mapped, np.flatnonzero(alone) + 1, 32), np.flatnonzero(alone) + np.arange(alone.sum()), 32)
+    return [w for w in mapped.tobytes().decode("utf-32-le", "surrogatepass").split(" ") if w]
 
 
-def shingles_of(text: str) -> set[tuple[str, ...]]:
+def shingles_of(text: str, width: int = WIDTH) -> set[tuple[str, ...]]:
     w = words_of(text)
-    return {tuple(w[i : i + WIDTH]) for i in range(len(w) - WIDTH + 1)}
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word hash) in order."""
+    batch = Batch(texts, words_only())
+    alone = unspaced()[np.minimum(batch.raw, POINTS - 1)]
+    starts, _, words = batch.spans((batch.codes != 32) & (batch.codes != 0), alone)
+    return batch.owner[starts].astype(np.int64), words
+
+
+def _shingles(owner: np.ndarray, words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(text, shingle hash) in order, from the word hashes of the batch."""
-    batch = Batch(texts, letters())
-    starts, _, words = batch.spans((batch.codes != 32) & (batch.codes != 0))
-    owner = batch.owner[starts]
-    n = len(words) - WIDTH + 1
+    n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for k in range(WIDTH):
+    for k in range(width):
         out = (out ^ words[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
-    inside = owner[:n] == owner[WIDTH - 1 :]
-    return owner[:n][inside].astype(np.int64), out[inside]
+    inside = owner[:n] == owner[width - 1 :]
+    return owner[:n][inside], out[inside]
 
 
 class Index:
@@ -60,17 +69,30 @@ class Index:
     windows of 1.5 s shingles at steps of s/2: every run of s shingles lies in one window, so a short item is
     compared with a window about its own size however long the document is, at a Jaccard similarity of 0.25
     or more when 0.8 of the item is there.
+
+    An item of fewer than WIDTH words is one shingle of all its words, and a document is searched for runs of
+    as many words.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: s for i, t in items if (s := shingles_of(t))}
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids = [i for i, _ in items]
+        texts = [t or "" for _, t in items]
+        lengths = [len(words_of(t)) for t in texts]
+        self.widths = [min(n, WIDTH) for n in lengths]
+        self.items = {k: shingles_of(t, w) for k, (t, w) in enumerate(zip(texts, self.widths, strict=True)) if w}
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sized: dict[int, list[int]] = {}
-        for i, s in self.items.items():
-            sized.setdefault(max(2, 1 << (len(s) - 1).bit_length()), []).append(i)
-        texts = dict(items)
+        for k, s in self.items.items():
+            if self.widths[k] == WIDTH:
+                sized.setdefault(max(2, 1 << (len(s) - 1).bit_length()), []).append(k)
+        for width in sorted({w for w in self.widths if 0 < w < WIDTH}):
+            members = np.array([k for k, w in enumerate(self.widths) if w == width])
+            _, hashes = _shingles(*_words([texts[k] for k in members]), width)
+            order = np.argsort(hashes, kind="stable")
+            self.short[width] = hashes[order], members[order]
         for size, members in sized.items():
-            owner, hashes = _hashed([texts[i] for i in members])
+            owner, hashes = _shingles(*_words([texts[k] for k in members]))
             at = np.searchsorted(owner, np.arange(len(members)))
             self.classes[size] = []
             for f, c in zip(FACTORS, STEPS, strict=True):
@@ -80,9 +102,13 @@ class Index:
 
     def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
         """(text, item) pairs that agree in some hash function's least value over some window."""
-        owner, hashes = _hashed(texts)
+        of_word, words = _words(texts)
         found: set[tuple[int, int]] = set()
-        if not len(owner):
+        for width, (values, members) in self.short.items():
+            owner, hashes = _shingles(of_word, words, width)
+            self._meet(values, members, owner, hashes, found)
+        owner, hashes = _shingles(of_word, words)
+        if not len(owner) or not self.classes:
             return found
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         position = np.arange(len(owner)) - first[owner]
@@ -100,34 +126,40 @@ class Index:
                 for step in (1, 2):
                     same = of[step:] == of[:-step]
                     window[:-step][same] = np.minimum(window[:-step][same], least[step:][same])
-                values, members = self.classes[size][k]
-                lo = np.searchsorted(values, window)
-                for w in np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == window):
-                    j = lo[w]
-                    while j < len(values) and values[j] == window[w]:
-                        found.add((int(of[w]), int(members[j])))
-                        j += 1
+                self._meet(*self.classes[size][k], of, window, found)
         return found
 
+    @staticmethod
+    def _meet(values: np.ndarray, members: np.ndarray, owner: np.ndarray, hashes: np.ndarray, found: set[tuple[int, int]]) -> None:
+        """Adds (text, item) for every text hash among the sorted item `values`."""
+        lo = np.searchsorted(values, hashes)
+        for w in np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == hashes):
+            j = lo[w]
+            while j < len(values) and values[j] == hashes[w]:
+                found.add((int(owner[w]), int(members[j])))
+                j += 1
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, shared shingles, shingles of the item) of the candidates that hold."""
         out, shingles = [], {}
-        for t, i in sorted(self.candidates(texts)):
-            if t not in shingles:
-                shingles[t] = shingles_of(texts[t])
-            shared = len(self.items[i] & shingles[t])
-            if shared >= THRESHOLD * len(self.items[i]):
-                out.append((t, i, shared, len(self.items[i])))
+        for t, k in sorted(self.candidates(texts)):
+            place = t, self.widths[k]
+            if place not in shingles:
+                shingles[place] = shingles_of(texts[t], self.widths[k])
+            shared = len(self.items[k] & shingles[place])
+            if shared >= THRESHOLD * len(self.items[k]):
+                out.append((t, k, shared, len(self.items[k])))
         return out
 
 
 def indexes(benchmark: DataFrame, item_col: str) -> Iterator[Index]:
-    """An index for each block of at most BLOCK_ITEMS items, by ascending id."""
-    named = benchmark.where(F.col(item_col).isNotNull()).groupBy(F.col(item_col).cast("long").alias("item")).agg(F.concat_ws("\n", F.array_sort(F.collect_set("text"))).alias("body"))
+    """An index for each block of at most BLOCK_ITEMS distinct items (id and text), in their order."""
+    named = cut(benchmark.select(F.struct(F.col(item_col).cast("long").alias("item"), F.col("text").alias("body")).alias("k")).where("k.body is not null").distinct())
     last = None
-    while part := (named if last is None else named.where(F.col("item") > last)).orderBy("item").limit(BLOCK_ITEMS).collect():
-        last = part[-1]["item"]
-        index = Index([(r["item"], r["body"]) for r in part])
+    while part := (named if last is None else named.where(F.col("k") > last)).orderBy("k").limit(BLOCK_ITEMS).collect():
+        end = part[-1]["k"]
+        last = F.struct(F.lit(end["item"]).cast("long").alias("item"), F.lit(end["body"]).alias("body"))
+        index = Index([tuple(r["k"]) for r in part])
         if index.items:
             yield index
 
@@ -137,9 +169,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Documents are searched where they are read; nothing is shuffled. Items go to the executors in blocks of
     BLOCK_ITEMS, one pass over the documents each, so the broadcast is bounded. Shingles are five words of
-    letters in lower case. Null, empty and shorter texts hold no shingle: such documents are clean and such
-    items match nothing. Items that share an id are joined into one text. Repeated rows are judged one by
-    one. Empty tables give an empty table; other columns are left out.
+    letters and digits in lower case; in scripts without blanks each character is a word. An item of fewer
+    words is one shingle. Null and empty texts hold no shingle: such documents are clean and such items match
+    nothing. Texts that share an item id are judged one by one, each with a row of its own; items without an
+    id are searched too. Repeated document rows are judged one by one. Empty tables give an empty table; other
+    columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -158,14 +192,14 @@ def _searcher(shared, schema: str):
         for batch in batches:
             found = shared.value.matches(batch.column(1).to_pylist())
             ids = batch.column(0).to_pylist()
-            columns = [[ids[t] for t, *_ in found], [i for _, i, *_ in found], [s for _, _, s, _ in found], [n for *_, n in found], [s / n for *_, s, n in found]]
+            columns = [[ids[t] for t, *_ in found], [shared.value.ids[k] for _, k, *_ in found], [s for _, _, s, _ in found], [n for *_, n in found], [s / n for *_, s, n in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names)
 
     return search
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without those that hold an item, judged where they are read; all columns as they were."""
+    """`docs` without those that hold an item, judged where they are read; all columns as they were, whatever their names."""
     spark = docs.sparkSession
     small_batches(spark)
     for index in indexes(benchmark, "item_id"):

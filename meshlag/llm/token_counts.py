@@ -102,7 +102,7 @@ def frequent_lengths(docs: DataFrame, text: Column, model_file: str, sample_rows
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to `docs`; other columns stay as they are.
 
-    Whole texts, as the library counts them without begin or end ids. A null or empty text has 0 bytes and
+    A column of `docs` with one of these names is replaced. Whole texts, as the library counts them without begin or end ids. A null or empty text has 0 bytes and
     0 tokens. Texts of any length go through in pieces of a pre-token; an unbroken run of characters is one
     pre-token and is encoded whole. Repeated rows are counted one by one. An empty table gives an empty table.
     """

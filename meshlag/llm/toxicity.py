@@ -8,15 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlag.llm.chars import Batch, letters
 from meshlag.llm.util import cut, fold, labelled_sample, small_batches, whole_text
 
 ORDERS = (5, 7, 9)
-#: Labelled documents that training reads at most, features that are kept, documents a feature must be in.
+#: Labelled documents that training reads at most, features that are kept, toxic documents a feature must be in.
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 12_000, 8_000, 5
+#: N-grams that are counted in both classes at most: those in the most toxic documents.
+CANDIDATES = 1_000_000
 SLOT_BITS = 20
 
 
@@ -93,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled documents outside the held-out fold, whole texts.
 
     Counting and matching run on the executors. The driver gets the candidate n-grams of those documents (in
-    LEAST_DOCS toxic ones at least) with their counts, then the chosen FEATURES that each document holds; all
-    is bounded by `rows`. Without both classes the model is the labelled share (0.5 without labels) for every text.
+    LEAST_DOCS toxic ones at least, CANDIDATES at most) with their counts, then the chosen FEATURES that each
+    document holds; all is bounded whatever the texts' length. Without both classes the model is the labelled share (0.5 without labels) for every text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -104,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not ones or not zeros:
         share = float(np.clip(ones / (ones + zeros), 0.01, 0.99)) if ones + zeros else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    found = sample.where("y = 1").select("text").mapInArrow(_document_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    found = sample.where("y = 1").select("text").mapInArrow(_document_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "gram").limit(CANDIDATES)
     grams = np.sort(np.asarray(found.select("gram").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
     candidates = spark.sparkContext.broadcast(Model(grams, np.zeros(0), 0.0))
 
@@ -137,13 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(y, owner, pc.list_flatten(held.column("f")).to_numpy(), grams, ratio)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
-    """Adds held_out, score (0 to 1) and predicted (1 if score >= threshold) to `docs`; other columns stay.
-
-    Only texts are scored; ids choose the held-out fold and nothing else. Null and empty texts get the
-    score of a text without features. Repeated rows get equal scores. Texts of any length are read whole.
-    An empty table gives an empty table. See `train` for what is learned.
-    """
+def toxicity_of(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> Column:
+    """The score (0 to 1) of a row of `docs`, by a model trained on its labelled rows."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.withColumn("text", F.col(text)) if text != "text" else docs, labels, rows))
 
@@ -151,4 +148,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, t
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(texts.to_pylist()), pa.float64())
 
-    return docs.withColumns({"held_out": fold("doc_id") == 0, "score": score(whole_text(text))}).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(whole_text(text))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Adds held_out, score (0 to 1) and predicted (1 if score >= threshold) to `docs`; other columns stay.
+
+    A column of `docs` with one of these names is replaced. Only texts are scored; ids choose the held-out
+    fold and nothing else. Null and empty texts get the score of a text without features. Repeated rows get
+    equal scores. Texts of any length are read whole. An empty table gives an empty table. See `train` for
+    what is learned.
+    """
+    return docs.withColumns({"held_out": fold("doc_id") == 0, "score": toxicity_of(docs, labels, text, rows)}).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,12 +21,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Uses the checkpoint folder that the session names; a temporary one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Where none is set, a temporary one serves a local master only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,7 +59,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """At most `rows` labelled documents (text, y) outside the held-out fold.
 
     The ids are picked by hash order, so the pick neither follows the storage order nor a source. The id
-    list is bounded by `rows` and therefore broadcast; the documents are scanned once and not shuffled.
+    list is bounded by `rows` and therefore broadcast; the documents are scanned once, and only the picked
+    ones are shuffled. Of documents that share an id, the first text in order stands for all.
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
@@ -59,4 +69,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+    found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")

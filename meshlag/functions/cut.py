@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of a table that is sent whole to every executor at most, a few hundred bytes each.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast when it is counted to hold at most SMALL_ROWS rows; beyond, Spark shuffles the join."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder: lost executors cost a reread, and lineage ends here."""
     shared_folder(df.sparkSession)

@@ -1,11 +1,12 @@
 """Leave-out, cross-validation, bootstrap and permutation over mergeable bin states.
 
-Bin sums are additive, so leaving rows out is a subtraction: one scan feeds every refit.
+Bin sums are additive, so leaving rows out is a subtraction: the sums of the parts, taken in one scan and
+written once, give the totals and every refit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlag.functions.bins import accumulate
@@ -18,13 +19,17 @@ def state_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return accumulate(pairs, keys)
 
 
-def leave_out(totals: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+def leave_out(parts: DataFrame, part: str, shared: int = 1, names: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """(part, bin, state): the totals less each part's own contribution, for every part and bin.
 
-    `totals` has a row for each bin and `parts` one for each (part, bin); both are small.
+    `parts` is a stored table (see `cut`) with a row for each (part, bin). Every fact lies in `shared` parts (a
+    pair touches two stations), so the totals are the sums over the parts divided by that, unless `totals`
+    (bin, state) are given. `names` lists the parts, where some may hold no fact.
     """
-    names = parts.select(part).distinct()
-    grid = names.join(F.broadcast(totals.select("bin", *[F.col(c).alias(f"t_{c}") for c in STATE])), F.lit(True))
+    names = parts.select(part).distinct() if names is None else names
+    totals = parts if totals is None else totals
+    sums = [(F.sum(c) / shared).alias(f"t_{c}") if c != "n" else (F.sum(c) / shared).cast("long").alias("t_n") for c in STATE]
+    grid = names.join(F.broadcast(totals.groupBy("bin").agg(*sums)), F.lit(True))  # one row a bin
     own = parts.select(part, "bin", *[F.col(c).alias(f"p_{c}") for c in STATE])
     out = grid.join(own, [part, "bin"], "left")
     return out.select(part, "bin", *[(F.col(f"t_{c}") - F.coalesce(F.col(f"p_{c}"), F.lit(0))).alias(c) for c in STATE]).where("n > 0")
@@ -35,27 +40,28 @@ def by_station(pairs: DataFrame) -> DataFrame:
     return accumulate(pairs.withColumn("station", F.explode(F.array("i", "j"))), ["station"])
 
 
-def by_block(pairs: DataFrame, block: Column) -> DataFrame:
-    """State of all pairs that touch a station block; a pair inside one block counts once."""
-    ends = pairs.withColumn("block", F.explode(F.array_distinct(F.transform(F.array("i", "j"), lambda s: block_of(s, block)))))
-    return accumulate(ends, ["block"])
+def by_either_end(pairs: DataFrame, a: str, b: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """(totals, parts): states of all pairs, and of those with a part at either end; one inside a part counts once.
 
-
-def block_of(station: Column, size: Column) -> Column:
-    return F.floor(station / size).cast("int")
+    One scan: states are taken by both ends' parts and stored, and each goes to one part or two.
+    """
+    both = cut(accumulate(pairs, [a, b]))
+    parts = both.withColumn(part, F.explode(F.array_distinct(F.array(a, b)))).groupBy(part, "bin").agg(*[F.sum(c).alias(c) for c in STATE])
+    return both.select("bin", *STATE), parts
 
 
 def shuffled_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds a global rank 1..n by `order` without a single-partition window.
 
-    Rows are range-partitioned and sorted; a row's rank is its place in the partition plus the sizes of the
-    partitions before it. Range bounds are sampled anew in each job, so the places are checkpointed before
-    the sizes are taken.
+    Rows are range-partitioned and sorted; a row's rank is its place in the partition (the low bits of Spark's
+    running row id) plus the sizes of the partitions before it. Range bounds are sampled anew in each job, so
+    the places are checkpointed before the sizes are taken.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    at = F.monotonically_increasing_id()
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at))
+    ranked = placed.withColumns({"_p": F.shiftright("_at", 33).cast("int"), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_at")
     sizes = sorted((r["_p"], r["n"]) for r in ranked.groupBy("_p").agg(F.count("*").alias("n")).collect())
     before, base = {}, 0
     for p, k in sizes:

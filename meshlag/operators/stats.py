@@ -8,9 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlag.functions.cut import cut
+
 
 def correct(tests: DataFrame, p: str = "p_value", family: str = "family", name: str = "name") -> DataFrame:
-    """Adds bonferroni, bh and family_bonferroni adjusted p-values. Missing p-values stay missing and don't count."""
+    """Adds bonferroni, bh and family_bonferroni adjusted p-values. Missing p-values stay missing and don't count.
+
+    A registry holds one row a test, some hundreds or thousands, so its running minimum is taken in one task.
+    """
     known = tests.where(F.col(p).isNotNull())
     everything = Window.partitionBy(F.lit(1))
     order = Window.partitionBy(F.lit(1)).orderBy(p, family, name)
@@ -93,7 +98,16 @@ def average_rank(df: DataFrame, value: str, name: str, keys: list[str]) -> DataF
 
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
-    """Least value at which the cumulated weight reaches q of the total."""
+    """Least value at which the cumulated weight reaches q of the total.
+
+    Weights are summed by value first; the distinct values are dealt by range, and a value's cumulated weight is
+    that inside its range plus the sums of the ranges before it: no task holds a whole group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value_")).agg(F.sum(weight).alias("w_"))
+    dealt = cut(sums.repartitionByRange(n, *keys, "value_").withColumn("p_", F.spark_partition_id()))
+    ranges = dealt.groupBy(*keys, "p_").agg(F.sum("w_").alias("r_"))
     w = Window.partitionBy(*keys)
-    cum = df.withColumns({"cum_": F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), "all_": F.sum(weight).over(w)})
-    return cum.where(F.col("cum_") >= q * F.col("all_")).groupBy(*keys).agg(F.min(value).alias("percentile"))
+    before = ranges.select(*keys, "p_", (F.sum("r_").over(w.orderBy("p_")) - F.col("r_")).alias("before_"), F.sum("r_").over(w).alias("all_"))
+    reached = dealt.join(before, [*keys, "p_"]).withColumn("cum_", F.col("before_") + F.sum("w_").over(Window.partitionBy(*keys, "p_").orderBy("value_")))
+    return reached.where(F.col("cum_") >= q * F.col("all_")).groupBy(*keys).agg(F.min("value_").alias("percentile"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, finalise
 from meshlag.operators import fit
-from meshlag.plans.fixtures import PAIR_DAY_SQL
-from meshlag.plans.pairs import AZ, BINNED, STATES, binned
+from meshlag.plans.fixtures import PAIR_DAY_SQL, binned
+from meshlag.plans.pairs import AZ, BINNED, STATES
 from meshlag.plans.registry import query, r, select
 
 

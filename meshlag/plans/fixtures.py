@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlag.functions import geo
+from meshlag.functions.bins import distance_bin
+from meshlag.functions.cut import small
 
 PHASE = "2 * pi() * (((l_orderkey * 7 + l_linenumber * 13) % 1000) / cast(1000 AS double)) - pi()"
 STATION = "cast((id * 37) % 140 - 70 AS double) AS lat, cast((id * 73) % 360 - 180 AS double) AS lon, cast((id * 211) % 2500 AS double) AS height_m, cast((id * 37) % 140 - 70 AS double) * 0.9 AS geomag_lat"
@@ -44,13 +46,20 @@ def pair_day(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame
         "l_orderkey * 10 + l_linenumber AS row", "l_returnflag AS center", "cast(l_shipdate AS date) AS date",
         "least(l_suppkey % 40, l_partkey % 40) AS i", "greatest(l_suppkey % 40, l_partkey % 40) AS j", f"{PHASE} AS phase", f"cos({PHASE}) AS coherence",
     )
-    if not places:
-        return base
+    return base.join(small(pair_places(spark, sf_dir)), ["i", "j"]).drop("bin") if places else base
+
+
+def pair_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j) with the places of both ends, dist_km and bin: geometry depends on the pair alone, so it is worked out once for each pair."""
     s = station(spark, sf_dir)
-    for end in "ij":
-        named = s.select(F.col("id").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}"), F.col("height_m").alias(f"h_{end}"), F.col("geomag_lat").alias(f"gm_{end}"))
-        base = base.join(named, end)  # 40 rows: Spark broadcasts by its own size check
-    return base.withColumn("dist_km", F.expr(DIST))
+    a, b = (s.select(F.col("id").alias(e), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}"), F.col("height_m").alias(f"h_{e}"), F.col("geomag_lat").alias(f"gm_{e}")) for e in "ij")
+    return a.join(b, F.col("i") < F.col("j")).withColumn("dist_km", F.expr(DIST)).withColumn("bin", distance_bin("dist_km"))
+
+
+def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid pair rows with their distance bin; pairs without one are dropped from the pair table before the join."""
+    pairs = pair_places(spark, sf_dir).where("dist_km > 0 AND bin IS NOT NULL")
+    return pair_day(spark, sf_dir, False).where("phase IS NOT NULL").join(small(pairs), ["i", "j"])
 
 
 PAIR_DAY_SQL = f"""(SELECT p.*, a.lat AS lat_i, a.lon AS lon_i, a.height_m AS h_i, a.geomag_lat AS gm_i, b.lat AS lat_j, b.lon AS lon_j, b.height_m AS h_j, b.geomag_lat AS gm_j,
@@ -60,12 +69,17 @@ PAIR_DAY_SQL = f"""(SELECT p.*, a.lat AS lat_i, a.lon AS lon_i, a.height_m AS h_
   JOIN {STATION_SQL} a ON a.id = p.i JOIN {STATION_SQL} b ON b.id = p.j)"""
 
 
+#: Whole cents are summed, so that the indices don't depend on the order of the sum: no rounding edge decides them.
+_activity = {"kp_index": "cast(cents // n % 900 AS double) / 100", "f107_flux": "cast(65 + n AS double)", "ap_index": "cast(cents // 100 % 40 AS double)"}
+
+
 def external_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
-    return orders.groupBy("date").agg((F.round(F.avg("o_totalprice"), 2) % 9).alias("kp_index"), (F.lit(65.0) + F.count("*")).alias("f107_flux"), (F.round(F.sum("o_totalprice"), 0) % 40).alias("ap_index"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    sums = orders.groupBy("date").agg(F.sum("c").alias("cents"), F.count("*").alias("n"))
+    return sums.selectExpr("date", *[f"{v.replace('//', 'DIV')} AS {k}" for k, v in _activity.items()])
 
 
-EXTERNAL_SQL = "(SELECT cast(o_orderdate AS date) AS date, round(avg(o_totalprice), 2) % 9 AS kp_index, 65.0::double + count(*) AS f107_flux, round(sum(o_totalprice), 0) % 40 AS ap_index FROM orders GROUP BY 1)"
+EXTERNAL_SQL = f"(SELECT date, {', '.join(f'{v} AS {k}' for k, v in _activity.items())} FROM (SELECT cast(o_orderdate AS date) AS date, cast(sum(cast(round(o_totalprice * 100) AS bigint)) AS bigint) AS cents, count(*) AS n FROM orders GROUP BY 1) s)"
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

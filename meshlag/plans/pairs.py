@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlag.functions import geo
-from meshlag.functions.bins import accumulate, bin_text, distance_bin, finalise
+from meshlag.functions.bins import accumulate, bin_text, finalise
 from meshlag.operators.stats import average_rank, weighted_percentile
-from meshlag.plans.fixtures import EXTERNAL_SQL, PAIR_DAY_SQL, clock, clock_sql, external_daily, pair_day, read
+from meshlag.plans.fixtures import EXTERNAL_SQL, PAIR_DAY_SQL, binned, clock, clock_sql, external_daily, pair_day, read
 from meshlag.plans.registry import cols, query, r, select
 
 BIN = bin_text("dist_km")
@@ -16,11 +16,6 @@ BINNED = f"(SELECT *, {BIN} AS bin FROM {PAIR_DAY_SQL} p WHERE dist_km > 0)"
 AZ = f"round({geo.azimuth('lat_i', 'lon_i', 'lat_j', 'lon_j')}, 9)"
 
 
-def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid pair rows with their distance bin."""
-    return pair_day(spark, sf_dir).where("dist_km > 0 AND phase IS NOT NULL").withColumn("bin", distance_bin("dist_km")).where("bin IS NOT NULL")
-
-
 _bins = {"center": "center", "bin": "bin", "n": "n", "mean_coherence": r("s1 / n"), "std_coherence": r("sqrt(greatest(0.0D, s2 / n - (s1 / n) * (s1 / n)))"), "distance_km": r("sd / n", 4)}
 STATES = f"(SELECT center, bin, sum(coherence) AS s1, sum(coherence * coherence) AS s2, sum(dist_km) AS sd, count(*) AS n FROM {BINNED} b WHERE bin BETWEEN 0 AND 39 GROUP BY center, bin)"
 
@@ -135,9 +130,8 @@ def first_pair_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT date, i, j, {r('avg(coherence)')} AS coherence, count(*) AS n FROM {PAIR_DAY_SQL} p GROUP BY date, i, j")
 def merged_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pair_day(spark, sf_dir, False)
-    parts = [p.where(F.col("center") == c).select("date", "i", "j", "coherence") for c in ("A", "N", "R")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("date", "i", "j").agg(F.expr(r("avg(coherence)")).alias("coherence"), F.count("*").alias("n"))
+    """Centres are rows of one table, so any number of them merges in one scan."""
+    return pair_day(spark, sf_dir, False).groupBy("date", "i", "j").agg(F.expr(r("avg(coherence)")).alias("coherence"), F.count("*").alias("n"))
 
 
 _quiet = "coalesce(kp_index, 0) < 4 AND coalesce(ap_index, 0) < 20 AND coalesce(f107_flux, 100) < 200"

@@ -11,8 +11,8 @@ from meshlag.functions.bins import accumulate, distance_bin, finalise
 from meshlag.functions.cut import cut
 from meshlag.operators import fit, resample
 from meshlag.plans.decay import bins
-from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, pair_day, station
-from meshlag.plans.pairs import BINNED, binned
+from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, binned, pair_day, station
+from meshlag.plans.pairs import BINNED
 from meshlag.plans.registry import query, r, select
 
 _state = {"n": "n", "mean_coherence": r("s1 / n"), "distance_km": r("sd / n", 4)}
@@ -21,33 +21,30 @@ _agg = f"count(*) AS n, {r('avg(coherence)')} AS mean_coherence, {r('avg(dist_km
 
 @query(f"SELECT s.id AS station, b.bin, {_agg} FROM {STATION_SQL} s JOIN {BINNED} b ON b.i <> s.id AND b.j <> s.id WHERE b.bin BETWEEN 0 AND 39 GROUP BY 1, 2")
 def leave_one_station_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = binned(spark, sf_dir)
-    parts = resample.by_station(b)
-    totals = accumulate(b, [])
+    parts = cut(resample.by_station(binned(spark, sf_dir)))
     names = station(spark, sf_dir).select(F.col("id").alias("station"))
-    grid = names.join(parts, "station", "left")
-    out = resample.leave_out(totals, grid.fillna({"bin": -1}), "station")
+    out = resample.leave_out(parts, "station", 2, names)
     return select(out, {"station": "station", "bin": "bin", **_state})
 
 
 @query(f"SELECT m.month, b.bin, {_agg} FROM (SELECT DISTINCT year(date) * 12 + month(date) AS month FROM {BINNED} z WHERE bin BETWEEN 0 AND 39) m JOIN {BINNED} b ON year(b.date) * 12 + month(b.date) <> m.month WHERE b.bin BETWEEN 0 AND 39 GROUP BY 1, 2")
 def leave_one_month_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = binned(spark, sf_dir).withColumn("month", F.year("date") * 12 + F.month("date"))
-    return select(resample.leave_out(accumulate(b, []), accumulate(b, ["month"]), "month"), {"month": "month", "bin": "bin", **_state})
+    return select(resample.leave_out(cut(accumulate(b, ["month"])), "month"), {"month": "month", "bin": "bin", **_state})
 
 
 @query()
 def leave_one_station_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without each station, all in one job."""
-    b = binned(spark, sf_dir)
-    return fit.fit_decay(finalise(resample.leave_out(accumulate(b, []), resample.by_station(b), "station")), ["station"])
+    parts = cut(resample.by_station(binned(spark, sf_dir)))
+    return fit.fit_decay(finalise(resample.leave_out(parts, "station", 2)), ["station"])
 
 
 @query()
 def leave_one_day_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without each day."""
-    b = binned(spark, sf_dir)
-    return fit.fit_decay(finalise(resample.leave_out(accumulate(b, []), accumulate(b, ["date"]), "date")), ["date"])
+    parts = cut(accumulate(binned(spark, sf_dir), ["date"]))
+    return fit.fit_decay(finalise(resample.leave_out(parts, "date")), ["date"])
 
 
 _fold = f"(year(date) * 12 + month(date)) % {DEFAULT.monthly_folds}"
@@ -69,8 +66,8 @@ _held = f"(SELECT fold, bin, avg(coherence) AS mean_coherence, avg(dist_km) AS d
 @query(f"SELECT fold, {', '.join(f'{v} AS {k}' for k, v in _score.items())} FROM (SELECT h.fold, h.n, h.mean_coherence AS y, f.amplitude * exp(-h.distance_km / f.theta) + f.offset_c AS p FROM {_held} h JOIN {fit.fit_decay_sql(_train, ['fold'])} f ON f.fold = h.fold) s GROUP BY fold")
 def monthly_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = binned(spark, sf_dir).withColumn("fold", F.expr(_fold))
-    parts = accumulate(b, ["fold"])
-    train = finalise(resample.leave_out(accumulate(b, []), parts, "fold"))
+    parts = cut(accumulate(b, ["fold"]))
+    train = finalise(resample.leave_out(parts, "fold"))
     return scored(fit.fit_decay(train, ["fold"]), finalise(parts, 10), "fold")
 
 
@@ -83,8 +80,8 @@ def station_block_cross_validation(spark: SparkSession, sf_dir: str) -> DataFram
     b = binned(spark, sf_dir)
     for e in "ij":
         b = b.join(blocks.select(F.col("id").alias(e), F.col("block").alias(f"b_{e}")), e)
-    parts = accumulate(b.withColumn("block", F.explode(F.array_distinct(F.array("b_i", "b_j")))), ["block"])
-    train = finalise(resample.leave_out(accumulate(b, []), parts, "block"))
+    totals, parts = resample.by_either_end(b, "b_i", "b_j", "block")
+    train = finalise(resample.leave_out(parts, "block", totals=totals))
     return scored(fit.fit_decay(train, ["block"]), finalise(parts, 10).where("n >= 10"), "block")
 
 
@@ -92,21 +89,19 @@ def station_block_cross_validation(spark: SparkSession, sf_dir: str) -> DataFram
 def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, deviation and relative deviation of the folds' decay lengths, IQR outliers, running means."""
     b = binned(spark, sf_dir).withColumn("fold", F.expr(_fold))
-    f = fit.fit_decay(finalise(resample.leave_out(accumulate(b, []), accumulate(b, ["fold"]), "fold")), ["fold"]).withColumn("one", F.lit(1))
+    f = fit.fit_decay(finalise(resample.leave_out(cut(accumulate(b, ["fold"])), "fold")), ["fold"]).withColumn("one", F.lit(1))
     q = F.percentile("theta", [0.25, 0.75]).over(Window.partitionBy("one"))
     run = Window.partitionBy("one").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     w = Window.partitionBy("one")
     return f.withColumn("q", q).select("fold", "theta", F.avg("theta").over(w).alias("mean"), F.stddev_pop("theta").over(w).alias("sd"), (F.stddev_pop("theta").over(w) / F.avg("theta").over(w)).alias("cv"), F.avg("theta").over(run).alias("running_mean"), F.stddev_pop("theta").over(run).alias("running_sd"), F.expr("theta < q[0] - 1.5 * (q[1] - q[0]) OR theta > q[1] + 1.5 * (q[1] - q[0])").alias("outlier"))
 
 
-_region_flags = "array_distinct(array({}, {}))"
-
-
 @query()
 def regional_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without all pairs that touch a region."""
-    b = binned(spark, sf_dir).withColumn("region", F.explode(F.expr(_region_flags.format(geo.region("lon_i"), geo.region("lon_j")))))
-    return fit.fit_decay(finalise(resample.leave_out(accumulate(binned(spark, sf_dir), []), accumulate(b, ["region"]), "region")), ["region"])
+    b = binned(spark, sf_dir).withColumns({f"r_{e}": F.expr(geo.region(f"lon_{e}")) for e in "ij"})
+    totals, parts = resample.by_either_end(b, "r_i", "r_j", "region")
+    return fit.fit_decay(finalise(resample.leave_out(parts, "region", totals=totals)), ["region"])
 
 
 @query()
@@ -241,4 +236,4 @@ def distance_range_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = binned(spark, sf_dir)
     cuts = b.agg(F.percentile_approx("dist_km", [0.2, 0.4, 0.6, 0.8], 1000).alias("c")).first()["c"] or [0.0] * 4
     ranged = b.withColumn("range", sum((F.col("dist_km") >= c).cast("int") for c in cuts))
-    return fit.fit_decay(finalise(resample.leave_out(accumulate(b, []), accumulate(ranged, ["range"]), "range")), ["range"])
+    return fit.fit_decay(finalise(resample.leave_out(cut(accumulate(ranged, ["range"])), "range")), ["range"])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlag.functions.bins import accumulate, distance_bin, edges, finalise
+from meshlag.functions.cut import cut
 from meshlag.operators import resample, series, spectral, stats
 
 
@@ -33,7 +34,7 @@ def test_state_merges(pairs):
 
 
 def test_leave_out_equals_refilter(pairs):
-    got = resample.leave_out(accumulate(pairs, []), resample.by_station(pairs), "station")
+    got = resample.leave_out(cut(resample.by_station(pairs)), "station", 2)
     for s in (0, 7):
         direct = {r["bin"]: r for r in accumulate(pairs.where(f"i <> {s} AND j <> {s}"), []).collect()}
         mine = {r["bin"]: r for r in got.where(f"station = {s}").collect()}
@@ -43,6 +44,41 @@ def test_leave_out_equals_refilter(pairs):
             assert mine[b]["s1"] == pytest.approx(r["s1"], abs=1e-9)
 
 
+def test_leave_out_by_either_end(pairs):
+    """Totals and parts from one scan: a pair inside one group counts once, one between two in both."""
+    grouped = pairs.withColumns({"g_i": F.col("i") % 3, "g_j": F.col("j") % 3})
+    totals, parts = resample.by_either_end(grouped, "g_i", "g_j", "g")
+    for g in (0, 2):
+        direct = {r["bin"]: r for r in accumulate(grouped.where(f"g_i <> {g} AND g_j <> {g}"), []).collect()}
+        mine = {r["bin"]: r for r in resample.leave_out(parts, "g", totals=totals).where(f"g = {g}").collect()}
+        assert direct.keys() == mine.keys() and all(mine[b]["n"] == r["n"] and mine[b]["s1"] == pytest.approx(r["s1"], abs=1e-9) for b, r in direct.items())
+
+
+def test_weighted_percentile(spark):
+    rows = [(k % 3, float((k * 37) % 50) if k % 11 else None, 1.0 + k % 7) for k in range(400)]
+    got = {r["g"]: r["percentile"] for r in stats.weighted_percentile(spark.createDataFrame(rows, "g int, v double, w double"), ["g"], "v", "w", 0.75).collect()}
+    for g in range(3):
+        own = sorted((v, w) for h, v, w in rows if h == g and v is not None)
+        total, run = sum(w for _, w in own), 0.0
+        want = next(v for v, w in own if (run := run + w) >= 0.75 * total)
+        assert got[g] == want
+
+
+def test_shuffled_rank(spark):
+    df = spark.createDataFrame([((k * 7919) % 500, k) for k in range(500)], "v int, k int")
+    assert [r["r"] for r in resample.shuffled_rank(df, ["v", "k"], "r").orderBy("v", "k").collect()] == list(range(1, 501))
+    assert resample.shuffled_rank(df.limit(0), ["v"], "r").count() == 0
+
+
+def test_small(spark):
+    from meshlag.functions import cut as module
+
+    plan = lambda df: df.join(module.small(df), "id")._jdf.queryExecution().analyzed().toString()
+    few = spark.range(10)
+    assert "broadcast" in plan(few)
+    assert "broadcast" not in plan(spark.range(module.SMALL_ROWS + 1))
+
+
 def test_permutation_keeps_values(pairs):
     p = resample.permute(pairs.select("row", "dist_km"), "row", "dist_km", 42).collect()
     before = [r["dist_km"] for r in pairs.orderBy("row").collect()]

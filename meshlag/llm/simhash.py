@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlag.llm.chars import Batch, words_only
@@ -54,7 +54,7 @@ def _signed(x: int) -> int:
 
 
 def near_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links that connect every two fingerprints of a view within the radius, from distinct (view, fp, rep).
+    """(a, b): links that connect every two fingerprints within the radius, from distinct (fp).
 
     A fingerprint goes into one bucket of each mask's table. Within a bucket of two or more, pairs are not
     formed: every member sends itself and its flips of one hidden bit, and two members meet at a common flip
@@ -63,19 +63,19 @@ def near_links(prints: DataFrame) -> DataFrame:
     """
     masks = covering_masks()
     keyed = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("k")
-    placed = prints.select("view", "fp", "rep", keyed).select("view", "fp", "rep", "k.t", "k.key")
-    shared = cut(placed.groupBy("view", "t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("view", "t", "key"))
+    placed = prints.select("fp", keyed).select("fp", "k.t", "k.key")
+    shared = cut(placed.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key"))
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
     met = (
         cut(placed)
-        .join(shared, ["view", "t", "key"], "left_semi")
-        .select("view", "fp", "rep", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
-        .select("view", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), "rep")
-        .groupBy("view", "hub")
-        .agg(F.collect_set("rep").alias("reps"))
-        .where(F.size("reps") > 1)
+        .join(shared, ["t", "key"], "left_semi")
+        .select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
+        .select(F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"), "fp")
+        .groupBy("hub")
+        .agg(F.collect_set("fp").alias("fps"))
+        .where(F.size("fps") > 1)
     )
-    return met.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,9 +83,10 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
     Fingerprints link at two or fewer differing bits. Exact copies share a fingerprint and are folded into
     one node first; only distinct fingerprints are searched. Null and empty texts, and those of white space,
-    have fingerprint zero and link like any other. Rows that share an id keep a row each. A row with a null
-    id is grouped by its text; it never names a component unless all its members lack an id. Texts of any
-    length are hashed whole. An empty table gives an empty table; other columns are left out.
+    have fingerprint zero and link like any other. Rows that share an id keep a row each. A row without an id
+    links like any other too; it never names a component unless all its members lack an id (then null). Texts
+    of any length are hashed whole. An empty table gives an empty table; other columns are left out, whatever
+    their names.
     """
     small_batches(docs.sparkSession)
 
@@ -96,16 +97,16 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     # one pass over the texts; from here on rows are 16 bytes
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(whole_text(text)).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    groups = connected_components(near_links(nodes.where("rep is not null").withColumn("view", F.lit(0))))
-    owners = cut(nodes.join(groups, nodes.rep == groups.node, "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
+    groups = connected_components(near_links(nodes))
+    labelled = cut(nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")))
+    names = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
+    owners = cut(labelled.join(names, "label").select("fp", "component_id"))
     return prints.join(owners, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair of similarity J shares no band with probability (1 - J ** BAND_ROWS) ** BANDS: 7e-6 at J = 0.8, whatever the edit.
 BANDS, BAND_ROWS = 30, 5
-#: Passes in which each bucket tests its rows against one drawn hub, before all open pairs are tested.
-HUB_ROUNDS = 2
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -114,10 +115,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def band_keys(texts: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
-    """`bands` signed MinHash keys of each text, of `rows` minima over its five-word shingles each.
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owner): the five-word shingles of every text in order; a shorter text is one shingle.
 
-    The shingles are those of `shingle_set`. A text without words gets keys of its own bytes.
+    Words are runs of letters and digits, lower-cased. A text without words has one shingle of its own bytes.
     """
     batch = Batch(texts, words_only())
     starts, _, words = batch.spans((batch.codes != 32) & (batch.codes != 0))
@@ -131,64 +132,97 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np
         inside = np.flatnonzero(place[: n - k] + k < count[owner[: n - k]]) if n > k else np.zeros(0, np.int64)
         hashes[inside] = _mixed(hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + words[inside + k])
     whole = place <= np.maximum(count[owner] - SHINGLE, 0)
-    hashes, owner = hashes[whole], owner[whole]
-    wordy = np.flatnonzero(count)
-    first = np.searchsorted(owner, wordy)
+    hashes, owner = hashes[whole], owner[whole].astype(np.int64)
+    if len(mute := np.flatnonzero(count == 0)):
+        own = np.array([xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), SEED) for i in mute], np.uint64)
+        at = np.searchsorted(owner, mute)
+        hashes, owner = np.insert(hashes, at, own), np.insert(owner, at, mute)
+    return hashes, owner
+
+
+def band_keys(texts: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """`bands` signed MinHash keys of each text, of `rows` minima over its shingles each."""
+    if not texts:
+        return np.zeros((0, bands), np.int64)
+    hashes, owner = shingle_hashes(texts)
+    first = np.searchsorted(owner, np.arange(len(texts)))
     r = np.random.default_rng(SEED)
     factors = r.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
     addends = r.integers(0, 1 << 63, (bands, rows), np.uint64)
     out = np.zeros((len(texts), bands), np.uint64)
     for b in range(bands):
-        key = np.zeros(len(wordy), np.uint64)
         for f, a in zip(factors[b], addends[b], strict=True):
-            if len(wordy):
-                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * f + a, first))
-        out[wordy, b] = key
-    for i in np.flatnonzero(count == 0):
-        out[i] = [xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), b) for b in range(bands)]
+            out[:, b] = _mixed(out[:, b] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * f + a, first))
     return out.view(np.int64)
 
 
-def shingle_set(text: str) -> set[tuple[str, ...]]:
-    """Five-word shingles of the same words; a shorter text is one shingle."""
-    table = words_only()
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    mapped = table[np.minimum(codes, len(table) - 1)]
-    w = np.where(mapped == 0, 32, mapped).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" ")
-    w = [x for x in w if x]
-    return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+def tested(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The `pairs` (a, b, ...) whose shingles have a Jaccard similarity of SIMILAR or more."""
+    one, two = (shingles.select(F.col("node").alias(e), F.col("shingles").alias(f"s_{e}")) for e in "ab")
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
+    return met.where(F.col("both") >= SIMILAR * (F.size("s_a") + F.size("s_b") - F.col("both"))).select(*pairs.columns)
 
 
-def open_pairs(placed: DataFrame, labels: DataFrame, draw: int | None) -> DataFrame:
-    """(a, b), a < b: distinct pairs of rows (bucket, node, size) in one bucket that no label (node, label) joins yet.
+def sized(met: DataFrame) -> DataFrame:
+    """Pairs (x, sx), (y, sy) that differ and whose numbers of shingles don't rule the similarity out."""
+    return met.where("x <> y").where(F.least("sx", "sy") >= F.greatest("sx", "sy") * SIMILAR)
 
-    With a `draw`, each bucket pairs its rows with one hub, another for each draw. Without one, these are all
-    such pairs: rows outside a bucket's commonest label meet every row of the bucket, so a group that is
-    already joined makes no pairs within itself. Sizes that rule the similarity out are left away.
+
+def star_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b), a < b: every node with one hub, so as many pairs as nodes.
+
+    A bucket's hub is its member that meets the most rows in all its buckets: where many copies derive from one
+    text, that text. Of the hubs it meets, a node is paired with the one it shares most buckets with.
     """
-    rows = placed.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    if draw is None:
-        main = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-        rows = cut(rows.join(main.select("bucket", "main"), "bucket"))
-        left = rows.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
-        met = left.join(rows, "bucket").where("label = main OR x < node")
-    else:
-        hub = F.min_by(F.struct("node", "label", "size"), F.xxhash64("node", F.lit(draw))).alias("hub")
-        hubs = rows.groupBy("bucket").agg(hub, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        left = cut(hubs.select("bucket", F.col("hub.node").alias("x"), F.col("hub.label").alias("lx"), F.col("hub.size").alias("sx")))
-        met = left.join(cut(rows), "bucket")
-    met = met.where(F.col("label") != F.col("lx")).where(F.least("sx", "size") >= F.greatest("sx", "size") * SIMILAR)
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    hubs = cut(placed.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("score", "node")).alias("hub")))
+    met = placed.join(hubs.select("bucket", F.col("hub.node").alias("x"), F.col("hub.size").alias("sx")), "bucket")
+    seen = sized(met.select("x", "sx", F.col("node").alias("y"), F.col("size").alias("sy"))).groupBy("x", "y").agg(F.count("*").alias("n"))
+    best = seen.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id): components of the texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+def lonely(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(node): those of `nodes` that can't be similar to any other of them.
+
+    A shingle that no other of the nodes holds is in no intersection, so with u of n such shingles no similarity
+    exceeds (n - u) / n. Only counts are joined, no pairs: it rids a crowd of half-similar texts of the members
+    that are like none.
+    """
+    held = nodes.join(shingles, "node")
+    once = held.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    alone = once.groupBy("node").agg(F.count("*").alias("u"))
+    return held.select("node", F.size("shingles").alias("n")).join(alone, "node").where((F.col("n") - F.col("u")) < SIMILAR * F.col("n")).select("node")
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, node, size, label) of the buckets that hold more than one label, with the commonest one as main."""
+    main = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    return cut(rows.drop("main").join(main.select("bucket", "main"), "bucket"))
+
+
+def open_pairs(placed: DataFrame, labels: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, la, lb): all pairs of a bucket that no label (node, label) joins yet, with their labels la < lb.
+
+    Rows outside a bucket's commonest label meet every row of the bucket, so a group that is already joined
+    makes no pairs within itself; nodes that are like no other are left out first.
+    """
+    rows = open_rows(placed.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
+    alone = cut(lonely(rows.select("node").distinct(), shingles))
+    rows = open_rows(rows.join(alone, "node", "left_anti"))
+    left = rows.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
+    met = left.join(rows, "bucket").where("lx <> label AND (label = main OR x < node)")
+    met = sized(met.select("x", "sx", F.col("node").alias("y"), F.col("size").alias("sy"), F.least("lx", "label").alias("la"), F.greatest("lx", "label").alias("lb")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb").distinct()
+
+
+def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(h1, h2, rep, label): the distinct texts by two hashes, their smallest ids, and the component of each.
 
     Equal texts are folded into one node first. Texts that share one of BANDS MinHash bands are candidates.
     Meeting is no link: every candidate pair is either tested on its shingles or already in one component.
-    Components are first drawn together by HUB_ROUNDS passes against one hub a bucket; then all pairs of a
-    bucket that lie in different components are tested. Both ends' texts are brought to the tested pairs
-    only. Rows that share an id share a group by the smallest id of their texts. Null texts count as empty.
+    Components are first drawn together by one pair a node, with a hub; then all pairs of a bucket that lie in
+    different components are tested, less the texts whose own shingles rule out any partner. The shingles of a
+    text that meets another are hashed once.
     """
     small_batches(docs.sparkSession)
 
@@ -196,54 +230,60 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def keys(texts: pa.Array) -> pa.Array:
         return pa.array(list(band_keys(texts.to_pylist())), pa.list_(pa.int64()))
 
-    @F.arrow_udf("boolean")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, a = [], None, set()
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            if x != last:
-                last, a = x, shingle_set(x)
-            b = shingle_set(y)
-            both = len(a & b)
-            out.append(both >= SIMILAR * (len(a) + len(b) - both))
-        return pa.array(out, pa.bool_())
-
-    @F.arrow_udf("int")
+    @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([len(shingle_set(x)) for x in texts.to_pylist()], pa.int32())
+        hashes, owner = shingle_hashes(texts.to_pylist())
+        parts = np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
+        return pa.array([np.unique(x).view(np.int64) for x in parts], pa.list_(pa.int64()))
 
     body = whole_text(text)
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), keys(body).alias("v")))
-    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).where("rep is not null").withColumn("node", F.monotonically_increasing_id()))
+    h1, h2 = F.xxhash64(body).alias("h1"), F.hash(body).alias("h2")
+    found = docs.select(F.col(id_col).alias("id"), h1, h2, keys(body).alias("v"))
+    nodes = cut(found.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()))
     placed = nodes.select("node", F.posexplode("v").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    placed = cut(placed)
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
-    placed = cut(placed.join(shared, "bucket", "left_semi"))
-    met = cut(placed.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"))
-    bodies = docs.select(F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"), body.alias("t"))
-    texts = cut(bodies.join(met, ["h1", "h2"]).groupBy("node").agg(F.min("t").alias("t")).withColumn("size", shingles("t")))
-    placed = cut(placed.join(texts.select("node", "size"), "node"))
-    left, right = texts.select(F.col("node").alias("a"), F.col("t").alias("x")), texts.select(F.col("node").alias("b"), F.col("t").alias("y"))
-    links, labels = None, docs.sparkSession.createDataFrame([], "node long, label long")
-    for draw in [*range(HUB_ROUNDS), None]:
-        pairs = cut(open_pairs(placed, labels, draw))
-        found = cut(pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b"))
-        if not found.isEmpty():
-            links = found if links is None else cut(links.unionByName(found).coalesce(found.rdd.getNumPartitions()))
-            labels = connected_components(links)
-    joined = cut(nodes.select("h1", "h2", "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    placed = cut(placed.join(shared, "bucket"))
+    met = cut(placed.groupBy("node").agg(F.sum("rows").alias("score")).join(nodes.select("node", "h1", "h2"), "node"))
+    bodies = docs.select(h1, h2, body.alias("t")).join(met, ["h1", "h2"]).groupBy("node", "score").agg(F.min("t").alias("t"))
+    texts = cut(bodies.select("node", "score", shingles("t").alias("shingles")))
+    placed = cut(placed.select("bucket", "node").join(texts.select("node", "score", F.size("shingles").alias("size")), "node"))
+    texts = texts.select("node", "shingles")
+    near = cut(tested(cut(star_pairs(placed)), texts))
+    labels = connected_components(near)
+    more = cut(tested(cut(open_pairs(placed, labels, texts)), texts).select("la", "lb").distinct())
+    joined = nodes.select("h1", "h2", "rep", "node").join(labels, "node", "left").select("h1", "h2", "rep", F.coalesce("label", "node").alias("label"))
+    if more.isEmpty():
+        return cut(joined)
+    above = connected_components(more, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return cut(joined.join(above, "label", "left").select("h1", "h2", "rep", F.coalesce("top", "label").alias("label")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id): components of the texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Rows that share an id are grouped by their own texts. Null texts count as empty. A row without an id
+    links like any other; it never names a component unless all its members lack an id (then null). An empty
+    table gives an empty table. See `similar_texts` for the search.
+    """
+    joined = similar_texts(docs, id_col, text)
     names = cut(joined.groupBy("label").agg(F.min("rep").alias("component_id")))
     owners = cut(joined.join(names, "label").select("h1", "h2", "component_id"))
-    return rows.select("id", "h1", "h2").join(owners, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "component_id")
+    body = whole_text(text)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h1"), F.hash(body).alias("h2"))
+    return rows.join(owners, ["h1", "h2"], "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of `similar_groups`, that with the smallest id; all columns as they were.
 
-    Rows without an id are one group for each text. Rows that repeat a kept id are dropped to one.
+    Rows without an id come last, and of equal ids the text with the smaller hash comes first. Rows that share
+    an id but hold unlike texts are in different groups and stay. Of rows equal in id and text one stays. Null
+    texts count as empty: one of all empty texts stays. Columns may have any names.
     """
-    groups = similar_groups(docs, id_col, text)
-    kept = cut(groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
-    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_n = 1").drop("_n")
-    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text])
-    return once.unionByName(nameless)
+    order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("h1"), F.col("h2"))
+    first = similar_texts(docs, id_col, text).groupBy("label").agg(F.min_by(F.struct("h1", "h2", "rep"), order).alias("k"))
+    kept = cut(first.select(F.struct("k.h1", "k.h2").alias("k"), F.col("k.rep").alias("rep")))
+    body = whole_text(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.xxhash64(body).alias("h1"), F.hash(body).alias("h2")).alias("k"), F.col(id_col).alias("id"))
+    once = rows.join(kept, "k").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("k").agg(F.first("row").alias("row"))
+    return once.select("row.*")

@@ -22,7 +22,7 @@ SENTENCE_PENALTY, INNER_PENALTY = 16, 64
 #: Inside longer sentences a cut is offered every so many ids.
 STRIDE = 256
 #: Bytes of text that are packed together: distinct words of a group are looked up once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 #: Closing marks that may follow a word in a chunk; the apostrophe starts word patterns of its own.
 MARKS = ".,!?;:%$&*#|)"
@@ -39,7 +39,7 @@ class WordIds:
     letters are lower-cased, as the tokenizer does: only lower-case words are kept, and encoded many at a time.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, tokenizer_file: str, most: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -23,6 +23,11 @@ class Config:
     two_way_replicates: int = 200
     null_iterations: int = 100
     surrogates: int = 100
+    shifts: int = 2000
+    spectral_replicates: int = 200
+    spectral_block: int = 28
+    least_train: int = 10_000
+    least_held: int = 1_000
     activity_kp: float = 4.0
     activity_ap: float = 20.0
     activity_f107: float = 200.0

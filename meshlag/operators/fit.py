@@ -135,7 +135,8 @@ def fit_decay_sql(bins: str, keys: list[str], model: str | Model = "exponential"
     best = points(f"(SELECT f.*, {model.low!r} * exp(k * {log_step}) AS theta FROM {base} f, range(0, {GRID + 1}) t(k))")
     for level in range(1, REFINE + 1):
         match = " AND ".join(f"f.{k} = c.{k}" for k in keys) or "true"
-        best = points(f"(SELECT DISTINCT f.*, least({model.high!r}, greatest({model.low!r}, c.theta * exp(k * {log_step} / {HALF**level}))) AS theta FROM {base} f JOIN {best} c ON {match}, range(-{HALF}, {HALF + 1}) t(k))")
+        near = f"(SELECT DISTINCT {ks}least({model.high!r}, greatest({model.low!r}, theta * exp(k * {log_step} / {HALF**level}))) AS theta FROM {best} z, range(-{HALF}, {HALF + 1}) t(k))"
+        best = points(f"(SELECT f.*, c.theta FROM {base} f JOIN {near} c ON {match})")
     return f"(SELECT * FROM {nest(best, DIAGNOSE)} z WHERE n_bins >= 4)".replace("0.0D", "0.0")
 
 
@@ -181,25 +182,59 @@ def fit_harmonic_sql(source: str, keys: list[str], phase: str, y: str) -> str:
     return f"(SELECT {ks}h_n AS n, amplitude, phase_shift, level, r2 FROM {nest(sums, HARMONIC)} y)"
 
 
-def fit_wave(bins: DataFrame, keys: list[str], r: str = "distance_km", y: str = "mean_coherence", w: str = "n", wavelengths: tuple[float, ...] = (500, 1000, 2000, 3000, 5000, 8000, 12_000)) -> DataFrame:
+WAVELENGTHS = (500.0, 1000.0, 2000.0, 3000.0, 5000.0, 8000.0, 12_000.0)
+WAVE = {"c": "cos(2 * pi() * r / wavelength) * exp(-r / (2 * wavelength))", "s": "sin(2 * pi() * r / wavelength) * exp(-r / (2 * wavelength))"}
+WAVE_SUMS = {"h_n": "1", "h_c": "c", "h_s": "s", "h_cc": "c * c", "h_ss": "s * s", "h_sc": "s * c", "h_y": "y", "h_cy": "c * y", "h_sy": "s * y", "h_yy": "y * y"}
+
+
+def fit_wave_sql(bins: str, keys: list[str], r: str = "distance_km", y: str = "mean_coherence", w: str = "n") -> str:
+    """The same waves as `fit_wave`, as DuckDB text."""
+    ks = ", ".join(keys)
+    base = f"(SELECT {ks}, wavelength, cast({r} AS double) AS r, cast({y} AS double) AS y, cast({w} AS double) AS w FROM {bins} b, (VALUES {', '.join(f'({x!r}::double)' for x in WAVELENGTHS)}) t(wavelength))"
+    sums = f"(SELECT {ks}, wavelength, {', '.join(f'sum(w * {x}) AS {k}' for k, x in WAVE_SUMS.items())}, count(*) AS n_bins FROM {nest(base, [WAVE])} g GROUP BY {ks}, wavelength)"
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ks} ORDER BY r2 DESC, wavelength DESC) AS rk FROM {nest(sums, HARMONIC)} z WHERE r2 IS NOT NULL) y WHERE rk = 1)"
+
+
+def fit_wave(bins: DataFrame, keys: list[str], r: str = "distance_km", y: str = "mean_coherence", w: str = "n", wavelengths: tuple[float, ...] = WAVELENGTHS) -> DataFrame:
     """Damped plane wave A cos(2 pi r / L + p) exp(-r / 2L) + C: linear in three terms for each wavelength L.
 
     The normal equations of each (group, L) are solved by Cramer's rule; the L of the highest weighted R2 wins.
     """
     base = bins.select(*keys, F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
     grid = base.withColumn("wavelength", F.explode(F.array(*[F.lit(float(x)) for x in wavelengths])))
-    grid = grid.withColumns({"c": F.expr("cos(2 * pi() * r / wavelength) * exp(-r / (2 * wavelength))"), "s": F.expr("sin(2 * pi() * r / wavelength) * exp(-r / (2 * wavelength))")})
-    sums = grid.groupBy(*keys, "wavelength").agg(*[F.expr(f"sum(w * {x})").alias(k) for k, x in {"h_n": "1", "h_c": "c", "h_s": "s", "h_cc": "c * c", "h_ss": "s * s", "h_sc": "s * c", "h_y": "y", "h_cy": "c * y", "h_sy": "s * y", "h_yy": "y * y"}.items()], F.count("*").alias("n_bins"))
+    grid = apply(grid, [WAVE])
+    sums = grid.groupBy(*keys, "wavelength").agg(*[F.expr(f"sum(w * {x})").alias(k) for k, x in WAVE_SUMS.items()], F.count("*").alias("n_bins"))
     fitted = apply(sums, HARMONIC).where("r2 IS NOT NULL")
     return fitted.groupBy(*keys).agg(F.max_by(F.struct("wavelength", "amplitude", "phase_shift", "level", "r2", "n_bins"), F.struct("r2", "wavelength")).alias("b")).select(*keys, "b.*")
 
 
+#: Sums and solution of a Gaussian peak at a grid point.
+PEAK_SUMS = {"sw": "cast(count(*) AS double)", "sg": "sum(g)", "sgg": "sum(g * g)", "sy": "sum(y)", "sgy": "sum(g * y)", "syy": "sum(y * y)"}
+PEAK: Steps = [
+    {"det": "sw * sgg - sg * sg"},
+    {"amplitude": "CASE WHEN det > 1e-9 THEN (sw * sgy - sg * sy) / det ELSE 0.0D END"},
+    {"level": "(sy - amplitude * sg) / sw"},
+    {"rss": "greatest(0.0D, syy - amplitude * sgy - level * sy)"},
+    {"r2": "CASE WHEN syy - sy * sy / sw > 0 THEN 1 - rss / (syy - sy * sy / sw) END", "se_amplitude": "CASE WHEN det > 1e-9 AND sw > 4 THEN sqrt(rss / (sw - 4) * sw / det) END"},
+]
+
+
+def fit_peak_sql(series: str, keys: list[str], x: str, y: str, centres: list[float], widths: list[float]) -> str:
+    """The same peaks as `fit_peak`, as DuckDB text."""
+    ks = ", ".join(keys)
+    values = lambda v: ", ".join(f"({e!r}::double)" for e in v)
+    grid = f"(SELECT {ks}, centre, width, cast({y} AS double) AS y, exp(-pow(({x} - centre) / width, 2) / 2) AS g FROM {series} s, (VALUES {values(centres)}) a(centre), (VALUES {values(widths)}) b(width) WHERE {y} IS NOT NULL)"
+    sums = f"(SELECT {ks}, centre, width, {', '.join(f'{v} AS {k}' for k, v in PEAK_SUMS.items())} FROM {grid} g GROUP BY {ks}, centre, width)"
+    solved = nest(sums, PEAK).replace("0.0D", "0.0")
+    return f"(SELECT *, cast(sw AS bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {ks} ORDER BY rss, centre, width) AS rk FROM {solved} z) y WHERE rk = 1)"
+
+
 def fit_peak(series: DataFrame, keys: list[str], x: str, y: str, centres: list[float], widths: list[float]) -> DataFrame:
     """Gaussian peak A exp(-(x - m)^2 / 2 s^2) + C for each group, by a grid over (m, s)."""
     base = series.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL")
     grid = base.withColumn("centre", F.explode(F.array(*[F.lit(float(v)) for v in centres]))).withColumn("width", F.explode(F.array(*[F.lit(float(v)) for v in widths])))
     grid = grid.withColumn("g", F.expr("exp(-pow((x - centre) / width, 2) / 2)"))
-    sums = grid.groupBy(*keys, "centre", "width").agg(*[F.expr(v).alias(k) for k, v in {"sw": "cast(count(*) AS double)", "sg": "sum(g)", "sgg": "sum(g * g)", "sy": "sum(y)", "sgy": "sum(g * y)", "syy": "sum(y * y)"}.items()])
-    solved = apply(sums, [{"det": "sw * sgg - sg * sg"}, {"amplitude": "CASE WHEN det > 1e-9 THEN (sw * sgy - sg * sy) / det ELSE 0.0D END"}, {"level": "(sy - amplitude * sg) / sw"}, {"rss": "greatest(0.0D, syy - amplitude * sgy - level * sy)"}, {"r2": "CASE WHEN syy - sy * sy / sw > 0 THEN 1 - rss / (syy - sy * sy / sw) END", "se_amplitude": "CASE WHEN det > 1e-9 AND sw > 4 THEN sqrt(rss / (sw - 4) * sw / det) END"}])
+    sums = grid.groupBy(*keys, "centre", "width").agg(*[F.expr(v).alias(k) for k, v in PEAK_SUMS.items()])
+    solved = apply(sums, PEAK)
     best = solved.groupBy(*keys).agg(F.min_by(F.struct("centre", "width", "amplitude", "level", "r2", "se_amplitude", F.col("sw").cast("long").alias("n")), F.struct("rss", "centre", "width")).alias("b")).select(*keys, "b.*")
     return best.withColumn("significant", F.expr("coalesce(abs(amplitude) > 2 * se_amplitude, false)"))

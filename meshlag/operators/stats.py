@@ -97,8 +97,8 @@ def average_rank(df: DataFrame, value: str, name: str, keys: list[str]) -> DataF
     return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value) if keys else Window.partitionBy(value)) - 1) / 2)
 
 
-def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
-    """Least value at which the cumulated weight reaches q of the total.
+def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, q: float | list[float]) -> DataFrame:
+    """(keys, percentile): least value at which the cumulated weight reaches q of the total; with a list, (keys, q, percentile).
 
     Weights are summed by value first; the distinct values are dealt by range, and a value's cumulated weight is
     that inside its range plus the sums of the ranges before it: no task holds a whole group.
@@ -110,4 +110,7 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str,
     w = Window.partitionBy(*keys)
     before = ranges.select(*keys, "p_", (F.sum("r_").over(w.orderBy("p_")) - F.col("r_")).alias("before_"), F.sum("r_").over(w).alias("all_"))
     reached = dealt.join(before, [*keys, "p_"]).withColumn("cum_", F.col("before_") + F.sum("w_").over(Window.partitionBy(*keys, "p_").orderBy("value_")))
+    if isinstance(q, list):
+        reached = reached.withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in q])))
+        return reached.where(F.col("cum_") >= F.col("q") * F.col("all_")).groupBy(*keys, "q").agg(F.min("value_").alias("percentile"))
     return reached.where(F.col("cum_") >= q * F.col("all_")).groupBy(*keys).agg(F.min("value_").alias("percentile"))

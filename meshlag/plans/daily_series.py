@@ -154,10 +154,16 @@ def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(series.morlet_power(s, ["center"], "t", "m", list(_scales)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
 
 
-@query()
+_morlet = f"""(SELECT b.center, s.scale, c.t, sum(b.m * exp(-0.5 * pow((c.t - b.t) / s.scale, 2)) * pow(pi(), -0.25) / sqrt(s.scale) * cos(6 * (c.t - b.t) / s.scale)) AS re,
+        sum(b.m * exp(-0.5 * pow((c.t - b.t) / s.scale, 2)) * pow(pi(), -0.25) / sqrt(s.scale) * sin(6 * (c.t - b.t) / s.scale)) AS im
+    FROM {BY_CENTER} b, (VALUES {', '.join(f'({s!r}::double)' for s in LONG_SCALES)}) s(scale), {BY_CENTER} c WHERE c.center = b.center AND abs(c.t - b.t) <= floor(s.scale * 4) GROUP BY 1, 2, 3)"""
+MORLET = f"(SELECT center, scale, t, re * re + im * im AS power FROM {_morlet} q)"
+
+
+@query(f"SELECT center, scale, t, {r('power', 5)} AS power FROM {MORLET} m")
 def wavelet_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wavelet power of every centre and day at scales of 20 to 200 days; `wavelet_power` is its short part with a SQL twin."""
-    return series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES))
+    return select(series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
 
 
 @query()
@@ -181,11 +187,16 @@ def hilbert_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.instantaneous_period(by_center(spark, sf_dir), ["center"], "t", "m", 20, 40)
 
 
-@query()
+_marked = f"(SELECT center, s AS shift, m, (k + s * 7919) % n % 180 < 20 AS marked FROM (SELECT center, m, row_number() OVER (PARTITION BY center ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY center) AS n FROM {BY_CENTER} b) q, range(0, {DEFAULT.shifts + 1}) t(s))"
+_gap = f"(SELECT center, shift, abs(stddev_pop(CASE WHEN marked THEN m END) - stddev_pop(CASE WHEN NOT marked THEN m END)) AS d FROM {_marked} m GROUP BY 1, 2)"
+
+
+@query(f"SELECT a.center, {r('b.d')} AS real, {r('(cast(sum(CASE WHEN a.d >= b.d - 1e-12 THEN 1 ELSE 0 END) AS double) + 1) / (count(*) + 1)', 5)} AS p_value FROM {_gap} a JOIN {_gap} b ON a.center = b.center AND b.shift = 0 WHERE a.shift > 0 GROUP BY a.center, b.d")
 def circular_shift_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p of the spread of a series on marked days against circular shifts of the marks."""
+    """p of the spread of a series on marked days against circular shifts of the marks, by a prime step each."""
     s = by_center(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("t")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("center")))
-    shifted = s.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("marked", F.pmod(F.col("k") + F.col("shift") * 37, F.col("n")) % 180 < 20)
+    shifted = s.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(DEFAULT.shifts)))).withColumn("marked", F.pmod(F.col("k") + F.col("shift") * 7919, F.col("n")) % 180 < 20)
     spread = shifted.groupBy("center", "shift").agg((F.stddev_pop(F.when(F.col("marked"), F.col("m"))) - F.stddev_pop(F.when(~F.col("marked"), F.col("m")))).alias("d"))
     real = spread.where("shift = 0").select("center", F.abs("d").alias("real"))
-    return spread.where("shift > 0").join(real, "center").groupBy("center", "real").agg(((F.sum((F.abs("d") >= F.col("real")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    out = spread.where("shift > 0").join(real, "center").groupBy("center", "real").agg(((F.sum((F.abs("d") >= F.col("real") - 1e-12).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return select(out, {"center": "center", "real": r("real"), "p_value": r("p_value", 5)})

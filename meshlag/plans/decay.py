@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, finalise
 from meshlag.operators import fit
-from meshlag.plans.fixtures import PAIR_DAY_SQL, binned
+from meshlag.operators.resample import shuffled_rank
+from meshlag.plans.fixtures import PAIR_DAY_SQL, binned, pair_day
 from meshlag.plans.pairs import AZ, BINNED, STATES
 from meshlag.plans.registry import query, r, select
 
@@ -49,17 +50,45 @@ for _name in ("gaussian", "squared_exponential", "power_law", "matern_1_5", "mat
     _model_query(_name)
 
 
-@query()
+#: A decay length means something only where the amplitude does.
+THETA = {"theta": r("CASE WHEN amplitude > 0.0001 THEN theta END", 1)}
+FITS = {**THETA, **FIT}
+
+
+def fits_text(keys: list[str], source: str, model: str | fit.Model = "exponential", more: str = "", **names: str) -> str:
+    """The fits of every group as text, with the decay length."""
+    return f"SELECT {', '.join([*keys, *(f'{v} AS {k}' for k, v in FITS.items())])}{more} FROM {fit.fit_decay_sql(source, keys, model, **names)} f"
+
+
+def fits_of(df: DataFrame, keys: list[str], more: dict[str, str] | None = None) -> DataFrame:
+    return select(df, {**{k: k for k in keys}, **FITS, **(more or {})})
+
+
+RANKED = [*[m for m in fit.MODELS.values() if m.name != "power_law_shifted"], *fit.cutoff_models()]
+_ranked = " UNION ALL ".join(f"SELECT center, '{m.name}' AS model, aic FROM {fit.fit_decay_sql(bins_sql('center'), ['center'], m)} f" for m in RANKED)
+
+
+@query(f"SELECT center, model, {r('aic', 2)} AS aic, {r('aic - min(aic) OVER (PARTITION BY center)', 2)} AS delta_aic, rank() OVER (PARTITION BY center ORDER BY round(aic, 3)) AS rank FROM ({_ranked}) u")
 def model_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models with the difference in AIC and the rank; includes power laws with a cut-off."""
-    b = bins(spark, sf_dir, ["center"])
-    return fit.fit_all(b, ["center"], [*[m for m in fit.MODELS if m != "power_law_shifted"], *fit.cutoff_models()])
+    b = fit.fit_all(bins(spark, sf_dir, ["center"]), ["center"], RANKED)
+    return select(b.withColumn("rank", F.rank().over(Window.partitionBy("center").orderBy(F.round("aic", 3)))), {"center": "center", "model": "model", "aic": r("aic", 2), "delta_aic": r("delta_aic", 2), "rank": "rank"})
+
+
+_g, _d = "exp(-b.distance_km / f.theta)", "f.amplitude * b.distance_km / (f.theta * f.theta) * exp(-b.distance_km / f.theta)"
+_error = "sqrt(wrss / (n_bins - 3) / (e_dd - (e_gd * e_gd * e_w - 2 * e_gd * e_d * e_g + e_d * e_d * e_gg) / (e_gg * e_w - e_g * e_g)))"
 
 
-@query()
+ERRORS = f"""(SELECT center, theta, amplitude, {_error} AS se_theta FROM (
+    SELECT f.center, any_value(f.theta) AS theta, any_value(f.amplitude) AS amplitude, any_value(f.wrss) AS wrss, any_value(f.n_bins) AS n_bins, sum(n) AS e_w, sum(n * {_g}) AS e_g, sum(n * {_g} * {_g}) AS e_gg, sum(n * {_d}) AS e_d, sum(n * {_g} * {_d}) AS e_gd, sum(n * {_d} * {_d}) AS e_dd
+    FROM {bins_sql('center')} b JOIN {fit.fit_decay_sql(bins_sql('center'), ['center'])} f ON f.center = b.center GROUP BY f.center) s)"""
+
+
+@query(f"SELECT center, {THETA['theta']} AS theta, {r('CASE WHEN amplitude > 0.0001 THEN se_theta END', 0)} AS se_theta FROM {ERRORS} e")
 def decay_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential fits with the standard error of the decay length."""
-    return fit.fit_decay(bins(spark, sf_dir, ["center"]), ["center"], errors=True)
+    """Exponential fits with the standard error of the decay length; the twin takes the slope in closed form."""
+    f = fit.fit_decay(bins(spark, sf_dir, ["center"]), ["center"], errors=True)
+    return select(f, {"center": "center", **THETA, "se_theta": r("CASE WHEN amplitude > 0.0001 THEN se_theta END", 0)})
 
 
 _sectors = f"(SELECT *, {geo.sector(AZ)} AS sector FROM {BINNED} q)"
@@ -81,21 +110,27 @@ def sector_anisotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _moments = {"monopole": "avg(theta)", "dipole_x": "avg(theta * sin(t) * cos(p))", "dipole_y": "avg(theta * sin(t) * sin(p))", "dipole_z": "avg(theta * cos(t))", "quadrupole": "stddev_pop(theta) / avg(theta)", "sectors": "count(*)"}
 
 
-@query()
+_moment = lambda k: k if k == "sectors" else r(k, 1)
+_tb, _pb = f"cast(floor(round((90 - {geo.elevation('lat_i', 'lon_i', 'lat_j', 'lon_j')}) / 30, 9)) AS int)", f"cast(floor({AZ} / 45) AS int)"
+_grid = f"(SELECT *, {_tb} AS tb, {_pb} AS pb FROM {BINNED} q)"
+_cells = f"(SELECT theta, radians(tb * 30 + 15) AS t, radians(pb * 45 + 22.5) AS p FROM {fit.fit_decay_sql(bins_sql('tb, pb', _grid, 10), ['tb', 'pb'])} f WHERE amplitude > 0.0001)"
+
+
+@query(f"SELECT {', '.join(f'{_moment(k)} AS {k}' for k in _moments)}, {r('sqrt(dipole_x * dipole_x + dipole_y * dipole_y + dipole_z * dipole_z)', 1)} AS dipole FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in _moments.items())} FROM {_cells} c) m")
 def sector_grid_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decay lengths on a colatitude x azimuth grid of pair directions, and their moments."""
-    b = binned(spark, sf_dir).selectExpr("*", f"cast(floor((90 - {geo.elevation('lat_i', 'lon_i', 'lat_j', 'lon_j')}) / 30) AS int) AS tb", f"cast(floor({AZ} / 45) AS int) AS pb")
-    f = fit.fit_decay(finalise(accumulate(b, ["tb", "pb"]), 10), ["tb", "pb"]).selectExpr("*", "radians(tb * 30 + 15) AS t", "radians(pb * 45 + 22.5) AS p")
+    """Decay lengths on a colatitude x azimuth grid of pair directions, and their moments over the cells that decay."""
+    b = binned(spark, sf_dir).selectExpr("*", f"{_tb} AS tb", f"{_pb} AS pb")
+    f = fit.fit_decay(finalise(accumulate(b, ["tb", "pb"]), 10), ["tb", "pb"]).where("amplitude > 0.0001").selectExpr("*", "radians(tb * 30 + 15) AS t", "radians(pb * 45 + 22.5) AS p")
     m = f.agg(*[F.expr(v).alias(k) for k, v in _moments.items()])
-    return m.withColumn("dipole", F.sqrt(F.expr("dipole_x * dipole_x + dipole_y * dipole_y + dipole_z * dipole_z")))
+    return select(m, {**{k: _moment(k) for k in _moments}, "dipole": r("sqrt(dipole_x * dipole_x + dipole_y * dipole_y + dipole_z * dipole_z)", 1)})
 
 
-@query()
+@query(f"SELECT a.center, wavelength, {r('a.amplitude', 5)} AS amplitude, {r('a.level', 5)} AS level, {r('a.r2', 4)} AS wave_r2, b.r2 AS exponential_r2, b.theta FROM {fit.fit_wave_sql(bins_sql('center'), ['center'])} a JOIN ({fits_text(['center'], bins_sql('center'))}) b ON a.center = b.center")
 def plane_wave_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damped plane wave against the exponential, by weighted R2."""
     b = bins(spark, sf_dir, ["center"])
-    wave = fit.fit_wave(b, ["center"]).withColumnRenamed("r2", "wave_r2")
-    return wave.join(fit.fit_decay(b, ["center"]).select("center", F.col("r2").alias("exponential_r2"), "theta"), "center")
+    wave = select(fit.fit_wave(b, ["center"]), {"center": "center", "wavelength": "wavelength", "amplitude": r("amplitude", 5), "level": r("level", 5), "wave_r2": r("r2", 4)})
+    return wave.join(fits_of(fit.fit_decay(b, ["center"]), ["center"]).select("center", F.col("r2").alias("exponential_r2"), "theta"), "center")
 
 
 _strata = "(CASE WHEN (h_i + h_j) / 2 < 800 THEN 0 WHEN (h_i + h_j) / 2 < 1600 THEN 1 ELSE 2 END) * 3 + (CASE WHEN abs(gm_i + gm_j) / 2 < 20 THEN 0 WHEN abs(gm_i + gm_j) / 2 < 40 THEN 1 ELSE 2 END)"
@@ -109,9 +144,6 @@ def height_latitude_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT quintile, count(*) AS n, {r('avg(h)', 3)} AS mean_height, {r('avg(coherence)')} AS mean_coherence FROM (SELECT coherence, (h_i + h_j) / 2 AS h, ntile(5) OVER (ORDER BY (h_i + h_j) / 2, row) AS quintile FROM {PAIR_DAY_SQL} p WHERE center = 'A') q GROUP BY quintile")
 def height_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from meshlag.operators.resample import shuffled_rank
-    from meshlag.plans.fixtures import pair_day
-
     p = pair_day(spark, sf_dir).where("center = 'A'").selectExpr("coherence", "(h_i + h_j) / 2 AS h", "row")
     n = p.count()
     big, size = n % 5, n // 5
@@ -138,19 +170,26 @@ def equal_weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(fit.fit_decay(bins(spark, sf_dir, ["center"]).withColumn("one", F.lit(1)), ["center"], w="one"), ["center"])
 
 
-@query()
+_single = f"(SELECT *, 1 AS one FROM {BINNED} q WHERE bin BETWEEN 0 AND 39)"
+
+
+@query(fits_text(["center"], _single, r="dist_km", y="coherence", w="one"))
 def pairwise_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on single rows instead of bins: the sums distribute, so no sample is needed."""
     p = binned(spark, sf_dir).withColumn("one", F.lit(1))
-    return fit.fit_decay(p, ["center"], r="dist_km", y="coherence", w="one", together=False)
+    return fits_of(fit.fit_decay(p, ["center"], r="dist_km", y="coherence", w="one", together=False), ["center"])
+
 
+_kappa = geo.kappa_from_mean_cosine("least(abs(mean_coherence), 0.999D)")
+_in_kappa = f"(SELECT *, {_kappa} AS kappa FROM {bins_sql('center')} z)"
 
-@query()
+
+@query(f"SELECT a.center, a.theta AS theta_cosine, a.r2 AS r2_cosine, b.theta AS theta_kappa, b.r2 AS r2_kappa FROM ({fits_text(['center'], bins_sql('center'))}) a JOIN ({fits_text(['center'], _in_kappa, y='kappa')}) b ON a.center = b.center")
 def concentration_space_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay of the concentration parameter beside the decay of the mean cosine."""
-    b = bins(spark, sf_dir, ["center"]).withColumn("kappa", F.expr(geo.kappa_from_mean_cosine("least(abs(mean_coherence), 0.999)")))
-    a = fit.fit_decay(b, ["center"]).select("center", F.col("theta").alias("theta_cosine"), F.col("r2").alias("r2_cosine"))
-    return a.join(fit.fit_decay(b, ["center"], y="kappa").select("center", F.col("theta").alias("theta_kappa"), F.col("r2").alias("r2_kappa")), "center")
+    b = bins(spark, sf_dir, ["center"]).withColumn("kappa", F.expr(_kappa))
+    a = fits_of(fit.fit_decay(b, ["center"]), ["center"]).select("center", F.col("theta").alias("theta_cosine"), F.col("r2").alias("r2_cosine"))
+    return a.join(fits_of(fit.fit_decay(b, ["center"], y="kappa"), ["center"]).select("center", F.col("theta").alias("theta_kappa"), F.col("r2").alias("r2_kappa")), "center")
 
 
 @query(f"SELECT b.center, b.bin, {r('b.mean_coherence', 5)} AS mean_coherence, {r('f.amplitude * exp(-b.distance_km / f.theta) + f.offset_c', 4)} AS predicted, {r('b.mean_coherence - (f.amplitude * exp(-b.distance_km / f.theta) + f.offset_c)', 4)} AS residual FROM {bins_sql('center')} b JOIN {fit.fit_decay_sql(bins_sql('center'), ['center'])} f ON f.center = b.center WHERE b.distance_km BETWEEN 100 AND 5000")
@@ -164,8 +203,6 @@ def bin_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT macro, count(*) AS bins, cast(sum(n) AS bigint) AS n, {r('sum(s1) / sum(n)', 5)} AS mean_coherence, {r('sum(sd) / sum(n)', 3)} AS distance_km FROM (SELECT *, cast(floor((sum(n) OVER (ORDER BY bin) - n) / ((sum(n) OVER ()) / 10.0)) AS int) AS macro FROM (SELECT bin, sum(s1) AS s1, sum(sd) AS sd, sum(n) AS n FROM {STATES} s GROUP BY bin) t) u GROUP BY macro")
 def equal_count_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro bins of about a tenth of the rows each, by the count before a bin."""
-    from pyspark.sql import Window
-
     s = accumulate(binned(spark, sf_dir), []).withColumn("one", F.lit(1))  # at most 40 rows
     w = Window.partitionBy("one")
     macro = F.floor((F.sum("n").over(w.orderBy("bin")) - F.col("n")) / (F.sum("n").over(w) / 10.0)).cast("int")

@@ -68,32 +68,45 @@ def one_sample_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.count("*").alias("events"), F.expr(r("avg(x)")).alias("mean_effect"), F.expr(r("avg(x) / (stddev_samp(x) / sqrt(count(*)))", 4)).alias("t_stat"))
 
 
-@query()
+CENTRES, WIDTHS = [float(x) for x in range(-20, 21, 2)], [3.0, 5.0, 10.0, 15.0, 20.0]
+_peak = {"event_id": "event_id", "centre": "centre", "width": "width", "amplitude": r("amplitude", 5), "level": r("level", 5), "r2": r("r2", 4), "se_amplitude": r("se_amplitude", 5), "n": "n", "significant": "coalesce(abs(amplitude) > 2 * se_amplitude, false)"}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _peak.items())} FROM {fit.fit_peak_sql(around_sql(DAILY_SQL, events_sql(), 60), ['event_id'], 'offset_d', 'm', CENTRES, WIDTHS)} f")
 def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian peak of each event's daily curve, over a grid of centres and widths."""
     a = around(daily(spark, sf_dir), events_calendar(spark, sf_dir), 60)
-    return fit.fit_peak(a, ["event_id"], "offset", "m", list(range(-20, 21, 2)), [3, 5, 10, 15, 20])
+    return select(fit.fit_peak(a, ["event_id"], "offset", "m", CENTRES, WIDTHS), _peak)
 
 
-@query()
+@query(f"""SELECT o AS day_offset, {r('x')} AS median_m, {r('CASE WHEN c = 3 THEN med END')} AS rolling FROM (SELECT o, x, median(x) OVER w AS med, count(x) OVER w AS c FROM (
+    SELECT o, median(m) AS x FROM range(-20, 21) t(o) LEFT JOIN {around_sql(DAILY_SQL, events_sql(), 20)} a ON a.offset_d = o GROUP BY o) q WINDOW w AS (ORDER BY o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) z""")
 def event_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median curve over events on the full offset axis, gaps null, with a rolling median."""
     a = around(daily(spark, sf_dir), events_calendar(spark, sf_dir), 20)
     curve = a.groupBy("offset").agg(F.median("m").alias("median_m"))
     axis = spark.range(-20, 21).select(F.col("id").cast("int").alias("offset"))
-    return rolling_median(axis.join(curve, "offset", "left").withColumn("one", F.lit(1)), ["one"], "offset", "median_m", 1, "rolling").drop("one")
+    rolled = rolling_median(axis.join(curve, "offset", "left").withColumn("one", F.lit(1)), ["one"], "offset", "median_m", 1, "rolling")
+    return select(rolled, {"day_offset": "offset", "median_m": r("median_m"), "rolling": r("rolling")})
 
 
 _phase_s = "atan2(sum(abs(coherence) * sin(phase)), sum(abs(coherence) * cos(phase)))"
 
 
-@query()
+_phases = f"(SELECT date, {_phase_s} AS phase FROM {PAIR_DAY_SQL} p GROUP BY date)"
+_turned = f"(SELECT event_id, offset_d, phase, coalesce(phase - lag(phase) OVER w, 0) AS step FROM {around_sql(_phases, events_sql(), 20)} a WINDOW w AS (PARTITION BY event_id ORDER BY offset_d))"
+_unwrapped = f"(SELECT event_id, cast(offset_d AS double) AS t, phase + sum(-2 * pi() * ceil((step - pi()) / (2 * pi()))) OVER (PARTITION BY event_id ORDER BY offset_d) AS u FROM {_turned} q)"
+_slopes = f"(SELECT event_id, t, coalesce((hs * hs * a + hd * hd * b) / (hs * hd * (hd + hs)), a / hd, b / hs) AS g FROM (SELECT event_id, t, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, u - lag(u) OVER w AS b, lead(u) OVER w - u AS a FROM {_unwrapped} z WINDOW w AS (PARTITION BY event_id ORDER BY t)) y)"
+
+
+@query(f"SELECT event_id, {r('avg(CASE WHEN t BETWEEN -5 AND -1 THEN g END)', 5)} AS before, {r('avg(CASE WHEN t BETWEEN 1 AND 5 THEN g END)', 5)} AS after FROM {_slopes} x GROUP BY event_id")
 def phase_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unwrapped daily phase around events, its gradient, and its mean before and after the day."""
     p = pair_day(spark, sf_dir, False).groupBy("date").agg(F.expr(_phase_s).alias("phase"))
     a = around(p, events_calendar(spark, sf_dir), 20).withColumn("t", F.col("offset").cast("double"))
     g = gradient(unwrap(a, ["event_id"], "t", "phase"), ["event_id"], "t", "unwrapped")
-    return g.groupBy("event_id").agg(F.avg(F.when(F.col("offset").between(-5, -1), F.col("gradient"))).alias("before"), F.avg(F.when(F.col("offset").between(1, 5), F.col("gradient"))).alias("after"))
+    sides = g.groupBy("event_id").agg(F.avg(F.when(F.col("offset").between(-5, -1), F.col("gradient"))).alias("before"), F.avg(F.when(F.col("offset").between(1, 5), F.col("gradient"))).alias("after"))
+    return select(sides, {"event_id": "event_id", "before": r("before", 5), "after": r("after", 5)})
 
 
 @query(f"""SELECT ph AS phase, count(*) AS bins, {r('avg(m)')} AS mean_of_means FROM (
@@ -158,7 +171,12 @@ def weekly_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("week").agg(F.expr(r("avg(coherence)")).alias("collective"), F.expr(r("stddev_samp(coherence)")).alias("spread"), F.count("*").alias("n"), F.countDistinct(F.col("i") * 100 + F.col("j")).alias("pairs"))
 
 
-@query()
+_weeks = f"(SELECT center, cast(floor({_days} / 7) AS int) AS week, {_phase_s} AS direction, avg(coherence) AS collective FROM {PAIR_DAY_SQL} p GROUP BY 1, 2)"
+_rotation = {"center": "center", "week": "week", "direction": r("direction", 5), "collective": r("collective"), "turn": r("turn", 5), "sampled": "k % 4 = 1"}
+
+
+@query(f"""SELECT {', '.join(f'{v} AS {k}' for k, v in _rotation.items())} FROM (SELECT *, d + pi() - 2 * pi() * floor((d + pi()) / (2 * pi())) - pi() AS turn FROM (
+    SELECT *, direction - lag(direction) OVER w AS d, row_number() OVER w AS k FROM {_weeks} q WINDOW w AS (PARTITION BY center ORDER BY week)) z) y""")
 def network_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of the weekly mean phase, its wrapped change from week to week and every fourth week."""
     from meshlag.operators.series import wrapped_step
@@ -166,7 +184,7 @@ def network_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pair_day(spark, sf_dir, False).withColumn("week", F.floor(F.datediff("date", F.lit("2000-01-01").cast("date")) / 7).cast("int"))
     weekly = p.groupBy("center", "week").agg(F.expr(_phase_s).alias("direction"), F.avg("coherence").alias("collective"))
     turned = wrapped_step(weekly, ["center"], "week", "direction")
-    return turned.withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("week"))).withColumn("sampled", F.col("k") % 4 == 1).drop("k")
+    return turned.withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("week"))).transform(lambda df: select(df, _rotation))
 
 
 @query(f"SELECT {geo.kp_class('kp_index')} AS activity, count(*) AS days, {r('avg(m)')} AS mean_coherence, {r('stddev_samp(m)')} AS sd FROM {DAILY_SQL} d JOIN {EXTERNAL_SQL} x ON x.date = d.date GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlag.functions import geo
 from meshlag.operators import fit
 from meshlag.operators.stats import correct, p_of_f, p_of_r, p_of_t
-from meshlag.plans.decay import bins
+from meshlag.plans.decay import ERRORS, bins, bins_sql
 from meshlag.plans.fixtures import DAILY_SQL, EXTERNAL_SQL, PAIR_DAY_SQL, daily, external_daily, pair_day, read
 from meshlag.plans.registry import query, r, select
 from meshlag.sources.tables import as_columns, p_values, resolve_codes, validate_activity
@@ -60,7 +60,11 @@ def resolved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_codes(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name")).distinct(), s.select(F.col("s_name").alias("short_code")))
 
 
-@query()
+_tries = ["u", "substr(u, 1, 4)", "regexp_replace(u, '[0-9]', '', 'g')", "substr(u, 1, cast(greatest(length(u) - 3, 0) AS bigint))", "substr(u, 1, 3)"]
+_known = "(SELECT DISTINCT upper(s_name) AS k, s_name AS v FROM supplier)"
+
+
+@query(f"SELECT name, coalesce({', '.join(f't{k}.v' for k in range(5))}) AS resolved FROM (SELECT name, upper(name) AS u FROM (SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer) q) n {' '.join(f'LEFT JOIN {_known} t{k} ON t{k}.k = {x}' for k, x in enumerate(_tries))}")
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's and customer's name looked up among the suppliers; unknown names resolve to null."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
@@ -74,13 +78,17 @@ def activity_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(v, {"kp_ok": "kp_ok", "ap_ok": "ap_ok", "f107_ok": "f107_ok", "kp_f107_corr": r("kp_f107_corr", 4)})
 
 
-@query()
+_agreement = {"center": "center", "weighted": r("weighted", 1), "equal": r("equal", 1), "change": r("abs(equal - weighted) / weighted", 3), "consistent": "abs(equal - weighted) <= 2 * se_theta AND abs(equal - weighted) / weighted < 0.2"}
+_equal = fit.fit_decay_sql(f"(SELECT *, 1 AS one FROM {bins_sql('center')} z)", ["center"], w="one")
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _agreement.items())} FROM (SELECT a.center, a.theta AS weighted, a.se_theta, b.theta AS equal FROM {ERRORS} a JOIN {_equal} b ON a.center = b.center WHERE a.amplitude > 0.0001 AND b.amplitude > 0.0001) s")
 def cross_method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted and equal-weight decay lengths side by side, within 20 % or not."""
+    """Weighted and equal-weight decay lengths of the centres that decay, side by side, within 20 % or not."""
     b = bins(spark, sf_dir, ["center"])
-    a = fit.fit_decay(b, ["center"], errors=True).select("center", F.col("theta").alias("weighted"), "se_theta")
-    e = fit.fit_decay(b.withColumn("one", F.lit(1)), ["center"], w="one").select("center", F.col("theta").alias("equal"))
-    return a.join(e, "center").withColumns({"change": F.expr("abs(equal - weighted) / weighted"), "consistent": F.expr("abs(equal - weighted) <= 2 * se_theta AND abs(equal - weighted) / weighted < 0.2")})
+    a = fit.fit_decay(b, ["center"], errors=True).where("amplitude > 0.0001").select("center", F.col("theta").alias("weighted"), "se_theta")
+    e = fit.fit_decay(b.withColumn("one", F.lit(1)), ["center"], w="one").where("amplitude > 0.0001").select("center", F.col("theta").alias("equal"))
+    return select(a.join(e, "center"), _agreement)
 
 
 @query()

@@ -9,8 +9,8 @@ from meshlag.config import DEFAULT
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, distance_bin, finalise
 from meshlag.functions.cut import cut
-from meshlag.operators import fit, resample
-from meshlag.plans.decay import bins
+from meshlag.operators import fit, resample, stats
+from meshlag.plans.decay import bins, bins_sql, fits_of, fits_text
 from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, binned, pair_day, station
 from meshlag.plans.pairs import BINNED
 from meshlag.plans.registry import query, r, select
@@ -33,18 +33,28 @@ def leave_one_month_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(resample.leave_out(cut(accumulate(b, ["month"])), "month"), {"month": "month", "bin": "bin", **_state})
 
 
-@query()
+_without = "(SELECT p.{k}, b.bin, avg(b.coherence) AS mean_coherence, avg(b.dist_km) AS distance_km, count(*) AS n FROM {p} p JOIN {b} b ON {on} WHERE b.bin BETWEEN 0 AND 39 GROUP BY 1, 2 HAVING count(*) >= 50)"
+_stations = _without.format(k="station", p=f"(SELECT id AS station FROM {STATION_SQL} s)", b=BINNED, on="b.i <> p.station AND b.j <> p.station")
+#: By subtraction here too: each day times all rows is too much for a twin.
+_days = f"""(SELECT d.date, d.bin, (t.s1 - coalesce(o.s1, 0)) / (t.n - coalesce(o.n, 0)) AS mean_coherence, (t.sd - coalesce(o.sd, 0)) / (t.n - coalesce(o.n, 0)) AS distance_km, t.n - coalesce(o.n, 0) AS n
+    FROM (SELECT DISTINCT z.date, y.bin FROM {BINNED} z, (SELECT DISTINCT bin FROM {BINNED} x WHERE bin BETWEEN 0 AND 39) y WHERE z.bin BETWEEN 0 AND 39) d
+    JOIN (SELECT bin, sum(coherence) AS s1, sum(dist_km) AS sd, count(*) AS n FROM {BINNED} w GROUP BY bin) t ON t.bin = d.bin
+    LEFT JOIN (SELECT date, bin, sum(coherence) AS s1, sum(dist_km) AS sd, count(*) AS n FROM {BINNED} v GROUP BY 1, 2) o ON o.date = d.date AND o.bin = d.bin WHERE t.n - coalesce(o.n, 0) >= 50)"""
+
+
+@query(fits_text(["station"], _stations))
 def leave_one_station_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without each station, all in one job."""
     parts = cut(resample.by_station(binned(spark, sf_dir)))
-    return fit.fit_decay(finalise(resample.leave_out(parts, "station", 2)), ["station"])
+    names = station(spark, sf_dir).select(F.col("id").alias("station"))
+    return fits_of(fit.fit_decay(finalise(resample.leave_out(parts, "station", 2, names)), ["station"]), ["station"])
 
 
-@query()
+@query(fits_text(["date"], _days))
 def leave_one_day_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without each day."""
     parts = cut(accumulate(binned(spark, sf_dir), ["date"]))
-    return fit.fit_decay(finalise(resample.leave_out(parts, "date")), ["date"])
+    return fits_of(fit.fit_decay(finalise(resample.leave_out(parts, "date")), ["date"]), ["date"])
 
 
 _fold = f"(year(date) * 12 + month(date)) % {DEFAULT.monthly_folds}"
@@ -71,7 +81,13 @@ def monthly_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(fit.fit_decay(train, ["fold"]), finalise(parts, 10), "fold")
 
 
-@query()
+_blocks = f"(SELECT id, cast(floor((row_number() OVER (ORDER BY md5(cast(id AS varchar))) - 1) / {DEFAULT.station_block}) AS int) AS block FROM {STATION_SQL} s)"
+_blocked = f"(SELECT q.*, a.block AS b_i, b.block AS b_j FROM {BINNED} q JOIN {_blocks} a ON a.id = q.i JOIN {_blocks} b ON b.id = q.j WHERE bin BETWEEN 0 AND 39)"
+_block_train = _without.format(k="block", p=f"(SELECT DISTINCT block FROM {_blocks} s)", b=_blocked, on="b.b_i <> p.block AND b.b_j <> p.block")
+_block_held = f"(SELECT p.block, b.bin, avg(b.coherence) AS mean_coherence, avg(b.dist_km) AS distance_km, count(*) AS n FROM (SELECT DISTINCT block FROM {_blocks} s) p JOIN {_blocked} b ON b.b_i = p.block OR b.b_j = p.block GROUP BY 1, 2 HAVING count(*) >= 10)"
+
+
+@query(f"SELECT block, {', '.join(f'{v} AS {k}' for k, v in _score.items())} FROM (SELECT h.block, h.n, h.mean_coherence AS y, f.amplitude * exp(-h.distance_km / f.theta) + f.offset_c AS p FROM {_block_held} h JOIN {fit.fit_decay_sql(_block_train, ['block'])} f ON f.block = h.block) s GROUP BY block")
 def station_block_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of stations in hash order; the held-out rows of a block are all pairs that touch it."""
     s = station(spark, sf_dir).withColumn("one", F.lit(1))  # the dimension of places
@@ -85,40 +101,55 @@ def station_block_cross_validation(spark: SparkSession, sf_dir: str) -> DataFram
     return scored(fit.fit_decay(train, ["block"]), finalise(parts, 10).where("n >= 10"), "block")
 
 
-@query()
+_run = "OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING)"
+_folded = {"fold": "fold", "theta": r("theta", 1), "mean": r("mean", 1), "sd": r("sd", 0), "cv": r("sd / mean", 3), "running_mean": r("running_mean", 1), "running_sd": r("running_sd", 0), "outlier": "theta < q1 - 1.5 * (q3 - q1) OR theta > q3 + 1.5 * (q3 - q1)"}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _folded.items())} FROM (SELECT fold, theta, avg(theta) OVER () AS mean, stddev_pop(theta) OVER () AS sd, avg(theta) {_run} AS running_mean, stddev_pop(theta) {_run} AS running_sd, quantile_cont(theta, 0.25) OVER () AS q1, quantile_cont(theta, 0.75) OVER () AS q3 FROM {fit.fit_decay_sql(_train, ['fold'])} f WHERE amplitude > 0.0001) s")
 def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation and relative deviation of the folds' decay lengths, IQR outliers, running means."""
+    """Mean, deviation and relative deviation of the decay lengths of the folds that decay, IQR outliers, running means."""
     b = binned(spark, sf_dir).withColumn("fold", F.expr(_fold))
-    f = fit.fit_decay(finalise(resample.leave_out(cut(accumulate(b, ["fold"])), "fold")), ["fold"]).withColumn("one", F.lit(1))
+    f = fit.fit_decay(finalise(resample.leave_out(cut(accumulate(b, ["fold"])), "fold")), ["fold"]).where("amplitude > 0.0001").withColumn("one", F.lit(1))
     q = F.percentile("theta", [0.25, 0.75]).over(Window.partitionBy("one"))
     run = Window.partitionBy("one").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     w = Window.partitionBy("one")
-    return f.withColumn("q", q).select("fold", "theta", F.avg("theta").over(w).alias("mean"), F.stddev_pop("theta").over(w).alias("sd"), (F.stddev_pop("theta").over(w) / F.avg("theta").over(w)).alias("cv"), F.avg("theta").over(run).alias("running_mean"), F.stddev_pop("theta").over(run).alias("running_sd"), F.expr("theta < q[0] - 1.5 * (q[1] - q[0]) OR theta > q[1] + 1.5 * (q[1] - q[0])").alias("outlier"))
+    s = f.withColumn("q", q).select("fold", "theta", F.avg("theta").over(w).alias("mean"), F.stddev_pop("theta").over(w).alias("sd"), F.avg("theta").over(run).alias("running_mean"), F.stddev_pop("theta").over(run).alias("running_sd"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    return select(s, _folded)
 
 
-@query()
+_regioned = f"(SELECT *, {geo.region('lon_i')} AS r_i, {geo.region('lon_j')} AS r_j FROM {BINNED} q WHERE bin BETWEEN 0 AND 39)"
+_regions = _without.format(k="region", p=f"(SELECT DISTINCT r_i AS region FROM {_regioned} s UNION SELECT r_j FROM {_regioned} t)", b=_regioned, on="b.r_i <> p.region AND b.r_j <> p.region")
+
+
+@query(fits_text(["region"], _regions))
 def regional_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without all pairs that touch a region."""
     b = binned(spark, sf_dir).withColumns({f"r_{e}": F.expr(geo.region(f"lon_{e}")) for e in "ij"})
     totals, parts = resample.by_either_end(b, "r_i", "r_j", "region")
-    return fit.fit_decay(finalise(resample.leave_out(parts, "region", totals=totals)), ["region"])
+    return fits_of(fit.fit_decay(finalise(resample.leave_out(parts, "region", totals=totals)), ["region"]), ["region"])
 
 
-@query()
+_by_center = bins_sql("center")
+
+
+@query(fits_text(["center", "dropped"], f"(SELECT a.*, b.bin AS dropped FROM {_by_center} a JOIN {_by_center} b ON a.center = b.center AND a.bin <> b.bin)"))
 def drop_one_bin_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refit without each bin of each centre."""
     b = bins(spark, sf_dir, ["center"])
     dropped = b.select("center", F.col("bin").alias("dropped"))
-    return fit.fit_decay(b.join(dropped, "center").where("bin <> dropped"), ["center", "dropped"])
+    return fits_of(fit.fit_decay(b.join(dropped, "center").where("bin <> dropped"), ["center", "dropped"]), ["center", "dropped"])
 
 
-@query()
+_tenth = f"(SELECT * FROM (SELECT b.*, replicate, row_number() OVER (PARTITION BY center, replicate ORDER BY md5(replicate || '#' || bin)) AS h, count(*) OVER (PARTITION BY center, replicate) AS m FROM {_by_center} b, range(1, 21) t(replicate)) q WHERE h > ceil(m / 10.0))"
+
+
+@query(fits_text(["center", "replicate"], _tenth))
 def bin_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty refits, each without about a tenth of the bins in hash order."""
     b = bins(spark, sf_dir, ["center"]).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
     w = Window.partitionBy("center", "replicate")
     kept = b.withColumn("h", F.row_number().over(w.orderBy(F.md5(F.concat_ws("#", "replicate", "bin"))))).withColumn("m", F.count("*").over(w)).where(F.col("h") > F.ceil(F.col("m") / 10))
-    return fit.fit_decay(kept, ["center", "replicate"])
+    return fits_of(fit.fit_decay(kept, ["center", "replicate"]), ["center", "replicate"])
 
 
 @query()
@@ -215,25 +246,41 @@ def null_summary(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT.nul
     return nulls.groupBy("null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
-@query()
+_u = lambda k: f"((row * {k} % 1000003 + 1) / 1000005D)"  # noqa: E731  a congruence draws alike in every engine
+NOISE = {"gaussian": f"sqrt(-2 * ln({_u(48_271)})) * cos(2 * pi() * {_u(69_621)})", "uniform": f"2 * {_u(48_271)} - 1", "cosine": f"cos(2 * pi() * {_u(39_373)})"}
+_noise = f"CASE flavour {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in NOISE.items())} END"
+_noisy = f"(SELECT b.center, b.bin, b.dist_km, flavour, {_noise} AS coherence FROM {BINNED} b, (VALUES {', '.join(f'({chr(39)}{k}{chr(39)})' for k in NOISE)}) t(flavour))"
+
+
+@query(fits_text(["center", "flavour"], bins_sql("center, flavour", _noisy)))
 def structureless_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-normal values on the true pair geometry."""
-    u = lambda k: f"((pmod(xxhash64(row, {k}), 1000003) + 1) / 1000005D)"
-    b = binned(spark, sf_dir).withColumn("coherence", F.expr(f"sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(2)})"))
-    return fit.fit_decay(finalise(accumulate(b, ["center"])), ["center"])
+    """Gaussian, uniform and cosine noise on the true pair geometry."""
+    b = binned(spark, sf_dir).withColumn("flavour", F.explode(F.array(*[F.lit(k) for k in NOISE]))).withColumn("coherence", F.expr(_noise))
+    return fits_of(fit.fit_decay(finalise(accumulate(b, ["center", "flavour"])), ["center", "flavour"]), ["center", "flavour"])
 
 
-@query()
+_spread = {"centers": "count(*)", "mean": r("avg(theta)", 1), "sd": r("stddev_pop(theta)", 0), "cv": r("stddev_pop(theta) / avg(theta)", 3), "consistent": "stddev_pop(theta) / avg(theta) < 0.2"}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _spread.items())} FROM {fit.fit_decay_sql(_by_center, ['center'])} f WHERE theta BETWEEN 100 AND 20000 AND amplitude > 0.0001")
 def multi_center_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and relative deviation of the decay length over centres, and the verdict at 0.2."""
-    f = fit.fit_decay(bins(spark, sf_dir, ["center"]), ["center"]).where("theta BETWEEN 100 AND 20000 AND amplitude > 0")
-    return f.agg(F.count("*").alias("centers"), F.avg("theta").alias("mean"), F.stddev_pop("theta").alias("sd"), (F.stddev_pop("theta") / F.avg("theta")).alias("cv"), ((F.stddev_pop("theta") / F.avg("theta")) < 0.2).alias("consistent"))
+    f = fit.fit_decay(bins(spark, sf_dir, ["center"]), ["center"]).where("theta BETWEEN 100 AND 20000 AND amplitude > 0.0001")
+    return f.agg(*[F.expr(v).alias(k) for k, v in _spread.items()])
 
 
-@query()
+RANGES = 5
+_valid = f"(SELECT *, round(dist_km, 6) AS d6 FROM {BINNED} q WHERE bin BETWEEN 0 AND 39)"
+_limits = f"(SELECT k, min(d6) AS lim FROM (SELECT d6, sum(n) OVER (ORDER BY d6) AS c, sum(n) OVER () AS t FROM (SELECT d6, count(*) AS n FROM {_valid} v GROUP BY 1) g) h, range(1, {RANGES}) s(k) WHERE c >= t * k / {RANGES}.0 GROUP BY k)"
+_ranged = f"(SELECT v.*, (SELECT count(*) FROM {_limits} l WHERE v.d6 >= l.lim) AS range_id FROM {_valid} v)"
+
+
+@query(fits_text(["range_id"], _without.format(k="range_id", p=f"(SELECT * FROM range(0, {RANGES}) t(range_id))", b=_ranged, on="b.range_id <> p.range_id")))
 def distance_range_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five equal-count distance ranges by quantiles of all rows; a refit without each."""
-    b = binned(spark, sf_dir)
-    cuts = b.agg(F.percentile_approx("dist_km", [0.2, 0.4, 0.6, 0.8], 1000).alias("c")).first()["c"] or [0.0] * 4
-    ranged = b.withColumn("range", sum((F.col("dist_km") >= c).cast("int") for c in cuts))
-    return fit.fit_decay(finalise(resample.leave_out(cut(accumulate(ranged, ["range"])), "range")), ["range"])
+    """Five equal-count distance ranges by exact quantiles of all rows; a refit without each."""
+    b = binned(spark, sf_dir).withColumn("d6", F.round("dist_km", 6))
+    counts = b.groupBy("d6").agg(F.count("*").alias("n"))
+    limits = stats.weighted_percentile(counts, [], "d6", "n", [k / RANGES for k in range(1, RANGES)])
+    cuts = [x["percentile"] for x in limits.collect()]  # four rows
+    ranged = b.withColumn("range_id", sum(((F.col("d6") >= c).cast("int") for c in cuts), F.lit(0)))
+    return fits_of(fit.fit_decay(finalise(resample.leave_out(cut(accumulate(ranged, ["range_id"])), "range_id")), ["range_id"]), ["range_id"])

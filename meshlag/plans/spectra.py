@@ -71,7 +71,14 @@ def _class(a: str, b: str) -> str:
 _near = _class("sa", "sb")
 
 
-@query()
+METRICS = ("cos_phase", "imag_coherency", "pli", "wpli")
+_measured = f"""(SELECT i, j, cos(atan2(sum(sim), sum(sre))) AS cos_phase, avg(CASE WHEN pxx * pyy > 0 THEN abs(sim) / sqrt(pxx * pyy) END) AS imag_coherency, abs(avg(sign(sim))) AS pli, CASE WHEN sum(abs(sim)) > 0 THEN abs(sum(sim)) / sum(abs(sim)) END AS wpli FROM {CROSS} c GROUP BY blk, i, j)"""
+_measures = f"(SELECT metric, 1 AS one, {geo.great_circle('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dist_km, CASE metric {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {m}' for m in METRICS)} END AS value FROM {_measured} p JOIN {STATION_SQL} a ON a.id = p.i JOIN {STATION_SQL} b ON b.id = p.j, (VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in METRICS)}) t(metric))"
+_metric_fits = fit.fit_decay_sql(_measures, ["metric"], r="dist_km", y="value", w="one")
+_verdict = {"metric": "metric", "amplitude": r("amplitude", 3), "r2": r("r2", 3), "robust_r2": r("robust_r2", 3), "zero_lag_suspect": "metric = 'cos_phase' AND r2 > 2 * robust_r2"}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _verdict.items())} FROM (SELECT *, max(CASE WHEN metric <> 'cos_phase' THEN r2 END) OVER () AS robust_r2 FROM {_metric_fits} f) s")
 def zero_lag_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay of each measure over distance: a signal that only the cosine shows is suspect of zero lag."""
     m = spectral.pair_measures(cross(spark, sf_dir), ["blk"]).withColumn("cos_phase", F.cos("phase"))
@@ -79,11 +86,10 @@ def zero_lag_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     for e in "ij":
         m = m.join(s.select(F.col("id").alias(e), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}")), e)
     m = m.withColumn("dist_km", F.expr(geo.great_circle("lat_i", "lon_i", "lat_j", "lon_j")))
-    names = ["cos_phase", "imag_coherency", "pli", "wpli"]
-    long = m.select("dist_km", F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in names)}) AS (metric, value)")).withColumn("one", F.lit(1))
+    long = m.select("dist_km", F.expr(f"stack({len(METRICS)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in METRICS)}) AS (metric, value)")).withColumn("one", F.lit(1))
     fits = fit.fit_decay(long, ["metric"], r="dist_km", y="value", w="one")
     robust = fits.where("metric <> 'cos_phase'").agg(F.max("r2").alias("robust_r2"))
-    return fits.join(F.broadcast(robust), F.lit(True)).withColumn("zero_lag_suspect", F.expr("metric = 'cos_phase' AND r2 > 2 * robust_r2"))  # one row
+    return select(fits.join(F.broadcast(robust), F.lit(True)), _verdict)  # one row
 
 
 _win = "(SELECT st, w, avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n FROM (SELECT user_id % 8 AS st, value, unnest([cast(floor(epoch_us(ts) / 3600000000) AS bigint), cast(floor(epoch_us(ts) / 3600000000) AS bigint) - 1]) AS w FROM events) q GROUP BY 1, 2)"

@@ -79,45 +79,59 @@ DIAGNOSE: Steps = [
 ]
 
 
-def _points(bins: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    g = bins.withColumn("g", F.expr(model.g("r", "theta")))
+def _case(models: list[Model], value) -> str:
+    """`value` of the row's model; models are told apart by the column `model`."""
+    if len(models) == 1:
+        return value(models[0])
+    return "CASE model " + " ".join(f"WHEN '{m.name}' THEN {value(m)}" for m in models) + " END"
+
+
+def _points(bins: DataFrame, keys: list[str], models: list[Model]) -> DataFrame:
+    g = bins.withColumn("g", F.expr(_case(models, lambda m: m.g("r", "theta"))))
     sums = g.groupBy(*keys, "theta").agg(*[F.expr(v).alias(k) for k, v in SUMS.items()])
     best = apply(sums, SOLVE).groupBy(*keys).agg(F.min_by(F.struct(*BEST), F.struct("wrss", "theta")).alias("best"))
     return best.select(*keys, "best.*")
 
 
-def fit_decay(bins: DataFrame, keys: list[str], model: str | Model = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n", errors: bool = False, together: bool = True) -> DataFrame:
-    """One row for each group of `keys`: theta, amplitude, offset_c, wrss, r2, aic, bic, n_bins, at_bound.
+def fit_decay(
+    bins: DataFrame, keys: list[str], model: str | Model | list[str | Model] = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n", errors: bool = False, together: bool = True
+) -> DataFrame:
+    """One row for each group of `keys` and model: theta, amplitude, offset_c, wrss, r2, aic, bic, n_bins, at_bound, model.
 
-    `together` moves each group to one task once, which suits bins (a few dozen rows a group); without it
-    the sums are combined across tasks, which suits fits on single rows. Weights are `w` (sigma = 1/sqrt(w)). Groups of under four bins are left out. The grid is refined around
-    each group's best point three times, to about two parts in 10**5 of theta.
+    `together` moves each group to one task once, which suits bins (a few dozen rows a group); without it the
+    sums are combined across tasks, which suits fits on single rows. A list of models is fitted in the same
+    few aggregations, with the model as a further key. Weights are `w` (sigma = 1/sqrt(w)). Groups of under
+    four bins are left out. The grid is refined around each group's best point three times, to about two parts
+    in 10**5 of theta.
     """
-    if taken := {"r", "y", "w", "g", "theta", "centre", *SUMS} & set(keys):
+    if taken := {"r", "y", "w", "g", "theta", "centre", "model", *SUMS} & set(keys):
         raise ValueError(f"these names are used inside the fit: {sorted(taken)}")
-    model = MODELS[model] if isinstance(model, str) else model
+    models = [MODELS[m] if isinstance(m, str) else m for m in (model if isinstance(model, list) else [model])]
     base = bins.select(*keys, F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w")).where("r IS NOT NULL AND y IS NOT NULL AND w > 0")
     base = cut(base)  # the rounds below read it again, not the facts behind it
+    if len(models) > 1:
+        base, keys = base.withColumn("model", F.explode(F.array(*[F.lit(m.name) for m in models]))), [*keys, "model"]
     if together and keys:
         base = base.repartition(*keys)  # all sums of a group are then taken where it lies
-    log_step = f"(ln({model.high / model.low!r}) / {GRID})"
-    grid = F.expr(f"transform(sequence(0, {GRID}), k -> {model.low!r} * exp(k * {log_step}))")
-    best = _points(base.withColumn("theta", F.explode(grid)), keys, model)
+    low, high, log_step = (_case(models, f) for f in (lambda m: repr(float(m.low)), lambda m: repr(float(m.high)), lambda m: f"(ln({m.high / m.low!r}) / {GRID})"))
+    grid = F.expr(f"transform(sequence(0, {GRID}), k -> {low} * exp(k * {log_step}))")
+    best = _points(base.withColumn("theta", F.explode(grid)), keys, models)
     for level in range(1, REFINE + 1):
-        near = F.expr(f"transform(sequence(-{HALF}, {HALF}), k -> least({model.high!r}, greatest({model.low!r}, centre * exp(k * {log_step} / {HALF**level}))))")
+        near = F.expr(f"transform(sequence(-{HALF}, {HALF}), k -> least({high}, greatest({low}, centre * exp(k * {log_step} / {HALF**level}))))")
         centres = best.select(*keys, F.col("theta").alias("centre"))
         joined = base.join(centres, keys) if keys else base.crossJoin(F.broadcast(centres))
-        best = _points(joined.withColumn("theta", F.explode(F.array_distinct(near))), keys, model)
+        best = _points(joined.withColumn("theta", F.explode(F.array_distinct(near))), keys, models)
     out = apply(best, DIAGNOSE).where("n_bins >= 4")
-    out = out.withColumn("at_bound", F.expr(f"theta <= {model.low * 1.0001!r} OR theta >= {model.high * 0.9999!r}")).withColumn("model", F.lit(model.name))
+    out = out.withColumn("at_bound", F.expr(f"theta <= {low} * 1.0001D OR theta >= {high} * 0.9999D"))
     if errors:
         at = out.select(*keys, "theta", "amplitude")
         joined = base.join(at, keys) if keys else base.crossJoin(F.broadcast(at))
-        slope = f"amplitude * ({model.g('r', 'theta * 1.0001')} - {model.g('r', 'theta * 0.9999')}) / (0.0002 * theta)"
-        sums = joined.withColumns({"g": F.expr(model.g("r", "theta")), "d": F.expr(slope)})
+        slope = _case(models, lambda m: f"amplitude * ({m.g('r', 'theta * 1.0001')} - {m.g('r', 'theta * 0.9999')}) / (0.0002 * theta)")
+        sums = joined.withColumns({"g": F.expr(_case(models, lambda m: m.g("r", "theta"))), "d": F.expr(slope)})
         sums = sums.groupBy(*keys).agg(*[F.expr(f"sum(w * {x})").alias(k) for k, x in {"e_w": "1", "e_g": "g", "e_gg": "g * g", "e_d": "d", "e_gd": "g * d", "e_dd": "d * d"}.items()])
         out = (out.join(sums, keys) if keys else out.crossJoin(F.broadcast(sums))).withColumn("se_theta", F.expr("sqrt(wrss / (n_bins - 3) / (e_dd - (e_gd * e_gd * e_w - 2 * e_gd * e_d * e_g + e_d * e_d * e_gg) / (e_gg * e_w - e_g * e_g)))")).drop("e_w", "e_g", "e_gg", "e_d", "e_gd", "e_dd")
-    return out.drop("sw", "sy", "syy", "tss")
+    out = out.drop("sw", "sy", "syy", "tss")
+    return out if len(models) > 1 else out.withColumn("model", F.lit(models[0].name))
 
 
 def fit_decay_sql(bins: str, keys: list[str], model: str | Model = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n") -> str:
@@ -149,12 +163,8 @@ def rank_models(fits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_all(bins: DataFrame, keys: list[str], models: list[str | Model] | None = None, **names) -> DataFrame:
-    """The fits of several models, ranked."""
-    out = None
-    for m in models or ["exponential", "gaussian", "squared_exponential", "power_law", "matern_1_5", "matern_2_5"]:
-        one = fit_decay(bins, keys, m, **names)
-        out = one if out is None else out.unionByName(one)
-    return rank_models(out, keys)
+    """The fits of several models in one job, ranked."""
+    return rank_models(fit_decay(bins, keys, models or ["exponential", "gaussian", "squared_exponential", "power_law", "matern_1_5", "matern_2_5"], **names), keys)
 
 
 def harmonic_sums(phase: str, y: str) -> dict[str, str]:

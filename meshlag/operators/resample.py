@@ -50,6 +50,23 @@ def by_either_end(pairs: DataFrame, a: str, b: str, part: str) -> tuple[DataFram
     return both.select("bin", *STATE), parts
 
 
+def sufficient(states: DataFrame, part: str, least_train: int, least_held: int) -> DataFrame:
+    """(part, n_train, n_held, sufficient): whether a fold has rows enough to fit on and to be held against.
+
+    `states` are the bin states of the folds; every row lies in one fold.
+    """
+    sizes = states.groupBy(part).agg(F.sum("n").alias("n_held"))
+    whole = sizes.agg(F.sum("n_held").alias("all_"))  # one row
+    out = sizes.join(F.broadcast(whole), F.lit(True)).withColumn("n_train", F.col("all_") - F.col("n_held"))
+    return out.select(part, "n_train", "n_held", ((F.col("n_train") >= least_train) & (F.col("n_held") >= least_held)).alias("sufficient"))
+
+
+def row_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """About `fraction` of the rows, by a hash of the key and the seed: the same rows whatever the partitions."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return df.where(h < int(fraction * (1 << 32)))
+
+
 def shuffled_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds a global rank 1..n by `order` without a single-partition window.
 

@@ -141,6 +141,42 @@ def morlet_by_series(df: DataFrame, keys: list[str], t: str, y: str, scales: lis
     return df.select(*keys, t, F.col(y).cast("double").alias(y)).groupBy(*keys).applyInPandas(transform, schema)
 
 
+def band_power(spectrum: DataFrame, keys: list[str], period: str, power: str, targets: tuple[float, ...], width: float = 0.2) -> DataFrame:
+    """(keys, target, band_power): mean power over the periods within `width` times a target of it."""
+    rows = spectrum.withColumn("target", F.explode(F.array(*[F.lit(float(x)) for x in targets])))
+    return rows.where(F.abs(F.col(period) - F.col("target")) <= width * F.col("target")).groupBy(*keys, "target").agg(F.avg(power).alias("band_power"))
+
+
+def stable_peak(spectrum: DataFrame, keys: list[str], period: str, power: str, half: int) -> DataFrame:
+    """(keys, peak_period): mean period, weighted by power, over the strongest line and `half` lines on either side."""
+    w = Window.partitionBy(*keys)
+    placed = spectrum.withColumn("_k", F.row_number().over(w.orderBy(period)))
+    near = placed.withColumn("_top", F.max_by("_k", F.struct(F.col(power), -F.col("_k"))).over(w)).where(F.abs(F.col("_k") - F.col("_top")) <= half)
+    return near.groupBy(*keys).agg((F.sum(F.col(period) * F.col(power)) / F.sum(power)).alias("peak_period"))
+
+
+def block_bootstrap_p(df: DataFrame, keys: list[str], idx: str, y: str, n: str, lines: tuple[float, ...], tapers: int, block: int, replicates: int) -> DataFrame:
+    """(keys, line, power, p_value): share of moving-block resamples with at least the observed power at each period.
+
+    A replicate is a list of blocks whose starts are hashed; blocks become places, places meet the series by
+    equality, and the transforms of all replicates are grouped sums. The count of the observed itself is in p.
+    """
+    sizes = df.groupBy(*keys).agg(F.first(n).alias("n")).where(F.col("n") >= block)
+    blocks = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws("#", *keys, F.col("replicate").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long") % (F.col("n") - block + 1)
+    places = blocks.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select(*keys, "replicate", "n", (F.col("b") * block + F.col("o")).alias("at"), (F.col("start") + F.col("o")).alias("src")).where("at < n")
+    base = df.select(*keys, F.col(idx).cast("long").alias("src"), F.col(y).alias("y"))
+    drawn = places.join(base, [*keys, "src"]).select(*keys, "replicate", "at", "n", "y")
+    rows = drawn.unionByName(df.select(*keys, F.lit(0).alias("replicate"), F.col(idx).cast("long").alias("at"), F.col(n).alias("n"), F.col(y).alias("y")))
+    rows = rows.withColumn("taper", F.explode(F.sequence(F.lit(1), F.lit(tapers)))).withColumn("line", F.explode(F.array(*[F.lit(float(x)) for x in lines])))
+    h = F.sqrt(2 / (F.col("n") + 1)) * F.sin(np.pi * F.col("taper") * (F.col("at") + 1) / (F.col("n") + 1))
+    angle = 2 * np.pi * F.col("at") / F.col("line")
+    part = lambda f: F.sum(h * F.col("y") * f(angle)) - F.avg("y") * F.sum(h * f(angle))
+    power = rows.groupBy(*keys, "replicate", "line", "taper").agg(part(F.cos).alias("re"), part(F.sin).alias("im")).groupBy(*keys, "replicate", "line").agg(F.avg(F.expr("re * re + im * im")).alias("power"))
+    real = power.where("replicate = 0").select(*keys, "line", F.col("power").alias("real"))
+    return power.where("replicate > 0").join(real, [*keys, "line"]).groupBy(*keys, "line", F.col("real").alias("power")).agg(((F.sum((F.col("power") >= F.col("real")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
 def ar1_spectrum(frequency: Column, phi: Column, variance: Column) -> Column:
     return variance / (1 + phi * phi - 2 * phi * F.cos(2 * np.pi * frequency))
 

@@ -166,6 +166,50 @@ def wavelet_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
 
 
+#: Fourier period of a Morlet scale for omega 6.
+_period = "scale * 4 * pi() / (6 + sqrt(38.0D))"
+TARGETS = (27.3, 121.75, 182.6)
+_targets = ", ".join(f"({p!r}::double)" for p in TARGETS)
+
+
+@query(f"SELECT center, t, target, {r('avg(power)', 5)} AS band_power FROM (SELECT *, {_period} AS period FROM {MORLET} m) q, (VALUES {_targets}) v(target) WHERE abs(period - target) <= 0.2 * target GROUP BY 1, 2, 3")
+def band_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean wavelet power of each day in bands of a fifth around three periods."""
+    m = series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES)).withColumn("period", F.expr(_period))
+    return series.band_power(m, ["center", "t"], "period", "power", TARGETS).select("center", "t", "target", F.expr(r("band_power", 5)).alias("band_power"))
+
+
+_peaked = f"(SELECT *, first_value(k) OVER (PARTITION BY center, t ORDER BY power DESC, k) AS top FROM (SELECT *, {_period} AS period, row_number() OVER (PARTITION BY center, t ORDER BY scale) AS k FROM {MORLET} m) q)"
+_edge = "least(t - min(t) OVER (PARTITION BY center), max(t) OVER (PARTITION BY center) - t) / sqrt(2.0D)"
+
+
+@query(f"SELECT center, t, {r('p', 3)} AS peak_period, {r(_edge, 3)} AS cone FROM (SELECT center, t, sum(period * power) / sum(power) AS p FROM {_peaked} z WHERE abs(k - top) <= 3 GROUP BY 1, 2) y")
+def stable_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-weighted period around each day's strongest scale, and the longest period the ends of the series don't reach."""
+    m = series.morlet_by_series(by_center(spark, sf_dir), ["center"], "t", "m", list(LONG_SCALES)).withColumn("period", F.expr(_period))
+    peaks = series.stable_peak(m, ["center", "t"], "period", "power", 3)
+    return select(peaks, {"center": "center", "t": "t", "peak_period": r("peak_period", 3), "cone": r(_edge, 3)})
+
+
+LINES = (365.25, 182.6, 121.75, 27.3, 13.7)
+_n = f"(SELECT center, m AS y, row_number() OVER (PARTITION BY center ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY center) AS n FROM {BY_CENTER} b)"
+_block = DEFAULT.spectral_block
+_drawn = f"""(SELECT c.center, p.replicate, c.n, p.b * {_block} + o.o AS idx, cast('0x' || substr(md5(c.center || '#' || p.replicate || '#' || p.b), 1, 8) AS bigint) % (c.n - {_block} + 1) + o.o AS src
+    FROM (SELECT DISTINCT center, n FROM {_n} s) c, (SELECT r AS replicate, b FROM range(1, {DEFAULT.spectral_replicates + 1}) x(r), range(0, 400) y(b)) p, range(0, {_block}) o(o) WHERE p.b * {_block} + o.o < c.n)"""
+_both = f"(SELECT center, 0 AS replicate, idx, n, y FROM {_n} s UNION ALL SELECT d.center, d.replicate, d.idx, d.n, s.y FROM {_drawn} d JOIN {_n} s ON s.center = d.center AND s.idx = d.src)"
+_tapered = f"(SELECT center, replicate, line, tp, y, n, sqrt(2.0 / (n + 1)) * sin(pi() * tp * (idx + 1) / (n + 1)) AS h, 2 * pi() * idx / line AS a FROM {_both} q, range(1, {_mt + 1}) t1(tp), (VALUES {', '.join(f'({x!r}::double)' for x in LINES)}) t2(line))"
+_powers = f"(SELECT center, replicate, line, avg(re * re + im * im) AS power FROM (SELECT center, replicate, line, tp, sum(h * y * cos(a)) - avg(y) * sum(h * cos(a)) AS re, sum(h * y * sin(a)) - avg(y) * sum(h * sin(a)) AS im FROM {_tapered} z GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2, 3)"
+
+
+@query(f"SELECT a.center, a.line AS period, {r('b.power', 5)} AS power, {r('(cast(sum(CASE WHEN a.power >= b.power THEN 1 ELSE 0 END) AS double) + 1) / (count(*) + 1)', 5)} AS p_value FROM {_powers} a JOIN {_powers} b ON a.center = b.center AND a.line = b.line AND b.replicate = 0 WHERE a.replicate > 0 GROUP BY a.center, a.line, b.power")
+def spectral_line_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p of the multitaper power at five periods against a moving-block bootstrap of the series."""
+    w = Window.partitionBy("center")
+    s = by_center(spark, sf_dir).select("center", F.col("m").alias("y"), (F.row_number().over(w.orderBy("t")) - 1).alias("idx"), F.count("*").over(w).alias("n"))
+    p = series.block_bootstrap_p(s, ["center"], "idx", "y", "n", LINES, _mt, _block, DEFAULT.spectral_replicates)
+    return select(p, {"center": "center", "period": "line", "power": r("power", 5), "p_value": r("p_value", 5)})
+
+
 @query()
 def on_off_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days whose power, averaged over 20 to 200 days, exceeds the 95th percentile of AR(1) surrogates' daily power."""

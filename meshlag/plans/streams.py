@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlag.functions.cut import shared_folder
+from meshlag.functions.cut import cut, shared_folder
 from meshlag.plans.fixtures import PHASE, pair_day
 from meshlag.plans.pairs import STATES
 from meshlag.plans.registry import query, r, select
@@ -15,15 +15,29 @@ from meshlag.sources.tables import PAIR_SCHEMA
 from meshlag.streaming import rollups
 
 
-def _drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Runs `stream` over all there is; the last complete state, or all appended rows."""
+def _drain(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs `stream` over all there is: the last complete state or, with `keys`, the last row written for each key.
+
+    With keys only changed rows are written, and state that the watermark has passed is dropped.
+    """
     out = f"{folder}/out"
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.withColumn("batch_", F.lit(n)).write.mode("append" if keys else "overwrite").parquet(out)
+
+    stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    written = stream.sparkSession.read.parquet(out)
+    if not keys:
+        return written.drop("batch_")
+    rest = [c for c in stream.columns if c not in keys]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("s")).select(*keys, "s.*")
+
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+def _arrive(rows: DataFrame, path: str, ts: str, files: int = 4) -> None:
+    """Writes `rows` as files that arrive one after another in the order of `ts`, as a station network delivers them."""
+    placed = cut(rows.repartitionByRange(files, ts).withColumn("part_", F.spark_partition_id()))
+    for k in range(files):
+        placed.where(F.col("part_") == k).drop("part_").coalesce(1).write.mode("append").parquet(path)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -37,26 +51,26 @@ def stream_bin_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pair_day(spark, sf_dir).select("center", F.col("date").cast("timestamp").alias("ts"), F.col("i").cast("string"), F.col("j").cast("string"), "dist_km", "coherence")
     p.repartition(4, "ts").write.parquet(f"{folder}/in")
     states = rollups.bin_states(spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"))
-    return select(_drain(states, folder, "complete"), {"center": "center", "bin": "bin", "n": "n", "s1": r("s1", 5), "sd": r("sd", 2)})
+    return select(_drain(states, folder), {"center": "center", "bin": "bin", "n": "n", "s1": r("s1", 5), "sd": r("sd", 2)})
 
 
-@query(f"SELECT cast(l_shipdate AS date) AS day, l_returnflag AS center, {r(f'avg(cos({PHASE}))', 5)} AS mean, count(*) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY 1, 2")
+@query(f"SELECT cast(l_shipdate AS date) AS day, l_returnflag AS center, {r(f'avg(cos({PHASE}))', 5)} AS mean, {r(f'stddev_pop(cos({PHASE}))', 5)} AS sd, count(*) AS n FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40 GROUP BY 1, 2")
 def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means of a stream of pair rows, kept complete."""
+    """Daily means of a stream of pair rows that arrive in order; days behind the watermark leave the state."""
     folder = _folder(spark)
     p = pair_day(spark, sf_dir, False).select("center", F.col("date").cast("timestamp").alias("ts"), F.col("i").cast("string"), F.col("j").cast("string"), F.lit(1.0).alias("dist_km"), "coherence")
-    p.repartition(2, "ts").write.parquet(f"{folder}/in")
-    rolled = rollups.daily_rollup(spark.readStream.schema(PAIR_SCHEMA).parquet(f"{folder}/in"))
-    return select(_drain(rolled, folder, "complete"), {"day": "cast(day AS date)", "center": "center", "mean": r("mean", 5), "n": "n"})
+    _arrive(p, f"{folder}/in", "ts")
+    rolled = rollups.daily_rollup(spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    return select(_drain(rolled, folder, ["day", "center"]), {"day": "cast(day AS date)", "center": "center", "mean": r("mean", 5), "sd": r("sd", 5), "n": "n"})
 
 
-@query("SELECT st AS station, w, n FROM (SELECT st, w, count(*) AS n FROM (SELECT 's' || (user_id % 8) AS st, unnest([cast(floor(epoch_us(ts) / 3600000000) AS bigint), cast(floor(epoch_us(ts) / 3600000000) AS bigint) - 1]) AS w FROM events) q GROUP BY 1, 2) z")
+@query(f"SELECT st AS station, w, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, count(*) AS n FROM (SELECT 's' || (user_id % 8) AS st, value, unnest([cast(floor(epoch_us(ts) / 3600000000) AS bigint), cast(floor(epoch_us(ts) / 3600000000) AS bigint) - 1]) AS w FROM events) q GROUP BY 1, 2")
 def stream_sliding_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-hour windows each hour over a stream of events; w is the hour in which a window starts."""
     folder = _folder(spark)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "value")
-    rows.repartition(2, "user_id").write.parquet(f"{folder}/in")
-    events = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    _arrive(rows, f"{folder}/in", "ts")
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     obs = events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("s"), F.col("user_id") % 8).alias("station"), "value")
-    out = _drain(rollups.sliding_statistics(obs), folder, "complete")
-    return select(out, {"station": "station", "w": "cast(unix_seconds(start) / 3600 AS bigint)", "n": "n"})
+    out = _drain(rollups.sliding_statistics(obs), folder, ["start", "station"])
+    return select(out, {"station": "station", "w": "cast(unix_seconds(start) / 3600 AS bigint)", "mean": r("mean"), "sd": r("sd"), "n": "n"})

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshlag.functions import geo
+from meshlag.operators.steps import apply
+
 CLOCK_SCHEMA = T.StructType([T.StructField("center", T.StringType()), T.StructField("obs_date", T.DateType()), T.StructField("station", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("bias", T.DoubleType()), T.StructField("drift", T.DoubleType())])
 PAIR_SCHEMA = T.StructType([T.StructField("center", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("i", T.StringType()), T.StructField("j", T.StringType()), T.StructField("dist_km", T.DoubleType()), T.StructField("coherence", T.DoubleType())])
 
@@ -28,22 +31,34 @@ def parse_clock_lines(lines: DataFrame) -> DataFrame:
     return parts.select(*[c for c in lines.columns if c != "value"], F.upper(at(2)).alias("station"), ts.alias("ts"), num(10).alias("bias"), num(11).alias("drift")).where("station IS NOT NULL AND ts IS NOT NULL AND bias IS NOT NULL")
 
 
-def read_clock_files(spark: SparkSession, path: str, center: str, start: str | None = None, end: str | None = None, most_files: int | None = None) -> DataFrame:
-    """Clock observations of gz or plain text files, one task a file.
+def list_clock_files(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, most_files: int | None = None) -> list[str]:
+    """Paths of the clock files to read, by date. Files are listed, not opened.
 
-    Dates come from the file names; the first file of a date wins; `start`/`end` and `most_files` (a number of dates) narrow
-    the file list before anything is parsed.
+    Dates come from the file names; the first file of a date wins; `start`/`end` and `most_files` (a number of
+    dates) narrow the list. The driver holds one path for each day.
     """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("obs_date", file_date(F.col("file")))
-    files = lines.select("file", "obs_date").distinct().withColumn("r", F.row_number().over(Window.partitionBy("obs_date").orderBy("file"))).where("r = 1")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).withColumn("obs_date", file_date(F.col("file")))
     if start:
         files = files.where(F.col("obs_date") >= F.lit(start).cast("date"))
     if end:
         files = files.where(F.col("obs_date") <= F.lit(end).cast("date"))
-    if most_files is not None:
-        files = files.orderBy("obs_date").limit(most_files)
-    kept = lines.join(files.select("file"), "file", "left_semi").select("value", F.lit(center).alias("center"), "obs_date")
-    return parse_clock_lines(kept).select(CLOCK_SCHEMA.fieldNames())
+    first = files.groupBy("obs_date").agg(F.min("file").alias("file")).orderBy("obs_date")
+    return [r["file"] for r in (first if most_files is None else first.limit(most_files)).collect()]
+
+
+def read_clock_files(spark: SparkSession, path: str, center: str, start: str | None = None, end: str | None = None, most_files: int | None = None) -> DataFrame:
+    """Clock observations of gz or plain text files, one task a file; only the files of `list_clock_files` are opened.
+
+    A line that is not UTF-8 is read as Latin-1. What a damaged or cut gz file still yields is kept, the rest of
+    it is lost.
+    """
+    chosen = list_clock_files(spark, path, start, end, most_files)
+    if not chosen:
+        return spark.createDataFrame([], CLOCK_SCHEMA)
+    raw = spark.read.option("ignoreCorruptFiles", "true").text(chosen)
+    line = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    lines = raw.select(line.alias("value"), F.lit(center).alias("center"), file_date(F.input_file_name()).alias("obs_date"))
+    return parse_clock_lines(lines).select(CLOCK_SCHEMA.fieldNames())
 
 
 def duplicate_epochs(obs: DataFrame) -> DataFrame:
@@ -64,6 +79,25 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("code", F.upper(F.substring("code", 1, 4)).alias("short_code"), F.col("s.Latitude").alias("lat_deg"), lon.alias("lon_deg"), F.col("s.Height").alias("height_m"), "s.X", "s.Y", "s.Z", (good(F.col("s.X")) & good(F.col("s.Y")) & good(F.col("s.Z"))).alias("has_coordinates"))
 
 
+#: Names under which a latitude and a longitude may come, the first present value counts; and of geocentric metres.
+LATITUDES, LONGITUDES, METRES = ("lat", "lat_deg", "latitude"), ("lon", "lon_deg", "longitude"), (("X", "Y", "Z"), ("x_m", "y_m", "z_m"))
+
+
+def with_places(stations: DataFrame) -> DataFrame:
+    """Adds place_lat and place_lon: the given degrees under any of their names, else those of the geocentric metres."""
+    have = set(stations.columns)
+    first = lambda names: F.coalesce(*[F.col(c).cast("double") for c in names if c in have], F.lit(None).cast("double"))
+    metres = next((m for m in METRES if have >= set(m)), None)
+    out = stations.withColumns({"_lat": first(LATITUDES), "_lon": first(LONGITUDES)})
+    given = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    if metres is None:
+        return out.withColumns({"place_lat": F.when(given, F.col("_lat")), "place_lon": F.when(given, F.col("_lon"))}).drop("_lat", "_lon")
+    steps = geo.ecef_closed_form(*metres)
+    made = [c for step in steps for c in step]
+    out = apply(out, steps).withColumns({"place_lat": F.when(given, F.col("_lat")).otherwise(F.col("lat_closed")), "place_lon": F.when(given, F.col("_lon")).otherwise(F.col("lon_closed"))})
+    return out.drop("_lat", "_lon", *made)
+
+
 def first_by_code(stations: DataFrame, code: str = "short_code", order: str = "code") -> DataFrame:
     return stations.withColumn("r", F.row_number().over(Window.partitionBy(code).orderBy(order))).where("r = 1").drop("r")
 
@@ -122,6 +156,17 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.withColumn("year_month", F.date_format("date", "yyyy-MM")).repartition("center", "year_month").write.mode("overwrite").partitionBy("center", "year_month").parquet(path)
 
 
+def read_pairs(spark: SparkSession, path: str, centers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Pair facts as `write_pairs` stored them; folders of other centres and months are not read."""
+    pairs = spark.read.parquet(path)
+    if centers is not None:
+        pairs = pairs.where(F.col("center").isin(centers))
+    for day, keep in ((start, lambda c, v: c >= v), (end, lambda c, v: c <= v)):
+        if day:
+            pairs = pairs.where(keep(F.col("year_month"), day[:7]) & keep(F.col("date"), F.lit(day).cast("date")))
+    return pairs.drop("year_month")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

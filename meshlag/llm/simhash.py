@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlag.llm.chars import Batch, words_only
@@ -156,63 +156,68 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = BAND_ROWS) -> np
     return out.view(np.int64)
 
 
-def tested(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The `pairs` (a, b, ...) whose shingles have a Jaccard similarity of SIMILAR or more."""
+def overlaps(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The `pairs` (a, b, ...) with na, nb and both: shingles of either end and of both."""
     one, two = (shingles.select(F.col("node").alias(e), F.col("shingles").alias(f"s_{e}")) for e in "ab")
-    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
-    return met.where(F.col("both") >= SIMILAR * (F.size("s_a") + F.size("s_b") - F.col("both"))).select(*pairs.columns)
+    met = pairs.join(one, "a").join(two, "b")
+    return met.select(*pairs.columns, F.size("s_a").alias("na"), F.size("s_b").alias("nb"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
 
 
-def sized(met: DataFrame) -> DataFrame:
-    """Pairs (x, sx), (y, sy) that differ and whose numbers of shingles don't rule the similarity out."""
-    return met.where("x <> y").where(F.least("sx", "sy") >= F.greatest("sx", "sy") * SIMILAR)
+ALIKE = f"both >= {SIMILAR}D * (na + nb - both)"
+
+
+def possible(m: Column) -> Column:
+    """Whether sets of sx and sy shingles, m at most in both, may be similar."""
+    return (F.col("x") != F.col("y")) & (m >= SIMILAR * (F.col("sx") + F.col("sy") - m))
 
 
 def star_pairs(placed: DataFrame) -> DataFrame:
-    """(a, b), a < b: every node with one hub, so as many pairs as nodes.
+    """(a, b): every node with one hub b, so as many pairs as nodes.
 
     A bucket's hub is its member that meets the most rows in all its buckets: where many copies derive from one
     text, that text. Of the hubs it meets, a node is paired with the one it shares most buckets with.
     """
     hubs = cut(placed.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("score", "node")).alias("hub")))
-    met = placed.join(hubs.select("bucket", F.col("hub.node").alias("x"), F.col("hub.size").alias("sx")), "bucket")
-    seen = sized(met.select("x", "sx", F.col("node").alias("y"), F.col("size").alias("sy"))).groupBy("x", "y").agg(F.count("*").alias("n"))
-    best = seen.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = placed.join(hubs.select("bucket", F.col("hub.node").alias("y"), F.col("hub.size").alias("sy")), "bucket")
+    seen = met.select(F.col("node").alias("x"), F.col("size").alias("sx"), "y", "sy").where(possible(F.least("sx", "sy"))).groupBy("x", "y").agg(F.count("*").alias("n"))
+    return seen.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("b")).select(F.col("x").alias("a"), "b")
 
 
-def lonely(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(node): those of `nodes` that can't be similar to any other of them.
-
-    A shingle that no other of the nodes holds is in no intersection, so with u of n such shingles no similarity
-    exceeds (n - u) / n. Only counts are joined, no pairs: it rids a crowd of half-similar texts of the members
-    that are like none.
-    """
+def in_common(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(node, common): how many of its shingles some other of the `nodes` holds too. Only counts are joined, no pairs."""
     held = nodes.join(shingles, "node")
     once = held.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
     alone = once.groupBy("node").agg(F.count("*").alias("u"))
-    return held.select("node", F.size("shingles").alias("n")).join(alone, "node").where((F.col("n") - F.col("u")) < SIMILAR * F.col("n")).select("node")
+    return held.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"))
 
 
 def open_rows(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, node, size, label) of the buckets that hold more than one label, with the commonest one as main."""
+    """Rows (bucket, node, label, ...) of the buckets that hold more than one label, with the commonest one as main."""
     main = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
     return cut(rows.drop("main").join(main.select("bucket", "main"), "bucket"))
 
 
-def open_pairs(placed: DataFrame, labels: DataFrame, shingles: DataFrame) -> DataFrame:
+def open_pairs(placed: DataFrame, labels: DataFrame, stars: DataFrame, shingles: DataFrame) -> DataFrame:
     """(a, b, la, lb): all pairs of a bucket that no label (node, label) joins yet, with their labels la < lb.
 
     Rows outside a bucket's commonest label meet every row of the bucket, so a group that is already joined
-    makes no pairs within itself; nodes that are like no other are left out first.
+    makes no pairs within itself. Pairs that counts rule out are left out: what two texts share is at most what
+    each has in common with any other open text; and where both were compared with one hub (`stars`), what each
+    shares with it, and with others beside it. So a crowd of half-similar texts, each with edits of its own,
+    isn't tested pair by pair.
     """
     rows = open_rows(placed.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
-    alone = cut(lonely(rows.select("node").distinct(), shingles))
-    rows = open_rows(rows.join(alone, "node", "left_anti"))
-    left = rows.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
-    met = left.join(rows, "bucket").where("lx <> label AND (label = main OR x < node)")
-    met = sized(met.select("x", "sx", F.col("node").alias("y"), F.col("size").alias("sy"), F.least("lx", "label").alias("la"), F.greatest("lx", "label").alias("lb")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb").distinct()
+    hubs = stars.groupBy(F.col("b").alias("node")).agg(F.first("nb").alias("both")).withColumn("hub", F.col("node"))
+    told = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").join(hubs.select("node"), "node", "left_anti").unionByName(hubs.select("node", "hub", "both"))
+    nodes = cut(rows.select("node").distinct().join(told, "node", "left"))
+    asked = nodes.select("node").unionByName(nodes.where("hub IS NOT NULL").select(F.col("hub").alias("node"))).distinct()
+    bounds = cut(in_common(asked, shingles).join(nodes, "node").withColumn("beside", F.greatest(F.lit(0), F.col("common") - F.col("both"))))
+    rows = open_rows(rows.join(bounds, "node").where(F.col("common") >= SIMILAR * F.col("size")))
+    end = lambda e: [F.col(c).alias(k + e) for c, k in {"label": "l", "size": "s", "common": "c", "hub": "h", "both": "o", "beside": "r"}.items()]
+    left, right = rows.where("label <> main").select("bucket", F.col("node").alias("x"), *end("x")), rows.select("bucket", "main", F.col("node").alias("y"), *end("y"))
+    most = F.when(F.col("hx") == F.col("hy"), F.least("cx", "cy", F.least("ox", "oy") + F.least("rx", "ry"))).otherwise(F.least("cx", "cy"))
+    met = left.join(right, (left.bucket == right.bucket) & F.expr("lx <> ly AND (ly = main OR x < y)") & possible(most))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb")).distinct()
 
 
 def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -221,8 +226,8 @@ def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     Equal texts are folded into one node first. Texts that share one of BANDS MinHash bands are candidates.
     Meeting is no link: every candidate pair is either tested on its shingles or already in one component.
     Components are first drawn together by one pair a node, with a hub; then all pairs of a bucket that lie in
-    different components are tested, less the texts whose own shingles rule out any partner. The shingles of a
-    text that meets another are hashed once.
+    different components are tested, less those whose numbers of shingles, shared and of their own, rule the
+    similarity out. The shingles of a text that meets another are hashed once.
     """
     small_batches(docs.sparkSession)
 
@@ -248,9 +253,9 @@ def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     texts = cut(bodies.select("node", "score", shingles("t").alias("shingles")))
     placed = cut(placed.select("bucket", "node").join(texts.select("node", "score", F.size("shingles").alias("size")), "node"))
     texts = texts.select("node", "shingles")
-    near = cut(tested(cut(star_pairs(placed)), texts))
-    labels = connected_components(near)
-    more = cut(tested(cut(open_pairs(placed, labels, texts)), texts).select("la", "lb").distinct())
+    stars = cut(overlaps(cut(star_pairs(placed)), texts))
+    labels = connected_components(stars.where(ALIKE).select("a", "b"))
+    more = cut(overlaps(cut(open_pairs(placed, labels, stars, texts)), texts).where(ALIKE).select("la", "lb").distinct())
     joined = nodes.select("h1", "h2", "rep", "node").join(labels, "node", "left").select("h1", "h2", "rep", F.coalesce("label", "node").alias("label"))
     if more.isEmpty():
         return cut(joined)

@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshlag.sources import tables
@@ -101,3 +102,55 @@ def test_rollups(spark, tmp_path):
     q = rollups.sliding_statistics(obs).writeStream.format("memory").queryName("slide_t").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     assert spark.table("slide_t").count() > 0
+
+
+def _clock_file(path, lines, gz=True):
+    body = "\n".join(lines).encode("latin-1")
+    path.write_bytes(gzip.compress(body) if gz else body)
+
+
+def test_clock_files_are_listed_not_opened(spark, tmp_path):
+    """The first file of a date wins and dates narrow the list; a chosen file alone has to be readable."""
+    good = [f"AR ABCD 2024 04 {k + 8:02d} 00 00 00.000000 2 -0.5E-07 0.1" for k in range(3)]
+    for k in range(3):
+        _clock_file(tmp_path / f"COD0OPSFIN_2024{99 + k:03d}0000_01D_30S_CLK.CLK.gz", [good[k]])
+    (tmp_path / "ZZZ0OPSFIN_20240990000_01D_30S_CLK.CLK.gz").write_bytes(b"not gz, and second of its date")
+    names = [p.rsplit("/", 1)[1] for p in tables.list_clock_files(spark, str(tmp_path))]
+    assert names == [f"COD0OPSFIN_2024{99 + k:03d}0000_01D_30S_CLK.CLK.gz" for k in range(3)]
+    assert len(tables.list_clock_files(spark, str(tmp_path), most_files=2)) == 2
+    obs = tables.read_clock_files(spark, str(tmp_path), "COD", start="2024-04-09", end="2024-04-09").collect()
+    assert [(str(r["obs_date"]), r["station"], r["bias"]) for r in obs] == [("2024-04-09", "ABCD", -0.5e-07)]
+    assert tables.read_clock_files(spark, str(tmp_path), "COD", start="2030-01-01").count() == 0
+
+
+def test_damaged_and_latin_files(spark, tmp_path):
+    """A cut gz gives what it still yields, others are unharmed; bytes that are not UTF-8 are Latin-1."""
+    lines = [f"AR ST{k % 90:02d} 2024 04 08 {k // 60 % 24:02d} {k % 60:02d} 00.000000 1 {k}.5" for k in range(20_000)]
+    body = gzip.compress("\n".join(lines).encode(), compresslevel=1)
+    (tmp_path / "COD0OPSFIN_20240990000_01D_30S_CLK.CLK.gz").write_bytes(body[: len(body) // 2])
+    _clock_file(tmp_path / "COD0OPSFIN_20241000000_01D_30S_CLK.CLK", ["COMMENT \xe9t\xe9", "AR ZIMM\xc9 2024 04 09 00 00 00.000000 1 2.5", "AR GOOD 2024 04 09 00 00 00.000000 1 1.5"], gz=False)
+    obs = tables.read_clock_files(spark, str(tmp_path), "COD").collect()
+    cut = [r for r in obs if str(r["obs_date"]) == "2024-04-08"]
+    assert len(cut) < len(lines)
+    assert {(r["station"], r["bias"]) for r in obs if str(r["obs_date"]) == "2024-04-09"} == {("ZIMM\xc9", 2.5), ("GOOD", 1.5)}
+
+
+def test_stored_pairs_prune(spark, tmp_path):
+    rows = [(c, f"2024-0{m}-15", 1, 2, 0.5) for c in "ABC" for m in range(1, 5)]
+    df = spark.createDataFrame(rows, "center string, date string, i int, j int, coherence double").withColumn("date", F.to_date("date"))
+    path = str(tmp_path / "p")
+    tables.write_pairs(df, path)
+    part = tables.read_pairs(spark, path, ["A", "C"], "2024-02-15", "2024-03-14")
+    assert sorted(part.columns) == sorted(df.columns) and {(r["center"], str(r["date"])) for r in part.collect()} == {("A", "2024-02-15"), ("C", "2024-02-15")}
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "year_month" in plan.split("PartitionFilters")[1][:300] and "center" in plan.split("PartitionFilters")[1][:300]
+    assert tables.read_pairs(spark, path).count() == 12
+
+
+def test_places_by_any_name(spark):
+    rows = [(1, 10.0, None, 20.0, None, None, None, None), (2, None, -5.0, None, 30.0, 1.0, 2.0, 3.0), (3, None, None, None, None, 6378137.0, 0.0, 0.0), (4, 1.0, None, None, None, None, None, None), (5, None, None, None, None, 0.0, 0.0, 6356752.314245)]
+    s = spark.createDataFrame(rows, "id int, lat double, lat_deg double, lon double, longitude double, X double, Y double, Z double")
+    got = {r["id"]: (r["place_lat"], r["place_lon"]) for r in tables.with_places(s).collect()}
+    assert got[1] == (10.0, 20.0) and got[2] == (-5.0, 30.0) and got[3] == (pytest.approx(0.0, abs=1e-9), 0.0) and got[4] == (None, None) and got[5][0] == pytest.approx(90.0)
+    bare = tables.with_places(spark.createDataFrame([(1, 3.0, 4.0)], "id int, latitude double, lon_deg double")).first()
+    assert (bare["place_lat"], bare["place_lon"]) == (3.0, 4.0)

@@ -95,22 +95,28 @@ def permute(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
     return a.join(b, "_k").drop("_k")
 
 
-def permute_each(df: DataFrame, key: str, value: str, iterations: int) -> DataFrame:
-    """`df` with `value` permuted over all rows, once for each `iteration`, all in one job."""
-    a = cut(shuffled_rank(df.drop(value), [key], "_k"))
-    n = a.count()
-    fan = df.select(F.col(key).alias("_key"), value).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_h", F.xxhash64("_key", "iteration"))
-    b = shuffled_rank(fan, ["iteration", "_h", "_key"], "_g").select("iteration", (F.col("_g") - (F.col("iteration") - 1) * F.lit(n)).alias("_k"), value)
-    return a.join(b, "_k").drop("_k")
-
+def permute_each(df: DataFrame, key: str, value: str, iterations: int, group: str) -> DataFrame:
+    """`df` with `value` permuted over the rows of each `group`, once for each `iteration`, all in one job.
 
-def relabel_each(pairs: DataFrame, iterations: int) -> DataFrame:
-    """(iteration, date, s, t): as `relabel_by_day`, once for each iteration."""
-    stations = cut(pairs.select("date", F.explode(F.array("i", "j")).alias("s")).distinct())
-    a = stations.withColumn("r", F.row_number().over(Window.partitionBy("date").orderBy("s")))
+    Two global ranks give each row its place in its group, and each value its place in the hash order of its
+    group and iteration; equal places meet. Groups are few: their sizes are sent to every task.
+    """
+    sizes = cut(df.groupBy(group).agg(F.count("*").alias("_n")))
+    sizes = cut(sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(group)) - F.col("_n")))  # one row a group
+    a = shuffled_rank(df.drop(value), [group, key], "_g").join(F.broadcast(sizes), group).withColumn("_k", F.col("_g") - F.col("_before")).drop("_g", "_n", "_before")
+    fan = df.select(group, F.col(key).alias("_key"), value).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_h", F.xxhash64("_key", "iteration"))
+    b = shuffled_rank(fan, [group, "iteration", "_h", "_key"], "_g").join(F.broadcast(sizes), group)
+    b = b.select(group, "iteration", (F.col("_g") - F.col("_before") * iterations - (F.col("iteration") - 1) * F.col("_n")).alias("_k"), value)
+    return a.join(b, [group, "_k"]).drop("_k")
+
+
+def relabel_each(pairs: DataFrame, iterations: int, keys: list[str]) -> DataFrame:
+    """(iteration, keys, s, t): permutes the station labels inside each group of `keys`, once for each iteration."""
+    stations = cut(pairs.select(*keys, F.explode(F.array("i", "j")).alias("s")).distinct())
+    a = stations.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("s")))
     fan = stations.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    b = fan.withColumn("r", F.row_number().over(Window.partitionBy("iteration", "date").orderBy(F.xxhash64("date", "s", "iteration"), "s"))).select("iteration", "date", "r", F.col("s").alias("t"))
-    return a.join(b, ["date", "r"]).select("iteration", "date", "s", "t")
+    b = fan.withColumn("r", F.row_number().over(Window.partitionBy("iteration", *keys).orderBy(F.xxhash64(*keys, "s", "iteration"), "s"))).select("iteration", *keys, "r", F.col("s").alias("t"))
+    return a.join(b, [*keys, "r"]).select("iteration", *keys, "s", "t")
 
 
 def relabel_by_day(pairs: DataFrame, seed: int) -> DataFrame:

@@ -211,12 +211,12 @@ def spectral_line_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def on_off_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def on_off_days(spark: SparkSession, sf_dir: str, surrogates: int = DEFAULT.surrogates) -> DataFrame:
     """Days whose power, averaged over 20 to 200 days, exceeds the 95th percentile of AR(1) surrogates' daily power."""
     s = by_center(spark, sf_dir)
     daily_power = lambda df, keys, y: series.morlet_by_series(df, keys, "t", y, list(LONG_SCALES)).groupBy(*keys, "t").agg(F.avg("power").alias("power"))
     power = daily_power(s, ["center"], "m")
-    sur = series.ar1_surrogates(s, ["center"], "t", "m", DEFAULT.surrogates)
+    sur = series.ar1_surrogates(s, ["center"], "t", "m", surrogates)
     level = daily_power(sur, ["center", "surrogate"], "value").groupBy("center").agg(F.percentile_approx("power", 0.95, 1000).alias("threshold"))
     return power.join(level, "center").withColumn("on", F.col("power") > F.col("threshold"))
 

@@ -207,3 +207,20 @@ def equal_count_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("one")
     macro = F.floor((F.sum("n").over(w.orderBy("bin")) - F.col("n")) / (F.sum("n").over(w) / 10.0)).cast("int")
     return s.withColumn("macro", macro).groupBy("macro").agg(F.count("*").alias("bins"), F.sum("n").alias("n"), F.expr(r("sum(s1) / sum(n)", 5)).alias("mean_coherence"), F.expr(r("sum(sd) / sum(n)", 3)).alias("distance_km"))
+
+
+_eighth = geo.cycle_phase("dd", 433.0)
+_phased = {"phase_bin": f"cast(floor(round({_eighth}, 9) / (2 * pi()) * 8) AS int)", "compass": _compass}
+_dd = "(SELECT *, date_diff('day', date '2000-01-01', date) AS dd FROM " + BINNED + " q)"
+_cycle = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in _phased.items())} FROM {_dd} z)"
+_ratio = {"phase_bin": "phase_bin", "ew": r("ew", 1), "ns": r("ns", 1), "ratio": r("ew / ns", 3)}
+
+
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _ratio.items())} FROM (SELECT phase_bin, max(CASE WHEN compass = 'EW' THEN theta END) AS ew, max(CASE WHEN compass = 'NS' THEN theta END) AS ns FROM {fit.fit_decay_sql(bins_sql('phase_bin, compass', _cycle, 20), ['phase_bin', 'compass'])} f WHERE amplitude > 0.0001 GROUP BY 1) s")
+def phase_decay_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """East-west over north-south decay length in eight phases of a long cycle, where both decay."""
+    b = binned(spark, sf_dir).withColumn("dd", F.datediff("date", F.lit("2000-01-01").cast("date")))
+    for k, x in _phased.items():
+        b = b.withColumn(k, F.expr(x))
+    f = fit.fit_decay(finalise(accumulate(b, ["phase_bin", "compass"]), 20), ["phase_bin", "compass"]).where("amplitude > 0.0001")
+    return select(f.groupBy("phase_bin").agg(F.expr("max(CASE WHEN compass = 'EW' THEN theta END)").alias("ew"), F.expr("max(CASE WHEN compass = 'NS' THEN theta END)").alias("ns")), _ratio)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlag.functions import geo
 from meshlag.operators import fit
 from meshlag.operators.series import gradient, rolling_median, unwrap
-from meshlag.plans.fixtures import DAILY_SQL, EXTERNAL_SQL, PAIR_DAY_SQL, daily, events_calendar, events_sql, external_daily, pair_day
+from meshlag.plans.fixtures import DAILY_SQL, EXTERNAL_SQL, PAIR_DAY_SQL, STATION_SQL, daily, events_calendar, events_sql, external_daily, pair_day, station
 from meshlag.plans.registry import query, r, select
 
 WINDOW = 60
@@ -127,7 +127,7 @@ def orbital_phase_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.expr(_bin36.format(p=geo.cycle_phase("dd", 224.7))).alias("phase_bin")).agg(F.count("*").alias("n"), F.expr(r("corr(coherence, dist_km)", 5)).alias("c"))
 
 
-PERIODS = (27.3, 121.75, 182.6, 433.0)
+PERIODS = (27.3, 121.75, 182.6, 365.25, 433.0)
 _fold_bin = "cast(floor(round((((dd / period) % 1) + 1) % 1, 9) * 18) AS int)"
 _ew = geo.compass_class(f"round({geo.azimuth('lat_i', 'lon_i', 'lat_j', 'lon_j')}, 9)")
 
@@ -191,3 +191,45 @@ def network_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).join(external_daily(spark, sf_dir), "date")
     return d.groupBy(F.expr(geo.kp_class("kp_index")).alias("activity")).agg(F.count("*").alias("days"), F.expr(r("avg(m)")).alias("mean_coherence"), F.expr(r("stddev_samp(m)")).alias("sd"))
+
+
+_speed = geo.orbital("doy")["orbital_speed"]
+_tracked = {"windows": "count(*)", "r_speed": r("corr(ratio, speed)", 5), "mean_ratio": r("avg(ratio)", 5)}
+_mean = lambda c: f"avg(CASE WHEN cls = '{c}' THEN coherence + 2 END)"  # noqa: E731  shifted, so that no ratio meets zero
+
+
+@query(f"""SELECT {', '.join(f'{v} AS {k}' for k, v in _tracked.items())} FROM (SELECT centre, {_mean('EW')} / {_mean('NS')} AS ratio, any_value({_speed}) AS speed FROM (
+    SELECT c.centre, p.coherence, p.cls, dayofyear(date '1995-01-01' + cast(c.centre AS int)) AS doy FROM (SELECT coherence, {_ew} AS cls, date_diff('day', date '1995-01-01', date) AS d FROM {PAIR_DAY_SQL} p) p, range(0, 2500, 10) c(centre) WHERE p.d BETWEEN c.centre - 2 AND c.centre + 2) q GROUP BY centre) z WHERE ratio IS NOT NULL""")
+def orbital_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """East-west over north-south coherence in five days every ten, against the speed on the yearly orbit."""
+    p = pair_day(spark, sf_dir).select("coherence", F.expr(_ew).alias("cls"), F.datediff("date", F.lit("1995-01-01").cast("date")).alias("d"))
+    near = p.withColumn("centre", (F.round(F.col("d") / 10) * 10).cast("int")).where("abs(d - centre) <= 2 AND centre BETWEEN 0 AND 2490")
+    by = near.groupBy("centre").agg(F.expr(f"{_mean('EW')} / {_mean('NS')}").alias("ratio")).where("ratio IS NOT NULL")
+    by = by.withColumn("doy", F.dayofyear(F.date_add(F.lit("1995-01-01").cast("date"), F.col("centre")))).withColumn("speed", F.expr(_speed))
+    return by.agg(*[F.expr(v).alias(k) for k, v in _tracked.items()])
+
+
+_beats = f"(SELECT DISTINCT round(1 / f, 4) AS period FROM (SELECT a.f + b.f AS f FROM {_freq} a JOIN {_freq} b ON a.id < b.id UNION ALL SELECT abs(a.f - b.f) FROM {_freq} a JOIN {_freq} b ON a.id < b.id) q WHERE 1 / f >= 7 AND (SELECT max(l_shipdate::date) - min(l_shipdate::date) FROM lineitem) * f >= 3)"
+
+
+@query(f"SELECT period, {', '.join(r(c, 4) + ' AS ' + c for c in ('amplitude', 'level', 'r2'))}, n FROM " + fit.fit_harmonic_sql(f"(SELECT period, m AS y, 2 * pi() * (((dd / period) % 1 + 1) % 1) AS ph FROM (SELECT m, {_days} AS dd FROM {DAILY_SQL} d) q, {_beats} t)", ["period"], "ph", "y") + " h")
+def beat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harmonic fits of the daily coherence at every beat of `beat_table`."""
+    periods = beat_table(spark, sf_dir).select("period").distinct()
+    d = daily(spark, sf_dir).select("m", F.datediff("date", F.lit("2000-01-01").cast("date")).alias("dd"))
+    rows = d.join(F.broadcast(periods), F.lit(True)).withColumn("ph", F.expr("2 * pi() * (((dd / period) % 1 + 1) % 1)"))  # a dozen beats
+    return select(fit.fit_harmonic(rows, ["period"], "ph", "m"), {"period": "period", "amplitude": r("amplitude", 4), "level": r("level", 4), "r2": r("r2", 4), "n": "n"})
+
+
+_track = {"lat0": "m5 + CASE WHEN t < 0 THEN 8 * (t / 120.0D) ELSE -6 * (t / 120.0D) END", "lon0": "y5 + CASE WHEN t < 0 THEN 40 * (t / 120.0D) ELSE 50 * (t / 120.0D) END"}
+_shade = f"greatest(0.0D, least(1.0D, 1 - {geo.great_circle('lat', 'lon', 'lat0', 'lon0')} / 2500))"
+_shadow = {"event_id": "event_id", "minute": "t", "stations": "cast(sum(CASE WHEN mag > 0 THEN 1 ELSE 0 END) AS bigint)", "deepest": r("max(mag)"), "mean_magnitude": r("avg(mag)")}
+
+
+@query(f"""SELECT {', '.join(f'{v} AS {k}' for k, v in _shadow.items())} FROM (SELECT event_id, t, {_shade} AS mag FROM (SELECT e.event_id, t, s.lat, s.lon, {', '.join(f'{v} AS {k}' for k, v in _track.items())} FROM (SELECT event_id, month(event_date) * 5 AS m5, year(event_date) % 360 - 180 AS y5 FROM {events_sql()} e) e, range(-120, 121, 20) r(t), {STATION_SQL} s) q) z GROUP BY event_id, t""")
+def shadow_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shadow's centre between start, maximum and end by linear interpolation, and how deep each station lies in it."""
+    e = events_calendar(spark, sf_dir).selectExpr("event_id", "month(event_date) * 5 AS m5", "year(event_date) % 360 - 180 AS y5").withColumn("t", F.explode(F.sequence(F.lit(-120), F.lit(120), F.lit(20))))
+    e = e.selectExpr("event_id", "t", *[f"{v} AS {k}" for k, v in _track.items()])
+    at = station(spark, sf_dir).join(F.broadcast(e), F.lit(True)).withColumn("mag", F.expr(_shade))  # a few hundred track points
+    return at.groupBy("event_id", "t").agg(*[F.expr(v).alias(k) for k, v in _shadow.items() if k not in ("event_id", "minute")]).withColumnRenamed("t", "minute")

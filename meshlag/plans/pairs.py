@@ -38,11 +38,11 @@ def epoch_pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(joined, _pear)
 
 
-@query(f"SELECT st, count(*) AS n, {r('min(d)')} AS min_step, {r('max(d)')} AS max_step, {r('median(d)')} AS median_step, {r('quantile_cont(d, 0.1)')} AS p10_step FROM (SELECT st, cast(e - lag(e) OVER (PARTITION BY st ORDER BY e) AS double) AS d FROM {clock_sql(3600)} c) q GROUP BY st")
+@query(f"SELECT st, count(*) AS n, {r('min(d)')} AS min_step, {r('max(d)')} AS max_step, {r('median(d)')} AS median_step, {r('quantile_cont(d, 0.1)')} AS p10_step, abs(quantile_cont(d, 0.1) - median(d)) <= 0.1 * median(d) AS regular FROM (SELECT st, cast(e - lag(e) OVER (PARTITION BY st ORDER BY e) AS double) AS d FROM {clock_sql(3600)} c) q GROUP BY st")
 def epoch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("st").orderBy("e")
     d = clock(spark, sf_dir, 3600).select("st", (F.col("e") - F.lag("e").over(w)).cast("double").alias("d"))
-    return d.groupBy("st").agg(F.count("*").alias("n"), F.expr(r("min(d)")).alias("min_step"), F.expr(r("max(d)")).alias("max_step"), F.expr(r("percentile(d, 0.5)")).alias("median_step"), F.expr(r("percentile(d, 0.1)")).alias("p10_step"))
+    return d.groupBy("st").agg(F.count("*").alias("n"), F.expr(r("min(d)")).alias("min_step"), F.expr(r("max(d)")).alias("max_step"), F.expr(r("percentile(d, 0.5)")).alias("median_step"), F.expr(r("percentile(d, 0.1)")).alias("p10_step"), F.expr("abs(percentile(d, 0.1) - percentile(d, 0.5)) <= 0.1 * percentile(d, 0.5)").alias("regular"))
 
 
 @query(f"SELECT {geo.sector(AZ)} AS sector, {geo.compass_class(AZ)} AS compass, count(*) AS n, {r('avg(coherence)')} AS mean_coherence, {r('stddev_samp(coherence)')} AS sd FROM {PAIR_DAY_SQL} p GROUP BY 1, 2")
@@ -82,6 +82,28 @@ def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_day(spark, sf_dir).groupBy(F.floor(F.col("dist_km") / 200).cast("int").alias("bucket"), "center").agg(F.count("*").alias("n"))
 
 
+_equal = "cast(least(99, floor((dist_km - lo) / (hi - lo) * 100)) AS int)"
+
+
+@query(f"SELECT center, {_equal} AS bucket, count(*) AS n FROM (SELECT center, round(dist_km, 6) AS dist_km, min(round(dist_km, 6)) OVER () AS lo, max(round(dist_km, 6)) OVER () AS hi FROM {PAIR_DAY_SQL} p) q GROUP BY 1, 2")
+def equal_bin_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred equal bins from the shortest to the longest distance."""
+    p = pair_day(spark, sf_dir).groupBy("center", F.round("dist_km", 6).alias("dist_km")).agg(F.count("*").alias("n"))
+    ends = p.agg(F.min("dist_km").alias("lo"), F.max("dist_km").alias("hi"))
+    return p.join(F.broadcast(ends), F.lit(True)).groupBy("center", F.expr(_equal).alias("bucket")).agg(F.sum("n").alias("n"))  # one row
+
+
+_third = "CASE WHEN d < 833 THEN 'before' WHEN d < 1666 THEN 'during' ELSE 'after' END"
+
+
+@query(f"SELECT center, phase, count(*) AS months, {r('avg(sd)')} AS mean_sd, {r('max(sd) / min(sd)', 4)} AS spread FROM (SELECT center, {_third} AS phase, year(date) * 12 + month(date) AS month, stddev_samp(coherence) AS sd FROM (SELECT *, date_diff('day', date '1995-01-01', date) AS d FROM {PAIR_DAY_SQL} p) q GROUP BY 1, 2, 3 HAVING count(*) >= 10) z GROUP BY 1, 2")
+def variability_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly deviation before, during and after the middle of the series."""
+    p = pair_day(spark, sf_dir, False).withColumn("d", F.datediff("date", F.lit("1995-01-01").cast("date")))
+    monthly = p.groupBy("center", F.expr(_third).alias("phase"), (F.year("date") * 12 + F.month("date")).alias("month")).agg(F.stddev_samp("coherence").alias("sd"), F.count("*").alias("n")).where("n >= 10")
+    return monthly.groupBy("center", "phase").agg(F.count("*").alias("months"), F.expr(r("avg(sd)")).alias("mean_sd"), F.expr(r("max(sd) / min(sd)", 4)).alias("spread"))
+
+
 _gap = geo.longitude_gap("lon_i", "lon_j")
 
 
@@ -181,7 +203,8 @@ def spearman_by_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("center").agg(F.expr(r("corr(ra, rb)")).alias("spearman"))
 
 
-_trend = {"n": "regr_count(y, x)", "slope": r("regr_slope(y, x)", 8), "intercept": r("regr_intercept(y, x)"), "r2": r("regr_r2(y, x)")}
+_se = "sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x))"
+_trend = {"n": "regr_count(y, x)", "slope": r("regr_slope(y, x)", 8), "intercept": r("regr_intercept(y, x)"), "r2": r("regr_r2(y, x)"), "se_slope": r(_se, 8), "t_stat": r(f"regr_slope(y, x) / {_se}", 4)}
 
 
 @query(f"SELECT center, {cols(_trend)} FROM (SELECT center, (h_i + h_j) / 2000 AS x, coherence AS y FROM {PAIR_DAY_SQL} p) q GROUP BY center")

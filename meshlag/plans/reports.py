@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshlag.config import DEFAULT
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate
-from meshlag.functions.cut import cut, shared_folder
+from meshlag.functions.cut import cut, remove, shared_folder
 from meshlag.operators import fit, resample
 from meshlag.operators.steps import nest
 from meshlag.plans import daily_series, decay, events, inference, resampling, spectra
@@ -60,7 +60,9 @@ def stored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair facts written by centre and month, and read again."""
     path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
     write_pairs(pair_day(spark, sf_dir, False), path)
-    return read_pairs(spark, path).groupBy("center", F.expr(_month).alias("month")).agg(F.count("*").alias("n"), F.expr(r("avg(coherence)")).alias("mean_coherence"))
+    out = cut(read_pairs(spark, path).groupBy("center", F.expr(_month).alias("month")).agg(F.count("*").alias("n"), F.expr(r("avg(coherence)")).alias("mean_coherence")))
+    remove(spark, path)
+    return out
 
 
 _best = f"(SELECT center, model AS best_model FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY round(aic, 3), model) AS k FROM ({decay._ranked}) u) q WHERE k = 1)"

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from meshlag.config import DEFAULT
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, distance_bin, finalise
-from meshlag.functions.cut import cut
+from meshlag.functions.cut import cut, small
 from meshlag.operators import fit, resample, stats
 from meshlag.plans.decay import bins, bins_sql, fits_of, fits_text
-from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, binned, pair_day, station
+from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, binned, pair_day, pair_places, station
 from meshlag.plans.pairs import BINNED
 from meshlag.plans.registry import query, r, select
 
@@ -58,7 +58,7 @@ def leave_one_day_out_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _fold = f"(year(date) * 12 + month(date)) % {DEFAULT.monthly_folds}"
-_score = {"n_bins": "count(*)", "rmse": r("sqrt(sum(n * pow(y - p, 2)) / sum(n))", 4), "mae": r("sum(n * abs(y - p)) / sum(n)", 4), "r2": r("1 - sum(n * pow(y - p, 2)) / (sum(n * y * y) - pow(sum(n * y), 2) / sum(n))", 3), "log_lik": r("-0.5 * sum(n * pow(y - p, 2))", 2)}
+_score = {"n_bins": "count(*)", "rmse": r("sqrt(sum(n * pow(y - p, 2)) / sum(n))", 4), "nrmse": r("sqrt(sum(n * pow(y - p, 2)) / sum(n)) / (max(y) - min(y))", 3), "mae": r("sum(n * abs(y - p)) / sum(n)", 4), "r2": r("1 - sum(n * pow(y - p, 2)) / (sum(n * y * y) - pow(sum(n * y), 2) / sum(n))", 3), "log_lik": r("-0.5 * sum(n * pow(y - p, 2))", 2)}
 
 
 def scored(fits: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -153,11 +153,11 @@ def bin_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = DEFAULT.bootstrap) -> DataFrame:
     """Percentile interval of the decay length over resampled runs of bins."""
     b = bins(spark, sf_dir, ["center"]).withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("bin")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("center")))
     size = DEFAULT.bootstrap_block
-    starts = b.select("center", "m").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.bootstrap)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("m") / size).cast("int"))))
+    starts = b.select("center", "m").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("m") / size).cast("int"))))
     starts = starts.withColumn("start", F.pmod(F.xxhash64("replicate", "draw"), F.greatest(F.col("m") - size + 1, F.lit(1))))
     picks = starts.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select("center", "replicate", (F.col("start") + F.col("off")).alias("k"))
     fits = fit.fit_decay(picks.join(b, ["center", "k"]), ["center", "replicate"])
@@ -165,11 +165,11 @@ def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def pair_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = DEFAULT.pair_replicates) -> DataFrame:
     """Poisson(1) weights from a hash of (row, replicate), folded into the bin sums: no resampled copies."""
     u = "(pmod(xxhash64(row, replicate), 1000003) / 1000003D)"
     weight = F.expr(f"CASE WHEN {u} < 0.367879441 THEN 0 WHEN {u} < 0.735758882 THEN 1 WHEN {u} < 0.919698603 THEN 2 WHEN {u} < 0.981011843 THEN 3 WHEN {u} < 0.996340153 THEN 4 ELSE 5 END")
-    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.pair_replicates)))).withColumn("w", weight)
+    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
     s = b.groupBy("replicate", "bin").agg(F.sum(F.col("w") * F.col("coherence")).alias("s1"), F.sum(F.col("w") * F.col("coherence") ** 2).alias("s2"), F.sum(F.col("w") * F.col("dist_km")).alias("sd"), F.sum("w").alias("n"))
     return fit.fit_decay(finalise(s), ["replicate"])
 
@@ -182,28 +182,27 @@ def two_way_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.fit_decay(finalise(accumulate(b, ["replicate"]), 10), ["replicate"])
 
 
-
-
 @query()
 def distance_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits after permuting the distances over all rows, one fit for each iteration."""
-    return fit.fit_decay(finalise(accumulate(null_rows(spark, sf_dir, "distance", DEFAULT.null_iterations), ["iteration"])), ["iteration"])
+    """Fits after permuting the distances over each centre's rows, one fit for each iteration."""
+    rows = null_rows(spark, sf_dir, "distance", DEFAULT.null_iterations)
+    return fit.fit_decay(finalise(accumulate(rows, ["center", "iteration"])), ["center", "iteration"])
 
 
 def null_rows(spark: SparkSession, sf_dir: str, kind: str, iterations: int) -> DataFrame:
-    """(iteration, coherence, dist_km, bin): every row under each permutation of distances, phases or a day's stations."""
-    p = pair_day(spark, sf_dir)
+    """(center, iteration, coherence, dist_km, bin): a centre's rows under each permutation of distances, phases or a day's stations."""
     if kind == "distance":
-        out = resample.permute_each(p.select("row", "coherence", "dist_km"), "row", "dist_km", iterations)
+        out = resample.permute_each(pair_day(spark, sf_dir).select("row", "center", "coherence", "dist_km"), "row", "dist_km", iterations, "center")
     elif kind == "phase":
-        out = resample.permute_each(p.select("row", "dist_km", "phase"), "row", "phase", iterations).withColumn("coherence", F.cos("phase"))
+        out = resample.permute_each(pair_day(spark, sf_dir).select("row", "center", "dist_km", "phase"), "row", "phase", iterations, "center").withColumn("coherence", F.cos("phase"))
     else:
-        out, labels, s = p.select("date", "i", "j", "coherence"), cut(resample.relabel_each(p, iterations)), station(spark, sf_dir)
+        p, keys = pair_day(spark, sf_dir, False), ["center", "date"]
+        labels = cut(resample.relabel_each(p, iterations, keys))
+        out = p.select(*keys, "i", "j", "coherence")
         for e in "ij":
-            named = labels.select("iteration", "date", F.col("s").alias(e), F.col("t").alias(f"t_{e}"))
-            out = out.join(named, ["date", e] if e == "i" else ["iteration", "date", e])
-            out = out.join(s.select(F.col("id").alias(f"t_{e}"), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}")), f"t_{e}")
-        out = out.withColumn("dist_km", F.expr(DIST))
+            out = out.join(labels.select("iteration", *keys, F.col("s").alias(e), F.col("t").alias(f"t_{e}")), [*keys, e] if e == "i" else ["iteration", *keys, e])
+        ends = out.select("center", "iteration", "coherence", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"))
+        return ends.join(small(pair_places(spark, sf_dir).select("i", "j", "dist_km", "bin")), ["i", "j"]).where("bin IS NOT NULL")
     return out.withColumn("bin", distance_bin("dist_km")).where("bin IS NOT NULL")
 
 
@@ -236,14 +235,15 @@ def station_label_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def null_summary(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT.null_iterations) -> DataFrame:
-    """Permutations of distances, phases and station labels: mean and deviation of R2 and length, and permutation p of R2."""
-    real = fit.fit_decay(finalise(accumulate(binned(spark, sf_dir).withColumn("one", F.lit(1)), ["one"])), ["one"]).select("one", F.col("r2").alias("real_r2"), F.col("theta").alias("real_theta"))
+    """Each centre's real fit beside permutations of its distances, phases and station labels: R2, length, permutation p of R2 and verdict."""
+    real = fit.fit_decay(finalise(accumulate(binned(spark, sf_dir), ["center"])), ["center"]).select("center", F.col("r2").alias("real_r2"), F.col("theta").alias("real_theta"))
     states = None
     for kind in ("distance", "phase", "station"):
-        s = cut(accumulate(null_rows(spark, sf_dir, kind, iterations), ["iteration"]).withColumn("null", F.lit(kind)))
+        s = cut(accumulate(null_rows(spark, sf_dir, kind, iterations), ["center", "iteration"]).withColumn("null", F.lit(kind)))
         states = s if states is None else states.unionByName(s)
-    nulls = fit.fit_decay(finalise(states), ["null", "iteration"]).withColumn("one", F.lit(1)).join(real, "one")
-    return nulls.groupBy("null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    nulls = fit.fit_decay(finalise(states), ["null", "center", "iteration"]).join(real, "center")
+    out = nulls.groupBy("center", "null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return out.withColumn("passes", F.col("p_value") < 0.05)
 
 
 _u = lambda k: f"((row * {k} % 1000003 + 1) / 1000005D)"  # noqa: E731  a congruence draws alike in every engine

@@ -52,9 +52,9 @@ def pair_spectral_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(m, {"blk": "blk", "i": "i", "j": "j", **{k: r(k, digits.get(k, 5)) for k in _pm}})
 
 
-@query(f"SELECT blk, i, j, {r('cos(atan2(sim, sre))', 4)} AS cos_phase, {r('sqrt(sre * sre + sim * sim)', 2)} AS magnitude FROM {CROSS} c WHERE k = 1")
+@query(f"SELECT blk, i, j, {r('cos(atan2(sim, sre))', 4)} AS cos_phase, {r('sqrt(sre * sre + sim * sim)', 2)} AS magnitude, {r('sre', 2)} AS weighted_cosine FROM {CROSS} c WHERE k = 1")
 def first_bin_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(cross(spark, sf_dir).where("k = 1"), {"blk": "blk", "i": "i", "j": "j", "cos_phase": r("cos(atan2(sim, sre))", 4), "magnitude": r("sqrt(sre * sre + sim * sim)", 2)})
+    return select(cross(spark, sf_dir).where("k = 1"), {"blk": "blk", "i": "i", "j": "j", "cos_phase": r("cos(atan2(sim, sre))", 4), "magnitude": r("sqrt(sre * sre + sim * sim)", 2), "weighted_cosine": r("sre", 2)})
 
 
 @query()

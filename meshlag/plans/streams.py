@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlag.functions.cut import cut, shared_folder
+from meshlag.functions.cut import cut, remove, shared_folder
 from meshlag.plans.fixtures import PHASE, pair_day
 from meshlag.plans.pairs import STATES
 from meshlag.plans.registry import query, r, select
@@ -18,7 +18,8 @@ from meshlag.streaming import rollups
 def _drain(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
     """Runs `stream` over all there is: the last complete state or, with `keys`, the last row written for each key.
 
-    With keys only changed rows are written, and state that the watermark has passed is dropped.
+    With keys only changed rows are written, and state that the watermark has passed is dropped. The result is
+    stored, and the stream's input, state and output go.
     """
     out = f"{folder}/out"
 
@@ -28,9 +29,12 @@ def _drain(stream: DataFrame, folder: str, keys: list[str] | None = None) -> Dat
     stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     written = stream.sparkSession.read.parquet(out)
     if not keys:
-        return written.drop("batch_")
-    rest = [c for c in stream.columns if c not in keys]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("s")).select(*keys, "s.*")
+        last = cut(written.drop("batch_"))
+    else:
+        rest = [c for c in stream.columns if c not in keys]
+        last = cut(written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("s")).select(*keys, "s.*"))
+    remove(stream.sparkSession, folder)
+    return last
 
 
 def _arrive(rows: DataFrame, path: str, ts: str, files: int = 4) -> None:

@@ -204,24 +204,27 @@ def test_nulls_permute(spark, sf_dir):
     from meshlag.operators import resample
     from meshlag.plans import resampling
 
-    skewed = spark.createDataFrame([(k, k, float(k % 7 == 0)) for k in range(300)], "row long, place long, phase double")
-    out = resample.permute_each(skewed, "row", "phase", 3).collect()
+    center = lambda k: "A" if k % 5 == 0 else "B"
+    skewed = spark.createDataFrame([(k, center(k), k, float(k % 7 == 0) + (center(k) == "A") * 10) for k in range(300)], "row long, center string, place long, phase double")
+    out = resample.permute_each(skewed, "row", "phase", 3, "center").collect()
     orders = set()
     for it in (1, 2, 3):
         rows = sorted((r["row"], r["place"], r["phase"]) for r in out if r["iteration"] == it)
         assert [r[:2] for r in rows] == [(k, k) for k in range(300)]
-        assert Counter(r[2] for r in rows) == Counter(float(k % 7 == 0) for k in range(300))
+        for c in "AB":  # values stay in their centre
+            assert Counter(r[2] for r in rows if center(r[0]) == c) == Counter(float(k % 7 == 0) + (c == "A") * 10 for k in range(300) if center(k) == c)
         orders.add(tuple(r[2] for r in rows))
     assert len(orders) == 3
     pairs = spark.createDataFrame([("d", 1, 2), ("d", 3, 4), ("e", 1, 5)], "date string, i int, j int")
-    moved = resample.relabel_each(pairs, 4).collect()
+    moved = resample.relabel_each(pairs, 4, ["date"]).collect()
     for it in range(1, 5):
         for date, have in (("d", [1, 2, 3, 4]), ("e", [1, 5])):
             now = [r for r in moved if (r["iteration"], r["date"]) == (it, date)]
             assert sorted(r["s"] for r in now) == sorted(r["t"] for r in now) == have
     assert (DEFAULT.bootstrap, DEFAULT.bootstrap_block, DEFAULT.null_iterations) == (1000, 10, 100)
-    got = {r["null"]: r["iterations"] for r in resampling.null_summary(spark, sf_dir, 2).collect()}
-    assert got == {"distance": 2, "phase": 2, "station": 2}
+    rows = resampling.null_summary(spark, sf_dir, 2).collect()
+    assert {(r["center"], r["null"]): r["iterations"] for r in rows} == {(c, k): 2 for c in "ANR" for k in ("distance", "phase", "station")}
+    assert all(r["passes"] == (r["p_value"] < 0.05) for r in rows)
 
 
 def test_sufficient_folds(spark):
@@ -286,3 +289,16 @@ def test_evidence_classes(spark):
     df = spark.createDataFrame([(0.9, 1e-5), (-0.6, 1e-3), (0.4, 0.04), (0.25, 0.9), (0.1, 1e-9), (0.65, 0.02)], "r double, p_value double")
     got = [[x[k] for x in df.selectExpr(*[f"{evidence(k)} AS {k}" for k in ("orbital", "wobble", "nutation")]).collect()] for k in ("orbital", "wobble", "nutation")]
     assert got == [["robust", "strong", "moderate", "weak", "none", "moderate"], ["robust", "significant", "identified", "none", "none", "identified"], ["robust", "none", "none", "none", "none", "identified"]]
+
+
+def test_resampled_fits(spark, sf_dir):
+    """Few replicates of the long runs: intervals hold the median, Poisson draws keep the volume, days are on where power passes the level."""
+    from meshlag.plans import daily_series, resampling
+
+    for r in resampling.block_bootstrap(spark, sf_dir, 8).collect():
+        lo, mid, hi = r["theta_ci"]
+        assert r["replicates"] <= 8 and lo <= mid <= hi and 100 <= lo and hi <= 20_000
+    drawn = resampling.pair_bootstrap(spark, sf_dir, 4).collect()
+    assert {r["replicate"] for r in drawn} == {1, 2, 3, 4} and len({round(r["wrss"], 9) for r in drawn}) == 4
+    days = daily_series.on_off_days(spark, sf_dir, 3).collect()
+    assert {r["center"] for r in days} == set("ANR") and all(r["on"] == (r["power"] > r["threshold"]) for r in days) and any(r["on"] for r in days)

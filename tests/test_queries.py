@@ -8,8 +8,8 @@ import pytest
 from meshlag.plans import catalog
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-# one of each family is run here; the comparison over all is done at a larger scale
-SLOW = {"model_ranking", "leave_one_day_out_fits", "distance_shuffle_null", "null_summary", "bin_jackknife", "two_way_block_bootstrap", "pair_bootstrap", "distance_range_jackknife", "block_bootstrap", "zero_lag_comparison", "on_off_days", "cross_method_agreement", "decay_fit_gaussian", "decay_fit_squared_exponential", "decay_fit_matern_1_5", "decay_fit_matern_2_5", "decay_fit_power_law_shifted", "structureless_control", "regional_jackknife", "drop_one_bin_jackknife", "fold_summary", "station_block_cross_validation", "concentration_space_fit", "pairwise_fit", "plane_wave_fit", "sector_grid_moments", "decay_errors", "sector_anisotropy", "multi_center_consistency"}
+# the whole resampling and surrogate runs are tested with fewer iterations in test_operators.py
+SLOW = {"null_summary", "on_off_days", "block_bootstrap", "pair_bootstrap"}
 
 
 @pytest.fixture(scope="module")

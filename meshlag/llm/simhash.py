@@ -105,6 +105,8 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Times that texts which are like no other open text are left out before pairs are formed.
+BOUND_ROUNDS = 2
 #: A pair of similarity J shares no band with probability (1 - J ** BAND_ROWS) ** BANDS: 7e-6 at J = 0.8, whatever the edit.
 BANDS, BAND_ROWS = 30, 5
 
@@ -209,15 +211,20 @@ def open_pairs(placed: DataFrame, labels: DataFrame, stars: DataFrame, shingles:
     rows = open_rows(placed.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
     hubs = stars.groupBy(F.col("b").alias("node")).agg(F.first("nb").alias("both")).withColumn("hub", F.col("node"))
     told = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").join(hubs.select("node"), "node", "left_anti").unionByName(hubs.select("node", "hub", "both"))
-    nodes = cut(rows.select("node").distinct().join(told, "node", "left"))
-    asked = nodes.select("node").unionByName(nodes.where("hub IS NOT NULL").select(F.col("hub").alias("node"))).distinct()
-    bounds = cut(in_common(asked, shingles).join(nodes, "node").withColumn("beside", F.greatest(F.lit(0), F.col("common") - F.col("both"))))
-    rows = open_rows(rows.join(bounds, "node").where(F.col("common") >= SIMILAR * F.col("size")))
-    end = lambda e: [F.col(c).alias(k + e) for c, k in {"label": "l", "size": "s", "common": "c", "hub": "h", "both": "o", "beside": "r"}.items()]
+    told = cut(told)
+    for _ in range(BOUND_ROUNDS):  # what only texts that are out by now held too is a text's own in the next round
+        nodes = cut(rows.select("node").distinct().join(told, "node", "left"))
+        asked = nodes.select("node").unionByName(nodes.where("hub IS NOT NULL").select(F.col("hub").alias("node"))).distinct()
+        bounds = in_common(asked, shingles).join(nodes, "node").withColumn("beside", F.greatest(F.lit(0), F.col("common") - F.col("both")))
+        rows = rows.select("bucket", "node", "size", "label").join(cut(bounds), "node").where(F.col("common") >= SIMILAR * F.col("size"))
+        rows = open_rows(rows)
+    # a pair is formed in the first bucket that both share: no row of it has an earlier bucket in common
+    rows = cut(rows.join(rows.groupBy("node").agg(F.collect_list("bucket").alias("all")), "node").withColumn("earlier", F.filter("all", lambda b: b < F.col("bucket"))).drop("all"))
+    end = lambda e: [F.col(c).alias(k + e) for c, k in {"label": "l", "size": "s", "common": "c", "hub": "h", "both": "o", "beside": "r", "earlier": "e"}.items()]
     left, right = rows.where("label <> main").select("bucket", F.col("node").alias("x"), *end("x")), rows.select("bucket", "main", F.col("node").alias("y"), *end("y"))
     most = F.when(F.col("hx") == F.col("hy"), F.least("cx", "cy", F.least("ox", "oy") + F.least("rx", "ry"))).otherwise(F.least("cx", "cy"))
-    met = left.join(right, (left.bucket == right.bucket) & F.expr("lx <> ly AND (ly = main OR x < y)") & possible(most))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb")).distinct()
+    met = left.join(right, (left.bucket == right.bucket) & F.expr("lx <> ly AND (ly = main OR x < y)") & possible(most) & ~F.arrays_overlap("ex", "ey"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb"))
 
 
 def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:

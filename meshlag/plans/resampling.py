@@ -11,7 +11,7 @@ from meshlag.functions.bins import accumulate, distance_bin, finalise
 from meshlag.functions.cut import cut, small
 from meshlag.operators import fit, resample, stats
 from meshlag.plans.decay import bins, bins_sql, fits_of, fits_text
-from meshlag.plans.fixtures import DIST, PAIR_DAY_SQL, STATION_SQL, binned, pair_day, pair_places, station
+from meshlag.plans.fixtures import PAIR_DAY_SQL, STATION_SQL, binned, pair_day, pair_places, station
 from meshlag.plans.pairs import BINNED
 from meshlag.plans.registry import query, r, select
 
@@ -225,12 +225,12 @@ def phase_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN {STATION_SQL} a ON a.id = mi.t JOIN {STATION_SQL} b ON b.id = mj.t GROUP BY p.date""")
 def station_label_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pair_day(spark, sf_dir, False).select("date", "i", "j")
-    labels = resample.relabel_by_day(p, 42)
-    s = station(spark, sf_dir)
+    labels = cut(resample.relabel_by_day(p, 42))
     for e in "ij":
         p = p.join(labels.select("date", F.col("s").alias(e), F.col("t").alias(f"t_{e}")), ["date", e])
-        p = p.join(s.select(F.col("id").alias(f"t_{e}"), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}")), f"t_{e}")
-    return p.groupBy("date").agg(F.count("*").alias("n"), F.expr(r(f"avg({DIST})", 3)).alias("mean_km"))
+    ends = p.select("date", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"))
+    placed = ends.join(small(pair_places(spark, sf_dir).select("i", "j", "dist_km")), ["i", "j"])
+    return placed.groupBy("date").agg(F.count("*").alias("n"), F.expr(r("avg(dist_km)", 3)).alias("mean_km"))
 
 
 @query()

@@ -6,8 +6,6 @@ grouped sums; a pair then needs one product per coefficient. Complex numbers are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlag.functions import geo
 from meshlag.operators import fit
 from meshlag.operators.stats import correct, p_of_f, p_of_r, p_of_t
 from meshlag.plans.decay import ERRORS, bins, bins_sql
-from meshlag.plans.fixtures import DAILY_SQL, EXTERNAL_SQL, PAIR_DAY_SQL, daily, external_daily, pair_day, read
+from meshlag.plans.fixtures import EXTERNAL_SQL, PAIR_DAY_SQL, daily, external_daily, pair_day, read
 from meshlag.plans.registry import query, r, select
 from meshlag.sources.tables import as_columns, p_values, resolve_codes, validate_activity
 

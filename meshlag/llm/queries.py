@@ -13,6 +13,7 @@ from meshlag.llm.licenses import scan_licenses
 from meshlag.llm.packing import pack_documents
 from meshlag.llm.quality import score_quality
 from meshlag.llm.resampling import resample_towards
+from meshlag.llm.search import rank_documents
 from meshlag.llm.sharding import assign_shards
 from meshlag.llm.simhash import group_near_duplicates
 from meshlag.llm.token_counts import count_tokens
@@ -68,6 +69,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_towards(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_imatch_fingerprints, op3_simhash_groups, op4_pack_sequences, op5_toxicity, op6_decontaminate, op7_license_scan,
-        op8_shard_documents, op9_url_filter, op10_quality, op11_resample, pipeline,
+        op8_shard_documents, op9_url_filter, op10_quality, op11_resample, op12_ranked_search, pipeline,
     )
 }
 
@@ -130,4 +135,23 @@ ORACLE_SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, id) AS place, count(*) FILTER (n_words >= 20) OVER () AS eligible FROM scored)
         SELECT id AS doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * eligible // 100 THEN place END AS rank FROM ranked
     """,
+    "op12_ranked_search": r"""
+        WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        terms AS (
+            SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM texts),
+        items AS (SELECT DISTINCT id AS item_id, term FROM terms WHERE side = 'i'),
+        tfs AS (SELECT id AS doc_id, term, count(*) AS tf FROM terms WHERE side = 'd' GROUP BY id, term),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+        damped AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // words AS m FROM sizes, totals),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term, docs),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM items JOIN tfs USING (term) JOIN weights USING (term) JOIN damped USING (doc_id)
+            GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }

@@ -14,6 +14,7 @@ from meshlag.llm.packing import pack_documents
 from meshlag.llm.quality import score_quality
 from meshlag.llm.resampling import resample_towards
 from meshlag.llm.search import rank_documents
+from meshlag.llm.set_join import join_documents
 from meshlag.llm.sharding import assign_shards
 from meshlag.llm.simhash import group_near_duplicates
 from meshlag.llm.token_counts import count_tokens
@@ -73,6 +74,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_imatch_fingerprints, op3_simhash_groups, op4_pack_sequences, op5_toxicity, op6_decontaminate, op7_license_scan,
-        op8_shard_documents, op9_url_filter, op10_quality, op11_resample, op12_ranked_search, pipeline,
+        op8_shard_documents, op9_url_filter, op10_quality, op11_resample, op12_ranked_search, op13_jaccard_join, pipeline,
     )
 }
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,15 +14,16 @@ from pyspark.sql import functions as F
 
 from meshlag.functions.cut import small
 from meshlag.llm.graph import connected_components
-from meshlag.llm.util import cut, small_batches, whole_text
+from meshlag.llm.util import cut_freed as cut
+from meshlag.llm.util import remove, shared_dir, small_batches, whole_text
 
 WIDTH = 4
 #: Two sets link when LEAST * union <= 100 * intersection.
 LEAST = 85
 #: Sets and words that a task or worker remembers.
 SEEN, KNOWN_WORDS = 1 << 18, 500_000
-#: One signature in so many takes part in the choice of hubs, which only saves work.
-HUB_SHARE = 8
+#: Share of a node's signatures that it has in common with its hub at least; it only saves work.
+HUB_SHARE = 0.25
 #: Further nodes of a signature's commonest label that the others are tested with, and rows of a signature from which its pairs need a signature of the second family too.
 TURNS, CROWD = 2, 64
 
@@ -104,7 +106,7 @@ class Family:
         """Signatures of a sorted set of 64-bit hashes."""
         out, wanted = [], bands(len(elements)) if len(elements) else []
         if wanted and self.seed:
-            elements = np.sort(_mixed(elements + np.uint64(self.seed) * _GOLD))
+            elements = np.sort(_mixed(elements ^ np.uint64(self.seed)))
         if wanted:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(elements + _GOLD), dtype=np.uint64)])
         for band, k in wanted:
@@ -190,13 +192,13 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each node with at most one other, b, so as many pairs as nodes, from (signature, node, n, rows).
 
     The hub of a signature is the node that meets the most others in all its signatures; a node takes the hub
-    with which it shares the most signatures.
+    with which it shares the most signatures, if these are HUB_SHARE of about as many as it has.
     """
-    some = cut(members.where(F.pmod(F.xxhash64("signature"), F.lit(HUB_SHARE)) == 0))
-    scored = cut(some.join(some.groupBy("node").agg(F.sum("rows").alias("score")), "node"))
+    scored = cut(members.join(members.groupBy("node").agg(F.sum("rows").alias("score")), "node"))
     hubs = scored.groupBy("signature").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), F.struct("score", "node")).alias("h")).select("signature", "h.*")
-    met = scored.join(hubs, "signature").where((F.col("node") != F.col("hub")) & may_link(F.col("n"), F.col("hub_n"))).groupBy("node", "hub").agg(F.count("*").alias("shared"))
-    return met.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
+    met = scored.join(hubs, "signature").where((F.col("node") != F.col("hub")) & may_link(F.col("n"), F.col("hub_n"))).groupBy("node", "n", "hub").agg(F.count("*").alias("shared"))
+    likely = met.where(F.col("shared") >= HUB_SHARE * 2 * (100 - LEAST) / (100 + LEAST) * F.col("n"))
+    return likely.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,14 +208,14 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(rows.join(counted.where("labels > 1").select("signature", "main"), "signature"))
 
 
-def second_signatures(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(signature, node, n): the nodes under the signatures of the second family."""
+def second_signatures(sets: DataFrame) -> DataFrame:
+    """(signature, node, n): the nodes of (node, shingles) under the signatures of the second family that several share."""
 
     @F.arrow_udf("array<long>")
     def signed(column: pa.Array) -> pa.Array:
-        return pa.array([SECOND.signatures(np.sort(np.asarray(x.values).view(np.uint64))) for x in column], pa.list_(pa.int64()))
+        return pa.array([SECOND.signatures(np.asarray(x.values).view(np.uint64)) for x in column], pa.list_(pa.int64()))
 
-    rows = cut(nodes.join(sets, "node").select("node", F.size("shingles").cast("long").alias("n"), F.explode(signed("shingles")).alias("signature")))
+    rows = cut(sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode(signed("shingles")).alias("signature")))
     shared = rows.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("signature")
     return cut(rows.join(shared, "signature"))
 
@@ -241,18 +243,25 @@ def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.unionByName(new))
 
 
-def set_components(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label): components of the linked nodes, from those that share signatures.
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    First every node is tested with one hub, which joins most of what links. Signatures whose nodes all bear one
-    label by then are done, however many nodes they have. Nodes outside the commonest label of a signature are
-    tested with some more of its nodes; then every two nodes of a signature with different labels are, so no link
-    is lost. Where more than CROWD such nodes share a signature, their pairs must share one of the second family too.
+
+def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label): components of the linked nodes, from those that share signatures. `sets_of_nodes` builds the sets of some nodes.
+
+    First a node is tested with one hub, if it is likely to link with it; that joins most of what links. Signatures
+    whose nodes all bear one label by then are done, however many nodes they have. Nodes outside the commonest
+    label of a signature are tested with some more of its nodes. Then every two nodes of a signature with different
+    labels are tested, so no link is lost. Where more than CROWD such nodes share a signature, their pairs must
+    share one of the second family too.
     """
-    labels = connected_components(cut(linked(hub_pairs(members), sets)))
+    stars = cut(hub_pairs(members))
+    likely = sets_of_nodes(ends(stars))
+    labels = connected_components(cut(linked(stars, likely)))
     rows = open_members(members, labels)
     for turn in range(TURNS):
-        found = cut(linked(cut(main_pairs(rows, turn)), sets))
+        found = cut(linked(cut(main_pairs(rows, turn)), likely))
         if not found.isEmpty():
             own = lambda e: labels.select(F.col("node").alias(e), F.col("label").alias(f"l{e}"))
             named = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
@@ -260,10 +269,11 @@ def set_components(members: DataFrame, sets: DataFrame) -> DataFrame:
             rows = open_members(rows.select("signature", "node", "n"), labels)
     crowds = cut(rows.groupBy("signature").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("signature"))
     pairs = open_pairs(rows.join(crowds, "signature", "left_anti"))
-    crowded = rows.join(crowds, "signature").select("node").distinct()
-    second = open_members(second_signatures(crowded, sets), labels)
-    pairs = cut(pairs.unionByName(open_pairs(second)).distinct())
-    return joined_labels(labels, cut(linked(pairs, sets)))
+    if not crowds.isEmpty():
+        second = second_signatures(sets_of_nodes(rows.join(crowds, "signature").select("node").distinct()))
+        pairs = pairs.unionByName(open_pairs(open_members(second, labels))).distinct()
+    pairs = cut(pairs)
+    return joined_labels(labels, cut(linked(pairs, sets_of_nodes(ends(pairs)))))
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,19 +286,25 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     other columns are left out, whatever their names. Sets and runs are told apart by 64-bit hashes.
 
     Equal sets are one node. Sets of one size band, or of neighbouring ones, share a PartEnum signature if they
-    link (`Family`). Signatures that one node has alone are dropped by counting; of the others only the sets are
-    built again from the texts, and each link between nodes is proved on whole sets.
+    link (`Family`). Signatures that one node has alone are dropped by counting; of the others only the sets that
+    are compared are built again from the texts, and each link between nodes is proved on whole sets.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("text"))
-    rows = cut(signed_rows(texts))
-    signs = rows.where("signatures IS NOT NULL").select("node", "n", F.explode("signatures").alias("signature"))
-    shared = signs.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("signature", "rows")
-    members = cut(signs.join(shared, "signature").groupBy("signature", "node").agg(F.first("n").alias("n"), F.first("rows").alias("rows")))
+    signed_rows(texts).write.parquet(folder := f"{shared_dir(spark)}/signatures-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(folder)
     light = cut(rows.select("id", "n", "node", "text_key"))
-    met = members.select("node").distinct()
-    keys = cut(light.join(met, "node").groupBy("node").agg(F.min("text_key").alias("text_key")))
-    labels = set_components(members, cut(sets_of(texts, keys)))
+    signs = rows.where("signatures IS NOT NULL").select("node", "n", F.explode("signatures").alias("signature"))
+    shared = cut(signs.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("signature", "rows"))
+    members = cut(signs.join(shared.hint("shuffle_hash"), "signature").groupBy("signature", "node").agg(F.first("n").alias("n"), F.first("rows").alias("rows")))
+    remove(spark, folder)
+
+    def sets_of_nodes(nodes: DataFrame) -> DataFrame:
+        keys = light.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+        return cut(sets_of(texts, cut(keys)))
+
+    labels = set_components(members, sets_of_nodes)
     nodes = cut(light.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")).join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
     names = cut(nodes.groupBy("label").agg(F.min("rep").alias("component_id")))
     owners = cut(nodes.join(names, "label").select("node", "component_id"))

@@ -44,6 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_freed(df: DataFrame) -> DataFrame:
+    """`cut`, with the shuffle files of the job removed as soon as its result is written."""
+    key, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return cut(df.select("*"))  # the setting counts for plans that are made from now on
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -7,6 +7,7 @@ are fitted by the same few aggregations, and no row ever goes to Python.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,6 +80,20 @@ DIAGNOSE: Steps = [
 ]
 
 
+#: Sums of the products of the slopes d (theta), g (amplitude) and 1 (offset): the matrix J'WJ.
+ERROR_SUMS = {"e_dd": "sum(w * d * d)", "e_dg": "sum(w * d * g)", "e_d1": "sum(w * d)", "e_gg": "sum(w * g * g)", "e_g1": "sum(w * g)", "e_11": "sum(w)"}
+#: Its inverse by cofactors, times the residual variance; null where the parameters can't be told apart.
+COVARIANCE: Steps = [
+    {"f_dd": "e_gg * e_11 - e_g1 * e_g1", "f_gg": "e_dd * e_11 - e_d1 * e_d1", "f_11": "e_dd * e_gg - e_dg * e_dg", "f_dg": "e_g1 * e_d1 - e_dg * e_11", "f_d1": "e_dg * e_g1 - e_gg * e_d1", "f_g1": "e_dg * e_d1 - e_dd * e_g1"},
+    {"f_det": "e_dd * f_dd + e_dg * f_dg + e_d1 * f_d1"},
+    {"f_s": "CASE WHEN f_det > 1e-14 * e_dd * e_gg * e_11 AND n_bins > 3 THEN wrss / (n_bins - 3) / f_det END"},
+    {
+        "se_theta": "sqrt(f_s * f_dd)", "se_amplitude": "sqrt(f_s * f_gg)", "se_offset_c": "sqrt(f_s * f_11)",
+        "corr_theta_amplitude": "CASE WHEN f_s IS NOT NULL THEN f_dg / sqrt(f_dd * f_gg) END", "corr_theta_offset_c": "CASE WHEN f_s IS NOT NULL THEN f_d1 / sqrt(f_dd * f_11) END", "corr_amplitude_offset_c": "CASE WHEN f_s IS NOT NULL THEN f_g1 / sqrt(f_gg * f_11) END",
+    },
+]
+
+
 def _case(models: list[Model], value) -> str:
     """`value` of the row's model; models are told apart by the column `model`."""
     if len(models) == 1:
@@ -93,6 +108,10 @@ def _points(bins: DataFrame, keys: list[str], models: list[Model]) -> DataFrame:
     return best.select(*keys, "best.*")
 
 
+#: Columns of a fit's result.
+RESULT = ("theta", "amplitude", "offset_c", "wrss", "n_bins", "r2", "aic", "bic", "at_bound", "model", "se_theta", "se_amplitude", "se_offset_c", "corr_theta_amplitude", "corr_theta_offset_c", "corr_amplitude_offset_c")
+
+
 def fit_decay(
     bins: DataFrame, keys: list[str], model: str | Model | list[str | Model] = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n", errors: bool = False, together: bool = True
 ) -> DataFrame:
@@ -102,13 +121,20 @@ def fit_decay(
     sums are combined across tasks, which suits fits on single rows. A list of models is fitted in the same
     few aggregations, with the model as a further key. Weights are `w` (sigma = 1/sqrt(w)). Groups of under
     four bins are left out. The grid is refined around each group's best point three times, to about two parts
-    in 10**5 of theta.
+    in 10**5 of theta. `errors` adds the standard errors of all three parameters and their correlations. Keys may
+    have any names but those of the result.
     """
-    if taken := {"r", "y", "w", "g", "theta", "centre", "model", *SUMS} & set(keys):
-        raise ValueError(f"these names are used inside the fit: {sorted(taken)}")
+    if taken := set(RESULT) & set(keys):
+        raise ValueError(f"the result has columns of these names: {sorted(taken)}")
+    inner = [f"_key{k}" for k in range(len(keys))]
+    named = bins.select(*[F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)], F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
+    return _fit(named, inner, model, errors, together).withColumnsRenamed(dict(zip(inner, keys, strict=True)))
+
+
+def _fit(bins: DataFrame, keys: list[str], model: str | Model | list[str | Model], errors: bool, together: bool) -> DataFrame:
+    """`fit_decay` on columns r, y, w and keys whose names nothing in here uses."""
     models = [MODELS[m] if isinstance(m, str) else m for m in (model if isinstance(model, list) else [model])]
-    base = bins.select(*keys, F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w")).where("r IS NOT NULL AND y IS NOT NULL AND w > 0")
-    base = cut(base)  # the rounds below read it again, not the facts behind it
+    base = cut(bins.where("r IS NOT NULL AND y IS NOT NULL AND w > 0"))  # the rounds below read it again, not the facts behind it
     if len(models) > 1:
         base, keys = base.withColumn("model", F.explode(F.array(*[F.lit(m.name) for m in models]))), [*keys, "model"]
     if together and keys:
@@ -128,12 +154,75 @@ def fit_decay(
         joined = base.join(at, keys) if keys else base.crossJoin(F.broadcast(at))
         slope = _case(models, lambda m: f"amplitude * ({m.g('r', 'theta * 1.0001')} - {m.g('r', 'theta * 0.9999')}) / (0.0002 * theta)")
         sums = joined.withColumns({"g": F.expr(_case(models, lambda m: m.g("r", "theta"))), "d": F.expr(slope)})
-        sums = sums.groupBy(*keys).agg(*[F.expr(f"sum(w * {x})").alias(k) for k, x in {"e_w": "1", "e_g": "g", "e_gg": "g * g", "e_d": "d", "e_gd": "g * d", "e_dd": "d * d"}.items()])
-        out = (out.join(sums, keys) if keys else out.crossJoin(F.broadcast(sums))).withColumn("se_theta", F.expr("sqrt(wrss / (n_bins - 3) / (e_dd - (e_gd * e_gd * e_w - 2 * e_gd * e_d * e_g + e_d * e_d * e_gg) / (e_gg * e_w - e_g * e_g)))")).drop("e_w", "e_g", "e_gg", "e_d", "e_gd", "e_dd")
+        sums = sums.groupBy(*keys).agg(*[F.expr(v).alias(k) for k, v in ERROR_SUMS.items()])
+        out = apply(out.join(sums, keys) if keys else out.crossJoin(F.broadcast(sums)), COVARIANCE).drop(*ERROR_SUMS, *[k for step in COVARIANCE[:-1] for k in step])
     out = out.drop("sw", "sy", "syy", "tss")
     return out if len(models) > 1 else out.withColumn("model", F.lit(models[0].name))
 
 
+#: Exponent and cut-off of a power law that falls off exponentially; both are searched. Bounds, grid points on either axis.
+TWO_BASIS = "(pow({r}, -{a}) * exp(-{r} / {t}))"
+ALPHA_LOW, ALPHA_HIGH, CUT_LOW, CUT_HIGH, TWO_GRID, TWO_HALF, TWO_ROUNDS = 0.1, 10.0, 1000.0, 20_000.0, 24, 4, 8
+#: Four parameters.
+TWO_DIAGNOSE: Steps = [
+    {"tss": "syy - sy * sy / sw"},
+    {"r2": "CASE WHEN tss > 0 THEN 1 - wrss / tss END", "aic": "CASE WHEN wrss > 0 THEN n_bins * ln(wrss / n_bins) + 8 END", "bic": "CASE WHEN wrss > 0 THEN n_bins * ln(wrss / n_bins) + 4 * ln(n_bins) END"},
+]
+TWO_BEST = ("alpha", *BEST)
+
+
+def _two_steps(level: int) -> tuple[str, str]:
+    """Points of both axes around a centre, in steps of the logarithm: those of the first grid, halved at each level."""
+    a = f"least({ALPHA_HIGH}D, greatest({ALPHA_LOW}D, alpha0 * exp(ka * {math.log(ALPHA_HIGH / ALPHA_LOW) / TWO_GRID / 2**level!r}D)))"
+    t = f"least({CUT_HIGH}D, greatest({CUT_LOW}D, theta0 * exp(kt * {math.log(CUT_HIGH / CUT_LOW) / TWO_GRID / 2**level!r}D)))"
+    return a, t
+
+
+def fit_cutoff(bins: DataFrame, keys: list[str], r: str = "distance_km", y: str = "mean_coherence", w: str = "n") -> DataFrame:
+    """The power law with an exponential cut-off, exponent and cut-off searched together: one row a group of five bins or more.
+
+    For a fixed pair (alpha, theta) the model is linear in amplitude and offset, so a grid of pairs turns the fit
+    into grouped sums. Along the valley of pairs that fit alike the two trade off, so each round looks at all pairs
+    of TWO_HALF steps around the best one and then halves both steps.
+    """
+    if taken := {*TWO_BEST, "r2", "aic", "bic", "model"} & set(keys):
+        raise ValueError(f"the result has columns of these names: {sorted(taken)}")
+    inner = [f"_key{k}" for k in range(len(keys))]
+    base = bins.select(*[F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)], F.col(r).cast("double").alias("r"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
+    base = cut(base.where("r > 0 AND y IS NOT NULL AND w > 0"))
+    if inner:
+        base = base.repartition(*inner)
+    first = {"alpha0": F.lit(ALPHA_LOW), "theta0": F.lit(CUT_LOW)}
+    near, span = base.withColumns(first), (0, TWO_GRID)
+    for level in range(TWO_ROUNDS + 1):
+        alpha, theta = _two_steps(level)
+        steps = F.sequence(F.lit(span[0]), F.lit(span[1]))
+        points = near.withColumn("ka", F.explode(steps)).withColumn("kt", F.explode(steps)).withColumns({"alpha": F.expr(alpha), "theta": F.expr(theta)})
+        sums = points.withColumn("g", F.expr(TWO_BASIS.format(r="r", a="alpha", t="theta"))).groupBy(*inner, "alpha", "theta", "ka", "kt").agg(*[F.expr(v).alias(k) for k, v in SUMS.items()])
+        best = apply(sums, SOLVE).groupBy(*inner).agg(F.min_by(F.struct(*TWO_BEST), F.struct("wrss", "ka", "kt")).alias("best")).select(*inner, "best.*")
+        centres = best.select(*inner, F.col("alpha").alias("alpha0"), F.col("theta").alias("theta0"))
+        near, span = base.join(centres, inner) if inner else base.crossJoin(F.broadcast(centres)), (-TWO_HALF, TWO_HALF)  # one row a group
+    out = apply(best, TWO_DIAGNOSE).where("n_bins >= 5")
+    return out.select(*inner, "alpha", "theta", "amplitude", "offset_c", "wrss", "r2", "aic", "bic", "n_bins").withColumnsRenamed(dict(zip(inner, keys, strict=True)))
+
+
+def fit_cutoff_sql(bins: str, keys: list[str], r: str = "distance_km", y: str = "mean_coherence", w: str = "n") -> str:
+    """The same search as DuckDB text."""
+    ks = "".join(f"{k}, " for k in keys)
+    base = f"(SELECT {ks}cast({r} AS double) AS r, cast({y} AS double) AS y, cast({w} AS double) AS w FROM {bins} WHERE {r} > 0 AND {y} IS NOT NULL AND {w} > 0)"
+    near = f"(SELECT b.*, {ALPHA_LOW}::double AS alpha0, {CUT_LOW}::double AS theta0 FROM {base} b)"
+    span, group = (0, TWO_GRID + 1), f"GROUP BY {', '.join(keys)}" if keys else ""
+    best = ""
+    for level in range(TWO_ROUNDS + 1):
+        alpha, theta = (x.replace("D", "") for x in _two_steps(level))
+        points = f"(SELECT *, {alpha} AS alpha, {theta} AS theta FROM {near} n, range({span[0]}, {span[1]}) a(ka), range({span[0]}, {span[1]}) t(kt))"
+        sums = f"(SELECT {ks}alpha, theta, ka, kt, {', '.join(f'{v} AS {k}' for k, v in SUMS.items())} FROM (SELECT *, {TWO_BASIS.format(r='r', a='alpha', t='theta')} AS g FROM {points} p) q GROUP BY {ks}alpha, theta, ka, kt)"
+        best = f"(SELECT {ks}b.* FROM (SELECT {ks}min_by({{{', '.join(f'{x!r}: {x}' for x in TWO_BEST)}}}, (wrss, ka, kt)) AS b FROM {nest(sums, SOLVE)} m {group}) o)"
+        match = " AND ".join(f"f.{k} = c.{k}" for k in keys) or "true"
+        near, span = f"(SELECT f.*, c.alpha AS alpha0, c.theta AS theta0 FROM {base} f JOIN {best} c ON {match})", (-TWO_HALF, TWO_HALF + 1)
+    return f"(SELECT * FROM {nest(best, TWO_DIAGNOSE)} z WHERE n_bins >= 5)".replace("0.0D", "0.0")
+
+
 def fit_decay_sql(bins: str, keys: list[str], model: str | Model = "exponential", r: str = "distance_km", y: str = "mean_coherence", w: str = "n") -> str:
     """The same fit as DuckDB text over a table name."""
     model = MODELS[model] if isinstance(model, str) else model

@@ -9,6 +9,7 @@ from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, finalise
 from meshlag.operators import fit
 from meshlag.operators.resample import shuffled_rank
+from meshlag.operators.steps import nest
 from meshlag.plans.fixtures import PAIR_DAY_SQL, binned, pair_day
 from meshlag.plans.pairs import AZ, BINNED, STATES
 from meshlag.plans.registry import query, r, select
@@ -91,6 +92,31 @@ def decay_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(f, {"center": "center", **THETA, "se_theta": r("CASE WHEN amplitude > 0.0001 THEN se_theta END", 0)})
 
 
+_named = {"d": _d, "g": _g, "1": "1"}
+_products = {f"e_{x}{y}": f"sum(n * {_named[x]} * {_named[y]})" for x, y in ("dd", "dg", "d1", "gg", "g1", "11")}
+COVARIED = f"""(SELECT f.center, any_value(f.theta) AS theta, any_value(f.amplitude) AS amplitude, any_value(f.wrss) AS wrss, any_value(f.n_bins) AS n_bins, {', '.join(f'{v} AS {k}' for k, v in _products.items())}
+    FROM {bins_sql('center')} b JOIN {fit.fit_decay_sql(bins_sql('center'), ['center'])} f ON f.center = b.center GROUP BY f.center)"""
+#: The length's error runs with its square where the amplitude is small, so it is compared in relation to it.
+_covariance = {"se_theta_pct": r("100 * se_theta / theta", 2), **{k: r(k, d) for k, d in (("se_amplitude", 6), ("se_offset_c", 6), ("corr_theta_amplitude", 3), ("corr_theta_offset_c", 3), ("corr_amplitude_offset_c", 3))}}
+_covariance = {k: f"CASE WHEN amplitude > 0.0001 THEN {v} END" for k, v in _covariance.items()}
+
+
+@query(f"SELECT center, {', '.join(f'{v} AS {k}' for k, v in _covariance.items())} FROM {nest(COVARIED, fit.COVARIANCE)} e")
+def decay_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard errors and correlations of all three parameters; the twin takes the slope in closed form."""
+    f = fit.fit_decay(bins(spark, sf_dir, ["center"]), ["center"], errors=True)
+    return select(f, {"center": "center", **_covariance})
+
+
+_cutoff = {"amplitude": r("amplitude", 3), "wrss": r("wrss", 3), "r2": r("r2", 4), "aic": r("aic", 2), "n_bins": "n_bins"}
+
+
+@query(f"SELECT center, {', '.join(f'{v} AS {k}' for k, v in _cutoff.items())} FROM {fit.fit_cutoff_sql(bins_sql('center'), ['center'])} f")
+def decay_fit_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power law with an exponential cut-off, exponent and cut-off fitted together."""
+    return select(fit.fit_cutoff(bins(spark, sf_dir, ["center"]), ["center"]), {"center": "center", **_cutoff})
+
+
 _sectors = f"(SELECT *, {geo.sector(AZ)} AS sector FROM {BINNED} q)"
 
 

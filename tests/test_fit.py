@@ -115,6 +115,7 @@ def test_published_exponential(bins):
             assert row["amplitude"] == pytest.approx(amplitude, rel=1e-3)
             assert row["aic"] == pytest.approx(118.87265806, abs=1e-4)
             assert row["se_theta"] == pytest.approx(863.87, rel=2e-3)
+            assert row["se_amplitude"] == pytest.approx(0.0066916, rel=5e-3) and row["se_offset_c"] == pytest.approx(0.0064221, rel=5e-3)
 
 
 def test_published_ranking(bins):
@@ -158,3 +159,39 @@ def test_wave(spark):
     w = fit.fit_wave(df, ["grp"]).first()
     assert w["wavelength"] == 3000
     assert w["r2"] == pytest.approx(1, abs=1e-9)
+
+
+def test_published_errors(bins):
+    """Standard errors of all three parameters, and their correlations against a direct inverse."""
+    import numpy as np
+
+    for row in fit.fit_decay(bins, ["center"], errors=True).collect():
+        x, y, w = (np.array(v) for v in zip(*PUBLISHED[row["center"]], strict=True))
+        g = np.exp(-x / row["theta"])
+        slopes = np.stack([row["amplitude"] * x / row["theta"] ** 2 * g, g, np.ones_like(g)], axis=1)
+        cov = np.linalg.inv(slopes.T @ (w[:, None] * slopes)) * row["wrss"] / (len(x) - 3)
+        sd = np.sqrt(np.diag(cov))
+        assert [row["se_theta"], row["se_amplitude"], row["se_offset_c"]] == pytest.approx(sd, rel=1e-4)
+        got = [row["corr_theta_amplitude"], row["corr_theta_offset_c"], row["corr_amplitude_offset_c"]]
+        assert got == pytest.approx([cov[0, 1] / sd[0] / sd[1], cov[0, 2] / sd[0] / sd[2], cov[1, 2] / sd[1] / sd[2]], abs=1e-4)
+
+
+def test_key_names(spark):
+    """Keys may bear the names that the fit uses inside, not those of its result."""
+    rows = [(g, 100.0 * k, 0.2 * 2.718281828 ** (-100.0 * k / (900 + 300 * g)), 50) for g in range(2) for k in range(1, 30)]
+    df = spark.createDataFrame(rows, "r int, distance_km double, mean_coherence double, n int").withColumns({"sw": F.col("r") + 5, "best": F.lit("b")})
+    got = {x["r"]: x["theta"] for x in fit.fit_decay(df, ["r", "sw", "best"], errors=True).collect()}
+    assert got == pytest.approx({0: 900, 1: 1200}, rel=1e-3)
+    with pytest.raises(ValueError, match="r2"):
+        fit.fit_decay(df.withColumn("r2", F.lit(1)), ["r2"])
+
+
+@pytest.mark.parametrize(("alpha", "cut"), [(0.3, 3000.0), (0.15, 9000.0), (0.7, 1500.0)])
+def test_planted_cutoff(spark, alpha, cut):
+    """Exponent and cut-off of a planted curve are found together; a poorer choice of either leaves a larger residual."""
+    rows = [(1, float(r), 2.0 * r**-alpha * 2.718281828459045 ** (-r / cut) - 0.01, 100 + r % 7) for r in range(80, 12_000, 350)]
+    df = spark.createDataFrame(rows, "g int, distance_km double, mean_coherence double, n int")
+    got = fit.fit_cutoff(df, ["g"]).first()
+    assert got["alpha"] == pytest.approx(alpha, rel=0.01) and got["theta"] == pytest.approx(cut, rel=0.02)
+    assert got["amplitude"] == pytest.approx(2.0, rel=0.03) and got["offset_c"] == pytest.approx(-0.01, abs=1e-3) and got["r2"] > 0.999999
+    assert {r["g"] for r in fit.fit_cutoff(df.unionByName(df.limit(4).withColumn("g", F.lit(2))), ["g"]).collect()} == {1}

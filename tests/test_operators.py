@@ -288,7 +288,7 @@ def test_evidence_classes(spark):
 
     df = spark.createDataFrame([(0.9, 1e-5), (-0.6, 1e-3), (0.4, 0.04), (0.25, 0.9), (0.1, 1e-9), (0.65, 0.02)], "r double, p_value double")
     got = [[x[k] for x in df.selectExpr(*[f"{evidence(k)} AS {k}" for k in ("orbital", "wobble", "nutation")]).collect()] for k in ("orbital", "wobble", "nutation")]
-    assert got == [["robust", "strong", "moderate", "weak", "none", "moderate"], ["robust", "significant", "identified", "none", "none", "identified"], ["robust", "none", "none", "none", "none", "identified"]]
+    assert got == [["robust", "strong", "moderate", "weak", "none", "moderate"], ["robust", "significant", "identified", "none", "none", "identified"], ["robust", "identified", "none", "none", "none", "identified"]]
 
 
 def test_resampled_fits(spark, sf_dir):

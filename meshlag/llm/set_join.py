@@ -22,9 +22,7 @@ WIDTH = 4
 LEAST = 85
 #: Sets and words that a task or worker remembers.
 SEEN, KNOWN_WORDS = 1 << 18, 500_000
-#: Share of a node's signatures that it has in common with its hub at least; it only saves work.
-HUB_SHARE = 0.25
-#: Further nodes of a signature's commonest label that the others are tested with, and rows of a signature from which its pairs need a signature of the second family too.
+#: Further nodes of a signature's commonest label that the others are tested with, and rows of a signature from which its nodes meet by the second family.
 TURNS, CROWD = 2, 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +100,13 @@ class Family:
     weak: int = 1
     most: int = 40
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set of 64-bit hashes."""
-        out, wanted = [], bands(len(elements)) if len(elements) else []
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, int]:
+        """(signatures, firm) of a sorted set of 64-bit hashes; firm: cells of more than `weak` elements in its own band.
+
+        At most d cells hold a difference of sets that differ in d elements, so two sets share no fewer signatures than
+        the larger one has firm cells, less d.
+        """
+        out, wanted, firm = [], bands(len(elements)) if len(elements) else [], 0
         if wanted and self.seed:
             elements = np.sort(_mixed(elements ^ np.uint64(self.seed)))
         if wanted:
@@ -119,11 +121,13 @@ class Family:
             cell = _mixed(sums[at[1:]] - sums[at[:-1]] + (np.arange(n, dtype=np.uint64) + tag) * _GOLD)
             light = np.diff(at) <= self.weak
             out.append(cell[~light])
+            if STARTS[band] <= len(elements):
+                firm = int((~light).sum())
             places, step = np.flatnonzero(light), 1
             while step < len(places) and (together := places[step:] // cells == places[:-step] // cells).any():
                 out.append(_mixed(cell[places[:-step][together]] * _GOLD + cell[places[step:][together]]))
                 step += 1
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64)
+        return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64), firm
 
 
 FIRST, SECOND = Family(0), Family(1)
@@ -135,26 +139,28 @@ def set_digest(elements: np.ndarray) -> int:
 
 
 def signed_rows(docs: DataFrame) -> DataFrame:
-    """(id, text_key, n, node, signatures) of (id, text): node is a digest of the set; its signatures stand on the first row of a set in a task."""
+    """(id, text_key, n, node, firm, signatures) of (id, text): node is a digest of the set; its signatures stand on the first row of a set in a task."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(), set()
         for batch in batches:
-            n, nodes, signatures = [], [], []
+            n, nodes, firm, signatures = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 node = set_digest(s) if len(s) else None
                 n.append(len(s))
                 nodes.append(node)
-                signatures.append(FIRST.signatures(s) if len(s) and node not in seen else None)
+                found, solid = FIRST.signatures(s) if len(s) and node not in seen else (None, 0)
+                signatures.append(found)
+                firm.append(solid)
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))], ["id", "text_key", "n", "node", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firm, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))], ["id", "text_key", "n", "node", "firm", "signatures"])
 
     rows = docs.select("id", F.xxhash64("text").alias("text_key"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(signed, f"id {kind}, text_key long, n long, node long, signatures array<long>")
+    return rows.mapInArrow(signed, f"id {kind}, text_key long, n long, node long, firm long, signatures array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,56 +189,68 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= LEAST * (F.size("s_a") + F.size("s_b") - both)).select(*pairs.columns)
 
 
-def may_link(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes may link."""
-    return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
+def may_link(x: str, y: str, shared: str | None = None) -> str:
+    """Whether sets of sizes n{x}, n{y} with so many firm cells may link, judged by size and by the signatures they share."""
+    fits = f"100 * least(n{x}, n{y}) >= {LEAST} * greatest(n{x}, n{y})"
+    if shared is None:
+        return fits
+    firm = f"CASE WHEN n{x} > n{y} THEN firm{x} WHEN n{x} < n{y} THEN firm{y} ELSE greatest(firm{x}, firm{y}) END"
+    return f"{fits} AND {shared} >= {firm} - ({100 - LEAST} * (n{x} + n{y})) div {100 + LEAST}"
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each node with at most one other, b, so as many pairs as nodes, from (signature, node, n, rows).
+    """(a, b): each node with at most one other, b, so as many pairs as nodes, from (signature, node, n, firm, rows).
 
     The hub of a signature is the node that meets the most others in all its signatures; a node takes the hub
-    with which it shares the most signatures, if these are HUB_SHARE of about as many as it has.
+    with which it shares the most signatures, if they are enough for a link.
     """
     scored = cut(members.join(members.groupBy("node").agg(F.sum("rows").alias("score")), "node"))
-    hubs = scored.groupBy("signature").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), F.struct("score", "node")).alias("h")).select("signature", "h.*")
-    met = scored.join(hubs, "signature").where((F.col("node") != F.col("hub")) & may_link(F.col("n"), F.col("hub_n"))).groupBy("node", "n", "hub").agg(F.count("*").alias("shared"))
-    likely = met.where(F.col("shared") >= HUB_SHARE * 2 * (100 - LEAST) / (100 + LEAST) * F.col("n"))
-    return likely.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
+    hubs = scored.groupBy("signature").agg(F.max_by(F.struct(*[F.col(c).alias(f"{c}_h") for c in ("node", "n", "firm")]), F.struct("score", "node")).alias("h")).select("signature", "h.*")
+    met = scored.withColumnsRenamed({"n": "n_x", "firm": "firm_x"}).join(hubs, "signature").where("node <> node_h").groupBy("node", "n_x", "firm_x", "node_h", "n_h", "firm_h").agg(F.count("*").alias("shared"))
+    # a signature that both hold has another hub now and then: half of what a link needs will do here
+    likely = met.where(may_link("_x", "_h", "2 * shared"))
+    return likely.groupBy(F.col("node").alias("a")).agg(F.max_by("node_h", F.struct("shared", "node_h")).alias("b"))
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(signature, node, n, label, main): members of the signatures whose nodes bear more than one label; main is the commonest."""
-    rows = cut(members.select("signature", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    """(signature, node, n, firm, label, main): members of the signatures whose nodes bear more than one label; main is the commonest."""
+    rows = cut(members.select("signature", "node", "n", "firm").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     counted = rows.groupBy("signature", "label").agg(F.count("*").alias("k")).groupBy("signature").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"))
     return cut(rows.join(counted.where("labels > 1").select("signature", "main"), "signature"))
 
 
 def second_signatures(sets: DataFrame) -> DataFrame:
-    """(signature, node, n): the nodes of (node, shingles) under the signatures of the second family that several share."""
+    """(signature, node, n, firm): the nodes of (node, shingles) under the signatures of the second family that several share."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("struct<firm: long, signatures: array<long>>")
     def signed(column: pa.Array) -> pa.Array:
-        return pa.array([SECOND.signatures(np.asarray(x.values).view(np.uint64)) for x in column], pa.list_(pa.int64()))
+        found = [SECOND.signatures(np.asarray(x.values).view(np.uint64)) for x in column]
+        return pa.StructArray.from_arrays([pa.array([f for _, f in found], pa.int64()), pa.array([s for s, _ in found], pa.list_(pa.int64()))], ["firm", "signatures"])
 
-    rows = cut(sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode(signed("shingles")).alias("signature")))
+    rows = cut(sets.select("node", F.size("shingles").cast("long").alias("n"), signed("shingles").alias("s")).select("node", "n", "s.firm", F.explode("s.signatures").alias("signature")))
     shared = rows.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("signature")
     return cut(rows.join(shared, "signature"))
 
 
 def main_pairs(members: DataFrame, turn: int) -> DataFrame:
     """(a, b): every node outside the commonest label of a signature with one node of that label; another one each turn."""
-    hubs = members.where("label = main").groupBy("signature").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m")), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("h"))
-    met = members.where("label <> main").join(hubs.select("signature", "h.*"), "signature").where(may_link(F.col("n"), F.col("m")))
-    return met.groupBy("node", "b").agg(F.count("*").alias("shared")).groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    hubs = members.where("label = main").groupBy("signature").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_h") for c in ("node", "n", "firm")]), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("h"))
+    met = members.where("label <> main").withColumnsRenamed({"n": "n_x", "firm": "firm_x"}).join(hubs.select("signature", "h.*"), "signature").groupBy("node", "n_x", "firm_x", "node_h", "n_h", "firm_h").agg(F.count("*").alias("shared"))
+    return met.where(may_link("_x", "_h", "4 * shared")).groupBy(F.col("node").alias("a")).agg(F.max_by("node_h", F.struct("shared", "node_h")).alias("b"))
 
 
 def open_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, la, lb): nodes of a signature with different labels; those of the commonest label meet the others only."""
-    side = lambda e: [F.col(c).alias(c + e) for c in ("node", "n", "label")]
+    """(a, b, la, lb): nodes with different labels that share signatures enough for a link.
+
+    Nodes of a signature's commonest label meet the others only. Of rows that are `crowded` at both ends no pair is made.
+    """
+    side = lambda e: [F.col(c).alias(c + e) for c in ("node", "n", "firm", "label", "crowded")]
     left, right = members.where("label <> main").select("signature", *side("_x")), members.select("signature", "main", *side("_y"))
-    met = left.join(right, "signature").where("label_x <> label_y AND (label_y = main OR node_x < node_y)").where(may_link(F.col("n_x"), F.col("n_y")))
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.least("label_x", "label_y").alias("la"), F.greatest("label_x", "label_y").alias("lb")).distinct()
+    met = left.join(right, "signature").where(f"label_x <> label_y AND (label_y = main OR node_x < node_y) AND NOT (crowded_x AND crowded_y) AND {may_link('_x', '_y')}")
+    one, other = (f"CASE WHEN node_x {sign} node_y THEN struct(node_x AS node, n_x AS n, firm_x AS firm, label_x AS label) ELSE struct(node_y AS node, n_y AS n, firm_y AS firm, label_y AS label) END" for sign in "<>")
+    pairs = met.select(F.expr(one).alias("p"), F.expr(other).alias("q")).groupBy("p", "q").agg(F.count("*").alias("shared"))
+    ends = pairs.select("shared", *[F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "pq" for c in ("node", "n", "firm", "label")]).where(may_link("_p", "_q", "shared"))
+    return ends.select(F.col("node_p").alias("a"), F.col("node_q").alias("b"), F.least("label_p", "label_q").alias("la"), F.greatest("label_p", "label_q").alias("lb"))
 
 
 def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -253,8 +271,9 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
     First a node is tested with one hub, if it is likely to link with it; that joins most of what links. Signatures
     whose nodes all bear one label by then are done, however many nodes they have. Nodes outside the commonest
     label of a signature are tested with some more of its nodes. Then every two nodes of a signature with different
-    labels are tested, so no link is lost. Where more than CROWD such nodes share a signature, their pairs must
-    share one of the second family too.
+    labels are tested, if they share as many as a link needs: no link is lost. Two nodes that lie in signatures
+    of more than CROWD such nodes meet by the second family instead, so a passage that very many texts hold makes
+    few pairs.
     """
     stars = cut(hub_pairs(members))
     likely = sets_of_nodes(ends(stars))
@@ -266,12 +285,13 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
             own = lambda e: labels.select(F.col("node").alias(e), F.col("label").alias(f"l{e}"))
             named = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
             labels = joined_labels(labels, named)
-            rows = open_members(rows.select("signature", "node", "n"), labels)
-    crowds = cut(rows.groupBy("signature").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("signature"))
-    pairs = open_pairs(rows.join(crowds, "signature", "left_anti"))
-    if not crowds.isEmpty():
-        second = second_signatures(sets_of_nodes(rows.join(crowds, "signature").select("node").distinct()))
-        pairs = pairs.unionByName(open_pairs(open_members(second, labels))).distinct()
+            rows = open_members(rows, labels)
+    crowds = rows.groupBy("signature").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("signature")
+    crowded = cut(rows.join(crowds, "signature").select("node", F.lit(True).alias("crowded")).distinct())
+    pairs = open_pairs(rows.join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    if not crowded.isEmpty():
+        second = open_members(second_signatures(sets_of_nodes(crowded.select("node"))), labels)
+        pairs = pairs.unionByName(open_pairs(second.withColumn("crowded", F.lit(False))))
     pairs = cut(pairs)
     return joined_labels(labels, cut(linked(pairs, sets_of_nodes(ends(pairs)))))
 
@@ -295,9 +315,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     signed_rows(texts).write.parquet(folder := f"{shared_dir(spark)}/signatures-{uuid.uuid4().hex}")
     rows = spark.read.parquet(folder)
     light = cut(rows.select("id", "n", "node", "text_key"))
-    signs = rows.where("signatures IS NOT NULL").select("node", "n", F.explode("signatures").alias("signature"))
+    signs = rows.where("signatures IS NOT NULL").select("node", "n", "firm", F.explode("signatures").alias("signature"))
     shared = cut(signs.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("signature", "rows"))
-    members = cut(signs.join(shared.hint("shuffle_hash"), "signature").groupBy("signature", "node").agg(F.first("n").alias("n"), F.first("rows").alias("rows")))
+    members = cut(signs.join(shared.hint("shuffle_hash"), "signature").groupBy("signature", "node").agg(*[F.first(c).alias(c) for c in ("n", "firm", "rows")]))
     remove(spark, folder)
 
     def sets_of_nodes(nodes: DataFrame) -> DataFrame:

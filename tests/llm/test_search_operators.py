@@ -186,7 +186,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", range(2))
 def test_set_join(spark, monkeypatch, seed):
     if seed:  # the second family and few hubs
-        for name, value in {"CROWD": 2, "HUB_SHARE": 1000, "TURNS": 1, "SEEN": 5, "KNOWN_WORDS": 50}.items():
+        for name, value in {"CROWD": 2, "TURNS": 1, "SEEN": 5, "KNOWN_WORDS": 50}.items():
             monkeypatch.setattr(set_join, name, value)
     rows = list(enumerate(ODD)) + corpus(seed)
     rows += [(None, rows[20][1])] + [(None, "nobody owns these five words")] * 2 + [(2000, rows[30][1]), (2000, "another text of one id")]
@@ -215,4 +215,6 @@ def test_signatures_meet(family):
             both = len(np.intersect1d(whole, other))
             assert 100 * both >= 85 * (n + len(other) - both)
             if not np.array_equal(whole, other):
-                assert len(np.intersect1d(family.signatures(whole), family.signatures(other)))
+                (one, firm), (two, other_firm) = family.signatures(whole), family.signatures(other)
+                shared, larger = len(np.intersect1d(one, two)), firm if n > len(other) else other_firm
+                assert shared and shared >= larger - 15 * (n + len(other)) // 185

@@ -6,7 +6,11 @@ written once, give the totals and every refit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlag.functions.bins import accumulate
@@ -127,3 +131,106 @@ def relabel_by_day(pairs: DataFrame, seed: int) -> DataFrame:
     a = stations.withColumn("r", F.row_number().over(w.orderBy("s")))
     b = hashed.withColumn("r", F.row_number().over(w.orderBy("h"))).select("date", "r", F.col("s").alias("t"))
     return a.join(b, ["date", "r"]).select("date", "s", "t")
+
+
+#: Replicates that a word of a bitmap holds.
+WORD_BITS = 62
+
+
+def draw(of: int | Column, *parts: str | Column) -> Column:
+    """A number from 0 to of - 1 out of the md5 of the parts: the same in every engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("#", *parts)), 1, 12), 16, 10).cast("long"), of if isinstance(of, Column) else F.lit(of))
+
+
+def drawn_bitmaps(names: DataFrame, name: str, replicates: int, kind: str) -> DataFrame:
+    """(name, bits): in which replicates a name is drawn, one bit each, when as many names as there are are drawn with replacement.
+
+    Every draw is a row (replicates times names of them), which ors one bit into its name's word; a name that is
+    never drawn in a word's replicates keeps a zero word.
+    """
+    ranked = cut(names.select(name).distinct().withColumn("_k", F.row_number().over(Window.orderBy(name)) - 1))  # stations or days: thousands
+    size = ranked.count()
+    draws = ranked.sparkSession.range(replicates * size).select((F.col("id") % replicates).alias("b"), F.floor(F.col("id") / replicates).alias("k"))
+    picked = draws.select("b", draw(max(size, 1), F.lit(kind), F.col("b").cast("string"), F.col("k").cast("string")).alias("_k"))
+    words = picked.groupBy("_k", F.floor(F.col("b") / WORD_BITS).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(b % {WORD_BITS} AS int))")).alias("v"))
+    maps = words.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "v"))).alias("m"))  # replicates / WORD_BITS entries
+    bits = F.transform(F.sequence(F.lit(0), F.lit(-(-replicates // WORD_BITS) - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
+    return ranked.join(maps, "_k", "left").select(name, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0).cast("long"), -(-replicates // WORD_BITS))).otherwise(bits).alias("bits"))
+
+
+def unpacked(bits: np.ndarray, replicates: int) -> np.ndarray:
+    """(row, replicate) of zeros and ones from (row, word)."""
+    places = np.arange(replicates)
+    return (bits[:, places // WORD_BITS] >> (places % WORD_BITS)) & 1
+
+
+#: 2**31 - 1, a prime, and the cumulative Poisson(1) probabilities of 0 to 7 events.
+PRIME = 2_147_483_647
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+POISSON_STEPS = tuple(int(p * PRIME) for p in POISSON)
+
+
+def poisson_seeds(replicates: int) -> list[tuple[int, int]]:
+    """A factor and an addend below PRIME for each replicate."""
+    import hashlib
+
+    words = [hashlib.md5(f"poisson#{b}".encode()).hexdigest() for b in range(1, replicates + 1)]
+    return [(int(h[:12], 16) % (PRIME - 1) + 1, int(h[12:24], 16) % PRIME) for h in words]
+
+
+def poisson_weights(rows: np.ndarray, seeds: list[tuple[int, int]]) -> np.ndarray:
+    """(row, replicate): Poisson(1) weights of row numbers; the products stay below 2**62."""
+    factor, addend = (np.array(v, np.int64) for v in zip(*seeds, strict=True))
+    x = ((rows % PRIME)[:, None] * factor + addend) % PRIME
+    x = (x * x + addend) % PRIME
+    return np.searchsorted(np.array(POISSON_STEPS), x, side="right")
+
+
+def poisson_text(row: str, factor: str, addend: str) -> str:
+    """The same weight as SQL text."""
+    x = f"((({row}) % {PRIME} * {factor} + {addend}) % {PRIME})"
+    x = f"(({x} * {x} + {addend}) % {PRIME})"
+    return "(" + " + ".join(f"CASE WHEN {x} >= {s} THEN 1 ELSE 0 END" for s in POISSON_STEPS) + ")"
+
+
+#: Rows whose weights a worker holds at a time, times the replicates.
+WEIGHTS = 4_000_000
+
+
+def replicate_states(pairs: DataFrame, key: str | None, columns: list[str], weights: Callable[[pa.RecordBatch], np.ndarray], replicates: int) -> DataFrame:
+    """(key, replicate, bin, s1, s2, sd, n): the bin sums of every replicate, from a weight for each row and replicate.
+
+    `pairs` holds key, bin, coherence, dist_km and the `columns` that `weights` reads. A task keeps one vector of
+    replicates for each key, bin and sum, and hands over these alone: rows grow with tasks, not with the facts.
+    Nothing is copied for a replicate.
+    """
+    names = [*([key] if key else []), "bin", "coherence", "dist_km", *columns]
+    kind = f"{key} {dict(pairs.dtypes)[key]}, " if key else ""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, np.ndarray] = {}
+        step = max(1, WEIGHTS // replicates)
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                w = weights(part).astype(float)
+                bins, c, d = (np.asarray(part.column(x)) for x in ("bin", "coherence", "dist_km"))
+                groups = np.asarray(part.column(key).to_pylist(), object) if key else np.zeros(len(bins), object)
+                measured = np.stack([c, c * c, d, np.ones_like(c)])
+                for g in set(groups.tolist()):
+                    of_group = groups == g
+                    for b in np.unique(bins[of_group]):
+                        at = np.flatnonzero(of_group & (bins == b))
+                        state[g, int(b)] = state.get((g, int(b)), 0) + measured[:, at] @ w[at]
+        rows = [(*k, *v) for k, v in state.items()]
+        cells = list(zip(*rows, strict=True)) if rows else [()] * 6
+        arrays = [pa.array([x.tolist() for x in column], pa.list_(pa.float64())) for column in cells[2:]]
+        head = [pa.array(cells[0])] if key and rows else [pa.array([], part_type)] if key else []
+        yield pa.RecordBatch.from_arrays([*head, pa.array(cells[1], pa.int32()), *arrays], [*([key] if key else []), "bin", "s1", "s2", "sd", "n"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    part_type = to_arrow_type(pairs.schema[key].dataType) if key else None
+    states = pairs.select(*names).mapInArrow(summed, f"{kind}bin int, s1 array<double>, s2 array<double>, sd array<double>, n array<double>")
+    each = states.select(*([key] if key else []), "bin", F.posexplode(F.arrays_zip("s1", "s2", "sd", "n")).alias("p", "s")).select(*([key] if key else []), (F.col("p") + 1).alias("replicate"), "bin", "s.*")
+    return each.groupBy(*([key] if key else []), "replicate", "bin").agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "sd")], F.sum("n").cast("long").alias("n")).where("n > 0")

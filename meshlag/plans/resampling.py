@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,34 +153,91 @@ def bin_jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits_of(fit.fit_decay(kept, ["center", "replicate"]), ["center", "replicate"])
 
 
-@query()
-def block_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = DEFAULT.bootstrap) -> DataFrame:
-    """Percentile interval of the decay length over resampled runs of bins."""
-    b = bins(spark, sf_dir, ["center"]).withColumn("k", F.row_number().over(Window.partitionBy("center").orderBy("bin")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("center")))
-    size = DEFAULT.bootstrap_block
-    starts = b.select("center", "m").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("m") / size).cast("int"))))
-    starts = starts.withColumn("start", F.pmod(F.xxhash64("replicate", "draw"), F.greatest(F.col("m") - size + 1, F.lit(1))))
-    picks = starts.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select("center", "replicate", (F.col("start") + F.col("off")).alias("k"))
-    fits = fit.fit_decay(picks.join(b, ["center", "k"]), ["center", "replicate"])
-    return fits.groupBy("center").agg(F.count("*").alias("replicates"), F.percentile("theta", [0.025, 0.5, 0.975]).alias("theta_ci"), F.percentile("amplitude", [0.025, 0.5, 0.975]).alias("amplitude_ci"))
+REPLICATE = {"amplitude": r("amplitude", 3), "wrss": r("wrss", 3), "n_bins": "n_bins"}
 
 
-@query()
-def pair_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = DEFAULT.pair_replicates) -> DataFrame:
-    """Poisson(1) weights from a hash of (row, replicate), folded into the bin sums: no resampled copies."""
-    u = "(pmod(xxhash64(row, replicate), 1000003) / 1000003D)"
-    weight = F.expr(f"CASE WHEN {u} < 0.367879441 THEN 0 WHEN {u} < 0.735758882 THEN 1 WHEN {u} < 0.919698603 THEN 2 WHEN {u} < 0.981011843 THEN 3 WHEN {u} < 0.996340153 THEN 4 ELSE 5 END")
-    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    s = b.groupBy("replicate", "bin").agg(F.sum(F.col("w") * F.col("coherence")).alias("s1"), F.sum(F.col("w") * F.col("coherence") ** 2).alias("s2"), F.sum(F.col("w") * F.col("dist_km")).alias("sd"), F.sum("w").alias("n"))
-    return fit.fit_decay(finalise(s), ["replicate"])
+def _draw_text(of: str, *parts: str) -> str:
+    return f"(('0x' || substr(md5({' || chr(35) || '.join(parts)}), 1, 12))::bigint % {of})"
 
 
-@query()
+def block_draws(bins: DataFrame, replicates: int, size: int) -> DataFrame:
+    """(center, replicate, bins...): runs of `size` neighbouring bins, drawn with replacement until a replicate has as many bins as there are.
+
+    The last run is cut, so that no replicate has more.
+    """
+    w = Window.partitionBy("center")
+    placed = bins.withColumns({"k": F.row_number().over(w.orderBy("bin")) - 1, "m": F.count("*").over(w)})  # a few dozen bins a centre
+    starts = placed.select("center", "m").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / size).cast("int") - 1)))
+    starts = starts.withColumn("start", resample.draw(F.greatest(F.col("m") - size + 1, F.lit(1)), F.lit("block"), F.col("replicate").cast("string"), F.col("draw").cast("string")))
+    picks = starts.withColumn("off", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("m") - F.col("draw") * size).cast("int") - 1)))
+    return picks.select("center", "replicate", (F.col("start") + F.col("off")).alias("k")).join(placed, ["center", "k"])
+
+
+_size = DEFAULT.bootstrap_block
+_placed = f"(SELECT *, row_number() OVER (PARTITION BY center ORDER BY bin) - 1 AS k, count(*) OVER (PARTITION BY center) AS m FROM {bins_sql('center')} b)"
+_blocks = f"""(SELECT p.*, replicate FROM (SELECT center, replicate, s + o AS k FROM (SELECT center, m, replicate, draw, {_draw_text(f'greatest(m - {_size} + 1, 1)', "'block'", 'replicate', 'draw')} AS s
+    FROM (SELECT DISTINCT center, m FROM {_placed} q) c, range(1, {DEFAULT.bootstrap + 1}) t(replicate), range(0, 40) d(draw) WHERE draw * {_size} < m) x, range(0, {_size}) f(o) WHERE draw * {_size} + o < m) z JOIN {_placed} p ON p.center = z.center AND p.k = z.k)"""
+_interval = {"replicates": "count(*)", **{f"{c}_{n}": r(f"{f}({c}, {q})", 3) for c in ("amplitude", "wrss") for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)) for f in ("percentile",)}}
+
+
+@query(f"SELECT center, {', '.join(f'{v} AS {k}' for k, v in _interval.items()).replace('percentile(', 'quantile_cont(')} FROM {fit.fit_decay_sql(_blocks, ['center', 'replicate'])} f GROUP BY center")
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile intervals over resampled runs of bins."""
+    fits = block_fits(spark, sf_dir, DEFAULT.bootstrap)
+    return fits.groupBy("center").agg(*[F.expr(v).alias(k) for k, v in _interval.items()])
+
+
+def block_fits(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    return fit.fit_decay(block_draws(bins(spark, sf_dir, ["center"]), replicates, DEFAULT.bootstrap_block), ["center", "replicate"])
+
+
+_seeds = ", ".join(f"({b}, {f}, {a})" for b, (f, a) in enumerate(resample.poisson_seeds(DEFAULT.pair_replicates), 1))
+_weighted = f"(SELECT replicate, bin, coherence, dist_km, {resample.poisson_text('row', 'pf', 'pa')} AS w FROM (SELECT row, bin, coherence, dist_km FROM {BINNED} q WHERE bin BETWEEN 0 AND 39) b, (VALUES {_seeds}) t(replicate, pf, pa))"
+_weighted = f"(SELECT replicate, bin, sum(w * coherence) / sum(w) AS mean_coherence, sum(w * dist_km) / sum(w) AS distance_km, cast(sum(w) AS bigint) AS n FROM {_weighted} z GROUP BY 1, 2 HAVING sum(w) >= 50)"
+
+
+@query(f"SELECT replicate, {', '.join(f'{v} AS {k}' for k, v in REPLICATE.items())} FROM {fit.fit_decay_sql(_weighted, ['replicate'])} f")
+def pair_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row weighs Poisson(1) in every replicate; the weights are folded into vectors of bin sums, no row is copied."""
+    return select(pair_bootstrap_fits(spark, sf_dir, DEFAULT.pair_replicates), {"replicate": "replicate", **REPLICATE})
+
+
+def pair_bootstrap_fits(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    seeds = resample.poisson_seeds(replicates)
+    states = resample.replicate_states(binned(spark, sf_dir), None, ["row"], lambda b: resample.poisson_weights(np.asarray(b.column("row")), seeds), replicates)
+    return fit.fit_decay(finalise(states), ["replicate"])
+
+
+_two = DEFAULT.two_way_replicates
+_kept = lambda kind, name, source: f"(SELECT DISTINCT b + 1 AS replicate, {name} FROM (SELECT b, {_draw_text('s', chr(39) + kind + chr(39), 'b', 'k')} AS pick FROM (SELECT count(*) AS s FROM {source} c) n, range(0, {_two}) x(b), range(0, 10000) y(k) WHERE k < s) p JOIN (SELECT {name}, row_number() OVER (ORDER BY {name}) - 1 AS rk FROM {source} v) l ON l.rk = p.pick)"
+_stations = _kept("station", "st", f"(SELECT i AS st FROM {BINNED} u1 UNION SELECT j FROM {BINNED} u2)")
+_dates = _kept("day", "date", f"(SELECT DISTINCT date FROM {BINNED} u3)")
+_two_way = f"""(SELECT d.replicate, bin, sum(coherence) / count(*) AS mean_coherence, sum(dist_km) / count(*) AS distance_km, count(*) AS n FROM (SELECT * FROM {BINNED} q WHERE bin BETWEEN 0 AND 39) b
+    JOIN {_dates} d ON d.date = b.date LEFT JOIN {_stations} si ON si.st = b.i AND si.replicate = d.replicate LEFT JOIN {_stations} sj ON sj.st = b.j AND sj.replicate = d.replicate
+    WHERE si.st IS NOT NULL OR sj.st IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10)"""
+
+
+@query(f"SELECT replicate, {', '.join(f'{v} AS {k}' for k, v in REPLICATE.items())} FROM {fit.fit_decay_sql(_two_way, ['replicate'])} f")
 def two_way_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations and days drawn with replacement; a row is kept once if both ends and its day were drawn."""
-    drawn = lambda *c: F.pmod(F.xxhash64(*c, "replicate"), F.lit(1000)) < 632  # noqa: E731  the share drawn at least once
-    b = binned(spark, sf_dir).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(DEFAULT.two_way_replicates)))).where(drawn("i") & drawn("j") & drawn("date"))
-    return fit.fit_decay(finalise(accumulate(b, ["replicate"]), 10), ["replicate"])
+    """Stations and days drawn with replacement; a row is kept once if its day and one of its stations were drawn.
+
+    A station and a day hold one bit a replicate, so a row's replicates are the meeting of three bitmaps.
+    """
+    return select(two_way_fits(binned(spark, sf_dir), DEFAULT.two_way_replicates), {"replicate": "replicate", **REPLICATE})
+
+
+def two_way_fits(pairs: DataFrame, replicates: int) -> DataFrame:
+    names = cut(pairs.select(F.explode(F.array("i", "j")).alias("station"), "date"))
+    stations = small(cut(resample.drawn_bitmaps(names, "station", replicates, "station")))
+    days = small(cut(resample.drawn_bitmaps(names, "date", replicates, "day")))
+    rows = pairs
+    for e in "ij":
+        rows = rows.join(stations.select(F.col("station").alias(e), F.col("bits").alias(f"bits_{e}")), e)
+    either = F.zip_with("bits_i", "bits_j", lambda a, b: a.bitwiseOR(b))
+    rows = rows.join(days, "date").withColumn("kept", F.zip_with(either, "bits", lambda a, b: a.bitwiseAND(b)))
+    words = -(-replicates // resample.WORD_BITS)
+    weights = lambda b: resample.unpacked(np.asarray(b.column("kept").flatten()).reshape(-1, words), replicates)
+    return fit.fit_decay(finalise(resample.replicate_states(rows, None, ["kept"], weights, replicates), 10), ["replicate"])
 
 
 @query()

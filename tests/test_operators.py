@@ -291,14 +291,59 @@ def test_evidence_classes(spark):
     assert got == [["robust", "strong", "moderate", "weak", "none", "moderate"], ["robust", "significant", "identified", "none", "none", "identified"], ["robust", "identified", "none", "none", "none", "identified"]]
 
 
-def test_resampled_fits(spark, sf_dir):
-    """Few replicates of the long runs: intervals hold the median, Poisson draws keep the volume, days are on where power passes the level."""
-    from meshlag.plans import daily_series, resampling
-
-    for r in resampling.block_bootstrap(spark, sf_dir, 8).collect():
-        lo, mid, hi = r["theta_ci"]
-        assert r["replicates"] <= 8 and lo <= mid <= hi and 100 <= lo and hi <= 20_000
-    drawn = resampling.pair_bootstrap(spark, sf_dir, 4).collect()
-    assert {r["replicate"] for r in drawn} == {1, 2, 3, 4} and len({round(r["wrss"], 9) for r in drawn}) == 4
+def test_block_draws(spark):
+    """A replicate has as many bins as there are, in runs of neighbours."""
+    from meshlag.plans import resampling
+
+    for m in (4, 10, 16, 25):
+        bins = spark.createDataFrame([("A", 3 * b) for b in range(m)], "center string, bin int")
+        got = {}
+        for x in resampling.block_draws(bins, 30, 10).collect():
+            got.setdefault(x["replicate"], []).append(x["k"])
+        assert len(got) == 30 and all(len(v) == m for v in got.values()) and all(0 <= k < m for v in got.values() for k in v)
+        assert m <= 10 or len({tuple(sorted(v)) for v in got.values()}) > 5
+
+
+def test_bitmaps(spark):
+    """A bit is set exactly where one of the draws of its replicate hits the name."""
+    import hashlib
+
+    from meshlag.operators import resample
+
+    names, replicates = [f"s{k:02}" for k in range(17)], 130
+    df = spark.createDataFrame([(n,) for n in names * 2], "st string")
+    got = {x["st"]: resample.unpacked(np.array([x["bits"]]), replicates)[0].tolist() for x in resample.drawn_bitmaps(df, "st", replicates, "kind").collect()}
+    pick = lambda b, k: int(hashlib.md5(f"kind#{b}#{k}".encode()).hexdigest()[:12], 16) % 17
+    drawn = [{pick(b, k) for k in range(17)} for b in range(replicates)]
+    assert got == {n: [int(r in drawn[b]) for b in range(replicates)] for r, n in enumerate(names)}
+    share = np.mean([v for x in got.values() for v in x])
+    assert abs(share - (1 - (16 / 17) ** 17)) < 0.03
+
+
+def test_replicate_states(spark):
+    """Vectors of weighted bin sums equal those of the copies; Poisson weights have mean and variance 1."""
+    from meshlag.operators import resample
+
+    seeds, rng = resample.poisson_seeds(40), np.random.default_rng(1)
+    rows = [(k, "AB"[k % 2], int(rng.integers(0, 4)), float(rng.normal()), float(rng.uniform(50, 9000))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "row long, center string, bin int, coherence double, dist_km double")
+    weigh = lambda b: resample.poisson_weights(np.asarray(b.column("row")), seeds)
+    w = resample.poisson_weights(np.arange(3000), seeds)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05 and abs(np.corrcoef(w.T)[np.triu_indices(40, 1)]).max() < 0.1
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.02
+    got = {(x["center"], x["replicate"], x["bin"]): x for x in resample.replicate_states(df, "center", ["row"], weigh, 40).collect()}
+    b, c, d, k = (np.array([x[i] for x in rows]) for i in (2, 3, 4, 1))
+    for (center, replicate, at), x in got.items():
+        v = w[:, replicate - 1] * ((b == at) & (k == center))
+        assert (x["n"], x["s1"], x["s2"], x["sd"]) == pytest.approx((v.sum(), (v * c).sum(), (v * c * c).sum(), (v * d).sum()), abs=1e-6)
+    assert len(got) == 2 * 40 * 4
+    whole = resample.replicate_states(df, None, ["row"], weigh, 40).agg(F.sum("n")).first()[0]
+    assert whole == w.sum() and resample.replicate_states(df.limit(0), "center", ["row"], weigh, 40).count() == 0
+
+
+def test_resampled_days(spark, sf_dir):
+    """Days are on where power passes the level."""
+    from meshlag.plans import daily_series
+
     days = daily_series.on_off_days(spark, sf_dir, 3).collect()
     assert {r["center"] for r in days} == set("ANR") and all(r["on"] == (r["power"] > r["threshold"]) for r in days) and any(r["on"] for r in days)

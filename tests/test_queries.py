@@ -9,7 +9,7 @@ from meshlag.plans import catalog
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 # the whole resampling and surrogate runs are tested with fewer iterations in test_operators.py
-SLOW = {"null_summary", "on_off_days", "block_bootstrap", "pair_bootstrap"}
+SLOW = {"null_summary", "on_off_days"}
 
 
 @pytest.fixture(scope="module")

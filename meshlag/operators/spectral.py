@@ -7,8 +7,7 @@ grouped sums; a pair then needs one product per coefficient. Complex numbers are
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,14 +31,20 @@ def spectra(series: DataFrame, keys: list[str], size: int, bands: list[int]) ->
     return sums.select(*keys, "seg", "k", (F.col("xc") - F.col("m") * F.col("c")).alias("re"), (-(F.col("xs") - F.col("m") * F.col("s"))).alias("im"))
 
 
+#: Of the coefficients (ar, ai) and (br, bi) of a pair's segments.
+CROSS_SUMS = {"sre": "sum(ar * br + ai * bi)", "sim": "sum(ar * bi - ai * br)", "pxx": "sum(ar * ar + ai * ai)", "pyy": "sum(br * br + bi * bi)", "segs": "count(*)"}
+
+
+def _cross_sums() -> list[Column]:
+    return [F.expr(v).alias(k) for k, v in CROSS_SUMS.items()]
+
+
 def cross(spec: DataFrame, keys: list[str], station: str = "st") -> DataFrame:
     """(keys, i, j, k, sre, sim, pxx, pyy, segs): segment sums of conj(X) Y and of the powers, i < j."""
     a = spec.select(*keys, F.col(station).alias("i"), "seg", "k", F.col("re").alias("ar"), F.col("im").alias("ai"))
     b = spec.select(*keys, F.col(station).alias("j"), "seg", "k", F.col("re").alias("br"), F.col("im").alias("bi"))
     pairs = a.join(b, [*keys, "seg", "k"]).where("i < j")
-    return pairs.groupBy(*keys, "i", "j", "k").agg(
-        F.sum(F.expr("ar * br + ai * bi")).alias("sre"), F.sum(F.expr("ar * bi - ai * br")).alias("sim"), F.sum(F.expr("ar * ar + ai * ai")).alias("pxx"), F.sum(F.expr("br * br + bi * bi")).alias("pyy"), F.count("*").alias("segs")
-    )
+    return pairs.groupBy(*keys, "i", "j", "k").agg(*_cross_sums())
 
 
 def pair_measures(bands: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,35 +66,48 @@ def band_indices(seconds: float, size: int, low_hz: float, high_hz: float) -> li
     return [k for k in range(1, size // 2 + 1) if low_hz <= k / (seconds * size) <= high_hz]
 
 
-def exact_pairs(obs: DataFrame, keys: list[str], size: int, bands: list[int], least: int, station: str = "st", epoch: str = "e", value: str = "bias") -> DataFrame:
-    """Phase and magnitude from each pair's own common epochs, for pairs whose epoch sets differ.
+def common_phases(obs: DataFrame, keys: list[str], pairs: DataFrame, size: int, bands: list[int], least: int, station: str = "st", epoch: str = "e", value: str = "bias") -> DataFrame:
+    """(keys, i, j, n_epochs, phase, magnitude) of the `pairs` (keys, i, j), each on the epochs that both stations have.
 
-    Common epochs are compacted, as the station path does with its own. One group is a pair in a block.
+    Common epochs are compacted, as the station path does with its own. The two ends of a pair are two series of
+    grouped sums; only the epochs of the asked pairs are joined. Phases of fewer epochs than `least` or `size` are null.
+    """
+    a = obs.select(*keys, F.col(station).alias("i"), epoch, F.col(value).alias("x_i"))
+    b = obs.select(*keys, F.col(station).alias("j"), epoch, F.col(value).alias("x_j"))
+    both = pairs.select(*keys, "i", "j").join(a, [*keys, "i"]).join(b, [*keys, "j", epoch])
+    ends = both.select(*keys, "i", "j", epoch, F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"x_{e}").alias("v")) for e in "ij"])).alias("s")).select(*keys, "i", "j", epoch, "s.end", "s.v")
+    ids = [*keys, "i", "j"]
+    spec = spectra(detrended(ends, [*ids, "end"], epoch, "v").where(F.col("n") >= max(least, size)), [*ids, "end"], size, bands)
+    one, two = (spec.where(F.col("end") == e).select(*ids, "seg", "k", F.col("re").alias(f"{c}r"), F.col("im").alias(f"{c}i")) for e, c in (("i", "a"), ("j", "b")))
+    measured = pair_measures(one.join(two, [*ids, "seg", "k"]).groupBy(*ids, "k").agg(*_cross_sums()), keys)
+    counts = both.groupBy(*ids).agg(F.count("*").alias("n_epochs"))
+    return counts.join(measured.select(*ids, "phase", "magnitude"), ids, "left")
+
+
+def common_phases_sql(obs: str, key: str, size: int, bands: list[int], least: int) -> str:
+    """Phases of all pairs as DuckDB text, every pair on its common epochs, with the rows that `phases` returns.
+
+    `obs` has key, st, e and bias. Stations of fewer than `least` epochs are left out; a pair whose stations have the
+    same epochs needs `size` of them.
     """
-    schema = ", ".join([*(f"{k} {dict(obs.dtypes)[k]}" for k in keys), "i long, j long, n_epochs long, phase double, magnitude double"])
-    a = obs.select(*keys, F.col(station).alias("i"), epoch, F.col(value).alias("x"))
-    b = obs.select(*keys, F.col(station).alias("j"), epoch, F.col(value).alias("y"))
-    joined = a.join(b, [*keys, epoch]).where("i < j")
-
-    def phase(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(epoch)
-        n, t = len(pdf), np.arange(len(pdf))
-        if n < max(least, size):
-            return pd.DataFrame([[*key, n, None, None]], columns=[*keys, "i", "j", "n_epochs", "phase", "magnitude"]).astype({"phase": float, "magnitude": float})
-        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-        total = np.zeros(len(bands), complex)
-        x, y = (v - np.polyval(np.polyfit(t, v, 1), t) for v in (pdf["x"].to_numpy(), pdf["y"].to_numpy()))
-        for at in range(0, n - size + 1, size // 2):
-            p, q = x[at : at + size], y[at : at + size]
-            total += (np.conj(np.fft.rfft((p - p.mean()) * taper)) * np.fft.rfft((q - q.mean()) * taper))[bands]
-        whole = total.sum()
-        return pd.DataFrame([[*key, n, float(np.arctan2(whole.imag, whole.real)), float(np.abs(total).mean())]], columns=[*keys, "i", "j", "n_epochs", "phase", "magnitude"])
-
-    return joined.groupBy(*keys, "i", "j").applyInPandas(phase, schema)
+    step, enough = size // 2, max(least, size)
+    kept = f"(SELECT *, count(*) OVER (PARTITION BY {key}, st) AS own FROM {obs} o)"
+    both = f"(SELECT a.{key}, a.st AS i, b.st AS j, a.e, a.bias AS x_i, b.bias AS x_j, a.own AS n_i, b.own AS n_j FROM {kept} a JOIN {kept} b ON a.{key} = b.{key} AND a.e = b.e AND a.st < b.st WHERE a.own >= {least} AND b.own >= {least})"
+    ends = f"(SELECT {key}, i, j, e, 'i' AS nd, x_i AS v FROM {both} u UNION ALL SELECT {key}, i, j, e, 'j', x_j FROM {both} u)"
+    ranked = f"(SELECT *, cast(row_number() OVER (PARTITION BY {key}, i, j, nd ORDER BY e) - 1 AS double) AS idx, count(*) OVER (PARTITION BY {key}, i, j, nd) AS n FROM {ends} q)"
+    series = f"(SELECT {key}, i, j, nd, idx, n, v - coalesce(regr_slope(v, idx) OVER w * idx + regr_intercept(v, idx) OVER w, 0) AS x FROM {ranked} z WHERE n >= {enough} WINDOW w AS (PARTITION BY {key}, i, j, nd))"
+    angle = f"2 * pi() * k.k * (s.idx - g.seg * {step}) / {size}"
+    cut_ = f"""(SELECT s.{key}, s.i, s.j, s.nd, g.seg, k.k, s.x, 0.5 - 0.5 * cos(2 * pi() * (s.idx - g.seg * {step}) / {size}) AS tp, cos({angle}) AS cs, sin({angle}) AS sn
+        FROM {series} s JOIN range(0, 10000) g(seg) ON s.idx >= g.seg * {step} AND s.idx < g.seg * {step} + {size} AND g.seg * {step} + {size} <= s.n, (VALUES {', '.join(f'({b})' for b in bands)}) k(k))"""
+    spec = f"(SELECT {key}, i, j, nd, seg, k, sum(tp * cs * x) - avg(x) * sum(tp * cs) AS re, -(sum(tp * sn * x) - avg(x) * sum(tp * sn)) AS im FROM {cut_} q GROUP BY ALL)"
+    cross_ = f"(SELECT a.{key}, a.i, a.j, a.k, sum(a.re * b.re + a.im * b.im) AS sre, sum(a.re * b.im - a.im * b.re) AS sim FROM {spec} a JOIN {spec} b ON a.{key} = b.{key} AND a.i = b.i AND a.j = b.j AND a.seg = b.seg AND a.k = b.k AND a.nd = 'i' AND b.nd = 'j' GROUP BY 1, 2, 3, 4)"
+    measured = f"(SELECT {key}, i, j, atan2(sum(sim), sum(sre)) AS phase, avg(sqrt(sre * sre + sim * sim)) AS magnitude FROM {cross_} c GROUP BY 1, 2, 3)"
+    counts = f"(SELECT {key}, i, j, count(*) AS n_epochs, any_value(n_i) AS n_i, any_value(n_j) AS n_j FROM {both} b GROUP BY 1, 2, 3)"
+    return f"(SELECT c.{key}, c.i, c.j, n_epochs, phase, magnitude FROM {counts} c LEFT JOIN {measured} m ON m.{key} = c.{key} AND m.i = c.i AND m.j = c.j WHERE phase IS NOT NULL OR n_epochs <> n_i OR n_epochs <> n_j)"
 
 
 def phases(obs: DataFrame, keys: list[str], size: int, bands: list[int], least: int, station: str = "st", epoch: str = "e", value: str = "bias") -> DataFrame:
-    """Phase of every pair: the station path where both have the same epochs, the exact path elsewhere."""
+    """Phase of every pair: the station path where both have the same epochs, their common epochs elsewhere."""
     signed = obs.groupBy(*keys, station).agg(F.xxhash64(F.array_sort(F.collect_list(epoch))).alias("sig"), F.count("*").alias("n_epochs")).where(F.col("n_epochs") >= least)
     a, b = (signed.select(*keys, F.col(station).alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_epochs").alias(f"n_{x}")) for x in "ij")
     pairs = a.join(b, keys).where("i < j")
@@ -97,7 +115,4 @@ def phases(obs: DataFrame, keys: list[str], size: int, bands: list[int], least:
     series = detrended(kept, [*keys, station], epoch, value)
     fast = pair_measures(cross(spectra(series, [*keys, station], size, bands), keys, station), keys)
     same = pairs.where("sig_i = sig_j").join(fast, [*keys, "i", "j"]).select(*keys, "i", "j", F.col("n_i").alias("n_epochs"), "phase", "magnitude")
-    unequal = pairs.where("sig_i <> sig_j").select(*keys, "i", "j")
-    ends = unequal.select(*keys, F.explode(F.array("i", "j")).alias(station)).distinct()
-    exact = exact_pairs(kept.join(ends, [*keys, station], "left_semi"), keys, size, bands, least, station, epoch, value).join(unequal, [*keys, "i", "j"], "left_semi")
-    return same.unionByName(exact)
+    return same.unionByName(common_phases(kept, keys, pairs.where("sig_i <> sig_j"), size, bands, least, station, epoch, value))

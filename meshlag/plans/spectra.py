@@ -57,11 +57,16 @@ def first_bin_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(cross(spark, sf_dir).where("k = 1"), {"blk": "blk", "i": "i", "j": "j", "cos_phase": r("cos(atan2(sim, sre))", 4), "magnitude": r("sqrt(sre * sre + sim * sim)", 2), "weighted_cosine": r("sre", 2)})
 
 
-@query()
+#: Both coordinates of the phase, so that it may lie anywhere on the circle.
+PHASED = {"n_epochs": "n_epochs", "cos_phase": r("cos(phase)", 4), "sin_phase": r("sin(phase)", 4), "magnitude": r("magnitude", 2)}
+_hourly = f"(SELECT *, cast(floor(e / 240.0) AS bigint) AS blk FROM {clock_sql(3600)} h)"
+
+
+@query(f"SELECT blk, i, j, {', '.join(f'{v} AS {k}' for k, v in PHASED.items())} FROM {spectral.common_phases_sql(_hourly, 'blk', 32, [1, 2, 3, 4], 32)} p")
 def pair_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly series with gaps: pairs with equal epochs by station spectra, the rest on their common epochs."""
     obs = clock(spark, sf_dir, 3600).withColumn("blk", F.floor(F.col("e") / 240).cast("long"))
-    return spectral.phases(obs, ["blk"], 32, [1, 2, 3, 4], 32)
+    return select(spectral.phases(obs, ["blk"], 32, [1, 2, 3, 4], 32), {"blk": "blk", "i": "i", "j": "j", **PHASED})
 
 
 def _class(a: str, b: str) -> str:
@@ -103,11 +108,14 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(g.withColumn("w", F.unix_seconds(F.col("window.start")) / 3600), {"st": "st", "w": "cast(w AS bigint)", "mean_value": r("m"), "sd": r("sd"), "n": "n"})
 
 
-@query()
+_sliding = f"(SELECT st, e, bias, unnest([cast(floor(e / 24.0) AS bigint), cast(floor(e / 24.0) AS bigint) - 1]) AS blk FROM {clock_sql(3600)} h)"
+
+
+@query(f"SELECT blk, i, j, {', '.join(f'{v} AS {k}' for k, v in PHASED.items())} FROM {spectral.common_phases_sql(_sliding, 'blk', 16, [1, 2, 3], 24)} p")
 def windowed_pair_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding blocks of 48 hours each 24: pair phase in each window."""
     obs = clock(spark, sf_dir, 3600).withColumn("blk", F.explode(F.array(F.floor(F.col("e") / 24).cast("long"), (F.floor(F.col("e") / 24) - 1).cast("long"))))
-    return spectral.phases(obs, ["blk"], 16, [1, 2, 3], 24)
+    return select(spectral.phases(obs, ["blk"], 16, [1, 2, 3], 24), {"blk": "blk", "i": "i", "j": "j", **PHASED})
 
 
 _sim = "1 / (1 + abs(a.m - b.m) / 100)"

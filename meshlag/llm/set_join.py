@@ -242,17 +242,66 @@ def main_pairs(members: DataFrame, turn: int) -> DataFrame:
 def open_pairs(members: DataFrame) -> DataFrame:
     """(a, b, la, lb): nodes with different labels that share signatures enough for a link.
 
-    Nodes of a signature's commonest label meet the others only. Of rows that are `crowded` at both ends no pair is made.
+    Nodes of a signature's commonest label meet the others only. Of rows that are `crowded` at both ends, or have one
+    root, no pair is made.
     """
-    side = lambda e: [F.col(c).alias(c + e) for c in ("node", "n", "firm", "label", "crowded")]
+    side = lambda e: [F.col(c).alias(c + e) for c in ("node", "n", "firm", "label", "crowded", "root")]
     left, right = members.where("label <> main").select("signature", *side("_x")), members.select("signature", "main", *side("_y"))
-    met = left.join(right, "signature").where(f"label_x <> label_y AND (label_y = main OR node_x < node_y) AND NOT (crowded_x AND crowded_y) AND {may_link('_x', '_y')}")
+    met = left.join(right, "signature").where(f"label_x <> label_y AND (label_y = main OR node_x < node_y) AND NOT (crowded_x AND crowded_y) AND root_x <> root_y AND {may_link('_x', '_y')}")
     one, other = (f"CASE WHEN node_x {sign} node_y THEN struct(node_x AS node, n_x AS n, firm_x AS firm, label_x AS label) ELSE struct(node_y AS node, n_y AS n, firm_y AS firm, label_y AS label) END" for sign in "<>")
     pairs = met.select(F.expr(one).alias("p"), F.expr(other).alias("q")).groupBy("p", "q").agg(F.count("*").alias("shared"))
     ends = pairs.select("shared", *[F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "pq" for c in ("node", "n", "firm", "label")]).where(may_link("_p", "_q", "shared"))
     return ends.select(F.col("node_p").alias("a"), F.col("node_q").alias("b"), F.least("label_p", "label_q").alias("la"), F.greatest("label_p", "label_q").alias("lb"))
 
 
+def roots_of(stars: DataFrame) -> DataFrame:
+    """(node, root): the hub of the hub of each node's hub, as far as there is one. A hub meets more rows than its nodes do, so there is no circle."""
+    up = stars.select(F.col("a").alias("b"), F.col("b").alias("above"))
+    for _ in range(2):
+        stars = cut(stars.join(up, "b", "left").select("a", F.coalesce("above", "b").alias("b")))
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root, diff): the elements that only one of a node's set and its root's has."""
+    own, of_root = sets.select("node", "shingles"), sets.select(F.col("node").alias("root"), F.col("shingles").alias("base"))
+    return pairs.join(own, "node").join(of_root, "root").select("node", "root", F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles")).alias("diff"))
+
+
+def rooted_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, la, lb): nodes of one root with different labels that may link, from open `members` and (node, root).
+
+    What two sets do not share is what their differences from the root do not share: |A - B| + |B - A| =
+    |DA| + |DB| - 2 |DA and DB|. Links bound it by d, so two nodes must share t = (|DA| + |DB| - d) / 2 elements of their
+    differences, and of these one is among the |D| - t + 1 that are rarest in the root's group, on both sides. So
+    copies with edits of their own meet hardly any other, however many derive from one text. Partners are taken by
+    size class of |D|; where t is not above zero, all of the classes meet under one key.
+    """
+    nodes = members.select("node", "n", "label").distinct().join(roots, "node")
+    told = cut(nodes.join(differing(nodes.select("node", "root"), sets), ["node", "root"]))
+    groups = told.groupBy("root").agg(F.max("n").alias("most"))
+    main = told.groupBy("root", "label").agg(F.count("*").alias("k")).groupBy("root").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
+    told = cut(told.join(groups, "root").join(main.select("root", "main"), "root"))
+    elements = told.select("root", "node", F.explode("diff").alias("e"))
+    held = cut(elements.groupBy("root", "e").agg(F.count("*").alias("df")).where("df > 1"))  # what one node has alone comes first in its order and meets nothing
+    ranked = cut(elements.join(held, ["root", "e"]).groupBy("root", "node").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("shared")))
+    size = F.size("diff").cast("long")
+    whole = told.join(ranked, ["root", "node"], "left").select("root", "node", "n", "label", "main", size.alias("size"), F.coalesce(F.transform("shared", lambda x: x["e"]), F.array().cast("array<long>")).alias("shared"))
+    whole = whole.join(groups, "root").withColumn("d", F.expr(f"({100 - LEAST} * (n + least(most, n * 100 div {LEAST}))) div {100 + LEAST}"))
+    size_class = lambda x: f"cast(floor(log2(greatest(0, {x}) + 1)) AS int)"
+    classed = whole.withColumns({"own": F.expr(size_class("size")), "other": F.explode(F.expr(f"sequence({size_class('size - d')}, {size_class('size + d')})"))})
+    # the smallest |D| of a class is 2**class - 1
+    need = classed.withColumn("t", F.expr("cast(ceil((size + shiftleft(1L, other) - 1 - d) / 2.0D) AS int)"))
+    alone = F.col("size") - F.size("shared")
+    first = F.when(F.col("t") < 1, F.array(F.lit(None).cast("long"))).otherwise(F.slice("shared", 1, F.greatest(F.lit(0), F.col("size") - F.col("t") + 1 - alone).cast("int")))
+    keyed = need.select("root", "main", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "label", "own", "other", F.explode(first).alias("e"))
+    keyed = cut(keyed.withColumn("e", F.struct(F.col("e").isNull().alias("any"), F.coalesce("e", F.lit(0)).alias("e"))))
+    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "label", "own", "other")]
+    left, right = keyed.where("label <> main").select("root", "low", "high", "e", *side("_x")), keyed.select("root", "low", "high", "e", "main", *side("_y"))
+    met = left.join(right, ["root", "low", "high", "e"]).where(f"own_x = other_y AND own_y = other_x AND label_x <> label_y AND (label_y = main OR node_x < node_y) AND {may_link('_x', '_y')}")
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.least("label_x", "label_y").alias("la"), F.greatest("label_x", "label_y").alias("lb")).distinct()
+
+
 def joined_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
     """(node, label) after the links (la, lb) between labels."""
     above = cut(connected_components(more, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("top")))
@@ -271,9 +320,9 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
     First a node is tested with one hub, if it is likely to link with it; that joins most of what links. Signatures
     whose nodes all bear one label by then are done, however many nodes they have. Nodes outside the commonest
     label of a signature are tested with some more of its nodes. Then every two nodes of a signature with different
-    labels are tested, if they share as many as a link needs: no link is lost. Two nodes that lie in signatures
-    of more than CROWD such nodes meet by the second family instead, so a passage that very many texts hold makes
-    few pairs.
+    labels are tested, if they share as many as a link needs: no link is lost. Nodes of one root meet by what sets
+    them apart from it instead (`rooted_pairs`), so the copies of one text make few pairs; other nodes that both
+    lie in signatures of more than CROWD meet by the second family, so a passage of very many texts makes few.
     """
     stars = cut(hub_pairs(members))
     likely = sets_of_nodes(ends(stars))
@@ -286,13 +335,17 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
             named = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
             labels = joined_labels(labels, named)
             rows = open_members(rows, labels)
+    roots = roots_of(stars)
+    pairs = rooted_pairs(rows, roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().join(roots.select("node"), "node", "left_anti")), likely)
+    rows = cut(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     crowds = rows.groupBy("signature").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("signature")
     crowded = cut(rows.join(crowds, "signature").select("node", F.lit(True).alias("crowded")).distinct())
-    pairs = open_pairs(rows.join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    pairs = pairs.unionByName(open_pairs(rows.join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))))
     if not crowded.isEmpty():
         second = open_members(second_signatures(sets_of_nodes(crowded.select("node"))), labels)
-        pairs = pairs.unionByName(open_pairs(second.withColumn("crowded", F.lit(False))))
-    pairs = cut(pairs)
+        second = second.join(roots, "node", "left").withColumns({"root": F.coalesce("root", "node"), "crowded": F.lit(False)})
+        pairs = pairs.unionByName(open_pairs(second))
+    pairs = cut(pairs.distinct())
     return joined_labels(labels, cut(linked(pairs, sets_of_nodes(ends(pairs)))))
 
 

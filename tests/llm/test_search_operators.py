@@ -194,6 +194,22 @@ def test_set_join(spark, monkeypatch, seed):
     assert Counter(tuple(r) for r in got) == brute_join(rows)
 
 
+def test_copies_of_one_text(spark):
+    """Copies with one to seven edits each, some in the same places: those out of reach of the source still link among themselves."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(170)]
+    texts = [" ".join(base)]
+    for k in range(180):
+        words = list(base)
+        for at in r.sample(range(170), r.randint(1, 7)) if k % 3 else [*range(20, 20 + 7 * (k % 5), 7), r.randrange(170)]:
+            words[at] = f"x{at}" if k % 3 == 0 else f"new{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    want = brute_join(rows)
+    assert len({c for _, _, c in want}) > 10 and any(n > 1 for n in Counter(c for _, _, c in want if c).values())
+    assert Counter(tuple(x) for x in set_join.join_documents(documents(spark, rows)).collect()) == want
+
+
 def test_set_join_empty(spark):
     assert set_join.join_documents(documents(spark, [])).count() == 0
     assert [tuple(r) for r in set_join.join_documents(documents(spark, [(4, " \t"), (4, None)])).collect()] == [(4, 0, 4)] * 2

@@ -25,6 +25,25 @@ def correct(tests: DataFrame, p: str = "p_value", family: str = "family", name:
     return out.withColumns({"bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("m_")), "family_bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("f_"))}).drop("m_", "rank_", "f_")
 
 
+def significant_by_family(tests: DataFrame, level: float = 0.05, p: str = "p_value", family: str = "family", name: str = "name") -> DataFrame:
+    """(family, tests, raw, bonferroni, in_family, bh, least_p): how many tests of each family stay below the level under each correction.
+
+    For registries of any size: the step-up method needs no adjusted values, only the last rank k whose p lies below
+    level * k / tests, and ranks are taken over ranges. Missing p-values don't count.
+    """
+    from meshlag.operators.resample import shuffled_rank
+
+    known = tests.where(F.col(p).isNotNull()).select(F.col(family).alias("family"), F.col(name).alias("name"), F.col(p).cast("double").alias("p"))
+    ranked = cut(shuffled_rank(known, ["p", "family", "name"], "k"))
+    m = ranked.count()
+    last = ranked.where(F.col("p") * m / F.col("k") < level).agg(F.max("k")).first()[0] or 0
+    sizes = ranked.groupBy("family").agg(F.count("*").alias("f"))  # families are few
+    below = lambda c: F.sum(c.cast("long"))
+    return ranked.join(F.broadcast(sizes), "family").groupBy(F.col("family").alias(family)).agg(
+        F.count("*").alias("tests"), below(F.col("p") < level).alias("raw"), below(F.col("p") * m < level).alias("bonferroni"), below(F.col("p") * F.col("f") < level).alias("in_family"), below(F.col("k") <= last).alias("bh"), F.min("p").alias("least_p")
+    )
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Lentz's continued fraction of the incomplete beta function."""
     tiny = 1e-300

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlag.operators import fit
-from meshlag.operators.stats import correct, p_of_f, p_of_r, p_of_t
+from meshlag.operators.stats import correct, p_of_f, p_of_r, p_of_t, significant_by_family
 from meshlag.plans.decay import ERRORS, bins, bins_sql
 from meshlag.plans.fixtures import EXTERNAL_SQL, PAIR_DAY_SQL, daily, external_daily, pair_day, read
 from meshlag.plans.registry import query, r, select
-from meshlag.sources.tables import as_columns, p_values, resolve_codes, validate_activity
+from meshlag.sources.tables import as_columns, collected_tests, p_values, resolve_codes, validate_activity
 
 _tests = f"(SELECT center AS family, 's' || i AS name, round(least(1.0, abs(avg(coherence)) * 5 + i * 0.001), 9) AS p_value FROM {PAIR_DAY_SQL} p GROUP BY center, i)"
 
@@ -53,6 +53,46 @@ def nested_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p_values(e)
 
 
+def _digits(n: str, width: int) -> str:
+    return f"'0.' || lpad(cast({n} AS varchar({width})), {width}, '0')"
+
+
+#: Result documents, one for each event: tests at several depths, and what looks like one but isn't.
+DOCUMENT = " || ".join(
+    [
+        """'{"note":"see '""", "chr(92)", """'"p_value'""", "chr(92)", """'": 0.5","test":{"p_value":'""", _digits("event_id * 37 % 1000", 3), """',"statistic":'""", "cast(event_id % 7 AS varchar(1))", """'},"runs":[{"permutation_p_value":'""",
+        _digits("event_id % 100", 2), """'},[{"p_value":1.5},{"deep":{"t_p_value":'""", _digits("event_id * 7 % 1000", 3), """',"t_statistic":-2}}]],"statistically_significant":'""",
+        "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END", """',"p_value":"0.01"}'""",
+    ]
+)
+_tree = f"(SELECT event_id, event_type, t.* FROM (SELECT event_id, event_type, {DOCUMENT} AS doc FROM events) d, json_tree(d.doc) t)"
+_beside = ", ".join(f"max(CASE WHEN b.key = '{s}' THEN cast(b.value AS double) END)" for s in ("statistic", "test_statistic", "t_statistic", "f_statistic"))
+COLLECTED_SQL = f"""(SELECT a.event_id, a.event_type, a.fullkey AS path, a.key AS name, cast(a.value AS double) AS p_value, coalesce({_beside}) AS statistic
+        FROM {_tree} a LEFT JOIN {_tree} b ON b.event_id = a.event_id AND b.parent = a.parent WHERE a.key ILIKE '%p_value%' AND a.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND cast(a.value AS double) BETWEEN 0 AND 1 GROUP BY ALL
+    UNION ALL SELECT event_id, event_type, fullkey, key, CASE WHEN cast(value AS varchar) = 'true' THEN 0.01 ELSE 0.10 END, CASE WHEN cast(value AS varchar) = 'true' THEN 1 ELSE 0 END FROM {_tree} c WHERE key = 'statistically_significant' AND type = 'BOOLEAN')"""
+
+
+def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr("event_id", "event_type", f"{DOCUMENT} AS doc")
+
+
+@query(f"SELECT event_id, path, name, {r('p_value')} AS p_value, {r('statistic')} AS statistic FROM {COLLECTED_SQL} z")
+def collected_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests that result documents report, at any depth, with the statistic beside each."""
+    return select(collected_tests(result_documents(spark, sf_dir)), {"event_id": "event_id", "path": "path", "name": "name", "p_value": r("p_value"), "statistic": r("statistic")})
+
+
+_family = {"tests": "count(*)", "raw": "cast(sum(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END) AS bigint)", "bonferroni": "cast(sum(CASE WHEN bonferroni < 0.05 THEN 1 ELSE 0 END) AS bigint)", "in_family": "cast(sum(CASE WHEN family_bonferroni < 0.05 THEN 1 ELSE 0 END) AS bigint)", "bh": "cast(sum(CASE WHEN bh < 0.05 THEN 1 ELSE 0 END) AS bigint)", "least_p": r("min(p_value)")}
+
+
+@query(f"""SELECT family, {', '.join(f'{v} AS {k}' for k, v in _family.items())} FROM (SELECT family, p_value, least(1.0, p_value * m) AS bonferroni, least(1.0, p_value * f) AS family_bonferroni, least(1.0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS bh
+    FROM (SELECT event_type AS family, p_value, count(*) OVER () AS m, count(*) OVER (PARTITION BY event_type) AS f, row_number() OVER (ORDER BY p_value, event_type, event_id || path) AS k FROM {COLLECTED_SQL} c) q) z GROUP BY family""")
+def collected_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a registry by family, corrected for all its tests and for those of the family."""
+    tests = collected_tests(result_documents(spark, sf_dir)).select(F.col("event_type").alias("family"), F.concat(F.col("event_id").cast("string"), F.col("path")).alias("name"), "p_value")
+    return select(significant_by_family(tests), {"family": "family", **{k: k for k in _family if k != "least_p"}, "least_p": r("least_p")})
+
+
 @query("SELECT DISTINCT s_name AS name, s_name AS resolved FROM supplier WHERE s_suppkey % 3 = 0")
 def resolved_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlag.functions import geo
+from meshlag.functions.cut import cut
 from meshlag.operators.steps import apply
 
 CLOCK_SCHEMA = T.StructType([T.StructField("center", T.StringType()), T.StructField("obs_date", T.DateType()), T.StructField("station", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("bias", T.DoubleType()), T.StructField("drift", T.DoubleType())])
@@ -143,12 +146,52 @@ def validate_activity(df: DataFrame) -> DataFrame:
     return df.agg(F.expr("coalesce(bool_and(kp_index BETWEEN 0 AND 9), true)").alias("kp_ok"), F.expr("coalesce(bool_and(ap_index BETWEEN 0 AND 400), true)").alias("ap_ok"), F.expr("coalesce(bool_and(f107_flux BETWEEN 50 AND 500), true)").alias("f107_ok"), F.corr("kp_index", "f107_flux").alias("kp_f107_corr"))
 
 
+def walk(documents: DataFrame, column: str = "doc") -> DataFrame:
+    """(other columns, path, key, value, parent): every member of nested JSON text at any depth, value and parent as VARIANT.
+
+    Text is parsed once; a level of nesting is one explosion of the objects and arrays of the level above, which
+    are written in between, so there are as many steps as the deepest document has levels. Text inside strings is
+    never taken for structure. Null and malformed documents have no members; an array's members have no key.
+    """
+    spark, others = documents.sparkSession, [c for c in documents.columns if c != column]
+    level = documents.select(*others, F.lit("$").alias("path"), F.try_parse_json(column).alias("parent")).where("parent IS NOT NULL")
+    found = []
+    while True:
+        members = level.lateralJoin(spark.tvf.variant_explode(F.col("parent").outer()))
+        path = F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
+        rows = cut(members.select(*others, path.alias("path"), "key", "value", "parent"))
+        found.append(rows)
+        level = rows.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)<")).select(*others, "path", F.col("value").alias("parent"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+#: The p-value that a bare verdict stands for.
+VERDICT_P = {True: 0.01, False: 0.10}
+STATISTICS = ("statistic", "test_statistic", "t_statistic", "f_statistic")
+
+
+def collected_tests(documents: DataFrame, column: str = "doc") -> DataFrame:
+    """(other columns, path, name, p_value, statistic): the tests that nested result documents report.
+
+    A number from 0 to 1 under a key that names a p-value is a test, with the statistic that stands beside it. A
+    boolean `statistically_significant` is one too, with the p-value of such a verdict and 1 or 0 as statistic.
+    Numbers inside strings and p-values written as strings are none.
+    """
+    others = [c for c in documents.columns if c != column]
+    members = walk(documents, column).where("key IS NOT NULL").withColumn("_kind", F.schema_of_variant("value"))
+    named = F.col("key").rlike("(?i)p_?value") & F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    beside = F.coalesce(*[F.try_variant_get("parent", f"$.{s}", "double") for s in STATISTICS])
+    numbers = members.where(named).select(*others, "path", F.col("key").alias("name"), F.try_variant_get("value", "$", "double").alias("p_value"), beside.alias("statistic"))
+    verdicts = members.where((F.col("key") == "statistically_significant") & (F.col("_kind") == "BOOLEAN")).withColumn("_v", F.try_variant_get("value", "$", "boolean"))
+    judged = verdicts.select(*others, "path", F.col("key").alias("name"), F.when(F.col("_v"), VERDICT_P[True]).otherwise(VERDICT_P[False]).alias("p_value"), F.col("_v").cast("int").cast("double").alias("statistic"))
+    return numbers.where("p_value BETWEEN 0 AND 1").unionByName(judged)
+
+
 def p_values(documents: DataFrame, column: str = "doc") -> DataFrame:
-    """Every number under a key that names a p-value in nested JSON text: (path, p_value), any depth."""
-    keys = F.regexp_extract_all(F.col(column), F.lit(r'"([A-Za-z0-9_]*p_?value[A-Za-z0-9_]*)"\s*:\s*([-+0-9.eE]+)'), F.lit(1))
-    vals = F.regexp_extract_all(F.col(column), F.lit(r'"([A-Za-z0-9_]*p_?value[A-Za-z0-9_]*)"\s*:\s*([-+0-9.eE]+)'), F.lit(2))
+    """(other columns, name, p_value): every number from 0 to 1 under a key that names a p-value in nested JSON text."""
     others = [c for c in documents.columns if c != column]
-    return documents.select(*others, F.explode(F.arrays_zip(keys.alias("k"), vals.alias("v"))).alias("z")).select(*others, F.col("z.k").alias("name"), F.col("z.v").try_cast("double").alias("p_value")).where("p_value BETWEEN 0 AND 1")
+    return collected_tests(documents, column).where("name <> 'statistically_significant'").select(*others, "name", "p_value")
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:

@@ -154,3 +154,38 @@ def test_places_by_any_name(spark):
     assert got[1] == (10.0, 20.0) and got[2] == (-5.0, 30.0) and got[3] == (pytest.approx(0.0, abs=1e-9), 0.0) and got[4] == (None, None) and got[5][0] == pytest.approx(90.0)
     bare = tables.with_places(spark.createDataFrame([(1, 3.0, 4.0)], "id int, latitude double, lon_deg double")).first()
     assert (bare["place_lat"], bare["place_lon"]) == (3.0, 4.0)
+
+
+def test_collected_tests(spark):
+    """Every level is walked; text in strings, strings as values, nulls, out of range numbers and broken documents give nothing."""
+    from meshlag.sources.tables import collected_tests, p_values, walk
+
+    docs = [
+        (1, '{"a": {"p_value": 0.25, "statistic": 3}, "list": [[{"t_pvalue": 1e-3, "t_statistic": -2.5}], 7], "note": "\\"p_value\\": 0.5"}'),
+        (2, '{"p_value": "0.01", "q": {"p_value": null}, "r": {"p_value": 1.5}, "statistically_significant": true, "s": {"statistically_significant": false}, "t": {"statistically_significant": "yes"}}'),
+        (3, "{broken"), (4, None), (5, "[]"), (6, '{"p_value": {"p_value": 1}}'), (7, "3"),
+    ]
+    df = spark.createDataFrame(docs, "id long, doc string")
+    got = sorted((x["id"], x["path"], x["name"], x["p_value"], x["statistic"]) for x in collected_tests(df).collect())
+    want = [(1, "$.a.p_value", "p_value", 0.25, 3.0), (1, "$.list[0][0].t_pvalue", "t_pvalue", 0.001, -2.5), (2, "$.s.statistically_significant", "statistically_significant", 0.1, 0.0), (2, "$.statistically_significant", "statistically_significant", 0.01, 1.0), (6, "$.p_value.p_value", "p_value", 1.0, None)]
+    assert got == want
+    assert sorted((x["id"], x["p_value"]) for x in p_values(df).collect()) == [(1, 0.001), (1, 0.25), (6, 1.0)]
+    assert walk(df.where("id > 2 AND id < 6")).count() == 0
+
+
+def test_significant_by_family(spark):
+    """Counts over ranges equal those of the adjusted values."""
+    import random
+
+    from meshlag.operators.stats import correct, significant_by_family
+
+    r = random.Random(2)
+    rows = [(r.choice("abc"), f"t{k}", r.choice([r.random(), r.random() ** 6, 0.01, None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "family string, name string, p_value double")
+    want = {}
+    for x in correct(df).collect():
+        have = want.setdefault(x["family"], [0] * 5)
+        for k, v in enumerate((True, x["p_value"] < 0.05, x["bonferroni"] < 0.05, x["family_bonferroni"] < 0.05, x["bh"] < 0.05)):
+            have[k] += v
+    assert {x["family"]: [x[c] for c in ("tests", "raw", "bonferroni", "in_family", "bh")] for x in significant_by_family(df).collect()} == want
+    assert significant_by_family(df.limit(0)).count() == 0

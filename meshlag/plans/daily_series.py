@@ -148,10 +148,9 @@ LONG_SCALES = tuple(float(s) for s in range(20, 201, 20))
 @query(f"""SELECT center, scale, t, {r('re * re + im * im', 5)} AS power FROM (
     SELECT b.center, s.scale, c.t, sum(b.m * exp(-0.5 * pow((c.t - b.t) / s.scale, 2)) * pow(pi(), -0.25) / sqrt(s.scale) * cos(6 * (c.t - b.t) / s.scale)) AS re,
            sum(b.m * exp(-0.5 * pow((c.t - b.t) / s.scale, 2)) * pow(pi(), -0.25) / sqrt(s.scale) * sin(6 * (c.t - b.t) / s.scale)) AS im
-    FROM {BY_CENTER} b, (VALUES (10.0::double), (20.0), (40.0)) s(scale), {BY_CENTER} c WHERE c.center = b.center AND abs(c.t - b.t) <= floor(s.scale * 4) AND c.center = 'A' AND c.t < 400 AND b.t < 400 GROUP BY 1, 2, 3) q""")
+    FROM {BY_CENTER} b, (VALUES (10.0::double), (20.0), (40.0)) s(scale), {BY_CENTER} c WHERE c.center = b.center AND abs(c.t - b.t) <= floor(s.scale * 4) GROUP BY 1, 2, 3) q""")
 def wavelet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = by_center(spark, sf_dir).where("center = 'A' AND t < 400")
-    return select(series.morlet_power(s, ["center"], "t", "m", list(_scales)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
+    return select(series.morlet_power(by_center(spark, sf_dir), ["center"], "t", "m", list(_scales)), {"center": "center", "scale": "scale", "t": "t", "power": r("power", 5)})
 
 
 _morlet = f"""(SELECT b.center, s.scale, c.t, sum(b.m * exp(-0.5 * pow((c.t - b.t) / s.scale, 2)) * pow(pi(), -0.25) / sqrt(s.scale) * cos(6 * (c.t - b.t) / s.scale)) AS re,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshlag.functions import geo
 from meshlag.functions.bins import accumulate, finalise
+from meshlag.functions.cut import cut
 from meshlag.operators import fit
 from meshlag.operators.resample import shuffled_rank
 from meshlag.operators.steps import nest
@@ -168,14 +169,14 @@ def height_latitude_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(fit.fit_decay(finalise(accumulate(b, ["stratum"]), 20), ["stratum"]), ["stratum"])
 
 
-@query(f"SELECT quintile, count(*) AS n, {r('avg(h)', 3)} AS mean_height, {r('avg(coherence)')} AS mean_coherence FROM (SELECT coherence, (h_i + h_j) / 2 AS h, ntile(5) OVER (ORDER BY (h_i + h_j) / 2, row) AS quintile FROM {PAIR_DAY_SQL} p WHERE center = 'A') q GROUP BY quintile")
+@query(f"SELECT center, quintile, count(*) AS n, {r('avg(h)', 3)} AS mean_height, {r('avg(coherence)')} AS mean_coherence FROM (SELECT center, coherence, (h_i + h_j) / 2 AS h, ntile(5) OVER (PARTITION BY center ORDER BY (h_i + h_j) / 2, row) AS quintile FROM {PAIR_DAY_SQL} p) q GROUP BY center, quintile")
 def height_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pair_day(spark, sf_dir).where("center = 'A'").selectExpr("coherence", "(h_i + h_j) / 2 AS h", "row")
-    n = p.count()
-    big, size = n % 5, n // 5
-    ranked = shuffled_rank(p, ["h", "row"], "k")  # ntile over a distributed rank
-    q = F.when(F.col("k") <= big * (size + 1), F.floor((F.col("k") - 1) / (size + 1)) + 1).otherwise(F.floor((F.col("k") - 1 - big * (size + 1)) / max(size, 1)) + 1 + big).cast("int")
-    return ranked.groupBy(q.alias("quintile")).agg(F.count("*").alias("n"), F.expr(r("avg(h)", 3)).alias("mean_height"), F.expr(r("avg(coherence)")).alias("mean_coherence"))
+    """Fifths of each centre's rows by mean height of the pair; ntile over a distributed rank."""
+    ranked = cut(shuffled_rank(pair_day(spark, sf_dir).selectExpr("center", "coherence", "(h_i + h_j) / 2 AS h", "row"), ["center", "h", "row"], "k"))
+    sizes = ranked.groupBy("center").agg(F.min("k").alias("first"), F.count("*").alias("m"))  # one row a centre
+    placed = ranked.join(F.broadcast(sizes), "center").selectExpr("center", "coherence", "h", "k - first AS k", "m % 5 AS big", "m div 5 AS size")
+    fifth = F.expr("cast(CASE WHEN k < big * (size + 1) THEN k div (size + 1) ELSE (k - big * (size + 1)) div greatest(size, 1) + big END AS int) + 1")
+    return placed.groupBy("center", fifth.alias("quintile")).agg(F.count("*").alias("n"), F.expr(r("avg(h)", 3)).alias("mean_height"), F.expr(r("avg(coherence)")).alias("mean_coherence"))
 
 
 _season_key = "CASE WHEN month(date) IN (12, 1, 2) THEN 'DJF' WHEN month(date) <= 5 THEN 'MAM' WHEN month(date) <= 8 THEN 'JJA' ELSE 'SON' END"

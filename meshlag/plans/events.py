@@ -199,11 +199,11 @@ _mean = lambda c: f"avg(CASE WHEN cls = '{c}' THEN coherence + 2 END)"  # noqa:
 
 
 @query(f"""SELECT {', '.join(f'{v} AS {k}' for k, v in _tracked.items())} FROM (SELECT centre, {_mean('EW')} / {_mean('NS')} AS ratio, any_value({_speed}) AS speed FROM (
-    SELECT c.centre, p.coherence, p.cls, dayofyear(date '1995-01-01' + cast(c.centre AS int)) AS doy FROM (SELECT coherence, {_ew} AS cls, date_diff('day', date '1995-01-01', date) AS d FROM {PAIR_DAY_SQL} p) p, range(0, 2500, 10) c(centre) WHERE p.d BETWEEN c.centre - 2 AND c.centre + 2) q GROUP BY centre) z WHERE ratio IS NOT NULL""")
+    SELECT centre, coherence, cls, dayofyear(date '1995-01-01' + centre) AS doy FROM (SELECT coherence, {_ew} AS cls, date_diff('day', date '1995-01-01', date) AS d, cast(round(date_diff('day', date '1995-01-01', date) / 10.0) * 10 AS int) AS centre FROM {PAIR_DAY_SQL} p) p WHERE abs(d - centre) <= 2) q GROUP BY centre) z WHERE ratio IS NOT NULL""")
 def orbital_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """East-west over north-south coherence in five days every ten, against the speed on the yearly orbit."""
     p = pair_day(spark, sf_dir).select("coherence", F.expr(_ew).alias("cls"), F.datediff("date", F.lit("1995-01-01").cast("date")).alias("d"))
-    near = p.withColumn("centre", (F.round(F.col("d") / 10) * 10).cast("int")).where("abs(d - centre) <= 2 AND centre BETWEEN 0 AND 2490")
+    near = p.withColumn("centre", (F.round(F.col("d") / 10) * 10).cast("int")).where("abs(d - centre) <= 2")
     by = near.groupBy("centre").agg(F.expr(f"{_mean('EW')} / {_mean('NS')}").alias("ratio")).where("ratio IS NOT NULL")
     by = by.withColumn("doy", F.dayofyear(F.date_add(F.lit("1995-01-01").cast("date"), F.col("centre")))).withColumn("speed", F.expr(_speed))
     return by.agg(*[F.expr(v).alias(k) for k, v in _tracked.items()])

@@ -70,18 +70,21 @@ _dropped = fit.fit_decay_sql(f"(SELECT a.*, b.bin AS dropped FROM {bins_sql('cen
 _jack = f"(SELECT center, count(*) AS refits, avg(theta) AS jack_mean, stddev_pop(theta) AS jack_sd FROM {_dropped} f WHERE amplitude > 0.0001 GROUP BY center)"
 _volume = f"(SELECT center, count(*) AS bins, cast(sum(n) AS bigint) AS n FROM {bins_sql('center')} b GROUP BY 1)"
 _report = {"center": "center", "n": "n", "bins": "bins", "best_model": "best_model", **decay.THETA, "se_theta": r("CASE WHEN amplitude > 0.0001 THEN se_theta END", 0), "refits": "refits", "jack_mean": r("jack_mean", 1), "jack_sd": r("jack_sd", 0)}
+INTERVAL = ("amplitude_low", "amplitude_middle", "amplitude_high")
+_report |= {"replicates": "replicates", **{k: k for k in INTERVAL}}
 
 
-@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _report.items())} FROM {_volume} v JOIN {_best} b USING (center) JOIN {ERRORS} e USING (center) LEFT JOIN {_jack} j USING (center)")
+@query(f"SELECT {', '.join(f'{v} AS {k}' for k, v in _report.items())} FROM {_volume} v JOIN {_best} b USING (center) JOIN {ERRORS} e USING (center) LEFT JOIN {_jack} j USING (center) LEFT JOIN ({ORACLE_SQL['block_bootstrap']}) i USING (center)")
 def center_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each centre's whole decay analysis in one row: volume, best model, length with its error, and the drop-one-bin spread."""
+    """Each centre's whole decay analysis in one row: volume, best model, length with its error, the drop-one-bin spread, the bootstrap's interval."""
     b = cut(bins(spark, sf_dir, ["center"]))
     volume = b.groupBy("center").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
     best = fit.fit_all(b, ["center"], RANKED).groupBy("center").agg(F.min_by("model", F.struct(F.round("aic", 3), "model")).alias("best_model"))
     errors = fit.fit_decay(b, ["center"], errors=True).select("center", "theta", "amplitude", "se_theta")
     dropped = b.join(b.select("center", F.col("bin").alias("dropped")), "center").where("bin <> dropped")
     jack = fit.fit_decay(dropped, ["center", "dropped"]).where("amplitude > 0.0001").groupBy("center").agg(F.count("*").alias("refits"), F.avg("theta").alias("jack_mean"), F.stddev_pop("theta").alias("jack_sd"))
-    return select(volume.join(best, "center").join(errors, "center").join(jack, "center", "left"), _report)
+    interval = resampling.interval_of(b, DEFAULT.bootstrap).select("center", "replicates", *INTERVAL)
+    return select(volume.join(best, "center").join(errors, "center").join(jack, "center", "left").join(interval, "center", "left"), _report)
 
 
 #: Check, query it rests on, share of its rows or value, and when it passes.

@@ -177,18 +177,18 @@ _size = DEFAULT.bootstrap_block
 _placed = f"(SELECT *, row_number() OVER (PARTITION BY center ORDER BY bin) - 1 AS k, count(*) OVER (PARTITION BY center) AS m FROM {bins_sql('center')} b)"
 _blocks = f"""(SELECT p.*, replicate FROM (SELECT center, replicate, s + o AS k FROM (SELECT center, m, replicate, draw, {_draw_text(f'greatest(m - {_size} + 1, 1)', "'block'", 'replicate', 'draw')} AS s
     FROM (SELECT DISTINCT center, m FROM {_placed} q) c, range(1, {DEFAULT.bootstrap + 1}) t(replicate), range(0, 40) d(draw) WHERE draw * {_size} < m) x, range(0, {_size}) f(o) WHERE draw * {_size} + o < m) z JOIN {_placed} p ON p.center = z.center AND p.k = z.k)"""
-_interval = {"replicates": "count(*)", **{f"{c}_{n}": r(f"{f}({c}, {q})", 3) for c in ("amplitude", "wrss") for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)) for f in ("percentile",)}}
+_interval = {"replicates": "count(*)", **{f"{c}_{n}": r(f"percentile({c}, {q})", 3) for c in ("amplitude", "wrss") for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))}}
 
 
 @query(f"SELECT center, {', '.join(f'{v} AS {k}' for k, v in _interval.items()).replace('percentile(', 'quantile_cont(')} FROM {fit.fit_decay_sql(_blocks, ['center', 'replicate'])} f GROUP BY center")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals over resampled runs of bins."""
-    fits = block_fits(spark, sf_dir, DEFAULT.bootstrap)
-    return fits.groupBy("center").agg(*[F.expr(v).alias(k) for k, v in _interval.items()])
+    return interval_of(bins(spark, sf_dir, ["center"]), DEFAULT.bootstrap)
 
 
-def block_fits(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
-    return fit.fit_decay(block_draws(bins(spark, sf_dir, ["center"]), replicates, DEFAULT.bootstrap_block), ["center", "replicate"])
+def interval_of(b: DataFrame, replicates: int) -> DataFrame:
+    fits = fit.fit_decay(block_draws(b, replicates, DEFAULT.bootstrap_block), ["center", "replicate"])
+    return fits.groupBy("center").agg(*[F.expr(v).alias(k) for k, v in _interval.items()])
 
 
 _seeds = ", ".join(f"({b}, {f}, {a})" for b, (f, a) in enumerate(resample.poisson_seeds(DEFAULT.pair_replicates), 1))
@@ -301,7 +301,7 @@ def null_summary(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT.nul
         states = s if states is None else states.unionByName(s)
     nulls = fit.fit_decay(finalise(states), ["null", "center", "iteration"]).join(real, "center")
     out = nulls.groupBy("center", "null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))
-    return out.withColumn("passes", F.col("p_value") < 0.05)
+    return out.withColumns({"z": F.expr("CASE WHEN null_r2_sd > 0 THEN (real_r2 - null_r2) / null_r2_sd END"), "passes": F.col("p_value") < 0.05})
 
 
 _u = lambda k: f"((row * {k} % 1000003 + 1) / 1000005D)"  # noqa: E731  a congruence draws alike in every engine

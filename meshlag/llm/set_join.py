@@ -22,8 +22,8 @@ WIDTH = 4
 LEAST = 85
 #: Sets and words that a task or worker remembers.
 SEEN, KNOWN_WORDS = 1 << 18, 500_000
-#: Further nodes of a signature's commonest label that the others are tested with, and rows of a signature from which its nodes meet by the second family.
-TURNS, CROWD = 2, 64
+#: Open rows of a signature from which its nodes meet by the second family.
+CROWD = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,13 +232,6 @@ def second_signatures(sets: DataFrame) -> DataFrame:
     return cut(rows.join(shared, "signature"))
 
 
-def main_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): every node outside the commonest label of a signature with one node of that label; another one each turn."""
-    hubs = members.where("label = main").groupBy("signature").agg(F.min_by(F.struct(*[F.col(c).alias(f"{c}_h") for c in ("node", "n", "firm")]), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("h"))
-    met = members.where("label <> main").withColumnsRenamed({"n": "n_x", "firm": "firm_x"}).join(hubs.select("signature", "h.*"), "signature").groupBy("node", "n_x", "firm_x", "node_h", "n_h", "firm_h").agg(F.count("*").alias("shared"))
-    return met.where(may_link("_x", "_h", "4 * shared")).groupBy(F.col("node").alias("a")).agg(F.max_by("node_h", F.struct("shared", "node_h")).alias("b"))
-
-
 def open_pairs(members: DataFrame) -> DataFrame:
     """(a, b, la, lb): nodes with different labels that share signatures enough for a link.
 
@@ -318,23 +311,16 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
     """(node, label): components of the linked nodes, from those that share signatures. `sets_of_nodes` builds the sets of some nodes.
 
     First a node is tested with one hub, if it is likely to link with it; that joins most of what links. Signatures
-    whose nodes all bear one label by then are done, however many nodes they have. Nodes outside the commonest
-    label of a signature are tested with some more of its nodes. Then every two nodes of a signature with different
-    labels are tested, if they share as many as a link needs: no link is lost. Nodes of one root meet by what sets
-    them apart from it instead (`rooted_pairs`), so the copies of one text make few pairs; other nodes that both
-    lie in signatures of more than CROWD meet by the second family, so a passage of very many texts makes few.
+    whose nodes all bear one label by then are done, however many nodes they have. Then every two nodes of a
+    signature with different labels are tested, if they share as many as a link needs: no link is lost. Nodes of
+    one root meet by what sets them apart from it instead (`rooted_pairs`), so the copies of one text make few
+    pairs; other nodes that both lie in signatures of more than CROWD meet by the second family, so a passage of
+    very many texts makes few.
     """
     stars = cut(hub_pairs(members))
     likely = sets_of_nodes(ends(stars))
     labels = connected_components(cut(linked(stars, likely)))
     rows = open_members(members, labels)
-    for turn in range(TURNS):
-        found = cut(linked(cut(main_pairs(rows, turn)), likely))
-        if not found.isEmpty():
-            own = lambda e: labels.select(F.col("node").alias(e), F.col("label").alias(f"l{e}"))
-            named = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-            labels = joined_labels(labels, named)
-            rows = open_members(rows, labels)
     roots = roots_of(stars)
     pairs = rooted_pairs(rows, roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().join(roots.select("node"), "node", "left_anti")), likely)
     rows = cut(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -186,7 +186,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", range(2))
 def test_set_join(spark, monkeypatch, seed):
     if seed:  # the second family and few hubs
-        for name, value in {"CROWD": 2, "TURNS": 1, "SEEN": 5, "KNOWN_WORDS": 50}.items():
+        for name, value in {"CROWD": 2, "SEEN": 5, "KNOWN_WORDS": 50}.items():
             monkeypatch.setattr(set_join, name, value)
     rows = list(enumerate(ODD)) + corpus(seed)
     rows += [(None, rows[20][1])] + [(None, "nobody owns these five words")] * 2 + [(2000, rows[30][1]), (2000, "another text of one id")]

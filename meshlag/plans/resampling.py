@@ -210,8 +210,8 @@ def pair_bootstrap_fits(spark: SparkSession, sf_dir: str, replicates: int) -> Da
 
 _two = DEFAULT.two_way_replicates
 _kept = lambda kind, name, source: f"(SELECT DISTINCT b + 1 AS replicate, {name} FROM (SELECT b, {_draw_text('s', chr(39) + kind + chr(39), 'b', 'k')} AS pick FROM (SELECT count(*) AS s FROM {source} c) n, range(0, {_two}) x(b), range(0, 10000) y(k) WHERE k < s) p JOIN (SELECT {name}, row_number() OVER (ORDER BY {name}) - 1 AS rk FROM {source} v) l ON l.rk = p.pick)"
-_stations = _kept("station", "st", f"(SELECT i AS st FROM {BINNED} u1 UNION SELECT j FROM {BINNED} u2)")
-_dates = _kept("day", "date", f"(SELECT DISTINCT date FROM {BINNED} u3)")
+_stations = _kept("station", "st", f"(SELECT i AS st FROM {BINNED} u1 WHERE bin BETWEEN 0 AND 39 UNION SELECT j FROM {BINNED} u2 WHERE bin BETWEEN 0 AND 39)")
+_dates = _kept("day", "date", f"(SELECT DISTINCT date FROM {BINNED} u3 WHERE bin BETWEEN 0 AND 39)")
 _two_way = f"""(SELECT d.replicate, bin, sum(coherence) / count(*) AS mean_coherence, sum(dist_km) / count(*) AS distance_km, count(*) AS n FROM (SELECT * FROM {BINNED} q WHERE bin BETWEEN 0 AND 39) b
     JOIN {_dates} d ON d.date = b.date LEFT JOIN {_stations} si ON si.st = b.i AND si.replicate = d.replicate LEFT JOIN {_stations} sj ON sj.st = b.j AND sj.replicate = d.replicate
     WHERE si.st IS NOT NULL OR sj.st IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10)"""

@@ -44,6 +44,11 @@ def by_station(pairs: DataFrame) -> DataFrame:
     return accumulate(pairs.withColumn("station", F.explode(F.array("i", "j"))), ["station"])
 
 
+def by_stored_station(facts: DataFrame) -> DataFrame:
+    """The same from a table that `write_by_station` stored, without an exchange: a station's facts lie in one bucket."""
+    return accumulate(facts, ["station"])
+
+
 def by_either_end(pairs: DataFrame, a: str, b: str, part: str) -> tuple[DataFrame, DataFrame]:
     """(totals, parts): states of all pairs, and of those with a part at either end; one inside a part counts once.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlag.plans import daily_series, decay, events, geometry, inference, influence, lags, motion, pairs, reports, resampling, shadow, spectra, streams  # noqa: F401
+from meshlag.plans import daily_series, decay, events, geometry, inference, influence, lags, motion, network, pairs, reports, resampling, shadow, spectra, streams  # noqa: F401
 from meshlag.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from meshlag.plans.decay import bins, bins_sql, fits_of, fits_text
 from meshlag.plans.fixtures import PAIR_DAY_SQL, STATION_SQL, binned, pair_day, pair_places, station
 from meshlag.plans.pairs import BINNED
 from meshlag.plans.registry import query, r, select
+from meshlag.sources.tables import write_by_station
 
 _state = {"n": "n", "mean_coherence": r("s1 / n"), "distance_km": r("sd / n", 4)}
 _agg = f"count(*) AS n, {r('avg(coherence)')} AS mean_coherence, {r('avg(dist_km)', 4)} AS distance_km"
@@ -28,6 +31,17 @@ def leave_one_station_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(out, {"station": "station", "bin": "bin", **_state})
 
 
+@query(f"SELECT s.id AS station, b.bin, {_agg} FROM {STATION_SQL} s JOIN {BINNED} b ON b.i <> s.id AND b.j <> s.id WHERE b.bin BETWEEN 0 AND 39 GROUP BY 1, 2")
+def leave_one_station_out_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from pair facts that are stored in buckets of their stations."""
+    table = f"pairs_{uuid.uuid4().hex}"
+    write_by_station(binned(spark, sf_dir).select("i", "j", "bin", "coherence", "dist_km"), table, 16)
+    parts = cut(resample.by_stored_station(spark.table(table)))
+    spark.sql(f"DROP TABLE {table}")
+    names = station(spark, sf_dir).select(F.col("id").alias("station"))
+    return select(resample.leave_out(parts, "station", 2, names), {"station": "station", "bin": "bin", **_state})
+
+
 @query(f"SELECT m.month, b.bin, {_agg} FROM (SELECT DISTINCT year(date) * 12 + month(date) AS month FROM {BINNED} z WHERE bin BETWEEN 0 AND 39) m JOIN {BINNED} b ON year(b.date) * 12 + month(b.date) <> m.month WHERE b.bin BETWEEN 0 AND 39 GROUP BY 1, 2")
 def leave_one_month_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = binned(spark, sf_dir).withColumn("month", F.year("date") * 12 + F.month("date"))

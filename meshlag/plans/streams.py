@@ -15,21 +15,27 @@ from meshlag.sources.tables import PAIR_SCHEMA
 from meshlag.streaming import rollups
 
 
-def _drain(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+def _drain(stream: DataFrame, folder: str, keys: list[str] | None = None, closed: bool = False) -> DataFrame:
     """Runs `stream` over all there is: the last complete state or, with `keys`, the last row written for each key.
 
+    With `closed` a row is written once, when the watermark has passed it.
+
     With keys only changed rows are written, and state that the watermark has passed is dropped. The result is
     stored, and the stream's input, state and output go.
     """
     out = f"{folder}/out"
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch_", F.lit(n)).write.mode("append" if keys else "overwrite").parquet(out)
+        written = (batch if closed else batch.withColumn("batch_", F.lit(n))).write
+        if closed:  # a batch that is run again replaces what it wrote
+            written.mode("overwrite").parquet(f"{out}/batch_={n}")
+        else:
+            written.mode("append" if keys else "overwrite").parquet(out)
 
-    stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    stream.writeStream.outputMode("append" if closed else "update" if keys else "complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     written = stream.sparkSession.read.parquet(out)
     if not keys:
-        last = cut(written.drop("batch_"))
+        last = cut(written.select(*stream.columns))
     else:
         rest = [c for c in stream.columns if c not in keys]
         last = cut(written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("s")).select(*keys, "s.*"))
@@ -68,6 +74,16 @@ def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(_drain(rolled, folder, ["day", "center"]), {"day": "cast(day AS date)", "center": "center", "mean": r("mean", 5), "sd": r("sd", 5), "n": "n"})
 
 
+@query(f"""SELECT day, center, {r('avg(c)', 5)} AS mean, {r('quantile_disc(c, 0.5)', 5)} AS median, {r('stddev_pop(c)', 5)} AS sd, count(*) AS n FROM (SELECT cast(l_shipdate AS date) AS day, l_returnflag AS center, cos({PHASE}) AS c, max(cast(l_shipdate AS date)) OVER () AS last FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40) q WHERE day <= last - 3 GROUP BY 1, 2""")
+def stream_closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means and medians of a stream of pair rows, each day once when it is closed; the last days stay open."""
+    folder = _folder(spark)
+    p = pair_day(spark, sf_dir, False).select("center", F.col("date").cast("timestamp").alias("ts"), F.col("i").cast("string"), F.col("j").cast("string"), F.lit(1.0).alias("dist_km"), "coherence")
+    _arrive(p, f"{folder}/in", "ts")
+    rolled = rollups.closed_days(spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    return select(_drain(rolled, folder, closed=True), {"day": "cast(day AS date)", "center": "center", "mean": r("mean", 5), "median": r("median", 5), "sd": r("sd", 5), "n": "n"})
+
+
 @query(f"SELECT st AS station, w, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, count(*) AS n FROM (SELECT 's' || (user_id % 8) AS st, value, unnest([cast(floor(epoch_us(ts) / 3600000000) AS bigint), cast(floor(epoch_us(ts) / 3600000000) AS bigint) - 1]) AS w FROM events) q GROUP BY 1, 2")
 def stream_sliding_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-hour windows each hour over a stream of events; w is the hour in which a window starts."""

@@ -210,6 +210,17 @@ def read_pairs(spark: SparkSession, path: str, centers: list[str] | None = None,
     return pairs.drop("year_month")
 
 
+def write_by_station(pairs: DataFrame, table: str, buckets: int = 64) -> None:
+    """Pair facts as a table in buckets of the column `station`, sorted by it; a fact stands under each of its ends.
+
+    Sums, leave-outs and joins by station then read each bucket where it lies: they need no exchange. The facts
+    are moved once here, and a task writes one file for each of its buckets. A station with a large share of all
+    facts makes a large bucket; files of it are split for reading only where sums are taken by a shuffle.
+    """
+    both = pairs.withColumn("station", F.explode(F.array_distinct(F.array("i", "j")))).repartition(buckets, "station")
+    both.write.bucketBy(buckets, "station").sortBy("station").mode("overwrite").saveAsTable(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

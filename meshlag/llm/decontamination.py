@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from meshlag.llm.chars import POINTS, Batch, unspaced, words_only
 from meshlag.llm.util import cut, small_batches, whole_text
@@ -75,11 +78,13 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids = [i for i, _ in items]
+        self.ids = np.array([i for i, _ in items] + [None], object)[:-1]
         texts = [t or "" for _, t in items]
         lengths = [len(words_of(t)) for t in texts]
         self.widths = [min(n, WIDTH) for n in lengths]
         self.items = {k: shingles_of(t, w) for k, (t, w) in enumerate(zip(texts, self.widths, strict=True)) if w}
+        #: Distinct shingle hashes of all items, one item after another.
+        self.sizes, self.first, self.shingles = self._hashes(texts)
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sized: dict[int, list[int]] = {}
@@ -100,13 +105,25 @@ class Index:
                 order = np.argsort(least, kind="stable")
                 self.classes[size].append((least[order], np.array(members)[order]))
 
-    def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
-        """(text, item) pairs that agree in some hash function's least value over some window."""
+    def _hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         of_word, words = _words(texts)
-        found: set[tuple[int, int]] = set()
+        widths, owners, hashes = np.array(self.widths, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for width in sorted({w for w in self.widths if w}):
+            owner, found = _shingles(of_word, words, width)
+            keep = widths[owner] == width
+            owners.append(owner[keep])
+            hashes.append(found[keep])
+        both = np.unique(np.array(list(zip(np.concatenate(owners).tolist(), np.concatenate(hashes).tolist(), strict=True)), [("owner", np.int64), ("hash", np.uint64)]))
+        sizes = np.bincount(both["owner"], minlength=len(texts))
+        return sizes, np.cumsum(sizes) - sizes, np.ascontiguousarray(both["hash"])
+
+    def candidates(self, texts: list[str]) -> np.ndarray:
+        """text * items + item, in order, of all pairs that agree in some hash function's least value over some window."""
+        of_word, words = _words(texts)
+        found = np.zeros(0, np.int64)
         for width, (values, members) in self.short.items():
             owner, hashes = _shingles(of_word, words, width)
-            self._meet(values, members, owner, hashes, found)
+            found = np.union1d(found, self._meet(values, members, owner, hashes))
         owner, hashes = _shingles(of_word, words)
         if not len(owner) or not self.classes:
             return found
@@ -126,83 +143,124 @@ class Index:
                 for step in (1, 2):
                     same = of[step:] == of[:-step]
                     window[:-step][same] = np.minimum(window[:-step][same], least[step:][same])
-                self._meet(*self.classes[size][k], of, window, found)
+                found = np.union1d(found, self._meet(*self.classes[size][k], of, window))
         return found
 
-    @staticmethod
-    def _meet(values: np.ndarray, members: np.ndarray, owner: np.ndarray, hashes: np.ndarray, found: set[tuple[int, int]]) -> None:
-        """Adds (text, item) for every text hash among the sorted item `values`."""
+    def _meet(self, values: np.ndarray, members: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """text * items + item of every text hash among the sorted item `values`.
+
+        A text meets a value once, however many of its windows have it, and then all items of that value together.
+        """
         lo = np.searchsorted(values, hashes)
-        for w in np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == hashes):
-            j = lo[w]
-            while j < len(values) and values[j] == hashes[w]:
-                found.add((int(owner[w]), int(members[j])))
-                j += 1
+        hit = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == hashes)
+        met = np.unique(np.stack([owner[hit], lo[hit]]), axis=1)
+        first = met[1]
+        count = np.searchsorted(values, values[first], "right") - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(met[0], count) * len(self.ids) + members[at]
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item, shared shingles, shingles of the item) of the candidates that hold."""
-        out, shingles = [], {}
-        for t, k in sorted(self.candidates(texts)):
-            place = t, self.widths[k]
-            if place not in shingles:
-                shingles[place] = shingles_of(texts[t], self.widths[k])
-            shared = len(self.items[k] & shingles[place])
-            if shared >= THRESHOLD * len(self.items[k]):
-                out.append((t, k, shared, len(self.items[k])))
-        return out
+        """(text, item, shared shingles, shingles of the item) of the candidates that hold.
+
+        Shared shingles are first counted by hash for all candidates of a text at once, which never counts too
+        few; candidates that reach the share are counted by their words.
+        """
+        pairs = self.candidates(texts)
+        out: list[tuple[int, int, int, int]] = []
+        if not len(pairs):
+            return out
+        of_text, item = pairs // len(self.ids), pairs % len(self.ids)
+        of_word, words = _words(texts)
+        widths = np.array(self.widths)[item]
+        for width in np.unique(widths).tolist():
+            owner, hashes = _shingles(of_word, words, width)
+            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+            at = np.flatnonzero(widths == width)
+            for t in np.unique(of_text[at]).tolist():
+                held = np.unique(hashes[bounds[t] : bounds[t + 1]])
+                mine = item[at[of_text[at] == t]]
+                first, size = self.first[mine], self.sizes[mine]
+                spread = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                inside = np.isin(self.shingles[spread], held)
+                shared = np.bincount(np.repeat(np.arange(len(mine)), size), inside, minlength=len(mine))
+                likely = mine[shared >= THRESHOLD * size]
+                exact = shingles_of(texts[t], width) if len(likely) else set()
+                for k in likely.tolist():
+                    n = len(self.items[k] & exact)
+                    if n >= THRESHOLD * len(self.items[k]):
+                        out.append((t, k, n, len(self.items[k])))
+        return sorted(out)
 
 
 def indexes(benchmark: DataFrame, item_col: str) -> Iterator[Index]:
     """An index for each block of at most BLOCK_ITEMS distinct items (id and text), in their order."""
-    named = cut(benchmark.select(F.struct(F.col(item_col).cast("long").alias("item"), F.col("text").alias("body")).alias("k")).where("k.body is not null").distinct())
+    kind = benchmark.select(item_col).schema[0].dataType
+    named = cut(benchmark.select(F.struct(F.col(item_col).alias("item"), F.col("text").alias("body")).alias("k")).where("k.body is not null").distinct())
     last = None
     while part := (named if last is None else named.where(F.col("k") > last)).orderBy("k").limit(BLOCK_ITEMS).collect():
         end = part[-1]["k"]
-        last = F.struct(F.lit(end["item"]).cast("long").alias("item"), F.lit(end["body"]).alias("body"))
+        last = F.struct(F.lit(end["item"]).cast(kind).alias("item"), F.lit(end["body"]).alias("body"))
         index = Index([tuple(r["k"]) for r in part])
         if index.items:
             yield index
 
 
+FOUND = ("item_id", "shared", "item_shingles", "containment")
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id, shared, item_shingles, containment): documents that hold 0.8 or more of an item's shingles.
 
-    Documents are searched where they are read; nothing is shuffled. Items go to the executors in blocks of
-    BLOCK_ITEMS, one pass over the documents each, so the broadcast is bounded. Shingles are five words of
-    letters and digits in lower case; in scripts without blanks each character is a word. An item of fewer
-    words is one shingle. Null and empty texts hold no shingle: such documents are clean and such items match
-    nothing. Texts that share an item id are judged one by one, each with a row of its own; items without an
-    id are searched too. Repeated document rows are judged one by one. Empty tables give an empty table; other
-    columns are left out, whatever their names.
+    Documents are searched where they are read, whole however long; nothing is shuffled. Items go to the executors
+    in blocks of BLOCK_ITEMS, one pass over the documents each, so the broadcast is bounded; with several blocks
+    what a pass found is written and its block let go before the next is built. Shingles are five words of letters
+    and digits in lower case; in scripts without blanks each character is a word. An item of fewer words is one
+    shingle. Null and empty texts hold no shingle: such documents are clean and such items match nothing. Texts that
+    share an item id are judged one by one, each with a row of its own; items without an id are searched too.
+    Repeated document rows are judged one by one. Ids keep their types. Empty tables give an empty table; other
+    columns are left out, whatever their names. Ids of documents in a column of the same name as one of the other
+    four are returned as `doc_<name>`.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    schema = f"{id_col} long, item_id long, shared int, item_shingles int, containment double"
-    out = spark.createDataFrame([], schema)
-    for k, index in enumerate(indexes(benchmark, item_col)):
-        found = docs.select(F.col(id_col).cast("long"), whole_text(text)).mapInArrow(_searcher(spark.sparkContext.broadcast(index), schema), schema)
-        out = out.unionByName(found) if k else found
-    return out
-
-
-def _searcher(shared, schema: str):
-    names = [x.split()[0] for x in schema.split(", ")]
-
+    kinds = [docs.select(F.col(id_col)).schema[0].dataType, benchmark.select(item_col).schema[0].dataType]
+    schema = StructType([StructField(k, t) for k, t in zip(("id", *FOUND), [*kinds, IntegerType(), IntegerType(), DoubleType()], strict=True)])
+    rows, passes, before = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("text")), [], None
+    for index in indexes(benchmark, item_col):
+        if before is not None:
+            passes[-1] = cut(passes[-1])
+            before.destroy()
+        before = spark.sparkContext.broadcast(index)
+        passes.append(rows.mapInArrow(_searcher(before, to_arrow_schema(schema)), schema))
+    if len(passes) > 1:
+        passes[-1] = cut(passes[-1])
+        before.destroy()
+    out = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
+    return out.withColumnRenamed("id", f"doc_{id_col}" if id_col in FOUND else id_col)
+
+
+def _searcher(shared, schema: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.matches(batch.column(1).to_pylist())
-            ids = batch.column(0).to_pylist()
-            columns = [[ids[t] for t, *_ in found], [shared.value.ids[k] for _, k, *_ in found], [s for _, _, s, _ in found], [n for *_, n in found], [s / n for *_, s, n in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names)
+            ids = batch.column(0).take(pa.array([t for t, *_ in found], pa.int64()))
+            columns = [shared.value.ids[[k for _, k, *_ in found]].tolist() if found else [], [s for _, _, s, _ in found], [n for *_, n in found], [s / n for *_, s, n in found]]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema.names)
 
     return search
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without those that hold an item, judged where they are read; all columns as they were, whatever their names."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id") -> DataFrame:
+    """`docs` without those that hold an item, judged where they are read; all columns as they were, whatever their names.
+
+    Items, shingles, null, empty, short and very long texts are those of `find_contaminated`. Repeated rows stay or
+    go together; an empty table stays empty, and without items all rows stay. Each block of items is a filter of
+    the same pass, so all blocks are on the executors together: split a benchmark of many blocks into calls whose
+    results are written in between.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    for index in indexes(benchmark, "item_id"):
+    for index in indexes(benchmark, item_col):
         docs = docs.where(~_flag(spark.sparkContext.broadcast(index))(whole_text(text)))
     return docs
 

@@ -838,3 +838,27 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert got == {a: root(a) for a in parent}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_decontamination_ids_of_any_type(spark, monkeypatch):
+    """Ids keep their types, an id column may be called like another of the result, several blocks find what one finds."""
+    items = [(f"q{k:02}", prose(300 + k, 12 + k)) for k in range(7)]
+    rows = [(f"a {k}", prose(900 + k, 40) + " " + t + " " + prose(950 + k, 30)) for k, (_, t) in enumerate(items)] + [(None, items[0][1]), ("clean", prose(77, 90))]
+    docs, bench = spark.createDataFrame(rows, "item_id string, text string"), spark.createDataFrame(items, "`my item` string, text string")
+    want = Counter({(f"a {k}", f"q{k:02}"): 1 for k in range(7)}) + Counter({(None, "q00"): 1})
+    for size in (20_000, 3):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", size)
+        out = decontamination.find_contaminated(docs, bench, "item_id", item_col="my item")
+        assert out.columns == ["doc_item_id", "item_id", "shared", "item_shingles", "containment"] and dict(out.dtypes)["doc_item_id"] == "string"
+        assert Counter((r["doc_item_id"], r["item_id"]) for r in out.collect()) == want
+        assert [r["item_id"] for r in decontamination.drop_contaminated(docs, bench, item_col="my item").collect()] == ["clean"]
+
+
+def test_template_items():
+    """Items that share a long opening: all true matches, each once, against sets of words."""
+    opening = prose(500, 40)
+    items = [(k, opening + " " + prose(600 + k, 6)) for k in range(60)] + [(99, "only three words")]
+    texts = [prose(700, 50) + " " + opening + " " + prose(701, 20), items[3][1], opening[: len(opening) // 3], "", "here only three words"]
+    index = decontamination.Index(items)
+    got = {(t, index.ids[k]) for t, k, *_ in index.matches(texts)}
+    assert got == brute_containment(texts, items) | {(4, 99)} and len(index.matches(texts)) == len(got)

@@ -82,13 +82,17 @@ class Index:
         texts = [t or "" for _, t in items]
         lengths = [len(words_of(t)) for t in texts]
         self.widths = [min(n, WIDTH) for n in lengths]
-        self.items = {k: shingles_of(t, w) for k, (t, w) in enumerate(zip(texts, self.widths, strict=True)) if w}
-        #: Distinct shingle hashes of all items, one item after another.
-        self.sizes, self.first, self.shingles = self._hashes(texts)
+        items = {k: shingles_of(t, w) for k, (t, w) in enumerate(zip(texts, self.widths, strict=True)) if w}
+        #: Number of each shingle; the numbers of all items' shingles, one item after another.
+        self.known: dict[tuple[str, ...], int] = {}
+        self.shingles = np.array([self.known.setdefault(x, len(self.known)) for s in items.values() for x in s], np.int32)
+        self.sizes = np.zeros(len(texts), np.int64)
+        self.sizes[list(items)] = [len(s) for s in items.values()]
+        self.first = np.cumsum(self.sizes) - self.sizes
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sized: dict[int, list[int]] = {}
-        for k, s in self.items.items():
+        for k, s in items.items():
             if self.widths[k] == WIDTH:
                 sized.setdefault(max(2, 1 << (len(s) - 1).bit_length()), []).append(k)
         for width in sorted({w for w in self.widths if 0 < w < WIDTH}):
@@ -105,18 +109,6 @@ class Index:
                 order = np.argsort(least, kind="stable")
                 self.classes[size].append((least[order], np.array(members)[order]))
 
-    def _hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        of_word, words = _words(texts)
-        widths, owners, hashes = np.array(self.widths, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for width in sorted({w for w in self.widths if w}):
-            owner, found = _shingles(of_word, words, width)
-            keep = widths[owner] == width
-            owners.append(owner[keep])
-            hashes.append(found[keep])
-        both = np.unique(np.array(list(zip(np.concatenate(owners).tolist(), np.concatenate(hashes).tolist(), strict=True)), [("owner", np.int64), ("hash", np.uint64)]))
-        sizes = np.bincount(both["owner"], minlength=len(texts))
-        return sizes, np.cumsum(sizes) - sizes, np.ascontiguousarray(both["hash"])
-
     def candidates(self, texts: list[str]) -> np.ndarray:
         """text * items + item, in order, of all pairs that agree in some hash function's least value over some window."""
         of_word, words = _words(texts)
@@ -162,34 +154,24 @@ class Index:
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, shared shingles, shingles of the item) of the candidates that hold.
 
-        Shared shingles are first counted by hash for all candidates of a text at once, which never counts too
-        few; candidates that reach the share are counted by their words.
+        Shingles of the items have numbers, one for each sequence of words, so the exact counts of all candidates
+        of a text come from one look at which numbers the text holds.
         """
         pairs = self.candidates(texts)
         out: list[tuple[int, int, int, int]] = []
-        if not len(pairs):
-            return out
         of_text, item = pairs // len(self.ids), pairs % len(self.ids)
-        of_word, words = _words(texts)
-        widths = np.array(self.widths)[item]
-        for width in np.unique(widths).tolist():
-            owner, hashes = _shingles(of_word, words, width)
-            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-            at = np.flatnonzero(widths == width)
-            for t in np.unique(of_text[at]).tolist():
-                held = np.unique(hashes[bounds[t] : bounds[t + 1]])
-                mine = item[at[of_text[at] == t]]
-                first, size = self.first[mine], self.sizes[mine]
-                spread = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                inside = np.isin(self.shingles[spread], held)
-                shared = np.bincount(np.repeat(np.arange(len(mine)), size), inside, minlength=len(mine))
-                likely = mine[shared >= THRESHOLD * size]
-                exact = shingles_of(texts[t], width) if len(likely) else set()
-                for k in likely.tolist():
-                    n = len(self.items[k] & exact)
-                    if n >= THRESHOLD * len(self.items[k]):
-                        out.append((t, k, n, len(self.items[k])))
-        return sorted(out)
+        widths, held = np.array(self.widths)[item], np.zeros(len(self.known), bool)
+        for t, width in sorted(set(zip(of_text.tolist(), widths.tolist(), strict=True))):
+            mine = item[(of_text == t) & (widths == width)]
+            here = [self.known[x] for x in shingles_of(texts[t], width) if x in self.known]
+            held[here] = True
+            first, size = self.first[mine], self.sizes[mine]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            shared = np.bincount(np.repeat(np.arange(len(mine)), size), held[self.shingles[at]], minlength=len(mine)).astype(np.int64)
+            held[here] = False
+            keep = shared >= THRESHOLD * size
+            out += zip([t] * int(keep.sum()), mine[keep].tolist(), shared[keep].tolist(), size[keep].tolist(), strict=True)
+        return out
 
 
 def indexes(benchmark: DataFrame, item_col: str) -> Iterator[Index]:
@@ -201,7 +183,7 @@ def indexes(benchmark: DataFrame, item_col: str) -> Iterator[Index]:
         end = part[-1]["k"]
         last = F.struct(F.lit(end["item"]).cast(kind).alias("item"), F.lit(end["body"]).alias("body"))
         index = Index([tuple(r["k"]) for r in part])
-        if index.items:
+        if index.known:
             yield index
 
 

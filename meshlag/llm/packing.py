@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from meshlag.llm.util import small_batches, whole_text
 
@@ -28,7 +30,8 @@ GROUP_BYTES = 4 << 20
 MARKS = ".,!?;:%$&*#|)"
 LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
 PLAIN = LETTERS.replace("+", "{1,64}") + r"[.,!?;:%$&*#|)]*$"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Columns beside the id.
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
@@ -196,11 +199,11 @@ def offered_cuts(stops: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np
 class Packer:
     """Packs documents group by group. The last window of a group stays open and begins the next group."""
 
-    def __init__(self, words: WordIds, width: int, sequence: int):
+    def __init__(self, words: WordIds, width: int, sequence: int, kind: pa.DataType | None = None):
         self.words, self.width, self.sequence = words, width, sequence
         # what the open window holds: ids, and of each document its id, its ids before, all its ids, and where it stops
         self.ids = np.zeros(0, np.uint32)
-        self.doc_ids = pa.array([], pa.int64())
+        self.doc_ids = pa.array([], kind or pa.int64())
         self.start, self.size, self.stops = np.zeros((3, 0), np.int64)
 
     def add(self, doc_ids: pa.Array, texts: pa.Array, last: bool = False) -> pa.RecordBatch:
@@ -224,7 +227,7 @@ class Packer:
         crc = np.fromiter((zlib.crc32(body[x:y]) for x, y in zip((4 * a).tolist(), (4 * b).tolist(), strict=True)), np.int64, len(a))
         opened = np.concatenate([[0], shut])[window]
         columns = [start[doc] + a - begins, b - a, crc, size[doc], self.sequence + window, a - opened]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = ["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]]
         out = pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), *[pa.array(x.astype(np.int64)) for x in columns]], names)
         self.sequence += len(shut)
         first = int(np.searchsorted(stops, reach, "right"))
@@ -244,15 +247,18 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, width: int = 2048, id_c
     and one open window at a time; only a partition's last window is closed early. Sequence ids hold the
     partition in the high bits, so they are distinct and the same after a retry. A null or empty text is the
     end id alone. Long sentences may be cut every STRIDE ids. Repeated rows and rows that share an id or have
-    none are packed one by one. An empty table gives an empty table; other columns are left out, whatever
+    none are packed one by one; ids keep their type. An empty table gives an empty table; other columns are left out, whatever
     their names.
     """
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(SCHEMA)])
+    kind = to_arrow_schema(schema).field("doc_id").type
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _word_ids:
             _word_ids[tokenizer_file] = WordIds(tokenizer_file)
-        packer = Packer(_word_ids[tokenizer_file], width, TaskContext.get().partitionId() << 32)
+        packer = Packer(_word_ids[tokenizer_file], width, TaskContext.get().partitionId() << 32, kind)
         held: list[pa.RecordBatch] = []
         whole = lambda k: pa.concat_arrays([x.column(k) for x in held])
         for batch in batches:
@@ -260,6 +266,6 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, width: int = 2048, id_c
             if sum(x.column(1).nbytes for x in held) >= GROUP_BYTES:
                 yield packer.add(whole(0), whole(1))
                 held = []
-        yield packer.add(whole(0) if held else pa.array([], pa.int64()), whole(1) if held else pa.array([], pa.string()), last=True)
+        yield packer.add(whole(0) if held else pa.array([], kind), whole(1) if held else pa.array([], pa.string()), last=True)
 
-    return docs.select(F.col(id_col).cast("long"), whole_text(text)).mapInArrow(pack, SCHEMA)
+    return rows.mapInArrow(pack, schema)

@@ -862,3 +862,13 @@ def test_template_items():
     index = decontamination.Index(items)
     got = {(t, index.ids[k]) for t, k, *_ in index.matches(texts)}
     assert got == brute_containment(texts, items) | {(4, 99)} and len(index.matches(texts)) == len(got)
+
+
+def test_packing_ids_of_any_type(spark):
+    """Ids keep their type; the pieces are those of the same rows under integers."""
+    texts = [prose(20 + k, 30 * (k + 1)) for k in range(6)] + [None]
+    docs = documents(spark, texts).select("doc_id", "text").coalesce(1)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    want = sorted((f"x {r['doc_id']}", *r[1:]) for r in packing.pack_documents(docs, file, 64).collect())
+    out = packing.pack_documents(docs.select(F.concat(F.lit("x "), "doc_id").alias("my id"), "text"), file, 64, "my id")
+    assert out.dtypes[0] == ("doc_id", "string") and sorted(tuple(r) for r in out.collect()) == want

@@ -15,10 +15,8 @@ from meshlag.llm.chars import Batch, letters
 from meshlag.llm.util import cut, fold, labelled_sample, small_batches, whole_text
 
 ORDERS = (5, 7, 9)
-#: Labelled documents that training reads at most, features that are kept, toxic documents a feature must be in.
+#: Labelled documents that training reads at most, features of the model, labelled documents a feature must be in.
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 12_000, 8_000, 5
-#: N-grams that are counted in both classes at most: those in the most toxic documents.
-CANDIDATES = 1_000_000
 SLOT_BITS = 20
 
 
@@ -54,26 +52,41 @@ class Model:
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n0, n1): in how many of the batch's documents of either class each n-gram is."""
     for rows in batches:
-        batch = Batch(rows.column(0).to_pylist(), letters())
+        batch, y = Batch(rows.column(0).to_pylist(), letters()), rows.column(1).to_numpy()
         for n in ORDERS:
             grams = batch.grams(n)
-            inside = batch.owner[: len(grams)] == batch.owner[n - 1 : n - 1 + len(grams)]
+            last = slice(n - 1, n - 1 + len(grams))
+            inside = (batch.owner[: len(grams)] == batch.owner[last]) & (batch.codes[last] != 0)  # not the mark at a text's end
             owner, grams = batch.owner[: len(grams)][inside], grams[inside]
             order = np.lexsort((grams, owner))
             owner, grams = owner[order], grams[order]
             new = np.ones(len(order), bool)
             new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-            found, count = np.unique(grams[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["gram", "n"])
+            found, which = np.unique(grams[new], return_inverse=True)
+            one = np.bincount(which, y[owner[new]] == 1, minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(which, minlength=len(found)) - one), pa.array(one)], ["gram", "n0", "n1"])
 
 
-def select(grams: np.ndarray, in_zero: np.ndarray, in_one: np.ndarray, zeros: int, ones: int) -> tuple[np.ndarray, np.ndarray]:
-    """(features, ratios): the n-grams whose shares differ most between the classes, with r = log of the ratio of the shares."""
-    ratio = np.log(((in_one + 1) / (ones + 2)) / ((in_zero + 1) / (zeros + 2)))
-    signal = np.abs(in_one / max(ones, 1) - in_zero / max(zeros, 1)) / np.sqrt((in_one + in_zero + 1) / (zeros + ones))
-    keep = np.sort(np.argsort(-signal, kind="stable")[:FEATURES])
-    return grams[keep], ratio[keep]
+def log_ratios(in_zero: np.ndarray, in_one: np.ndarray, zeros: int, ones: int) -> np.ndarray:
+    """Naive Bayes log-count ratio of each feature, from the documents of either class that hold it."""
+    return np.log(((in_one + 1) / (ones + 2)) / ((in_zero + 1) / (zeros + 2)))
+
+
+def chosen_grams(sample: DataFrame, zeros: int, ones: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, ratios): the n-grams whose shares differ most between the classes, with r = log of the ratio of the shares.
+
+    Every n-gram of the sample is counted in both classes in one aggregation, so those typical of either class are
+    found; the driver gets the FEATURES chosen ones. Equal differences go by hash.
+    """
+    counts = sample.select("text", "y").mapInArrow(_document_grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    signal = F.abs(F.col("n1") / ones - F.col("n0") / zeros) / F.sqrt((F.col("n0") + F.col("n1") + 1) / (zeros + ones))
+    best = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).orderBy(signal.desc(), "gram").limit(FEATURES).toArrow()
+    grams, n0, n1 = (best.column(c).to_numpy() for c in ("gram", "n0", "n1"))
+    grams = np.asarray(grams, np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], log_ratios(n0, n1, zeros, ones)[order]
 
 
 def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, grams: np.ndarray, ratio: np.ndarray, rounds: int = 300) -> Model:
@@ -94,9 +107,9 @@ def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, grams: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled documents outside the held-out fold, whole texts.
 
-    Counting and matching run on the executors. The driver gets the candidate n-grams of those documents (in
-    LEAST_DOCS toxic ones at least, CANDIDATES at most) with their counts, then the chosen FEATURES that each
-    document holds; all is bounded whatever the texts' length. Without both classes the model is the labelled share (0.5 without labels) for every text.
+    Counting and matching run on the executors. The driver gets the chosen FEATURES, each in LEAST_DOCS of those
+    documents at least, and which of them each document holds; all is bounded whatever the texts' length. Without
+    both classes the model is the labelled share (0.5 without labels) for every text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -106,25 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not ones or not zeros:
         share = float(np.clip(ones / (ones + zeros), 0.01, 0.99)) if ones + zeros else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    found = sample.where("y = 1").select("text").mapInArrow(_document_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "gram").limit(CANDIDATES)
-    grams = np.sort(np.asarray(found.select("gram").toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-    candidates = spark.sparkContext.broadcast(Model(grams, np.zeros(0), 0.0))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, len(candidates.value.grams)), np.int64)
-        for batch in batches:
-            owner, feature = candidates.value.find(batch.column(0).to_pylist())
-            y = batch.column(1).to_numpy()
-            for k in (0, 1):
-                n[k] += np.bincount(feature[y[owner] == k], minlength=n.shape[1])
-        at = np.flatnonzero(n.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["f", "n0", "n1"])
-
-    got = sample.mapInArrow(counts, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    n = np.zeros((2, len(grams)), np.int64)
-    for k, name in enumerate(("n0", "n1")):
-        n[k, got.column("f").to_numpy()] = got.column(name).to_numpy()
-    grams, ratio = select(grams, n[0], n[1], zeros, ones)
+    grams, ratio = chosen_grams(sample, zeros, ones)
     chosen = spark.sparkContext.broadcast(Model(grams, np.zeros(0), 0.0))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

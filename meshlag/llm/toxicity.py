@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlag.llm.chars import Batch, letters
-from meshlag.llm.util import cut, fold, labelled_sample, small_batches, whole_text
+from meshlag.llm.util import cut, cut_freed, fold, labelled_sample, small_batches, whole_text
 
 ORDERS = (5, 7, 9)
 #: Labelled documents that training reads at most, features of the model, labelled documents a feature must be in.
@@ -51,11 +52,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.bincount(owner, self.weights[feature], minlength=len(texts)) + self.bias, -30, 30)))
 
 
-def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n0, n1): in how many of the batch's documents of either class each n-gram is."""
-    for rows in batches:
-        batch, y = Batch(rows.column(0).to_pylist(), letters()), rows.column(1).to_numpy()
-        for n in ORDERS:
+def _document_grams(n: int):
+    """A pass of (gram, n0, n1): in how many of a batch's documents of either class each gram of n characters is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            batch, y = Batch(rows.column(0).to_pylist(), letters()), rows.column(1).to_numpy()
             grams = batch.grams(n)
             last = slice(n - 1, n - 1 + len(grams))
             inside = (batch.owner[: len(grams)] == batch.owner[last]) & (batch.codes[last] != 0)  # not the mark at a text's end
@@ -68,6 +70,8 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             one = np.bincount(which, y[owner[new]] == 1, minlength=len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(which, minlength=len(found)) - one), pa.array(one)], ["gram", "n0", "n1"])
 
+    return count
+
 
 def log_ratios(in_zero: np.ndarray, in_one: np.ndarray, zeros: int, ones: int) -> np.ndarray:
     """Naive Bayes log-count ratio of each feature, from the documents of either class that hold it."""
@@ -77,12 +81,17 @@ def log_ratios(in_zero: np.ndarray, in_one: np.ndarray, zeros: int, ones: int) -
 def chosen_grams(sample: DataFrame, zeros: int, ones: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, ratios): the n-grams whose shares differ most between the classes, with r = log of the ratio of the shares.
 
-    Every n-gram of the sample is counted in both classes in one aggregation, so those typical of either class are
-    found; the driver gets the FEATURES chosen ones. Equal differences go by hash.
+    Every n-gram of the sample is counted in both classes, so those typical of either class are found; an order's
+    best FEATURES are written before the next order is counted, which frees its shuffle. The driver gets the best
+    FEATURES of all. Equal differences go by hash.
     """
-    counts = sample.select("text", "y").mapInArrow(_document_grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     signal = F.abs(F.col("n1") / ones - F.col("n0") / zeros) / F.sqrt((F.col("n0") + F.col("n1") + 1) / (zeros + ones))
-    best = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).orderBy(signal.desc(), "gram").limit(FEATURES).toArrow()
+    top = lambda df: df.orderBy(signal.desc(), "gram").limit(FEATURES)
+    found = []
+    for n in ORDERS:
+        counts = sample.select("text", "y").mapInArrow(_document_grams(n), "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        found.append(cut_freed(top(counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCS))))
+    best = top(reduce(DataFrame.unionByName, found)).toArrow()
     grams, n0, n1 = (best.column(c).to_numpy() for c in ("gram", "n0", "n1"))
     grams = np.asarray(grams, np.int64).view(np.uint64)
     order = np.argsort(grams)

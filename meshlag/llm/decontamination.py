@@ -112,13 +112,13 @@ class Index:
     def candidates(self, texts: list[str]) -> np.ndarray:
         """text * items + item, in order, of all pairs that agree in some hash function's least value over some window."""
         of_word, words = _words(texts)
-        found = np.zeros(0, np.int64)
+        met = [np.zeros(0, np.int64)]
         for width, (values, members) in self.short.items():
             owner, hashes = _shingles(of_word, words, width)
-            found = np.union1d(found, self._meet(values, members, owner, hashes))
+            met.append(self._meet(values, members, owner, hashes))
         owner, hashes = _shingles(of_word, words)
         if not len(owner) or not self.classes:
-            return found
+            return np.unique(np.concatenate(met))
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         position = np.arange(len(owner)) - first[owner]
         finest = min(self.classes) // 2
@@ -135,8 +135,9 @@ class Index:
                 for step in (1, 2):
                     same = of[step:] == of[:-step]
                     window[:-step][same] = np.minimum(window[:-step][same], least[step:][same])
-                found = np.union1d(found, self._meet(*self.classes[size][k], of, window))
-        return found
+                met.append(self._meet(*self.classes[size][k], of, window))
+            met = [np.unique(np.concatenate(met))]
+        return met[0]
 
     def _meet(self, values: np.ndarray, members: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """text * items + item of every text hash among the sorted item `values`.
@@ -145,11 +146,12 @@ class Index:
         """
         lo = np.searchsorted(values, hashes)
         hit = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == hashes)
-        met = np.unique(np.stack([owner[hit], lo[hit]]), axis=1)
-        first = met[1]
+        if not len(hit):
+            return np.zeros(0, np.int64)
+        text, first = np.divmod(np.unique(owner[hit] * len(values) + lo[hit]), len(values))
         count = np.searchsorted(values, values[first], "right") - first
         at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(met[0], count) * len(self.ids) + members[at]
+        return np.repeat(text, count) * len(self.ids) + members[at]
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, shared shingles, shingles of the item) of the candidates that hold.

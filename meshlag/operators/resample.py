@@ -128,6 +128,164 @@ def relabel_each(pairs: DataFrame, iterations: int, keys: list[str]) -> DataFram
     return a.join(b, [*keys, "r"]).select("iteration", *keys, "s", "t")
 
 
+#: Half rounds of the shuffling network, and rows of a table of distances that is sent to every task at most.
+ROUNDS, PLACES = 6, 1_000_000
+
+
+def shuffle_keys(iterations: int, *seed: int) -> np.ndarray:
+    """(iteration, round): the keys of `shuffled_places`."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, (iterations, ROUNDS), np.uint64, endpoint=False)
+
+
+def shuffled_places(places: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """Where a permutation of 0..size-1, chosen by `keys`, moves the `places` (unsigned 64-bit).
+
+    A Feistel network over the bits of size - 1: either half is changed in turn by a keyed hash of the other, which
+    can be undone, so no two places meet. A place that leaves the range is moved on until it is back, which keeps
+    that. Nothing but the place itself is needed: no row waits for another.
+    """
+    bits = max(2, (size - 1).bit_length())
+    low = np.uint64(bits // 2)
+    low_mask, high_mask = np.uint64((1 << bits // 2) - 1), np.uint64((1 << bits - bits // 2) - 1)
+
+    def moved(x: np.ndarray) -> np.ndarray:
+        high, rest = x >> low, x & low_mask
+        for k, key in enumerate(keys):
+            h = ((high if k % 2 else rest) + key) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)
+            if k % 2:
+                rest = rest ^ (h & low_mask)
+            else:
+                high = high ^ (h & high_mask)
+        return (high << low) | rest
+
+    x = moved(places)
+    while len(out := np.flatnonzero(x >= np.uint64(size))):
+        x[out] = moved(x[out])
+    return x
+
+
+def _iterated(states: DataFrame, key: str) -> DataFrame:
+    """(key, iteration, bin, s1, s2, sd, n) from the tasks' vectors of iterations."""
+    each = states.select(key, "bin", F.posexplode(F.arrays_zip(*STATE)).alias("p", "s")).select(key, (F.col("p") + 1).alias("iteration"), "bin", "s.*")
+    return each.groupBy(key, "iteration", "bin").agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "sd")], F.sum("n").cast("long").alias("n")).where("n > 0")
+
+
+def _vectors(state: dict, key_type: pa.DataType) -> pa.RecordBatch:
+    """A task's sums (key -> (sum, iteration, bin)) as a row for each key and bin with a vector of iterations a sum; the last bin is none."""
+    rows = [(g, b, *v[:, :, b]) for g, v in state.items() for b in range(v.shape[2] - 1) if v[3, :, b].any()]
+    cells = list(zip(*rows, strict=True)) if rows else [()] * 6
+    arrays = [pa.array([x.tolist() for x in column], pa.list_(pa.float64())) for column in cells[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(cells[0], key_type), pa.array(cells[1], pa.int32()), *arrays], ["g", "bin", *STATE])
+
+
+_VECTORS = "bin int, s1 array<double>, s2 array<double>, sd array<double>, n array<double>"
+
+
+def permuted_states(df: DataFrame, key: str, iterations: int, group: str, seed: int = 0, most: int = PLACES) -> DataFrame:
+    """(group, iteration, bin, s1, s2, sd, n): bin sums after the distances of each group are permuted over its rows, once for each iteration.
+
+    `df` holds key, group, coherence, dist_km and bin (null outside); rows without a group are left out. A row moves
+    to a place of its group by `shuffled_places` and finds there one of the distances, which lie in order: a pair of
+    stations has one distance, so they are a short table of counts. Rows are ranked once; they are neither copied
+    nor moved for an iteration, and a task hands over vectors of iterations alone. More than `most` distances are
+    permuted by ranks instead (`permute_each`).
+    """
+    rows = df.where(F.col(group).isNotNull())
+    runs = cut(rows.groupBy(group, "dist_km", "bin").agg(F.count("*").alias("n")))
+    if runs.limit(most + 1).count() > most:
+        moved = permute_each(rows.select(key, group, "coherence", F.struct("dist_km", "bin").alias("_d")), key, "_d", iterations, group)
+        return accumulate(moved.select(group, "iteration", "coherence", "_d.*").where("bin IS NOT NULL"), [group, "iteration"])
+    places: dict = {}
+    for x in runs.orderBy(group, "dist_km").collect():  # in the order of the ranks below
+        places.setdefault(x[group], []).append((x["n"], -1 if x["bin"] is None else x["bin"], x["dist_km"] or 0.0))
+    if not places:
+        return accumulate(rows.withColumn("iteration", F.lit(1)), [group, "iteration"])
+    tables = [tuple(np.array(v) for v in zip(*t, strict=True)) for t in places.values()]
+    ends, bins, km = [np.cumsum(n).astype(np.uint64) for n, _, _ in tables], [b for _, b, _ in tables], [d for _, _, d in tables]
+    starts = np.cumsum([0, *(int(e[-1]) for e in ends)])
+    width = max(int(b.max()) for b in bins) + 2
+    bins = [np.where(b < 0, width - 1, b) for b in bins]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+        keys: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, c = np.asarray(batch.column(0)) - 1, np.asarray(batch.column(1).fill_null(0.0))
+            of = np.searchsorted(starts, at, side="right") - 1
+            for g in np.unique(of).tolist():
+                if g not in state:
+                    state[g], keys[g] = np.zeros((4, iterations, width)), shuffle_keys(iterations, seed, g)
+                own = of == g
+                k, v = (at[own] - starts[g]).astype(np.uint64), c[own]
+                for it in range(iterations):
+                    run = np.searchsorted(ends[g], shuffled_places(k, int(ends[g][-1]), keys[g][it]), side="right")
+                    b = bins[g][run]
+                    for s, w in enumerate((v, v * v, km[g][run], None)):
+                        state[g][s, it] += np.bincount(b, w, width)
+        yield _vectors(state, pa.int32())
+
+    ranked = shuffled_rank(rows.select(group, key, F.col("coherence").cast("double").alias("coherence")), [group, key], "_g")
+    states = ranked.select("_g", "coherence").mapInArrow(summed, f"g int, {_VECTORS}")
+    names = F.array(*[F.lit(g) for g in places])
+    return _iterated(states.select(F.get(names, F.col("g")).alias(group), "bin", *STATE), group)
+
+
+def relabelled_states(pairs: DataFrame, iterations: int, keys: list[str], geometry: DataFrame, most: int = PLACES) -> DataFrame:
+    """(first key, iteration, bin, s1, s2, sd, n): bin sums after the stations of each group of `keys` swap their places, once for each iteration.
+
+    The labels are those of `relabel_each`. `geometry` (i, j, dist_km, bin) holds each pair of stations once; of more
+    than `most` pairs the rows are joined with the labels instead. A group's rows enter as the sums of its pairs, so a
+    group is as large as its pairs of stations, and its labels are drawn where it lies.
+    """
+    key = keys[0]
+    if geometry.limit(most + 1).count() > most:
+        labels = cut(relabel_each(pairs, iterations, keys))
+        out = pairs.select(*keys, "i", "j", "coherence")
+        for e in "ij":
+            out = out.join(labels.select("iteration", *keys, F.col("s").alias(e), F.col("t").alias(f"t_{e}")), [*keys, e] if e == "i" else ["iteration", *keys, e])
+        ends = out.select(key, "iteration", "coherence", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"))
+        return accumulate(ends.join(geometry, ["i", "j"]).where("bin IS NOT NULL"), [key, "iteration"])
+    known = geometry.where("bin IS NOT NULL").collect()
+    names = np.array(sorted({x[e] for x in known for e in "ij"}))
+    place = {s: k for k, s in enumerate(names.tolist())}
+    width = max((x["bin"] for x in known), default=-1) + 2
+    bins, km = np.full((len(names) + 1,) * 2, width - 1), np.zeros((len(names) + 1,) * 2)
+    for x in known:
+        at = place[x["i"]], place[x["j"]]
+        bins[at] = bins[at[::-1]] = x["bin"]
+        km[at] = km[at[::-1]] = x["dist_km"]
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type = to_arrow_type(pairs.schema[key].dataType)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g, a, b, s1, s2, n, have, labels = (batch.column(c)[r] for c in range(8))
+                have = np.asarray(have.values)
+                there = np.searchsorted(names, labels := np.asarray(labels.values.flatten()).reshape(iterations, -1))
+                there[(there == len(names)) | (names[np.minimum(there, len(names) - 1)] != labels)] = len(names)
+                x, y = (there[:, np.searchsorted(have, np.asarray(e.values))] for e in (a, b))
+                flat = (bins[x, y] + np.arange(iterations)[:, None] * width).ravel()
+                n = np.asarray(n.values).astype(float)
+                sums = state.setdefault(g.as_py(), np.zeros((4, iterations, width)))
+                for s, w in enumerate((np.asarray(s1.values), np.asarray(s2.values), km[x, y] * n, n)):
+                    sums[s] += np.bincount(flat, np.broadcast_to(w, x.shape).ravel(), iterations * width).reshape(iterations, width)
+        yield _vectors(state, key_type)
+
+    c = F.coalesce(F.col("coherence").cast("double"), F.lit(0.0))
+    cells = pairs.where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "i", "j"])).groupBy(*keys, "i", "j").agg(F.sum(c).alias("s1"), F.sum(c * c).alias("s2"), F.count("*").alias("n"))
+    groups = cells.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "s1", "s2", "n")).alias("x"))
+    groups = groups.select(*keys, *[F.col(f"x.{v}").alias(f"_{v}") for v in ("i", "j", "s1", "s2", "n")]).withColumn("_have", F.array_sort(F.array_union("_i", "_j")))
+    drawn = lambda it: F.array_sort(F.transform("_have", lambda s: F.struct(F.xxhash64(*keys, s, it).alias("h"), s.alias("s"))))
+    labels = F.transform(F.sequence(F.lit(1), F.lit(iterations)), lambda it: F.transform(drawn(it), lambda x: x["s"]))
+    states = groups.select(key, "_i", "_j", "_s1", "_s2", "_n", "_have", labels.alias("_labels")).mapInArrow(summed, f"g {dict(pairs.dtypes)[key]}, {_VECTORS}")
+    return _iterated(states.withColumnRenamed("g", key), key)
+
+
 def relabel_by_day(pairs: DataFrame, seed: int) -> DataFrame:
     """Permutes the station labels inside each day: (date, s, t) maps station s of that day to t."""
     stations = cut(pairs.select("date", F.explode(F.array("i", "j")).alias("s")).distinct())

@@ -257,25 +257,20 @@ def two_way_fits(pairs: DataFrame, replicates: int) -> DataFrame:
 @query()
 def distance_shuffle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits after permuting the distances over each centre's rows, one fit for each iteration."""
-    rows = null_rows(spark, sf_dir, "distance", DEFAULT.null_iterations)
-    return fit.fit_decay(finalise(accumulate(rows, ["center", "iteration"])), ["center", "iteration"])
-
-
-def null_rows(spark: SparkSession, sf_dir: str, kind: str, iterations: int) -> DataFrame:
-    """(center, iteration, coherence, dist_km, bin): a centre's rows under each permutation of distances, phases or a day's stations."""
-    if kind == "distance":
-        out = resample.permute_each(pair_day(spark, sf_dir).select("row", "center", "coherence", "dist_km"), "row", "dist_km", iterations, "center")
-    elif kind == "phase":
-        out = resample.permute_each(pair_day(spark, sf_dir).select("row", "center", "dist_km", "phase"), "row", "phase", iterations, "center").withColumn("coherence", F.cos("phase"))
-    else:
-        p, keys = pair_day(spark, sf_dir, False), ["center", "date"]
-        labels = cut(resample.relabel_each(p, iterations, keys))
-        out = p.select(*keys, "i", "j", "coherence")
-        for e in "ij":
-            out = out.join(labels.select("iteration", *keys, F.col("s").alias(e), F.col("t").alias(f"t_{e}")), [*keys, e] if e == "i" else ["iteration", *keys, e])
-        ends = out.select("center", "iteration", "coherence", F.least("t_i", "t_j").alias("i"), F.greatest("t_i", "t_j").alias("j"))
-        return ends.join(small(pair_places(spark, sf_dir).select("i", "j", "dist_km", "bin")), ["i", "j"]).where("bin IS NOT NULL")
-    return out.withColumn("bin", distance_bin("dist_km")).where("bin IS NOT NULL")
+    return fit.fit_decay(finalise(null_states(spark, sf_dir, "distance", DEFAULT.null_iterations)), ["center", "iteration"])
+
+
+def null_states(spark: SparkSession, sf_dir: str, kind: str, iterations: int) -> DataFrame:
+    """(center, iteration, bin, state): a centre's bin sums under each permutation of distances, phases or a day's stations.
+
+    Phases over rows are distances over phases: either way each phase meets one distance of its centre by chance.
+    """
+    if kind == "station":
+        return resample.relabelled_states(pair_day(spark, sf_dir, False), iterations, ["center", "date"], pair_places(spark, sf_dir).select("i", "j", "dist_km", "bin"))
+    p = pair_day(spark, sf_dir).withColumn("bin", distance_bin("dist_km"))
+    if kind == "phase":
+        p = p.withColumn("coherence", F.cos("phase"))
+    return resample.permuted_states(p, "row", iterations, "center", 1 + (kind == "phase"))
 
 
 _permuted = f"(SELECT a.row, b.v AS phase_shuffled FROM (SELECT row, row_number() OVER (ORDER BY row) AS k FROM {PAIR_DAY_SQL} p) a JOIN (SELECT phase AS v, row_number() OVER (ORDER BY md5(row || '#42')) AS k FROM {PAIR_DAY_SQL} q) b ON a.k = b.k)"
@@ -311,7 +306,7 @@ def null_summary(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT.nul
     real = fit.fit_decay(finalise(accumulate(binned(spark, sf_dir), ["center"])), ["center"]).select("center", F.col("r2").alias("real_r2"), F.col("theta").alias("real_theta"))
     states = None
     for kind in ("distance", "phase", "station"):
-        s = cut(accumulate(null_rows(spark, sf_dir, kind, iterations), ["center", "iteration"]).withColumn("null", F.lit(kind)))
+        s = cut(null_states(spark, sf_dir, kind, iterations).withColumn("null", F.lit(kind)))
         states = s if states is None else states.unionByName(s)
     nulls = fit.fit_decay(finalise(states), ["null", "center", "iteration"]).join(real, "center")
     out = nulls.groupBy("center", "null", "real_theta", "real_r2").agg(F.count("*").alias("iterations"), F.avg("r2").alias("null_r2"), F.stddev_pop("r2").alias("null_r2_sd"), F.avg("theta").alias("null_theta"), F.stddev_pop("theta").alias("null_theta_sd"), ((F.sum((F.col("r2") >= F.col("real_r2")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_value"))

@@ -347,3 +347,41 @@ def test_resampled_days(spark, sf_dir):
 
     days = daily_series.on_off_days(spark, sf_dir, 3).collect()
     assert {r["center"] for r in days} == set("ANR") and all(r["on"] == (r["power"] > r["threshold"]) for r in days) and any(r["on"] for r in days)
+
+
+def test_shuffled_places():
+    """A shuffle moves every place of any size to a place of its own, by another way for each key, and evenly."""
+    import numpy as np
+
+    from meshlag.operators import resample
+
+    for size in (1, 2, 3, 5, 64, 1000, 4097):
+        keys = resample.shuffle_keys(3, 7, size)
+        moved = [resample.shuffled_places(np.arange(size, dtype=np.uint64), size, k).tolist() for k in keys]
+        assert all(sorted(m) == list(range(size)) for m in moved)
+        assert size < 64 or moved[0] != moved[1] != moved[2]
+    met = np.array([resample.shuffled_places(np.arange(12, dtype=np.uint64), 12, k) for k in resample.shuffle_keys(24_000, 1)])
+    counts = np.stack([np.bincount(met[:, k].astype(int), minlength=12) for k in range(12)])
+    assert abs(counts - 2000).max() < 250  # 5.8 standard deviations of a uniform draw
+
+
+def test_permuted_states(spark):
+    """Permuted bin sums keep a group's rows: each iteration meets all coherences and all distances, those outside the bins included."""
+    from meshlag.operators import resample
+
+    rows = [(k, "A" if k % 5 == 0 else "B", float(k % 11), 100.0 * (k % 3), (None, 3, 7)[k % 3]) for k in range(600)] + [(900, None, 1.0, 100.0, 3)]
+    df = spark.createDataFrame(rows, "row long, center string, coherence double, dist_km double, bin int")
+    seen = set()
+    for most in (100, 1):  # by shuffled places, by ranks
+        out = resample.permuted_states(df, "row", 4, "center", most=most).collect()
+        assert {(r["center"], r["iteration"], r["bin"]) for r in out} == {(c, it, b) for c in "AB" for it in range(1, 5) for b in (3, 7)}
+        for r in out:
+            n = sum(x[1] == r["center"] and x[4] == r["bin"] for x in rows)
+            assert r["n"] == n and abs(r["sd"] - n * {3: 100.0, 7: 200.0}[r["bin"]]) < 1e-6
+            assert abs(r["s1"] / n - 5) < 1.5
+            seen.add((r["center"], r["bin"], round(r["s1"], 6)))
+    assert len(seen) > 20
+    even = spark.createDataFrame([(k, "A", float(k), 100.0, 3) for k in range(50)], "row long, center string, coherence double, dist_km double, bin int")
+    got = resample.permuted_states(even, "row", 2, "center").collect()
+    assert [(r["s1"], r["s2"], r["n"]) for r in got] == [(1225.0, 40425.0, 50)] * 2
+    assert resample.permuted_states(even.where("row < 0"), "row", 2, "center").count() == 0

@@ -385,3 +385,15 @@ def test_permuted_states(spark):
     got = resample.permuted_states(even, "row", 2, "center").collect()
     assert [(r["s1"], r["s2"], r["n"]) for r in got] == [(1225.0, 40425.0, 50)] * 2
     assert resample.permuted_states(even.where("row < 0"), "row", 2, "center").count() == 0
+
+
+def test_relabelled_states(spark, sf_dir):
+    """Sums of relabelled days equal those of the rows joined with the same labels."""
+    from meshlag.operators import resample
+    from meshlag.plans.fixtures import pair_day, pair_places
+
+    p, places = pair_day(spark, sf_dir, False), pair_places(spark, sf_dir).select("i", "j", "dist_km", "bin").where("i % 7 <> 3")
+    key = lambda r: (r["center"], r["iteration"], r["bin"], r["n"])
+    got, want = (sorted(resample.relabelled_states(p, 3, ["center", "date"], places, most).collect(), key=key) for most in (10_000, 10))
+    assert len(got) > 100 and [key(r) for r in got] == [key(r) for r in want]
+    assert all(abs(a[c] - b[c]) < 1e-6 * max(1, abs(b[c])) for a, b in zip(got, want, strict=True) for c in ("s1", "s2", "sd"))

@@ -34,6 +34,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a folder of the shared file system, whose new parent is made; false where there is none."""
+    at, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    return files.exists(at) and files.rename(at, target)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder: lost executors cost a reread, and lineage ends here."""
     shared_folder(df.sparkSession)

@@ -98,3 +98,36 @@ def test_closed_days(spark, tmp_path):
     assert sorted(got) == [1, 2, 5] and spark.table("closed_t").count() == 3
     assert got[1]["median"] == np.sort(day[1])[74] and got[5]["median"] == np.sort(day[5])[1] and got[1]["n"] == 151
     assert abs(np.mean(day[2] < got[2]["median"]) - 0.5) < 0.03
+
+
+def test_closed_days_exact(spark, tmp_path):
+    """Medians of thousands of values are exact, as they are and rounded to digits; none of a day without values."""
+    source, rng = str(tmp_path / "in"), np.random.default_rng(9)
+    values = np.round(np.cos(rng.uniform(0, 7, 5_000)), 9)
+    days = [("A", "2020-01-01", v) for v in values] + [("B", "2020-01-01", v) for v in values[:4]] + [("C", "2020-01-01", None), ("A", "2020-01-09", 0.5)]
+    for k in (1, 9):
+        rows = [(c, f"{d} 10:00:00", "p", "q", 1.0, None if v is None else float(v)) for c, d, v in days if d.endswith(str(k))]
+        spark.createDataFrame(rows, "center string, ts string, i string, j string, dist_km double, coherence double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+    for digits in (None, 5):
+        name = f"exact_{digits}"
+        q = rollups.closed_days(rollups.pair_stream(spark, source, 1), digits=digits).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        q.awaitTermination()
+        got = {x["center"]: x["median"] for x in spark.table(name).collect()}
+        want = {"A": np.sort(values)[2_499], "B": np.sort(values[:4])[1]}
+        assert got == {"C": None, **{c: float(v) if digits is None else round(float(v), digits) for c, v in want.items()}}
+
+
+def test_staged_arrivals(spark, tmp_path):
+    """Arrivals follow each other in time and are written by many tasks; few times make few arrivals."""
+    from meshlag.plans import streams
+
+    rows = spark.range(4_000).selectExpr("timestamp_seconds(id * 1000 % 4001) AS ts", "id")
+    paths = streams._stage(rows, str(tmp_path / "a"), "ts", 4)
+    held = [(*spark.read.parquet(p).selectExpr("min(ts)", "max(ts)", "count(*)").first(), len(spark.read.parquet(p).inputFiles())) for p in paths]
+    assert sum(h[2] for h in held) == 4_000 and all(a[1] < b[0] for a, b in zip(held, held[1:]))
+    assert all(600 < h[2] < 1400 and h[3] >= streams.FILES // 4 - 2 for h in held)
+    from meshlag.streaming import rollups
+
+    few = spark.createDataFrame([("A", "2020-01-01", 300.0, 0.5), ("A", "2020-01-02", 300.0, 0.25)], "center string, ts string, dist_km double, coherence double").withColumn("ts", F.to_timestamp("ts"))
+    got = streams._drain(few, "ts", rollups.bin_states, arrivals=4).collect()
+    assert [(r["s1"], r["n"]) for r in got] == [(0.75, 2)]

@@ -227,13 +227,24 @@ def open_pairs(placed: DataFrame, labels: DataFrame, stars: DataFrame, shingles:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("lx", "ly").alias("la"), F.greatest("lx", "ly").alias("lb"))
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): every node (node, fp) with the first node of its SimHash component, where that holds more than one."""
+    prints = cut(nodes.select("fp").distinct())
+    groups = connected_components(near_links(prints))
+    placed = cut(nodes.join(groups, nodes.fp == groups.node, "left").select(nodes.node, F.coalesce("label", "fp").alias("group")))
+    first = placed.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return cut(placed.join(first.select("group", "b"), "group").where("node <> b").select(F.col("node").alias("a"), "b"))
+
+
 def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(h1, h2, rep, label): the distinct texts by two hashes, their smallest ids, and the component of each.
 
-    Equal texts are folded into one node first. Texts that share one of BANDS MinHash bands are candidates.
+    Equal texts are folded into one node first. The texts of a SimHash component (fingerprints of `simhash64`, links
+    of `near_links`, as in `group_near_duplicates`) are candidates with its first text; so that no pair is missed
+    which differs in more bits, texts that share one of BANDS MinHash bands are candidates too.
     Meeting is no link: every candidate pair is either tested on its shingles or already in one component.
-    Components are first drawn together by one pair a node, with a hub; then all pairs of a bucket that lie in
-    different components are tested, less those whose numbers of shingles, shared and of their own, rule the
+    Components are first drawn together by the pairs of SimHash and one pair a node, with a hub; then all pairs of
+    a bucket that lie in different components are tested, less those whose numbers of shingles, shared and of their own, rule the
     similarity out. The shingles of a text that meets another are hashed once.
     """
     small_batches(docs.sparkSession)
@@ -248,20 +259,28 @@ def similar_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         parts = np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
         return pa.array([np.unique(x).view(np.int64) for x in parts], pa.list_(pa.int64()))
 
+    @F.arrow_udf("long")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        return pa.array([simhash64(x) for x in texts.to_pylist()], pa.int64())
+
     body = whole_text(text)
     h1, h2 = F.xxhash64(body).alias("h1"), F.hash(body).alias("h2")
-    found = docs.select(F.col(id_col).alias("id"), h1, h2, keys(body).alias("v"))
-    nodes = cut(found.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()))
+    found = docs.select(F.col(id_col).alias("id"), h1, h2, keys(body).alias("v"), fingerprint(body).alias("fp"))
+    nodes = cut(found.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    printed = print_pairs(nodes.select("node", "fp"))
     placed = nodes.select("node", F.posexplode("v").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
     placed = cut(placed.join(shared, "bucket"))
-    met = cut(placed.groupBy("node").agg(F.sum("rows").alias("score")).join(nodes.select("node", "h1", "h2"), "node"))
+    scores = placed.groupBy("node").agg(F.sum("rows").alias("score"))
+    linked = printed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = cut(scores.join(linked, "node", "full").join(nodes.select("node", "h1", "h2"), "node"))
     bodies = docs.select(h1, h2, body.alias("t")).join(met, ["h1", "h2"]).groupBy("node", "score").agg(F.min("t").alias("t"))
     texts = cut(bodies.select("node", "score", shingles("t").alias("shingles")))
     placed = cut(placed.select("bucket", "node").join(texts.select("node", "score", F.size("shingles").alias("size")), "node"))
     texts = texts.select("node", "shingles")
     stars = cut(overlaps(cut(star_pairs(placed)), texts))
-    labels = connected_components(stars.where(ALIKE).select("a", "b"))
+    same = cut(overlaps(printed, texts).where(ALIKE).select("a", "b"))
+    labels = connected_components(stars.where(ALIKE).select("a", "b").unionByName(same))
     more = cut(overlaps(cut(open_pairs(placed, labels, stars, texts)), texts).where(ALIKE).select("la", "lb").distinct())
     joined = nodes.select("h1", "h2", "rep", "node").join(labels, "node", "left").select("h1", "h2", "rep", F.coalesce("label", "node").alias("label"))
     if more.isEmpty():

@@ -263,6 +263,25 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {text}
 
 
+def test_print_pairs(spark):
+    """Texts of one SimHash component meet its first; others don't. The pipeline's stage takes its candidates from them."""
+    texts = [prose(1, 300), prose(1, 300) + " end", prose(2, 300), prose(2, 299) + " other", prose(3, 300), "", " "]
+    nodes = spark.createDataFrame([(k, simhash.simhash64(t)) for k, t in enumerate(texts)], "node long, fp long")
+    mine = [brute_simhash(t) for t in texts]
+    roots = brute_components(mine, range(len(texts)))
+    want = {(k, roots.index(r)) for k, r in enumerate(roots) if roots.index(r) != k}
+    assert (6, 5) in want and len(want) > 1 and {(r["a"], r["b"]) for r in simhash.print_pairs(nodes).collect()} == want
+    # without any MinHash band in common, near copies are found by their fingerprints alone, and proved on their shingles
+    bands = simhash.band_keys
+    try:
+        simhash.band_keys = lambda texts, *a: np.array([[zlib.crc32(t.encode())] * simhash.BANDS for t in texts], np.int64).reshape(len(texts), simhash.BANDS)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    finally:
+        simhash.band_keys = bands
+    alike = lambda a, b: len(shingle_set(texts[a]) & shingle_set(texts[b])) >= 0.8 * len(shingle_set(texts[a]) | shingle_set(texts[b]))
+    assert got == {k: next((b for a, b in want if a == k and alike(a, b)), k) for k in range(len(texts))} and got[6] == 6 and len(set(got.values())) < len(texts)
+
+
 def test_similar_groups(spark):
     def edited(t, k, seed):
         w, r = t.split(), random.Random(seed)

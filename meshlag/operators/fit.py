@@ -71,6 +71,8 @@ SOLVE: Steps = [
     {"amplitude": "CASE WHEN w2 < w1 THEN a2 ELSE a1 END", "offset_c": "c1", "wrss": "greatest(0.0D, least(w1, w2))"},
 ]
 SUMS = {"sw": "sum(w)", "sg": "sum(w * g)", "sgg": "sum(w * g * g)", "sy": "sum(w * y)", "sgy": "sum(w * g * y)", "syy": "sum(w * y * y)", "n_bins": "count(*)"}
+#: The same sums where rows of one distance are folded into their sums.
+FOLDED = {**SUMS, "sy": "sum(wy)", "sgy": "sum(g * wy)", "syy": "sum(wyy)", "n_bins": "sum(m)"}
 BEST = ("theta", "amplitude", "offset_c", "wrss", "sw", "sy", "syy", "n_bins")
 
 #: Diagnostics of the best point; three parameters.
@@ -101,9 +103,9 @@ def _case(models: list[Model], value) -> str:
     return "CASE model " + " ".join(f"WHEN '{m.name}' THEN {value(m)}" for m in models) + " END"
 
 
-def _points(bins: DataFrame, keys: list[str], models: list[Model]) -> DataFrame:
+def _points(bins: DataFrame, keys: list[str], models: list[Model], named: dict[str, str]) -> DataFrame:
     g = bins.withColumn("g", F.expr(_case(models, lambda m: m.g("r", "theta"))))
-    sums = g.groupBy(*keys, "theta").agg(*[F.expr(v).alias(k) for k, v in SUMS.items()])
+    sums = g.groupBy(*keys, "theta").agg(*[F.expr(v).alias(k) for k, v in named.items()])
     best = apply(sums, SOLVE).groupBy(*keys).agg(F.min_by(F.struct(*BEST), F.struct("wrss", "theta")).alias("best"))
     return best.select(*keys, "best.*")
 
@@ -118,7 +120,8 @@ def fit_decay(
     """One row for each group of `keys` and model: theta, amplitude, offset_c, wrss, r2, aic, bic, n_bins, at_bound, model.
 
     `together` moves each group to one task once, which suits bins (a few dozen rows a group); without it the
-    sums are combined across tasks, which suits fits on single rows. A list of models is fitted in the same
+    sums are combined across tasks, which suits fits on single rows: those of one group and distance are first
+    folded into their sums, which is all that the grid needs of them, so it is read by pairs of stations. A list of models is fitted in the same
     few aggregations, with the model as a further key. Weights are `w` (sigma = 1/sqrt(w)). Groups of under
     four bins are left out. The grid is refined around each group's best point three times, to about two parts
     in 10**5 of theta. `errors` adds the standard errors of all three parameters and their correlations. Keys may
@@ -134,19 +137,22 @@ def fit_decay(
 def _fit(bins: DataFrame, keys: list[str], model: str | Model | list[str | Model], errors: bool, together: bool) -> DataFrame:
     """`fit_decay` on columns r, y, w and keys whose names nothing in here uses."""
     models = [MODELS[m] if isinstance(m, str) else m for m in (model if isinstance(model, list) else [model])]
-    base = cut(bins.where("r IS NOT NULL AND y IS NOT NULL AND w > 0"))  # the rounds below read it again, not the facts behind it
+    base = bins.where("r IS NOT NULL AND y IS NOT NULL AND w > 0")
+    if not together:
+        base = base.groupBy(*keys, "r").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"), F.count("*").alias("m"))
+    base, named = cut(base), SUMS if together else FOLDED  # the rounds below read it again, not the facts behind it
     if len(models) > 1:
         base, keys = base.withColumn("model", F.explode(F.array(*[F.lit(m.name) for m in models]))), [*keys, "model"]
     if together and keys:
         base = base.repartition(*keys)  # all sums of a group are then taken where it lies
     low, high, log_step = (_case(models, f) for f in (lambda m: repr(float(m.low)), lambda m: repr(float(m.high)), lambda m: f"(ln({m.high / m.low!r}) / {GRID})"))
     grid = F.expr(f"transform(sequence(0, {GRID}), k -> {low} * exp(k * {log_step}))")
-    best = _points(base.withColumn("theta", F.explode(grid)), keys, models)
+    best = _points(base.withColumn("theta", F.explode(grid)), keys, models, named)
     for level in range(1, REFINE + 1):
         near = F.expr(f"transform(sequence(-{HALF}, {HALF}), k -> least({high}, greatest({low}, centre * exp(k * {log_step} / {HALF**level}))))")
         centres = best.select(*keys, F.col("theta").alias("centre"))
         joined = base.join(centres, keys) if keys else base.crossJoin(F.broadcast(centres))
-        best = _points(joined.withColumn("theta", F.explode(F.array_distinct(near))), keys, models)
+        best = _points(joined.withColumn("theta", F.explode(F.array_distinct(near))), keys, models, named)
     out = apply(best, DIAGNOSE).where("n_bins >= 4")
     out = out.withColumn("at_bound", F.expr(f"theta <= {low} * 1.0001D OR theta >= {high} * 0.9999D"))
     if errors:

@@ -202,7 +202,7 @@ _single = f"(SELECT *, 1 AS one FROM {BINNED} q WHERE bin BETWEEN 0 AND 39)"
 
 @query(fits_text(["center"], _single, r="dist_km", y="coherence", w="one"))
 def pairwise_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on single rows instead of bins: the sums distribute, so no sample is needed."""
+    """Fit on single rows instead of bins: the sums distribute, so no sample is needed; rows of one distance are summed first."""
     p = binned(spark, sf_dir).withColumn("one", F.lit(1))
     return fits_of(fit.fit_decay(p, ["center"], r="dist_km", y="coherence", w="one", together=False), ["center"])
 

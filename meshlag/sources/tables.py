@@ -210,14 +210,21 @@ def read_pairs(spark: SparkSession, path: str, centers: list[str] | None = None,
     return pairs.drop("year_month")
 
 
+#: Tasks that sort and write the buckets; Spark's shuffle writers keep no rows in memory up to 200.
+WRITERS = 192
+
+
 def write_by_station(pairs: DataFrame, table: str, buckets: int = 64) -> None:
     """Pair facts as a table in buckets of the column `station`, sorted by it; a fact stands under each of its ends.
 
     Sums, leave-outs and joins by station then read each bucket where it lies: they need no exchange. The facts
-    are moved once here, and a task writes one file for each of its buckets. A station with a large share of all
-    facts makes a large bucket; files of it are split for reading only where sums are taken by a shuffle.
+    are moved once here, in parts of a station by its partner, so that no task sorts a whole bucket: a bucket
+    has several files. A station with a large share of all facts makes a large bucket, which is summed as it is
+    read; files of it are split for reading only where sums are taken by a shuffle.
     """
-    both = pairs.withColumn("station", F.explode(F.array_distinct(F.array("i", "j")))).repartition(buckets, "station")
+    parts = max(1, WRITERS // buckets)
+    both = pairs.withColumn("station", F.explode(F.array_distinct(F.array("i", "j")))).withColumn("_part", F.pmod(F.xxhash64("i", "j"), F.lit(parts)))
+    both = both.repartition(buckets * parts, "station", "_part").drop("_part")
     both.write.bucketBy(buckets, "station").sortBy("station").mode("overwrite").saveAsTable(table)
 
 

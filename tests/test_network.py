@@ -85,6 +85,17 @@ def test_stored_by_station(spark):
     spark.sql("DROP TABLE stored_pairs_test")
 
 
+def test_buckets_are_written_by_many(spark):
+    """No task writes a whole bucket; the facts stand under each of their ends once."""
+    rows = [(a, b, 1, 1.0, 100.0) for a in range(12) for b in range(a + 1, 40)] + [(3, 3, 1, 1.0, 0.0)]
+    write_by_station(spark.createDataFrame(rows, "i long, j long, bin int, coherence double, dist_km double"), "many_parts_test", 4)
+    stored = spark.table("many_parts_test")
+    assert len(stored.inputFiles()) > 100 and stored.columns == ["i", "j", "bin", "coherence", "dist_km", "station"]
+    want = sorted([(a, b, e) for a, b, *_ in rows[:-1] for e in (a, b)] + [(3, 3, 3)])
+    assert sorted((r["i"], r["j"], r["station"]) for r in stored.collect()) == want
+    spark.sql("DROP TABLE many_parts_test")
+
+
 def test_closed_days(spark, tmp_path):
     """A day comes once, after the watermark; its median is exact for few values and near for many."""
     source, rng = str(tmp_path / "in"), np.random.default_rng(8)

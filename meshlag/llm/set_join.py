@@ -255,6 +255,17 @@ def roots_of(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def common_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of every node of the open `rows`: of the roots that the nodes of its signatures have, the one of most nodes.
+
+    Any node will do as a root, like or unlike (`rooted_pairs`); the more nodes have one, the fewer pairs are met by signatures.
+    """
+    first = cut(rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    known = cut(first.join(first.groupBy("root").agg(F.count("*").alias("k")), "root"))
+    tops = rows.select("signature", "node").join(known, "node").groupBy("signature").agg(F.max(F.struct("k", "root")).alias("top"))
+    return cut(rows.select("signature", "node").join(tops, "signature").groupBy("node").agg(F.max("top").alias("top")).select("node", "top.root"))
+
+
 def differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root, diff): the elements that only one of a node's set and its root's has."""
     own, of_root = sets.select("node", "shingles"), sets.select(F.col("node").alias("root"), F.col("shingles").alias("base"))
@@ -314,16 +325,18 @@ def set_components(members: DataFrame, sets_of_nodes: Callable[[DataFrame], Data
     whose nodes all bear one label by then are done, however many nodes they have. Then every two nodes of a
     signature with different labels are tested, if they share as many as a link needs: no link is lost. Nodes of
     one root meet by what sets them apart from it instead (`rooted_pairs`), so the copies of one text make few
-    pairs; other nodes that both lie in signatures of more than CROWD meet by the second family, so a passage of
-    very many texts makes few.
+    pairs, and a root is shared as widely as signatures reach (`common_roots`). Other nodes that both lie in
+    signatures of more than CROWD meet by the second family, so a passage of very many texts makes few.
     """
     stars = cut(hub_pairs(members))
     likely = sets_of_nodes(ends(stars))
     labels = connected_components(cut(linked(stars, likely)))
     rows = open_members(members, labels)
-    roots = roots_of(stars)
-    pairs = rooted_pairs(rows, roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().join(roots.select("node"), "node", "left_anti")), likely)
-    rows = cut(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = common_roots(rows, roots_of(stars))
+    asked = roots.select("node").unionByName(roots.select(F.col("root").alias("node"))).distinct()
+    more = sets_of_nodes(cut(asked.join(likely.select("node"), "node", "left_anti")))
+    pairs = rooted_pairs(rows, roots, likely.unionByName(more))
+    rows = cut(rows.join(roots, "node"))
     crowds = rows.groupBy("signature").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("signature")
     crowded = cut(rows.join(crowds, "signature").select("node", F.lit(True).alias("crowded")).distinct())
     pairs = pairs.unionByName(open_pairs(rows.join(crowded, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))))

@@ -210,6 +210,18 @@ def test_copies_of_one_text(spark):
     assert Counter(tuple(x) for x in set_join.join_documents(documents(spark, rows)).collect()) == want
 
 
+def test_copies_without_a_hub(spark, monkeypatch):
+    """Copies that are out of reach of their source and of each other share a root, so they hardly meet by signatures."""
+    r, met, whole = random.Random(5), [], set_join.open_pairs
+    monkeypatch.setattr(set_join, "open_pairs", lambda members: met.append(members.selectExpr("node", "root").distinct().groupBy("root").count().agg(F.max("count"), F.sum("count")).first()) or whole(members))
+    base = [f"w{k}" for k in range(170)]
+    texts = [" ".join(f"new{r.randrange(10**6)}" if k in at else w for k, w in enumerate(base)) for at in (set(r.sample(range(170), 8)) for _ in range(120))]
+    rows = list(enumerate([*texts, " ".join(base)]))
+    assert Counter(tuple(x) for x in set_join.join_documents(documents(spark, rows)).collect()) == brute_join(rows)
+    most, every = met[0]
+    assert every > 100 and most > 0.95 * every
+
+
 def test_set_join_empty(spark):
     assert set_join.join_documents(documents(spark, [])).count() == 0
     assert [tuple(r) for r in set_join.join_documents(documents(spark, [(4, " \t"), (4, None)])).collect()] == [(4, 0, 4)] * 2

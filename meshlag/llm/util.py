@@ -55,6 +55,12 @@ def cut_freed(df: DataFrame) -> DataFrame:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to `path` in the shared folder and reads it again: lineage ends here, and so does the planner's guess of the size."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meshlag.llm import chars, decontamination, graph, imatch, licenses, packing, quality, sharding, simhash, token_counts, toxicity, urls
-from meshlag.llm.util import fold, labelled_sample
+from meshlag.llm.util import fold, labelled_sample, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau".split()
@@ -863,6 +863,17 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_planned_size(spark):
+    """The planner's guess of the size stays that of the rows however many rounds there are, and no file of a round stays."""
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    at = shared_dir(spark).removeprefix("file:")
+    got = graph.connected_components(spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long"))
+    assert got.where("label = 0").count() == got.count() == 201 and bits(got) < 64
+    again = graph.connected_components(got.where("node <> label"), "node", "label")
+    assert again.where("label = 0").count() == 201 and bits(again) < 64
+    assert not [f for f in os.listdir(at) if f.startswith("components-")]
+
+
 def test_decontamination_ids_of_any_type(spark, monkeypatch):
     """Ids keep their types, an id column may be called like another of the result, several blocks find what one finds."""
     items = [(f"q{k:02}", prose(300 + k, 12 + k)) for k in range(7)]
